@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viamark.llm import exact_dedup, license_scan, quality, sharding
+from viamark.llm import byte_bpe, exact_dedup, license_scan, packing, quality, sharding, substring_dedup, token_count
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,4 +30,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_exact_dedup, op5_sharding, op7_quality_rules)}
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(_read(spark, sf_dir, "documents"), digests=True).drop("row_id")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents")).drop("row_id", "ids")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count(_read(spark, sf_dir, "documents")).drop("row_id")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document: words in repeated runs, words that go, and the text that remains."""
+    return substring_dedup.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"), facts=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_exact_dedup, op5_sharding, op6_byte_bpe, op7_quality_rules, op8_packing, op9_token_counts, op10_substring_dedup)}
