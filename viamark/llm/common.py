@@ -2,65 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viamark.plans.tables import drop_tables, stage, stored_bytes, tables_so_far
+
+__all__ = ["BLANKS", "drop_tables", "lowered", "runs", "stage", "stored_bytes", "tables_so_far", "text_of", "union_all", "with_row_id", "without_blanks"]
+
 #: The six white-space characters that end a word: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_tables: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="viamark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, gives true sizes.
-
-    The table goes when the application ends, or with :func:`drop_tables`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _tables.append((spark, path))
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def tables_so_far() -> int:
-    return len(_tables)
-
-
-def drop_tables(first: int, last: int) -> None:
-    """Delete the staged tables with these numbers; their readers must have finished."""
-    for spark, path in _tables[first:last]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stored_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Bytes of the files behind a DataFrame read from files."""
-    conf, total = spark._jsc.hadoopConfiguration(), 0
-    for f in df.inputFiles():
-        where = spark._jvm.org.apache.hadoop.fs.Path(f)
-        total += where.getFileSystem(conf).getFileStatus(where).getLen()
-    return total
-
-
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -65,7 +65,7 @@ def keep_one(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     is_kept = F.col("row_id") == F.col("keep.row_id")
     twin = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & ~is_kept
     dropped = stage(found.where(~is_kept).select(*key, twin.alias("twin")).distinct(), "dropped")
-    small = stored_bytes(docs.sparkSession, dropped) <= BROADCAST_BYTES
+    small = stored_bytes(dropped) <= BROADCAST_BYTES
     hint = "broadcast" if small else "shuffle_hash"
     marked = docs.withColumn("text_sha256_", _digest)
     on = [F.col("doc_id").eqNullSafe(F.col("gone_id")), F.col("text_sha256_") == F.col("gone_sha")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viamark.llm import byte_bpe, exact_dedup, license_scan, packing, quality, sharding, substring_dedup, token_count
+from viamark.llm import byte_bpe, exact_dedup, license_scan, ngram_join, packing, quality, sharding, substring_dedup, token_count
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the smallest doc_id of its group and its number of links."""
+    found = ngram_join.resolve(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("group_id").alias("class_id"), "n_links")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"))
 
@@ -47,4 +53,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"), facts=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_exact_dedup, op5_sharding, op6_byte_bpe, op7_quality_rules, op8_packing, op9_token_counts, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_byte_bpe, op7_quality_rules, op8_packing, op9_token_counts, op10_substring_dedup)}

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from viamark.llm.common import stage, stored_bytes, with_row_id
 from viamark.llm.textbytes import BLANK_TABLE, blocks, mixed, powers, words
 
-REACH = 4
-MIN_WORDS = 20
+REACH = 3
+MIN_WORDS = 16
 #: Stored size up to which repeated digests, or spans to remove, are broadcast; above it they are shuffled.
 BROADCAST_BYTES = 8 << 20
 GEAR = mixed(np.where(BLANK_TABLE == 0, 0, np.arange(256)).astype(np.uint64) + np.uint64(1)).astype(np.uint32)
@@ -129,7 +129,7 @@ def find(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     each = chunks.select("row_id", owner.alias("owner"), F.explode(F.array_distinct("digests")).alias("digest"))
     counted = each.groupBy("digest").agg(F.min("owner").alias("keeper"), F.count(F.lit(1)).alias("n"))
     repeated = stage(counted.where("n > 1").select("digest", "keeper"), "repeated")
-    small = stored_bytes(docs.sparkSession, repeated) <= BROADCAST_BYTES
+    small = stored_bytes(repeated) <= BROADCAST_BYTES
     hits = each.join(repeated.hint("broadcast" if small else "merge"), "digest")
     lists = hits.groupBy("row_id").agg(F.collect_list("digest").alias("again"), F.collect_list(F.when(F.col("keeper") == F.col("owner"), F.col("digest"))).alias("mine"))
     return chunks.join(lists.hint("shuffle_hash"), "row_id", "left").mapInArrow(_spans(min_words), SPANS)
@@ -144,7 +144,7 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, facts: bool = False) ->
     """
     found = find(docs, min_words).where("repeat_words > 0").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "repeat_words", "removed_words", F.col("removed").alias("removed_"))
     cut = stage(found.dropDuplicates(["id_", "hash_"]), "cuts")
-    small = stored_bytes(docs.sparkSession, cut) <= BROADCAST_BYTES
+    small = stored_bytes(cut) <= BROADCAST_BYTES
     on = [F.col("doc_id").eqNullSafe(F.col("id_")), F.xxhash64("text") == F.col("hash_")]
     # Kept pieces lie between one removed span's stop and the next one's start.
     begin = "if(k = 0, 0, coalesce(removed_[k - 1].stop, length(text)))"
