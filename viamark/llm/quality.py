@@ -21,12 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viamark.llm.common import BLANKS, stage, text_of, with_row_id, without_blanks
+from viamark.llm.common import BLANKS, stage, stored_bytes, text_of, with_row_id, without_blanks
 
 SYMBOLS = "#*$%&|<>"
 STRATA = ("en", "de", "fr", "es")
 MAX_FALSE = 0.01
 ALPHA = 0.05
+#: Stored size up to which the ids of labelled good texts are broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Cutoffs of each rule, lowest first; a text above the chosen one is rejected.
 GRID = (0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6)
 RULES = {
@@ -68,8 +70,8 @@ def measure(docs: DataFrame) -> DataFrame:
     }).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")).drop("t_", "w_", "l_", "h_", "g_", "p_")
 
 
-def _certified(k: Column, n: Column, share: float, level: float) -> Column:
-    """P(Bin(n, share) <= k) <= level, by adding up logarithms of the terms 0 to k.
+def _certified(share: float, level: float) -> Column:
+    """P(Bin(n_, share) <= k_) <= level, by adding up logarithms of the terms 0 to k_.
 
     Above the expected count the probability is near a half or more: not certified.
     """
@@ -80,7 +82,6 @@ def _certified(k: Column, n: Column, share: float, level: float) -> Column:
         " greatest(a.s, a.t + ln(n_ - j + 1) - ln(j) + {odds})"
         " + ln(1 + exp(-abs(a.s - (a.t + ln(n_ - j + 1) - ln(j) + {odds})))) as s)), a -> a.s)"
     ).format(none=none, odds=odds)
-    del k, n  # the columns k_ and n_ of the table
     return F.expr(f"if(n_ = 0 or k_ > {share}D * n_, false, {log_sum} <= ln({level}D))")
 
 
@@ -88,15 +89,19 @@ def stratum(lang: str = "lang") -> Column:
     return F.when(F.col(lang).isin(*STRATA), F.col(lang)).otherwise("other")
 
 
-def choose_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, alpha: float = ALPHA) -> DataFrame:
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the texts that every label with a quality calls good."""
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q_"))
+    return good.where("q_ = 1").select("doc_id")
+
+
+def choose_cutoffs(held: DataFrame, max_false: float = MAX_FALSE, alpha: float = ALPHA) -> DataFrame:
     """stratum, rule, cutoff: at most one row for each listed stratum and rule.
 
-    measured: doc_id, stratum and one column for each rule.
+    held: the holdout, labelled good; stratum and one column for each rule.
     """
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q_")).where("q_ = 1")
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v_")) for r in RULES])
     above = reduce(lambda a, b: a + b, [F.when(F.col("x.v_") > g, 1).otherwise(0) for g in GRID])
-    held = measured.join(good.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     counts = (
         held.select("stratum", F.explode(rules).alias("x"))
         .groupBy("stratum", "x.rule", above.alias("passed"))
@@ -110,7 +115,7 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = MA
         .agg(F.sum("m_").cast("double").alias("n_"), F.sum(F.when(F.col("passed") > F.col("cut.c_"), F.col("m_")).otherwise(0)).cast("double").alias("k_"))
     )
     tests = (len(STRATA) + 1) * len(RULES) * len(GRID)
-    certified = tested.where(_certified(F.col("k_"), F.col("n_"), max_false, alpha / tests))
+    certified = tested.where(_certified(max_false, alpha / tests))
     return certified.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
@@ -121,8 +126,8 @@ def judge(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, alph
     """
     slim = stage(with_row_id(measure(docs.select("doc_id", "text", "lang")).drop("text")), "measured")
     shares = slim.withColumns({r: F.expr(e) for r, e in RULES.items()} | {"stratum": stratum()})
-    cutoffs = choose_cutoffs(shares, labels, max_false, alpha)
-    chosen = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
+    held = shares.join(good_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi")
+    chosen = choose_cutoffs(held, max_false, alpha).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
     chosen = chosen.select("stratum", *[F.col(r).alias(f"{r}_cutoff") for r in RULES])
     failed = F.filter(F.array(*[F.when(F.col(r) > F.col(f"{r}_cutoff"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     # As many rows as strata, which are listed in STRATA.
@@ -131,15 +136,19 @@ def judge(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, alph
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, alpha: float = ALPHA) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns; no shuffle of texts.
+    """The rows of ``docs`` that pass, with all their columns.
 
-    Texts are measured twice: once to choose the cutoffs, once to apply them.
+    Holdout texts are measured once to choose the cutoffs, all texts once to apply them.
+    Ids of labelled good texts are broadcast when their stored size is small; only where
+    it is not are texts shuffled to them.
     """
-    slim = measure(docs.select("doc_id", "text", "lang")).drop("text")
-    shares = {r: F.expr(e) for r, e in RULES.items()}
-    cutoffs = choose_cutoffs(slim.withColumns(shares | {"stratum": stratum()}), labels, max_false, alpha)
+    shares = {r: F.expr(e) for r, e in RULES.items()} | {"stratum": stratum()}
+    good = stage(good_ids(labels), "good")
+    hint = "broadcast" if stored_bytes(good) <= BROADCAST_BYTES else "shuffle_hash"
+    held = docs.select("doc_id", "text", "lang").join(good.hint(hint), "doc_id", "left_semi")
+    cutoffs = choose_cutoffs(measure(held).drop("text").withColumns(shares), max_false, alpha)
     chosen = stage(cutoffs, "cutoffs").collect()  # at most one row for each stratum and rule
-    found = measure(docs.select(F.struct(*docs.columns).alias("doc_"), "text", "lang"))
-    found = found.withColumns(shares | {"stratum": stratum()})
+    # The row number keeps the optimizer from copying the measures into the filter.
+    found = with_row_id(measure(docs.select(F.struct(*docs.columns).alias("doc_"), "text", "lang"))).withColumns(shares)
     failed = [(F.col("stratum") == c.stratum) & (F.col(c.rule) > c.cutoff) for c in chosen]
-    return found.where(~reduce(lambda a, b: a | b, failed, F.col("base_failed"))).select("doc_.*")
+    return found.where((F.col("row_id") >= 0) & ~reduce(lambda a, b: a | b, failed, F.col("base_failed"))).select("doc_.*")
