@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viamark.llm import byte_bpe, exact_dedup, license_scan, ngram_join, packing, quality, sharding, substring_dedup, token_count
+from viamark.llm import byte_bpe, exact_dedup, license_scan, lm_score, ngram_join, packing, quality, sharding, substring_dedup, token_count
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_read(spark, sf_dir, "documents"))
 
@@ -53,4 +57,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"), facts=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_byte_bpe, op7_quality_rules, op8_packing, op9_token_counts, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_lm_score, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_byte_bpe, op7_quality_rules, op8_packing, op9_token_counts, op10_substring_dedup)}
