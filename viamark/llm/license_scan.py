@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viamark.llm.common import lowered, stage, text_of, with_row_id
@@ -47,7 +47,7 @@ def words_of(text: str) -> list[str]:
     return re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
 
 
-def _classes(notices) -> dict[int, list[tuple[str, list[str]]]]:
+def size_classes(notices) -> dict[int, list[tuple[str, list[str]]]]:
     """Notices by window: the words of the longest notice up to 16, 64, 256, ... words."""
     out: dict[int, list[tuple[str, list[str]]]] = {}
     for label, text in notices:
@@ -57,10 +57,18 @@ def _classes(notices) -> dict[int, list[tuple[str, list[str]]]]:
     return {max(len(w) for _, w in group): group for _, group in sorted(out.items())}
 
 
+def _in_block(span: int, vocabulary: Column):
+    return lambda b: F.struct(F.lit(span).alias("span"), F.array_intersect(F.array_distinct(b), vocabulary).alias("words"))
+
+
+def _at_least(n: int):
+    return lambda b: F.size(b["words"]) >= n
+
+
 def scan(docs: DataFrame, notices=NOTICES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """row_id, doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score, notices (matches)."""
     spark = docs.sparkSession
-    classes = _classes(notices)
+    classes = size_classes(notices)
     vocab = sorted({w for group in classes.values() for _, ws in group for w in ws})
     if sum(len(ws) for group in classes.values() for _, ws in group) > MAX_WORDS:
         raise ValueError(f"the notices have more than {MAX_WORDS} words")
@@ -80,8 +88,8 @@ def scan(docs: DataFrame, notices=NOTICES, phrases: dict[str, str] = PHRASES, th
     for span, group in need.items():
         least = min(a for _, _, a in group)
         cut = F.expr(f"transform(sequence(0, greatest(0, (size(w_) - {span} - 1) div {span})), k -> slice(w_, k * {span} + 1, {2 * span}))")
-        held = F.transform(cut, lambda b, s=span: F.struct(F.lit(s).alias("span"), F.array_intersect(F.array_distinct(b), words_lit).alias("words")))
-        parts.append(F.when(F.size("v_") >= least, F.filter(held, lambda b, n=least: F.size(b["words"]) >= n)))
+        held = F.transform(cut, _in_block(span, words_lit))
+        parts.append(F.when(F.size("v_") >= least, F.filter(held, _at_least(least))))
     if parts:
         none = F.expr("cast(array() as array<struct<span:int,words:array<string>>>)")
         blocks = F.concat(*[F.coalesce(p, none) for p in parts])

@@ -1 +1,110 @@
-ORACLE = {}
+"""SQL of the text queries for DuckDB, where SQL can say them on whole tables.
+
+None for op2, op5, op6, op8, op9, op10 and the pipeline: trained weights, seeded
+permutations, merges by rank, bins and content-defined chunks have no SQL; tests/llm
+holds those queries against brute force, round trips and the libraries named.
+"""
+
+from __future__ import annotations
+
+import math
+
+from viamark.llm.license_scan import NOTICES, PHRASES, THRESHOLD, size_classes
+from viamark.llm.quality import ALPHA, GRID, MAX_FALSE, STRATA
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def license_sql() -> str:
+    """Phrases by position, and every notice compared with every block, without filters."""
+    phrases = []
+    for phrase, label in PHRASES.items():
+        words = phrase.split()
+        test = " AND ".join(f"w[i + {k}] = {_quoted(x)}" for k, x in enumerate(words))
+        phrases.append(f"SELECT r, i - 1 AS pos, {_quoted(label)} AS label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM t WHERE list_contains(w, {_quoted(words[0])})) WHERE {test}")
+    blocks, notices = [], []
+    for span, group in size_classes(NOTICES).items():
+        blocks.append(f"SELECT r, {span} AS span, k, list_distinct(w[k * {span} + 1 : k * {span} + {2 * span}]) AS b FROM (SELECT r, w, unnest(range(0, greatest(0, (len(w) - {span} - 1) // {span}) + 1)) AS k FROM t)")
+        for n, (label, words) in enumerate(group):
+            own = list(dict.fromkeys(words))
+            notices.append(f"({span}, {n}, {_quoted(label)}, [{', '.join(map(_quoted, own))}], {math.ceil(THRESHOLD * len(own) - 1e-9)})")
+    return f"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS w FROM documents
+), p AS ({' UNION ALL '.join(phrases)}
+), base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY r
+), block AS ({' UNION ALL '.join(blocks)}
+), notice(span, n, label, words, least) AS (VALUES {', '.join(notices)}
+), hit AS (
+  SELECT r, label, len(list_intersect(b, words)) AS c, len(words) AS size
+  FROM block JOIN notice USING (span) WHERE len(list_intersect(b, words)) >= least
+), found AS (SELECT r, list(DISTINCT label) AS labels, max(c / size) AS share FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+  greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(share, 0.0))::DOUBLE AS score
+FROM t LEFT JOIN base USING (r) LEFT JOIN found USING (r)"""
+
+
+EXACT = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(length(text), 0) AS n, sha256(translate(coalesce(text, ''), {_BLANKS}, '')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER w = 1 AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST, r)"""
+
+#: All pairs of texts that share a shingle, then the smallest doc_id that links reach.
+NEAR = f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM t WHERE len(w) > 0)
+), size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9
+), reach AS (SELECT doc_id AS v, doc_id AS u FROM t UNION SELECT reach.v, link.b FROM reach JOIN link ON link.a = reach.u)
+SELECT v AS doc_id, min(u) AS class_id, (SELECT count(*) FROM link WHERE link.a = v) AS n_links FROM reach GROUP BY v"""
+
+
+def quality_sql() -> str:
+    """The counts, the cutoffs by the exact binomial tail, and the verdict."""
+    rules = {
+        "symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+        "repeat_share": "n_repeat_words / greatest(n_words, 1)", "upper_share": "n_upper / greatest(word_chars, 1)", "digit_share": "n_digits / greatest(word_chars, 1)",
+    }
+    count = lambda chars: f"length(x) - length(translate(x, '{chars}', ''))"
+    level = math.log(ALPHA / ((len(STRATA) + 1) * len(rules) * len(GRID)))
+    shares = " UNION ALL ".join(f"SELECT r, doc_id, stratum, '{n}' AS rule, {e} AS v FROM m" for n, e in rules.items())
+    return f"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, CASE WHEN lang IN ({', '.join(map(_quoted, STRATA))}) THEN lang ELSE 'other' END AS stratum,
+    list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda z: z <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda z: length(translate(z, {_BLANKS}, '')) > 0) AS l FROM documents
+), g AS (SELECT r, k, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS k FROM t WHERE len(w) > 4)
+), again AS (SELECT r, k FROM g QUALIFY count(*) OVER (PARTITION BY r, s) > 1
+), covered AS (SELECT r, count(DISTINCT k + o) AS n FROM again, range(0, 5) z(o) GROUP BY r
+), m AS (
+  SELECT t.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(x, {_BLANKS}, '')) AS BIGINT) AS word_chars,
+    CAST({count('#*$%&|<>')} AS BIGINT) AS n_symbols, {count(_UP)} AS n_upper, {count('0123456789')} AS n_digits, len(l) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM t LEFT JOIN covered ON covered.r = t.r
+), good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1
+), share AS ({shares}
+), cut(cutoff) AS (VALUES {', '.join(f'({g})' for g in GRID)}
+), seen AS (
+  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM share JOIN good USING (doc_id), cut GROUP BY ALL
+), tail AS (
+  SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({MAX_FALSE}) + (n - j) * ln(1 - {MAX_FALSE}))) AS p
+  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM seen WHERE k <= {MAX_FALSE} * n) GROUP BY ALL
+), chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE ln(p) <= {level} GROUP BY ALL
+), bad AS (SELECT DISTINCT r FROM share JOIN chosen USING (stratum, rule) WHERE v > cutoff
+), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.r NOT IN (SELECT r FROM bad) AS kept FROM b"""
+
+
+ORACLE = {"op1_license_scan": license_sql(), "op3_exact_dedup": EXACT, "op4_ngram_join": NEAR, "op7_quality_rules": quality_sql()}
