@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viamark.llm.common import text_of, with_row_id
+from viamark.llm.common import ship_package, text_of, with_row_id
 
 CHUNK_CHARS, OVERLAP = 1 << 15, 1 << 10
 #: Characters before the end of a chunk where a boundary may still depend on what follows.
@@ -190,6 +190,7 @@ def encode(docs: DataFrame, digests: bool = False, ranks_file: str | None = None
         one = rows.slice(0, 1).combine_chunks().to_batches()[0]
         return pa.Table.from_batches([finish(c, one["row_id"], one["doc_id"], [ids])])
 
+    ship_package(docs.sparkSession)
     d = with_row_id(docs.select("doc_id", text_of().alias("text")))
     short = d.where(F.length("text") <= chunk_chars).mapInArrow(whole, schema)
     # A last chunk that would lie inside its predecessor's overlap is not cut off.

@@ -15,7 +15,7 @@ by :func:`keep_one`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viamark.llm.common import stage, stored_bytes, text_of, union_all, with_row_id, without_blanks
@@ -24,24 +24,30 @@ SUPPORT = 0.001
 #: A set of dropped rows up to this size (as stored) is sent to every executor; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 
-_digest = F.sha2(without_blanks(text_of()).cast("binary"), 256)
-_rank = F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")
+
+def _digest() -> Column:
+    return F.sha2(without_blanks(text_of()).cast("binary"), 256)
+
+
+def _rank() -> Column:
+    """The row that sorts first stays."""
+    return F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")
 
 
 def resolve(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """One row per row of ``docs``: row_id, doc_id, n_points, text_sha256, keep (struct), group_size."""
-    slim = docs.select("doc_id", F.length(text_of()).alias("n_points"), _digest.alias("text_sha256"))
+    slim = docs.select("doc_id", F.length(text_of()).alias("n_points"), _digest().alias("text_sha256"))
     slim = stage(with_row_id(slim), "digests").withColumn("h", F.xxhash64("text_sha256"))
     rows = slim.count()
     found = slim.freqItems(["h"], support).select(F.explode("h_freqItems").alias("h"))
-    group = (F.min(_rank).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    group = (F.min(_rank()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     suspects = slim.join(F.broadcast(found), "h", "left_semi").groupBy("text_sha256").agg(*group)
     winners = stage(suspects.where(F.col("group_size") >= max(2.0, support * rows)), "winners")
     slim = slim.drop("h")
     hot = slim.join(F.broadcast(winners), "text_sha256")
     rest = slim.join(F.broadcast(winners), "text_sha256", "left_anti")
     same = Window.partitionBy("text_sha256")
-    rest = rest.withColumns({"keep": F.min(_rank).over(same), "group_size": F.count(F.lit(1)).over(same)})
+    rest = rest.withColumns({"keep": F.min(_rank()).over(same), "group_size": F.count(F.lit(1)).over(same)})
     return union_all(hot.select(*rest.columns), rest)
 
 
@@ -67,7 +73,7 @@ def keep_one(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     dropped = stage(found.where(~is_kept).select(*key, twin.alias("twin")).distinct(), "dropped")
     small = stored_bytes(dropped) <= BROADCAST_BYTES
     hint = "broadcast" if small else "shuffle_hash"
-    marked = docs.withColumn("text_sha256_", _digest)
+    marked = docs.withColumn("text_sha256_", _digest())
     on = [F.col("doc_id").eqNullSafe(F.col("gone_id")), F.col("text_sha256_") == F.col("gone_sha")]
     kept = marked.join(dropped.hint(hint), on, "left_anti")
     twins = dropped.where("twin")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viamark.llm.common import stage, text_of, with_row_id
+from viamark.llm.common import ship_package, stage, text_of, with_row_id
 
 LENGTH, END_ID = 1024, 0
 GROUP = 4096
@@ -105,6 +105,7 @@ def _pack(length: int):
 
 def pack(docs: DataFrame, length: int = LENGTH, seed: int = 17, group: int = GROUP, with_ids: bool = False) -> DataFrame:
     """One row per piece: its place in its document and in its sequence, and its ids if asked for."""
+    ship_package(docs.sparkSession)
     d = with_row_id(docs.select("doc_id", text_of().alias("text")))
     pieces = stage(d.mapInArrow(_cut(length, with_ids), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group))

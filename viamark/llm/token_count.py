@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from viamark.llm.common import with_row_id
+from viamark.llm.common import ship_package, with_row_id
 
 MARK = "▁"
 SCHEMA = "row_id long, doc_id long, n_words long, n_tokens long, n_unknown long"
@@ -142,6 +142,7 @@ def count(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                 names=["row_id", "doc_id", "n_words", "n_tokens", "n_unknown"],
             )
 
+    ship_package(docs.sparkSession)
     return with_row_id(docs.select("doc_id", "text")).mapInArrow(work, SCHEMA)
 
 
