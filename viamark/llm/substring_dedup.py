@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viamark.llm.common import stage, stored_bytes, with_row_id
+from viamark.llm.common import ship_package, stage, stored_bytes, with_row_id
 from viamark.llm.textbytes import BLANK_TABLE, blocks, mixed, powers, words
 
 REACH = 3
 MIN_WORDS = 16
-#: Stored size up to which repeated digests, or spans to remove, are broadcast; above it they are shuffled.
+#: Stored size up to which the spans to remove are broadcast; above it they are shuffled.
 BROADCAST_BYTES = 8 << 20
 GEAR = mixed(np.where(BLANK_TABLE == 0, 0, np.arange(256)).astype(np.uint64) + np.uint64(1)).astype(np.uint32)
 
@@ -122,6 +122,7 @@ def _spans(min_words: int):
 
 def find(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of ``docs``: words in repeated runs, and the spans to remove (code points; a null stop is the end)."""
+    ship_package(docs.sparkSession)
     d = with_row_id(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")))
     chunks = stage(d.mapInArrow(_chunked, CHUNKS), "chunks")
     # Document order as one number: by doc_id, then rows without one.
@@ -129,8 +130,7 @@ def find(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     each = chunks.select("row_id", owner.alias("owner"), F.explode(F.array_distinct("digests")).alias("digest"))
     counted = each.groupBy("digest").agg(F.min("owner").alias("keeper"), F.count(F.lit(1)).alias("n"))
     repeated = stage(counted.where("n > 1").select("digest", "keeper"), "repeated")
-    small = stored_bytes(repeated) <= BROADCAST_BYTES
-    hits = each.join(repeated.hint("broadcast" if small else "merge"), "digest")
+    hits = each.join(repeated.hint("merge"), "digest")
     lists = hits.groupBy("row_id").agg(F.collect_list("digest").alias("again"), F.collect_list(F.when(F.col("keeper") == F.col("owner"), F.col("digest"))).alias("mine"))
     return chunks.join(lists.hint("shuffle_hash"), "row_id", "left").mapInArrow(_spans(min_words), SPANS)
 
