@@ -1,11 +1,224 @@
-"""Road networks: junctions, edges, arcs, and iterative jobs over them."""
+"""Road networks: junctions, edges, arcs, and iterative jobs over them.
+
+Iterative jobs keep one small table of state, join it to the arcs each round, write it to
+the shared folder and stop when nothing changes. They raise rather than return a state
+that has not settled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viamark.plans.tables import stage
+
+#: Speed against the posted limit, and preference for scenery.
+MOTORWAY_FACTOR, SURFACE_FACTOR = 1.16, 0.95
+BETA, PREF_CURVE, UNPAVED_AVOID, PRIVATE_ENTRY, PRIVATE_PER_KM = 8.0, 2.0, 1.0, 10_000.0, 10.0
+
 
 def junctions(refs: DataFrame) -> DataFrame:
     """node_id, uses: nodes that ways name twice or more."""
     return refs.groupBy("node_id").agg(F.count(F.lit(1)).alias("uses")).where("uses >= 2")
+
+
+def edges(refs: DataFrame, least: float = 1.0) -> DataFrame:
+    """way_id, seq, u, v, length_m, points: ways split at junctions and ends.
+
+    refs: way_id, n, node_id, x, y. A step to the next vertex belongs to the edge that its
+    first vertex began or continues.
+    """
+    order = Window.partitionBy("way_id").orderBy("n")
+    marked = refs.join(junctions(refs).select("node_id", F.lit(1).alias("junction")).hint("shuffle_hash"), "node_id", "left")
+    nxt = F.lead(F.struct("node_id", "x", "y")).over(order)
+    steps = marked.withColumns({"breaks": ((F.row_number().over(order) == 1) | F.col("junction").isNotNull()).cast("int"), "next": nxt})
+    steps = steps.withColumn("seq", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("next").isNotNull())
+    dx, dy = F.col("next.x") - F.col("x"), F.col("next.y") - F.col("y")
+    out = steps.groupBy("way_id", "seq").agg(F.min_by("node_id", "n").alias("u"), F.max_by("next.node_id", "n").alias("v"), F.sum(F.sqrt(dx * dx + dy * dy)).alias("length_m"), (F.count(F.lit(1)) + 1).alias("points"))
+    return out.where(F.col("length_m") >= least)
+
+
+def node_table(refs: DataFrame, edges_: DataFrame) -> DataFrame:
+    """One coordinate for every node that ends an edge."""
+    ends = edges_.select(F.col("u").alias("node_id")).unionByName(edges_.select(F.col("v").alias("node_id"))).distinct()
+    return refs.join(ends.hint("shuffle_hash"), "node_id", "left_semi").groupBy("node_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+
+
+def minutes(length_m: str, kmh: Column, highway: str) -> Column:
+    factor = F.when(F.col(highway) == "motorway", MOTORWAY_FACTOR).otherwise(SURFACE_FACTOR)
+    return F.col(length_m) / 1000 / (kmh * factor) * 60
+
+
+def arcs(edges_: DataFrame) -> DataFrame:
+    """edge, tail, head, minutes, flip and the other columns: both directions where they are open."""
+    keep = [c for c in edges_.columns if c not in ("u", "v")]
+    forward = edges_.where(~F.col("oneway").isin("-1", "reverse")).select(F.col("u").alias("tail"), F.col("v").alias("head"), F.lit(False).alias("flip"), *keep)
+    return forward.unionByName(edges_.where(~F.col("oneway").isin("yes", "true", "1")).select(F.col("v").alias("tail"), F.col("u").alias("head"), F.lit(True).alias("flip"), *keep))
+
+
+def cheapest(arcs_: DataFrame, cost: str = "minutes", key: str = "edge") -> DataFrame:
+    """The cheapest of parallel arcs; ties take the smallest key."""
+    best = arcs_.where("tail <> head").groupBy("tail", "head").agg(F.min(F.struct(cost, key)).alias("m"))
+    return best.select("tail", "head", F.col(f"m.{cost}").alias(cost), F.col(f"m.{key}").alias(key))
+
+
+def scenic_cost(pref: Column, dirt: Column | None = None, avoid: float = 1.0) -> Column:
+    """Minutes and what a driver would give to avoid dull or unsealed kilometres."""
+    km = F.col("length_m") / 1000
+    cost = F.col("minutes") + F.pow(pref, F.lit(PREF_CURVE)) * BETA * km * (1 - F.col("score") / 10)
+    return cost if dirt is None else cost + UNPAVED_AVOID * avoid * dirt * km
+
+
+def reweighted(df: DataFrame, weights: dict[str, float], defaults: dict[str, float]) -> Column:
+    """The blend under a user's weights, scaled to the total of the defaults."""
+    total, wanted = sum(weights.values()), sum(defaults.values())
+    scale = wanted / total if total else 0.0
+    return sum((F.lit(w * scale) * F.col(f"c_{k}") for k, w in weights.items()), F.lit(0.0))
+
+
+def reachable(arcs_: DataFrame, starts: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """node, rounds: nodes that can be reached from ``starts`` (node), frontier by frontier."""
+    seen = stage(starts.select("node").distinct().withColumn("rounds", F.lit(0)), "seen")
+    front = seen
+    hops = arcs_.select(F.col("tail").alias("node"), F.col("head").alias("next")).distinct()
+    for r in range(1, max_rounds + 1):
+        step = front.join(hops.hint("shuffle_hash"), "node").select(F.col("next").alias("node")).distinct()
+        front = stage(step.join(seen.hint("shuffle_hash"), "node", "left_anti").withColumn("rounds", F.lit(r)), "front")
+        if front.isEmpty():
+            return seen
+        seen = stage(seen.unionByName(front), "seen")
+    raise RuntimeError(f"still growing after {max_rounds} rounds")
+
+
+def largest_scc(arcs_: DataFrame, max_rounds: int = 200, tries: int = 20) -> DataFrame:
+    """node: the largest strongly connected component.
+
+    Nodes that nothing enters or leaves are trimmed. The component of the node with most
+    arcs is what it reaches and what reaches it; it is the largest if no more nodes are
+    left beside it, else the rest is tried.
+    """
+    left, best, size = stage(arcs_.select("tail", "head").where("tail <> head").distinct(), "arcs"), None, 0
+    for _ in range(tries):
+        into, out = left.select(F.col("head").alias("node")).distinct(), left.select(F.col("tail").alias("node")).distinct()
+        both = into.intersect(out)
+        inner = left.join(both.select(F.col("node").alias("tail")).hint("shuffle_hash"), "tail", "left_semi").join(both.select(F.col("node").alias("head")).hint("shuffle_hash"), "head", "left_semi")
+        left = stage(inner, "arcs")
+        degree = left.select(F.col("tail").alias("node")).unionAll(left.select("head")).groupBy("node").count()
+        pivot = degree.orderBy(F.desc("count"), "node").limit(1).select("node")
+        if left.isEmpty():
+            break
+        pivot = stage(pivot, "pivot")
+        ahead = reachable(left, pivot, max_rounds).select("node")
+        behind = reachable(left.select(F.col("head").alias("tail"), F.col("tail").alias("head")), pivot, max_rounds).select("node")
+        comp = stage(ahead.intersect(behind), "scc")
+        n = comp.count()
+        if n > size:
+            best, size = comp, n
+        rest = left.join(comp.select(F.col("node").alias("tail")).hint("shuffle_hash"), "tail", "left_anti").join(comp.select(F.col("node").alias("head")).hint("shuffle_hash"), "head", "left_anti")
+        left = stage(rest, "arcs")
+        if left.select(F.col("tail").alias("node")).unionAll(left.select("head")).distinct().count() <= size:
+            return best
+    if not left.isEmpty():
+        raise RuntimeError(f"a larger component cannot be ruled out after {tries} tries")
+    return best if best is not None else arcs_.select(F.col("tail").alias("node")).limit(0)
+
+
+def shortest(arcs_: DataFrame, trips: DataFrame, cost: str = "minutes", corridor: DataFrame | None = None, max_rounds: int = 500) -> DataFrame:
+    """trip, node, cost, pred: least costs from each trip's origin, by rounds of relaxation.
+
+    trips: trip, origin. corridor: trip, node - the nodes each trip may use. Only nodes
+    that have become cheaper are relaxed in the next round.
+    """
+    hops = arcs_.select(F.col("tail").alias("node"), F.col("head").alias("next"), F.col(cost).alias("w"))
+    state = stage(trips.select("trip", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("pred")), "state")
+    front = state
+    for _ in range(max_rounds):
+        step = front.join(hops.hint("shuffle_hash"), "node").select("trip", F.col("next").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("pred"))
+        if corridor is not None:
+            step = step.join(corridor.hint("shuffle_hash"), ["trip", "node"], "left_semi")
+        step = step.groupBy("trip", "node").agg(F.min(F.struct("cost", "pred")).alias("m")).select("trip", "node", "m.cost", "m.pred")
+        old = state.select("trip", "node", F.col("cost").alias("was"))
+        front = stage(step.join(old.hint("shuffle_hash"), ["trip", "node"], "left").where(F.col("was").isNull() | (F.col("cost") < F.col("was") - 1e-9)).drop("was"), "front")
+        if front.isEmpty():
+            return state
+        keep = state.join(front.select("trip", "node").hint("shuffle_hash"), ["trip", "node"], "left_anti")
+        state = stage(keep.unionByName(front), "state")
+    raise RuntimeError(f"costs still fall after {max_rounds} rounds")
+
+
+def corridor(nodes: DataFrame, trips: DataFrame, slack: float) -> DataFrame:
+    """trip, node: nodes whose way over is at most the straight line and ``slack`` metres.
+
+    trips: trip, ox, oy, dx, dy. Trips are copied to the cells of their ellipse's box.
+    """
+    from viamark.operators.spatial import cells_of_box
+
+    size = 2000.0
+    pad = F.lit(slack / 2)
+    box = cells_of_box(F.least("ox", "dx") - pad, F.least("oy", "dy") - pad, F.greatest("ox", "dx") + pad, F.greatest("oy", "dy") + pad, size)
+    cut = trips.withColumn("cell", F.explode(box)).select("trip", "ox", "oy", "dx", "dy", "cell.cx", "cell.cy")
+    at = nodes.select(F.col("node_id").alias("node"), "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    d = lambda a, b: F.sqrt((F.col("x") - F.col(a)) ** 2 + (F.col("y") - F.col(b)) ** 2)
+    straight = F.sqrt((F.col("ox") - F.col("dx")) ** 2 + (F.col("oy") - F.col("dy")) ** 2)
+    return at.join(cut.hint("shuffle_hash"), ["cx", "cy"]).where(d("ox", "oy") + d("dx", "dy") <= straight + slack).select("trip", "node")
+
+
+def path_sums(parents: DataFrame, value: str, max_rounds: int = 40) -> DataFrame:
+    """node, root, total: sums along the way to the root, by doubling pointers.
+
+    parents: node, parent (a root names itself or null) and ``value``, what the node adds.
+    """
+    p = parents.select("node", F.coalesce("parent", "node").alias("to"), F.col(value).alias("total"))
+    state = stage(p.withColumn("total", F.col("total") * F.when(F.col("to") == F.col("node"), 0.0).otherwise(1.0)), "pointers")
+    for _ in range(max_rounds):
+        up = state.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("total").alias("more"))
+        nxt = state.join(up.hint("shuffle_hash"), "to", "left")
+        nxt = nxt.select("node", F.coalesce("further", "to").alias("to_"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.coalesce("further", "to") != F.col("to")).alias("moved"))
+        nxt = stage(nxt.withColumnRenamed("to_", "to"), "pointers")
+        state = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            return state.withColumnRenamed("to", "root")
+    raise RuntimeError("the pointers run in a circle")
+
+
+def read_back(tree: DataFrame, ends: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """trip, back, tail, head: the arcs of each trip's path, from its end (trip, node) backwards."""
+    at, out = stage(ends.select("trip", "node"), "at"), None
+    for back in range(max_rounds):
+        step = at.join(tree.select("trip", "node", "pred").hint("shuffle_hash"), ["trip", "node"]).where("pred is not null")
+        step = stage(step.select("trip", F.lit(back).alias("back"), F.col("pred").alias("tail"), F.col("node").alias("head")), "back")
+        if step.isEmpty():
+            break
+        out = step if out is None else out.unionByName(step)
+        at = step.select("trip", F.col("tail").alias("node"))
+    return out if out is not None else ends.select("trip", F.lit(0).alias("back"), F.col("node").alias("tail"), F.col("node").alias("head")).limit(0)
+
+
+def turn_bans(restrictions: DataFrame, edges_: DataFrame) -> DataFrame:
+    """via, from_edge, to_edge: banned movements. ``only_*`` bans the other exits; more than one approach is refused.
+
+    restrictions: id, kind, from_way, via, to_way; edges_: edge, way_id, u, v.
+    """
+    ends = edges_.select("edge", "way_id", F.col("u").alias("via")).unionByName(edges_.select("edge", "way_id", F.col("v").alias("via"))).distinct()
+    src = restrictions.join(ends.select(F.col("edge").alias("from_edge"), F.col("way_id").alias("from_way"), "via").hint("shuffle_hash"), ["from_way", "via"])
+    src = src.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("n = 1").drop("n")
+    to = ends.select(F.col("edge").alias("to_edge"), F.col("way_id").alias("to_way"), "via")
+    named = src.join(to.hint("shuffle_hash"), ["to_way", "via"])
+    no = named.where(F.col("kind").startswith("no_")).select("via", "from_edge", "to_edge")
+    only = named.where(F.col("kind").startswith("only_")).select("via", "from_edge", "to_edge")
+    others = only.select("via", "from_edge").distinct().join(to.select("via", "to_edge").distinct().hint("shuffle_hash"), "via").where("to_edge <> from_edge")
+    return no.unionByName(others.join(only.hint("shuffle_hash"), ["via", "from_edge", "to_edge"], "left_anti")).distinct()
+
+
+def controls(refs: DataFrame, signs: DataFrame, junctions_: DataFrame, edges_of: DataFrame) -> DataFrame:
+    """way_id, seq and six counts: controls charged to the direction that approaches them.
+
+    refs: way_id, n, node_id; signs: node_id, kind, direction; edges_of: way_id, seq, first,
+    last (vertex numbers). On a junction the direction tag is not read.
+    """
+    s = signs.join(junctions_.select("node_id", F.lit(1).alias("j")).hint("shuffle_hash"), "node_id", "left").withColumn("direction", F.when(F.col("j").isNotNull(), "").otherwise(F.coalesce("direction", F.lit(""))))
+    at = refs.join(s.hint("shuffle_hash"), "node_id").join(edges_of.hint("shuffle_hash"), "way_id").where("n between first and last")
+    n = lambda kind, d, ok: F.sum(F.when((F.col("kind") == kind) & ok, 1).otherwise(0)).alias(f"n_{kind}_{d}")
+    fwd = (F.col("n") > F.col("first")) & (F.col("direction") != "backward")
+    rev = (F.col("n") < F.col("last")) & (F.col("direction") != "forward")
+    return at.groupBy("way_id", "seq").agg(*[n(k, d, ok) for k in ("signal", "stop", "giveway") for d, ok in (("fwd", fwd), ("rev", rev))])
