@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viamark.llm.common import runs, stage, stored_bytes, with_row_id
+from viamark.llm.common import runs, ship_package, stage, stored_bytes, with_row_id
 from viamark.llm.textbytes import WORD_TABLE, blocks, mixed, words
 from viamark.operators.components import components
 
@@ -39,7 +39,7 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, 96, 128)
-BLOCK = 512
+BLOCK = 1024
 #: Stored size up to which ids of candidates, or of dropped rows, are broadcast; above it they are shuffled.
 BROADCAST_BYTES = 16 << 20
 _seeds = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -129,7 +129,8 @@ def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
 def ties(low: np.ndarray, threshold: float, tolerance: float) -> list[tuple[int, int]]:
     """Surviving pairs of one run, enough of them to connect all that are connected.
 
-    Rows are first tied to pivots. Only rows of different pivots are compared further, so
+    Rows come in order of rep and are first tied to pivots, so that the bands of one group
+    mostly name the same few edges. Only rows of different pivots are compared further, so
     a run of copies costs one comparison a row.
     """
     m = len(low)
@@ -180,7 +181,7 @@ def _blocked(df: DataFrame, key: Column, size: Column, block: int) -> DataFrame:
     return out.select("*", pair.alias("part"), (F.col("blk_") > F.col("other_")).alias("mine"), (F.col("blk_") != F.col("other_")).alias("both"))
 
 
-SKETCH = "row_id long, doc_id long, text_hash long, n_shingles long, s1 long, s2 long, low binary, bands array<long>"
+SKETCH = "row_id long, doc_id long, text_hash long, n_shingles long, s1 long, s2 long, low binary, keys binary, bands array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,18 +191,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, offsets = shingles(part["text"])
             low, keys, digest = sketches(sets, offsets)
             n = len(low)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(HASHES), n, [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
+            raw = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.nbytes // max(n, 1)), n, [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in (low, keys.astype(np.uint32))]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            cols = [part["row_id"], part["doc_id"], part["text_hash"], pa.array(np.diff(offsets)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), raw, bands]
-            yield pa.RecordBatch.from_arrays(cols, names=["row_id", "doc_id", "text_hash", "n_shingles", "s1", "s2", "low", "bands"])
+            cols = [part["row_id"], part["doc_id"], part["text_hash"], pa.array(np.diff(offsets)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *raw, bands]
+            yield pa.RecordBatch.from_arrays(cols, names=["row_id", "doc_id", "text_hash", "n_shingles", "s1", "s2", "low", "keys", "bands"])
 
 
 def _compare(threshold: float, tolerance: float):
-    """Sorted rows (part, rep, low) to edges between candidates that survive."""
+    """Rows (part, rep, nth, low, keys), sorted by part and rep, to edges between candidates that survive.
+
+    A pair is named only in the first band that both share; that band ties them as well.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "part"):
-            rep, low = table["rep"].to_numpy(), _low(table["low"])
+            rep, low, nth = table["rep"].to_numpy(), _low(table["low"]), table["nth"].to_numpy()
+            keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32).reshape(-1, BANDS)
             first, size = _bounds(table["part"].to_numpy())
             a, b = [], []
             for m in range(2, 9):  # small runs: all pairs of all runs at once
@@ -217,6 +222,8 @@ def _compare(threshold: float, tolerance: float):
                     a.append(x)
                     b.append(y)
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            new = np.concatenate([(keys[x] == keys[y]).argmax(1) == nth[x] for x, y in ((a[k : k + 65536], b[k : k + 65536]) for k in range(0, len(a), 65536))] or [np.zeros(0, bool)])
+            a, b = a[new], b[new]
             yield pa.RecordBatch.from_arrays([pa.array(rep[a], pa.int64()), pa.array(rep[b], pa.int64())], names=["a", "b"])
 
     return work
@@ -279,19 +286,20 @@ def _verify(threshold: float, tolerance: float):
 
 def resolve(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: row_id, doc_id, text_hash, root (group), group_id, n_links."""
+    ship_package(docs.sparkSession)
     base = docs.select("doc_id", "text")
     d = with_row_id(base.withColumn("text_hash", F.xxhash64("text")))
     sigs = stage(d.mapInArrow(_sketch, SKETCH), "sketches")
     full = sigs.where("n_shingles > 0")
-    classes = full.groupBy("s1", "s2").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members"), F.first("low").alias("low"), F.first("bands").alias("bands"))
+    classes = full.groupBy("s1", "s2").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members"), F.first("low").alias("low"), F.first("keys").alias("keys"), F.first("bands").alias("bands"))
     classes = stage(classes, "classes")
 
-    banded = classes.select("rep", F.explode("bands").alias("band"))
+    banded = classes.select("rep", F.posexplode("bands").alias("nth", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     hits = stage(banded.join(shared.hint("merge"), "band"), "hits")
-    lows = hits.join(classes.select("rep", "low").hint("merge"), "rep")
-    parts = _blocked(lows, F.col("band"), F.col("size"), block).select("part", "rep", "low")
-    edges = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(threshold, tolerance), "a long, b long")
+    lows = hits.join(classes.select("rep", "low", "keys").hint("merge"), "rep")
+    parts = _blocked(lows, F.col("band"), F.col("size"), block).select("part", "rep", "nth", "low", "keys")
+    edges = parts.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(_compare(threshold, tolerance), "a long, b long")
     near = stage(components(edges).withColumnsRenamed({"node": "rep", "root": "cluster"}), "clusters")
 
     sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
