@@ -31,22 +31,36 @@ def outlines(rings: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     return exploded(closed, key, geom)
 
 
-def near_pairs(points: DataFrame, segs: DataFrame, key: str, d: float) -> DataFrame:
-    """points (all columns) x key, dist: the least distance of every pair within ``d``.
+#: Cells are at least this wide, so that a long segment does not fall into hundreds of them.
+CELL = 500.0
 
-    points: pid, x, y; segs: key, ax, ay, bx, by (a point is a segment of no length).
-    """
-    touched = cells_of_box(F.least("ax", "bx") - d, F.least("ay", "by") - d, F.greatest("ax", "bx") + d, F.greatest("ay", "by") + d, d)
+
+def _candidates(points: DataFrame, segs: DataFrame, key: str, d: float, cell: float | None) -> DataFrame:
+    """pid, key, dist for points and segments that are within ``d``, with repeats of a key."""
+    size = cell or max(d, CELL)
+    touched = cells_of_box(F.least("ax", "bx") - d, F.least("ay", "by") - d, F.greatest("ax", "bx") + d, F.greatest("ay", "by") + d, size)
     cut = segs.withColumn("cell", F.explode(touched)).select(key, "ax", "ay", "bx", "by", "cell.cx", "cell.cy")
-    at = points.withColumns({"cx": F.floor(F.col("x") / d), "cy": F.floor(F.col("y") / d)})
+    at = points.select("pid", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     dist, _ = to_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    found = at.join(cut.hint("shuffle_hash"), ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= d)
-    return found.groupBy("pid", key).agg(F.min("dist").alias("dist"))
+    return at.join(cut.hint("shuffle_hash"), ["cx", "cy"]).select("pid", key, dist.alias("dist")).where(F.col("dist") <= d)
+
+
+def near_pairs(points: DataFrame, segs: DataFrame, key: str, d: float, cell: float | None = None) -> DataFrame:
+    """pid, key, dist: the least distance of every point and feature within ``d``.
+
+    points: pid, x, y; segs: key, ax, ay, bx, by (a point is a segment of no length).
+    """
+    return _candidates(points, segs, key, d, cell).groupBy("pid", key).agg(F.min("dist").alias("dist"))
+
+
+def least_distance(points: DataFrame, segs: DataFrame, key: str, d: float, cell: float | None = None) -> DataFrame:
+    """pid, dist: the distance to whatever is nearest within ``d``; one aggregation, partial in each task."""
+    return _candidates(points, segs, key, d, cell).groupBy("pid").agg(F.min("dist").alias("dist"))
 
 
 def nearest(points: DataFrame, segs: DataFrame, key: str, d: float) -> DataFrame:
     """pid, key, dist: the nearest feature within ``d``; ties take the smallest key."""
-    best = near_pairs(points, segs, key, d).groupBy("pid").agg(F.min(F.struct("dist", key)).alias("m"))
+    best = _candidates(points, segs, key, d, None).groupBy("pid").agg(F.min(F.struct("dist", key)).alias("m"))
     return best.select("pid", f"m.{key}", "m.dist")
 
 

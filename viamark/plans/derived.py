@@ -24,15 +24,11 @@ SELECT o_orderkey AS way_id,
   CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'P' THEN '-1' ELSE '' END AS oneway,
   concat(c_mktsegment, ' ', CAST(c_custkey % 40 AS STRING)) AS name,
   CASE o_orderkey % 5 WHEN 0 THEN 'gravel' WHEN 1 THEN 'asphalt' WHEN 2 THEN 'compacted' WHEN 3 THEN 'paved' ELSE '' END AS surface,
-  o_orderkey % 9 = 0 AS scenic, c_nationkey AS region
+  o_orderkey % 9 = 0 AS scenic, c_nationkey AS region, c_custkey AS custkey
 FROM orders JOIN customer ON o_custkey = c_custkey"""
 WATER = "SELECT c_custkey AS id, CAST((c_custkey * 7919) % 37250 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 37750 AS DOUBLE) AS y, c_nationkey AS kind FROM customer"
 PARKS = "SELECT s_suppkey AS id, CAST((s_suppkey * 7919) % 37250 AS DOUBLE) AS x, CAST((s_suppkey * 104729) % 37750 AS DOUBLE) AS y, CAST(60 * (s_suppkey % 10) + 50 AS DOUBLE) AS side FROM supplier"
 PLACES = "SELECT p_partkey AS id, CAST((p_partkey * 6007) % 37250 AS DOUBLE) AS x, CAST((p_partkey * 99991) % 37750 AS DOUBLE) AS y, p_size AS size FROM part"
-#: Elevation: a grid of 96 by 96 pixels for each nation.
-PIXELS = """
-SELECT n_nationkey AS tile, r.l AS row, c.l AS col, CAST((r.l * 7919 + c.l * 104729 + n_nationkey * 31) % 900 AS DOUBLE) AS z
-FROM nation, (SELECT DISTINCT o_orderkey AS l FROM orders WHERE o_orderkey < 96) r, (SELECT DISTINCT o_orderkey AS l FROM orders WHERE o_orderkey < 96) c"""
 #: Fixes of drives: a user is a drive, events are fixes.
 FIXES = """
 SELECT user_id AS drive, event_id AS fix, ts, value AS speed, event_type AS kind,

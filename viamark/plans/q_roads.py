@@ -99,16 +99,15 @@ def d8_turns(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS ({WATER}), s AS (SELECT s.*, w.region FROM ({_RUNNING}) s JOIN ({WAYS}) w ON w.way_id = s.way_id WHERE s.way_id % 25 = 0),
+WITH p AS ({WATER}), s AS (SELECT s.*, w.custkey FROM ({_RUNNING}) s JOIN ({WAYS}) w ON w.way_id = s.way_id),
 d AS (SELECT p.id, s.way_id, s.n, s.pos, s.len, CASE WHEN len > 0 THEN greatest(0.0, least(1.0, ((p.x - s.x) * (x2 - s.x) + (p.y - s.y) * (y2 - s.y)) / ((x2 - s.x) * (x2 - s.x) + (y2 - s.y) * (y2 - s.y)))) ELSE 0.0 END AS t, p.x AS px, p.y AS py, s.x, s.y, x2, y2
-  FROM p JOIN s ON p.id % 1500 = (s.way_id // 25) % 1500)
+  FROM p JOIN s ON p.id = s.custkey)
 SELECT id, way_id, round(min(sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2))), 3) AS dist,
   round(arg_min(pos + t * len, sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2))), 3) AS along FROM d GROUP BY 1, 2""")
 def d10_project(spark, sf_dir):
-    """Distance of a point to a whole line and the place along it, for one line a point."""
-    p = derive(spark, sf_dir, WATER).withColumn("k", F.col("id") % 1500)
-    r = roads(spark, sf_dir).where("way_id % 25 = 0").withColumn("k", F.expr("(way_id div 25) % 1500"))
-    m = p.join(r.hint("shuffle_hash"), "k").withColumn("m", g.project(g.point(F.col("x"), F.col("y")), "geom"))
+    """Distance of every road to its customer's point, and the place along it."""
+    p = derive(spark, sf_dir, WATER)
+    m = roads(spark, sf_dir).join(p.withColumn("custkey", F.col("id")).hint("shuffle_hash"), "custkey").withColumn("m", g.project(g.point(F.col("x"), F.col("y")), "geom"))
     return m.select("id", "way_id", F.round("m.dist", 3).alias("dist"), F.round("m.along", 3).alias("along"))
 
 
@@ -137,7 +136,7 @@ def j2_two_band_credit(spark, sf_dir):
     """Pieces near water, full credit within 120 m and less within 350 m."""
     pieces = _chunks(spark, sf_dir).select((F.col("way_id") * 100 + F.col("k")).alias("pid"), "x", "y")
     water = _as_segments(derive(spark, sf_dir, WATER))
-    best = spatial.near_pairs(pieces, water, "id", scenery.DIST["water_mid"]).groupBy("pid").agg(F.min("dist").alias("dist"))
+    best = spatial.least_distance(pieces, water, "id", scenery.DIST["water_mid"])
     return best.select("pid", F.round("dist", 3).alias("dist"), scenery.two_bands("dist", 120.0, 350.0, scenery.WATER_MID).alias("credit"))
 
 
@@ -168,12 +167,11 @@ def _scored(spark, sf_dir):
     """Pieces with water, place and park components and the composite score."""
     pieces = _chunks(spark, sf_dir).withColumn("pid", F.col("way_id") * 100 + F.col("k"))
     at = pieces.select("pid", "x", "y")
-    least = lambda pairs, name: pairs.groupBy("pid").agg(F.min("dist").alias(name))
-    water = least(spatial.near_pairs(at, _as_segments(derive(spark, sf_dir, WATER)), "id", scenery.DIST["water_mid"]), "d_water")
-    place = least(spatial.near_pairs(at, _as_segments(derive(spark, sf_dir, PLACES)), "id", scenery.DIST["place_mid"]), "d_place")
+    water = spatial.least_distance(at, _as_segments(derive(spark, sf_dir, WATER)), "id", scenery.DIST["water_mid"]).withColumnRenamed("dist", "d_water")
+    place = spatial.least_distance(at, _as_segments(derive(spark, sf_dir, PLACES)), "id", scenery.DIST["place_mid"]).withColumnRenamed("dist", "d_place")
     parks = derive(spark, sf_dir, PARKS).where(F.col("side") * F.col("side") >= scenery.MIN_AREA["green"])
     rings = parks.select("id", g.square(F.col("x"), F.col("y"), F.col("side")).alias("geom"))
-    near = spatial.near_pairs(at, spatial.outlines(rings, "id"), "id", scenery.DIST["green"]).select("pid")
+    near = spatial.least_distance(at, spatial.outlines(rings, "id"), "id", scenery.DIST["green"]).select("pid")
     green = near.unionByName(spatial.containing(at, rings, "id", 700.0).select("pid")).distinct().withColumn("green", F.lit(1.0))
     df = pieces
     for side in (water, place, green):

@@ -140,14 +140,14 @@ def c1_in_window(spark, sf_dir):
 
 
 @query(f"""
-WITH w AS (SELECT id % 500 AS k, {_DOY}[m1] + d1 - 1 AS a, {_DOY}[m2] + d2 - 1 AS b FROM ({_WINDOWS}) v WHERE id % 3 <> 0),
+WITH w AS (SELECT id % 700 AS k, {_DOY}[m1] + d1 - 1 AS a, {_DOY}[m2] + d2 - 1 AS b FROM ({_WINDOWS}) v),
 s AS (SELECT k, a - 7 AS a, (b - a + 366) % 366 + 1 + 21 AS n FROM w),
 d AS (SELECT DISTINCT k, (a + i + 366) % 366 AS day FROM s, LATERAL (SELECT unnest(range(0, least(n, 366))) AS i) z), c AS (SELECT k, count(*) AS closed FROM d GROUP BY k),
 r AS (SELECT d.k, count(*) AS runs, min(d.day) AS first FROM d LEFT JOIN d e ON e.k = d.k AND e.day = (d.day + 365) % 366 WHERE e.k IS NULL GROUP BY d.k)
 SELECT c.k, CASE WHEN closed >= 366 THEN 366 ELSE closed END AS closed, CASE WHEN closed >= 366 THEN 1 ELSE runs END AS runs, CASE WHEN closed >= 366 THEN 0 ELSE first END AS first FROM c LEFT JOIN r USING (k)""")
 def c5_widened_windows(spark, sf_dir):
     """Windows widened by 7 days before and 14 after, merged, as runs of closed days."""
-    w = derive(spark, sf_dir, _WINDOWS).where("id % 3 <> 0").groupBy((F.col("id") % 500).alias("k")).agg(F.collect_list(F.struct("m1", "d1", "m2", "d2")).alias("w"))
+    w = derive(spark, sf_dir, _WINDOWS).groupBy((F.col("id") % 700).alias("k")).agg(F.collect_list(F.struct("m1", "d1", "m2", "d2")).alias("w"))
     w = w.withColumn("r", cal.widen(F.col("w"), 7, 14))
     days = F.aggregate("r", F.lit(0), lambda n, x: n + F.pmod(cal.day_of(x["m2"], x["d2"]) - cal.day_of(x["m1"], x["d1"]), F.lit(cal.DAYS)) + 1)
     return w.select("k", days.cast("long").alias("closed"), F.size("r").cast("long").alias("runs"), cal.day_of(F.col("r")[0]["m1"], F.col("r")[0]["d1"]).cast("long").alias("first"))
