@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,9 +84,10 @@ def test_reuse_and_guards(spark):
         built.append(1)
         return df.withColumn("d", F.col("id") * 2)
 
-    a = checks.reused("t", [df], {"distance": 120}, build)
-    checks.reused("t", [df.repartition(3)], {"distance": 120}, build)  # another order, the same content
-    checks.reused("t", [df], {"distance": 150}, build)
+    run = uuid.uuid4().hex  # the folder outlives a session
+    a = checks.reused("t", [df], {"distance": 120, "run": run}, build)
+    checks.reused("t", [df.repartition(3)], {"distance": 120, "run": run}, build)  # another order, the same content
+    checks.reused("t", [df], {"distance": 150, "run": run}, build)
     assert a.count() == 10 and len(built) == 2
     with pytest.raises(ValueError):
         checks.require_empty(checks.matches(spark.range(12), df, ["id"]), "edges of another graph")
