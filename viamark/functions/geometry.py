@@ -16,6 +16,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a name used twice in an expression is computed twice."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def point(x: Column | float, y: Column | float) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     return F.struct(lit(x).alias("x"), lit(y).alias("y"))
@@ -55,11 +60,13 @@ def point_at(line: Column | str, d: Column) -> Column:
 
 
 def point_on(parts: Column | str, d: Column) -> Column:
-    s = F.element_at(F.filter(_col(parts), lambda s: s["at"] + s["len"] >= d), 1)
-    last = F.element_at(_col(parts), -1)
-    s = F.coalesce(s, last)
-    t = F.when(s["len"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (d - s["at"]) / s["len"]))).otherwise(0.0)
-    return point(s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"]))
+    first = F.element_at(F.filter(_col(parts), lambda s: s["at"] + s["len"] >= d), 1)
+
+    def on(s: Column) -> Column:
+        t = F.when(s["len"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (d - s["at"]) / s["len"]))).otherwise(0.0)
+        return point(s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"]))
+
+    return let(F.coalesce(first, F.element_at(_col(parts), -1)), on)
 
 
 def to_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
@@ -173,8 +180,8 @@ def curvature(parts: Column | str, own: Column, road: Column) -> Column:
     """
     n = F.floor(own / CHORD).cast("int")
     at = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: point_on(parts, k * CHORD))
-    heads = F.zip_with(F.slice(at, F.lit(1), n), F.slice(at, F.lit(2), n), bearing)
-    turns = F.zip_with(F.slice(heads, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(heads, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.least(F.abs(turn(a, b)), F.lit(CAP)))
+    neighbours = lambda a, f: F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), f)
+    turns = let(at, lambda a: let(neighbours(a, bearing), lambda h: neighbours(h, lambda x, y: F.least(F.abs(turn(x, y)), F.lit(CAP)))))
     total = F.aggregate(turns, F.lit(0.0), lambda t, v: t + v)
     floor = F.when(road < SHORTEST, F.lit(SHORTEST)).otherwise(own)
     return F.when(n >= 2, total / (floor / 1000)).otherwise(0.0)

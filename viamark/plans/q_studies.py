@@ -8,7 +8,7 @@ from viamark.functions.tags import SPEED_KMH
 from viamark.operators import checks, studies
 from viamark.operators.scenery import unpaved
 from viamark.plans.catalog import query
-from viamark.plans.derived import SEGMENTS, WAYS, derive
+from viamark.plans.derived import REFS, SEGMENTS, WAYS, derive
 from viamark.plans.q_rasters import ROUTE
 from viamark.plans.q_traces import _MARKS, _marks
 
@@ -137,3 +137,73 @@ def j37_banded_pairs(spark, sf_dir):
     from viamark.plans.derived import PLACES
 
     return studies.banded_pairs(derive(spark, sf_dir, PLACES), [1000.0, 5000.0, 10000.0, 20000.0, 60000.0], 500, 8)
+
+
+_NEAREST = f"""
+WITH a AS MATERIALIZED ({_ALL}), p AS (SELECT way_id AS edge, way_id * 100 + n AS pid, (x + x2) / 2 AS px, (y + y2) / 2 AS py, b AS pb FROM a WHERE highway IN ('tertiary', 'residential')),
+d AS (SELECT edge, pid, way_id, CASE WHEN abs(pb - b) % 180 > 90 THEN 180 - abs(pb - b) % 180 ELSE abs(pb - b) % 180 END AS off, sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2)) AS dist
+  FROM (SELECT p.*, q.way_id, q.x, q.y, q.x2, q.y2, q.b, greatest(0.0, least(1.0, ((px - q.x) * (q.x2 - q.x) + (py - q.y) * (q.y2 - q.y)) / ((q.x2 - q.x) * (q.x2 - q.x) + (q.y2 - q.y) * (q.y2 - q.y)))) AS t
+    FROM p JOIN a q ON q.highway IN ('motorway', 'primary', 'secondary') AND least(q.x, q.x2) - 15 <= px AND greatest(q.x, q.x2) + 15 >= px AND least(q.y, q.y2) - 15 <= py AND greatest(q.y, q.y2) + 15 >= py) z),
+b AS (SELECT edge, pid, arg_min(way_id, (dist, way_id, off)) AS way_id, arg_min(off, (dist, way_id, off)) AS off FROM d WHERE dist <= 15 GROUP BY edge, pid)
+SELECT b.edge, b.way_id, round(count(*) / any_value(n.n), 8) AS share FROM b JOIN (SELECT edge, count(*) AS n FROM p GROUP BY edge) n ON n.edge = b.edge WHERE off <= 30 GROUP BY b.edge, b.way_id"""
+
+
+@query(_NEAREST)
+def j6_line_shares(spark, sf_dir):
+    """Nearest line within 15 m first, then its direction; the share of each edge's samples on a line."""
+    s = derive(spark, sf_dir, _ALL)
+    p = s.where(F.col("highway").isin("tertiary", "residential")).select(F.col("way_id").alias("edge"), (F.col("way_id") * 100 + F.col("n")).alias("pid"), ((F.col("x") + F.col("x2")) / 2).alias("x"), ((F.col("y") + F.col("y2")) / 2).alias("y"), F.col("b").alias("bearing"))
+    q = s.where(F.col("highway").isin("motorway", "primary", "secondary")).select("way_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"), F.col("b").alias("bearing"))
+    m = studies.same_way(p, q, "way_id", 15.0, 30.0, align_first=False)
+    return studies.covered(m, p, "edge", "way_id").withColumn("share", F.round("share", 8))
+
+
+@query(f"""
+WITH w AS ({LENGTHS})
+SELECT CASE WHEN highway = 'motorway' THEN 'motorway' WHEN score >= 7 THEN 'beautiful' WHEN length_m < 500 THEN 'short' ELSE 'kept' END AS reason, count(*) AS rows FROM w GROUP BY 1""")
+def q4_refusal_counters(spark, sf_dir):
+    """Q4: every way that a report leaves out has one reason, in a fixed order, and a count."""
+    w = _ways(spark, sf_dir)
+    reason = F.when(F.col("highway") == "motorway", "motorway").when(F.col("score") >= 7, "beautiful").when(F.col("length_m") < 500, "short")
+    return checks.refusals(w, reason)
+
+
+@query(f"""
+SELECT way_id, round(10 * greatest(0, least(1, (1.0 / 1.5 * 1.31 * CAST(way_id % 11 AS DOUBLE) / 10 + 0.5 / 1.5 * 1.31 * CAST(way_id % 7 AS DOUBLE) / 6 + 0.143) * 1.2)), 6) AS score FROM ({LENGTHS}) v""")
+def g13_user_weights(spark, sf_dir):
+    """Scores under a user's weights, scaled to the total of the defaults."""
+    from viamark.operators import network, scenery
+
+    w = _ways(spark, sf_dir).withColumns({"c_water": (F.col("way_id") % 11).cast("double") / 10, "c_forest": (F.col("way_id") % 7).cast("double") / 6})
+    raw = network.reweighted(w, {"water": 1.0, "forest": 0.5}, scenery.WEIGHTS)
+    return w.select("way_id", F.round(scenery.composite(raw, F.lit(0.0)), 6).alias("score"))
+
+
+_SIGNED = "CASE node_id % 9 WHEN 0 THEN 'signal' WHEN 1 THEN 'stop' WHEN 2 THEN 'giveway' END"
+_FACING = "CASE node_id % 5 WHEN 0 THEN 'forward' WHEN 1 THEN 'backward' ELSE '' END"
+
+
+@query(f"""
+WITH r AS (SELECT *, min(n) OVER (PARTITION BY way_id) AS first, max(n) OVER (PARTITION BY way_id) AS last, count(*) OVER (PARTITION BY node_id) AS uses, {_SIGNED} AS kind FROM ({REFS}) v),
+s AS (SELECT *, CASE WHEN uses >= 2 THEN '' ELSE {_FACING} END AS d FROM r WHERE kind IS NOT NULL)
+SELECT way_id, {', '.join(f"sum(CASE WHEN kind = '{k}' AND {ok} THEN 1 ELSE 0 END) AS n_{k}_{d}" for k in ('signal', 'stop', 'giveway') for d, ok in (('fwd', "n > first AND d <> 'backward'"), ('rev', "n < last AND d <> 'forward'")))}
+FROM s GROUP BY way_id""")
+def a6_controls(spark, sf_dir):
+    """Controls of each way, charged to the direction that approaches them."""
+    from viamark.operators import network
+
+    refs = derive(spark, sf_dir, REFS)
+    signs = refs.select("node_id").distinct().select("node_id", F.expr(_SIGNED).alias("kind"), F.expr(_FACING).alias("direction")).where("kind is not null")
+    ways = refs.groupBy("way_id").agg(F.lit(1).alias("seq"), F.min("n").alias("first"), F.max("n").alias("last"))
+    return network.controls(refs.select("way_id", "n", "node_id"), signs, network.junctions(refs), ways).drop("seq")
+
+
+@query()
+def d4_curvature(spark, sf_dir):
+    """Degrees of turn per km of every road, between chords of 60 m; the tests hold the arithmetic."""
+    from viamark.functions import geometry as g
+    from viamark.plans.derived import roads
+
+    r = roads(spark, sf_dir).select("way_id", g.located("geom").alias("parts"))
+    r = r.withColumn("total", F.aggregate("parts", F.lit(0.0), lambda t, s: t + s["len"]))
+    return r.select("way_id", F.round(g.curvature("parts", F.col("total"), F.col("total")), 4).alias("curvature"))
