@@ -346,6 +346,25 @@ def test_lm_windows_score_each_id_once():
         assert abs(total - expect) < 1e-2
 
 
+def test_lm_trains_on_every_id_of_every_text(spark):
+    """Each target once, at any length and without a blank; what fills up a window changes nothing."""
+    get = lm_score.ids()
+    texts = ["", "a", " ".join(words(9000, 3)), "x1" * 300, " ".join(words(31, 4)), "y" * 150 + " " + "z9" * 60]
+    whole = [get.each(lm_score.words_of(t)) for t in texts]
+    df = spark.createDataFrame([(w.tobytes(), k * 7) for k, w in enumerate(whole)], "ids binary, key long")
+    rows = [lm_score.windows_of(np.frombuffer(bytes(r.piece), "<u2")) for k in range(lm_score.ROUNDS) for r in df.mapInArrow(lm_score._pieces(k), "piece binary").collect()]
+    rows = np.concatenate(rows).astype(np.int64)
+    real = np.ones((len(rows), lm_score.WINDOW - 1), bool)
+    real[:, 1:] = rows[:, 1:-1] != lm_score.END_ID
+    got = Counter(zip(rows[:, :-1][real].tolist(), rows[:, 1:][real].tolist()))
+    assert got == Counter(p for w in whole for p in zip([lm_score.END_ID, *w.tolist()], w.tolist()))
+    w, part = lm_score.first_weights(), rows[~real.all(1)][:1]
+    size = int(real[~real.all(1)][0].sum())
+    x, y = lm_score.seen_as(part[:, :-1]), lm_score.kinds()[part[:, 1:]]
+    filled, bare = lm_score.gradient(w, x, y, real[~real.all(1)][:1]), lm_score.gradient(w, x[:, :size], y[:, :size])
+    assert abs(filled[0] - bare[0]) < 1e-5 and np.allclose(filled[1], bare[1], atol=1e-6)
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
