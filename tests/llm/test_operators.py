@@ -151,6 +151,29 @@ def test_quality_cutoffs_are_exact(spark):
     assert got["digit_share"] == quality.GRID[0]
 
 
+def lettered(k):
+    return " ".join("".join(chr(97 + int(d)) for d in f"{k * 12 + j:06d}") for j in range(12))
+
+
+def test_quality_rules_together_lose_at_most_max_false(spark):
+    """25 of 6,000 good texts fail each of four rules: each rule alone is under 1 %, all together are not."""
+    odd = [" ####", " AAAA", " 1111", "\nx\nx"]
+    texts = [lettered(k) + (odd[k // 25] if k < 100 else "") for k in range(6000)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(6000)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(df, labels).count() >= 0.99 * 6000
+    assert quality.judge(df, labels).where("kept").count() >= 0.99 * 6000
+
+
+def test_quality_counts_copies_once(spark):
+    """Copies of one clean text, in different white space, certify nothing against another text."""
+    copies = [(k, lettered(7).replace(" ", "  " if k % 2 else " "), "en") for k in range(6000)]
+    df = spark.createDataFrame([*copies, (9000, lettered(8) + " ####", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(6000)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(df, labels).where("doc_id = 9000").count() == 1
+    assert quality.judge(df, labels).where("doc_id = 9000 and kept").count() == 1
+
+
 def test_ngram_join_against_brute_force(spark, docs, none):
     rng = np.random.default_rng(2)
     texts = [t for _, t in corpus()]

@@ -1,13 +1,15 @@
 """Quality rules with risk-controlled cutoffs (DataFrame functions only).
 
-Each rule measures one share of a text. For every stratum (language) and rule, the lowest
-cutoff of a fixed grid is taken for which labelled good texts show, with confidence, that
-at most ``max_false`` of good texts lie above it. The evidence is an exact one-sided
-binomial (Clopper-Pearson) bound: a cutoff with ``k`` of ``n`` good texts above it is
-certified when P(Bin(n, max_false) <= k) <= alpha / tests, where ``tests`` is the number
+Each rule measures one share of a text. At most ``max_false`` of the good texts of a stratum
+(language) may be lost to all rules together, so each rule has an equal part of it,
+``share``. For every stratum and rule, the lowest cutoff of a fixed grid is taken for which
+labelled good texts show, with confidence, that at most ``share`` of good texts lie above
+it. The evidence is an exact one-sided binomial (Clopper-Pearson) bound: a cutoff with ``k``
+of ``n`` good texts above it is certified when P(Bin(n, share) <= k) <= alpha / tests, where ``tests`` is the number
 of all strata, rules and cutoffs (Bonferroni). Where too few labels certify a cutoff, the
 rule rejects nothing in that stratum. The grid is fixed beforehand and nothing is fitted,
-so every labelled text serves as holdout.
+so every labelled text serves as holdout. Copies are one trial: texts that are identical
+after deleting white space count once in a stratum, with the greatest share of each rule.
 
 Defined cases: a null text has no words, so the base rule rejects it; labels with a null
 id or a quality other than 1 are no evidence, and repeated labels count once; a null or
@@ -95,10 +97,19 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return good.where("q_ = 1").select("doc_id")
 
 
+def digest() -> Column:
+    return F.unhex(F.sha2(without_blanks(text_of()).cast("binary"), 256))
+
+
+def each_once(held: DataFrame) -> DataFrame:
+    """The holdout with one row for each stratum and ``digest_``: the greatest share of each rule."""
+    return held.groupBy("stratum", "digest_").agg(*[F.max(r).alias(r) for r in RULES])
+
+
 def choose_cutoffs(held: DataFrame, max_false: float = MAX_FALSE, alpha: float = ALPHA) -> DataFrame:
     """stratum, rule, cutoff: at most one row for each listed stratum and rule.
 
-    held: the holdout, labelled good; stratum and one column for each rule.
+    held: the holdout, labelled good; stratum and one column for each rule. max_false holds for each rule alone.
     """
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v_")) for r in RULES])
     above = reduce(lambda a, b: a + b, [F.when(F.col("x.v_") > g, 1).otherwise(0) for g in GRID])
@@ -124,14 +135,14 @@ def judge(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, alph
 
     docs: doc_id, text, lang. The text itself is not carried on.
     """
-    slim = stage(with_row_id(measure(docs.select("doc_id", "text", "lang")).drop("text")), "measured")
+    slim = stage(with_row_id(measure(docs.select("doc_id", "text", "lang").withColumn("digest_", digest())).drop("text")), "measured")
     shares = slim.withColumns({r: F.expr(e) for r, e in RULES.items()} | {"stratum": stratum()})
     held = shares.join(good_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi")
-    chosen = choose_cutoffs(held, max_false, alpha).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
+    chosen = choose_cutoffs(each_once(held), max_false / len(RULES), alpha).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
     chosen = chosen.select("stratum", *[F.col(r).alias(f"{r}_cutoff") for r in RULES])
     failed = F.filter(F.array(*[F.when(F.col(r) > F.col(f"{r}_cutoff"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     # As many rows as strata, which are listed in STRATA.
-    out = shares.join(F.broadcast(chosen), "stratum", "left").withColumn("failed_rules", failed)
+    out = shares.drop("digest_").join(F.broadcast(chosen), "stratum", "left").withColumn("failed_rules", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
@@ -146,7 +157,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE,
     good = stage(good_ids(labels), "good")
     hint = "broadcast" if stored_bytes(good) <= BROADCAST_BYTES else "shuffle_hash"
     held = docs.select("doc_id", "text", "lang").join(good.hint(hint), "doc_id", "left_semi")
-    cutoffs = choose_cutoffs(measure(held).drop("text").withColumns(shares), max_false, alpha)
+    measured = measure(held.withColumn("digest_", digest())).drop("text").withColumns(shares)
+    cutoffs = choose_cutoffs(each_once(measured), max_false / len(RULES), alpha)
     chosen = stage(cutoffs, "cutoffs").collect()  # at most one row for each stratum and rule
     # The row number keeps the optimizer from copying the measures into the filter.
     found = with_row_id(measure(docs.select(F.struct(*docs.columns).alias("doc_"), "text", "lang"))).withColumns(shares)
