@@ -1,6 +1,7 @@
 import heapq
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from viamark.operators import network
@@ -90,3 +91,18 @@ def test_controls(spark):
     signs = spark.createDataFrame([(10, "signal", ""), (30, "stop", "forward"), (40, "giveway", "backward"), (50, "signal", "forward")], "node_id long, kind string, direction string")
     got = network.controls(refs, signs, spark.createDataFrame([(50, 2)], "node_id long, uses long"), spark.createDataFrame([(1, 1, 1, 5)], "way_id long, seq long, first long, last long")).first()
     assert (got.n_signal_fwd, got.n_signal_rev, got.n_stop_fwd, got.n_stop_rev, got.n_giveway_fwd, got.n_giveway_rev) == (1, 1, 1, 0, 0, 1)
+
+
+def test_searches_that_end_too_early_raise(spark):
+    from viamark.operators import spatial
+
+    tree = spark.createDataFrame([(1, k, k - 1) for k in range(1, 5)], "trip long, node long, pred long")
+    ends = spark.createDataFrame([(1, 4)], "trip long, node long")
+    with pytest.raises(RuntimeError):
+        network.read_back(tree, ends, max_rounds=2)
+    assert network.read_back(tree, ends, max_rounds=4).count() == 4
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 90.0, 0.0)], "pid long, x double, y double")
+    segs = spark.createDataFrame([(7, 100.0, 0.0, 110.0, 0.0)], "id long, ax double, ay double, bx double, by double")
+    with pytest.raises(RuntimeError):
+        spatial.nearest_any(points, segs, "id", 20.0, rounds=2)
+    assert spatial.nearest_any(points, segs, "id", 20.0, rounds=4).count() == 2

@@ -184,13 +184,15 @@ def path_sums(parents: DataFrame, value: str, max_rounds: int = 40) -> DataFrame
 def read_back(tree: DataFrame, ends: DataFrame, max_rounds: int = 500) -> DataFrame:
     """trip, back, tail, head: the arcs of each trip's path, from its end (trip, node) backwards."""
     at, out = stage(ends.select("trip", "node"), "at"), None
-    for back in range(max_rounds):
+    for back in range(max_rounds + 1):
         step = at.join(tree.select("trip", "node", "pred").hint("shuffle_hash"), ["trip", "node"]).where("pred is not null")
         step = stage(step.select("trip", F.lit(back).alias("back"), F.col("pred").alias("tail"), F.col("node").alias("head")), "back")
         if step.isEmpty():
             break
         out = step if out is None else out.unionByName(step)
         at = step.select("trip", F.col("tail").alias("node"))
+    else:
+        raise RuntimeError(f"paths are not at their origins after {max_rounds} rounds")
     return out if out is not None else ends.select("trip", F.lit(0).alias("back"), F.col("node").alias("tail"), F.col("node").alias("head")).limit(0)
 
 

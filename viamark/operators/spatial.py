@@ -75,9 +75,9 @@ def nearest_any(points: DataFrame, segs: DataFrame, key: str, d: float, rounds:
         found = now if found is None else found.unionByName(now)
         left = stage(left.join(now.hint("shuffle_hash"), "pid", "left_anti"), "points")
         if left.isEmpty():
-            break
+            return found
         d *= 2
-    return found
+    raise RuntimeError(f"points without a feature are left after {rounds} rounds")
 
 
 def containing(points: DataFrame, rings: DataFrame, key: str, size: float) -> DataFrame:
