@@ -105,7 +105,7 @@ WITH r AS (SELECT *, score >= 7 AS f FROM ({ROUTE}) q), a AS (SELECT *, lag(f) O
 b AS (SELECT *, sum(CASE WHEN f AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY trip ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM a)
 SELECT trip, island, round(min(z - length_m), 3) AS from_m, round(max(z), 3) AS to_m, count(*) AS edges FROM b WHERE f GROUP BY trip, island""")
 def w14_stretches(spark, sf_dir):
-    """Maximal runs of beautiful edges with where they begin and end."""
+    """Maximal runs of beautiful edges with where they begin and end."""
     out = trips.stretches(derive(spark, sf_dir, ROUTE), F.col("score") >= trips.BEAUTIFUL)
     return out.select("trip", "island", F.round("from_m", 3).alias("from_m"), F.round("to_m", 3).alias("to_m"), "edges")
 

@@ -157,7 +157,7 @@ d AS (SELECT p.id AS pid, s.way_id, CASE WHEN len > 0 THEN greatest(0.0, least(1
 e AS (SELECT pid, way_id, min(sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2))) AS dist FROM d GROUP BY 1, 2)
 SELECT pid, arg_min(way_id, (dist, way_id)) AS way_id, round(min(dist), 3) AS dist FROM e WHERE dist <= 30 GROUP BY pid""")
 def j23_nearest_edge_capped(spark, sf_dir):
-    """J4 with a cap, J23, J33: the nearest road within 30 m of a point, if any."""
+    """J4 with a cap, J23: the nearest road within 30 m of a point, if any."""
     places = derive(spark, sf_dir, PLACES).withColumnRenamed("id", "pid")
     segs = spatial.exploded(roads(spark, sf_dir), "way_id")
     return spatial.nearest(places, segs, "way_id", 30.0).select("pid", "way_id", F.round("dist", 3).alias("dist"))
