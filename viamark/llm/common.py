@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from viamark.plans.tables import drop_tables, ship_package, stage, stored_bytes, tables_so_far
 
-__all__ = ["BLANKS", "drop_tables", "lowered", "runs", "ship_package", "stage", "stored_bytes", "tables_so_far", "text_of", "union_all", "with_row_id", "without_blanks"]
+__all__ = ["BLANKS", "drop_rows", "drop_tables", "lowered", "runs", "ship_package", "stage", "stored_bytes", "tables_so_far", "text_of", "union_all", "with_row_id", "without_blanks"]
 
 #: The six white-space characters that end a word: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,6 +39,27 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def drop_rows(docs: DataFrame, keys: dict[str, Column], dropped: DataFrame, broadcast_bytes: int, best: Column | None = None) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` are in ``dropped`` (a staged table: columns named like the keys, and twin).
+
+    Where ``twin`` is set, one row of those keys stays: the one with the greatest ``best``.
+    Rows travel inside one struct, so columns of ``docs`` may have any names. The dropped
+    keys are broadcast when their stored size is small, else shuffled.
+    """
+    marked = docs.select(F.struct("*").alias("doc_"), *[e.alias(k) for k, e in keys.items()], (best if best is not None else F.lit(0)).alias("best_"))
+    hint = "broadcast" if stored_bytes(dropped) <= broadcast_bytes else "merge"
+
+    def same(other: DataFrame) -> list[Column]:
+        return [marked[k].eqNullSafe(other[k]) for k in keys]
+
+    kept = marked.join(dropped.hint(hint), same(dropped), "left_anti").select("doc_.*")
+    twins = dropped.where("twin")
+    if twins.isEmpty():
+        return kept
+    again = marked.join(twins.hint(hint), same(twins), "left_semi").groupBy(*keys).agg(F.max_by("doc_", "best_").alias("doc_"))
+    return kept.unionByName(again.select("doc_.*"))
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Regroup batches that are sorted by ``key`` so that no key's rows are cut in two.
 

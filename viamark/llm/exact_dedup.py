@@ -5,20 +5,20 @@ summary (``freqItems``, at most ``1 / support`` counters a partition) names dige
 may be frequent. Their exact counts and winners are computed with map-side partial
 aggregation, and those that prove frequent are broadcast: at most ``1 / support`` rows,
 whatever the input. Every row of such a digest is settled map-side; only the other
-digests, each with less than ``support`` of all rows, are shuffled.
+digests are counted and shuffled, and a group among them is joined back by parts.
 
 Defined cases: a null text is an empty one; null ``doc_id`` sorts after all others; rows
 that repeat a document entirely form a group in which exactly one row stays; an empty
-table gives an empty result; further columns are ignored by :func:`resolve` and carried
+table gives an empty result; further columns of any name are ignored by :func:`resolve` and carried
 by :func:`keep_one`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viamark.llm.common import stage, stored_bytes, text_of, union_all, with_row_id, without_blanks
+from viamark.llm.common import drop_rows, stage, text_of, union_all, with_row_id, without_blanks
 
 SUPPORT = 0.001
 #: A set of dropped rows up to this size (as stored) is sent to every executor; a larger one is shuffled.
@@ -46,9 +46,12 @@ def resolve(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     slim = slim.drop("h")
     hot = slim.join(F.broadcast(winners), "text_sha256")
     rest = slim.join(F.broadcast(winners), "text_sha256", "left_anti")
-    same = Window.partitionBy("text_sha256")
-    rest = rest.withColumns({"keep": F.min(_rank()).over(same), "group_size": F.count(F.lit(1)).over(same)})
-    return union_all(hot.select(*rest.columns), rest)
+    # Groups that are not frequent may still be large: they are counted before the shuffle, and the join back may be split.
+    repeats = rest.groupBy("text_sha256").agg(*group).where("group_size > 1")
+    own = F.struct(F.col("fewer"), F.col("unnamed"), "doc_id", "row_id")
+    alone = rest.withColumns({"fewer": -F.col("n_points"), "unnamed": F.col("doc_id").isNull()}).join(repeats.hint("merge"), "text_sha256", "left")
+    rest = alone.withColumns({"keep": F.coalesce("keep", own), "group_size": F.coalesce("group_size", F.lit(1))})
+    return union_all(hot, rest.select(*hot.columns))
 
 
 def report(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -64,20 +67,10 @@ def keep_one(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
     Only dropped rows travel: broadcast when their stored size is small, else shuffled.
     Rows are told apart by doc_id and digest; where the row that stays has twins in both,
-    one of them is picked afterwards.
+    the longest of them is picked afterwards.
     """
     found = resolve(docs, support)
-    key = [F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")]
     is_kept = F.col("row_id") == F.col("keep.row_id")
-    twin = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & ~is_kept
-    dropped = stage(found.where(~is_kept).select(*key, twin.alias("twin")).distinct(), "dropped")
-    small = stored_bytes(dropped) <= BROADCAST_BYTES
-    hint = "broadcast" if small else "shuffle_hash"
-    marked = docs.withColumn("text_sha256_", _digest())
-    on = [F.col("doc_id").eqNullSafe(F.col("gone_id")), F.col("text_sha256_") == F.col("gone_sha")]
-    kept = marked.join(dropped.hint(hint), on, "left_anti")
-    twins = dropped.where("twin")
-    if not twins.isEmpty():
-        again = marked.join(twins.hint(hint), on, "left_semi")
-        kept = kept.unionByName(again.dropDuplicates(["doc_id", "text_sha256_"]))
-    return kept.select(*docs.columns)
+    twin = F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
+    dropped = stage(found.where(~is_kept).select("doc_id", "text_sha256", twin.alias("twin")).distinct(), "dropped")
+    return drop_rows(docs, {"doc_id": F.col("doc_id"), "text_sha256": _digest()}, dropped, BROADCAST_BYTES, F.length(text_of()))

@@ -16,8 +16,9 @@ tasks, so a task holds two blocks at most. Tasks return a row per class and bloc
 never a row per pair. Nothing is capped.
 
 Defined cases: a text without words (null, empty, punctuation) has no links and is its own
-group; repeated rows are links of each other; further columns are ignored, or carried by
-:func:`keep_one`; a null doc_id is never a group's id if the group has another.
+group; repeated rows are links of each other, and :func:`keep_one` keeps one of them;
+further columns of any name are ignored, or carried by :func:`keep_one`; a null doc_id is
+never a group's id if the group has another; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viamark.llm.common import runs, ship_package, stage, stored_bytes, with_row_id
+from viamark.llm.common import drop_rows, runs, ship_package, stage, stored_bytes, with_row_id
 from viamark.llm.textbytes import WORD_TABLE, blocks, mixed, words
 from viamark.operators.components import components
 
@@ -126,35 +127,49 @@ def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(m, 1)
 
 
-def ties(low: np.ndarray, threshold: float, tolerance: float) -> list[tuple[int, int]]:
-    """Surviving pairs of one run, enough of them to connect all that are connected.
+def forest(low: np.ndarray, label: np.ndarray, threshold: float, tolerance: float) -> list[tuple[int, int]]:
+    """Surviving pairs that merge two labels, one for each merger; ``label`` is brought up to date.
 
-    Rows come in order of rep and are first tied to pivots, so that the bands of one group
-    mostly name the same few edges. Only rows of different pivots are compared further, so
-    a run of copies costs one comparison a row.
+    Only rows of different labels are compared, so a run of copies costs one comparison a row.
     """
-    m = len(low)
-    label, found = np.full(m, -1), []
-    for p in range(m):
-        if label[p] < 0:
-            others = np.flatnonzero(np.arange(m) != p)
-            near = others[prune(low, np.full(m - 1, p), others, threshold, tolerance)]
-            found += [(p, int(x)) for x in near]
-            group = np.concatenate([[p], near])
-            known = np.unique(label[group])
-            target = p if not (known >= 0).any() else known[known >= 0].min()
-            for x in known[known >= 0]:
-                label[label == x] = target
-            label[group] = target
-    for p in range(m):
+    found: list[tuple[int, int]] = []
+    for p in range(len(low)):
         others = p + 1 + np.flatnonzero(label[p + 1 :] != label[p])
-        for x in others[prune(low, np.full(len(others), p), others, threshold, tolerance)].tolist():
-            if label[x] != label[p]:
-                found.append((p, x))
-                label[label == label[x]] = label[p]
+        near = others[prune(low, np.full(len(others), p), others, threshold, tolerance)]
+        if len(near):
+            merged, at = np.unique(label[near], return_index=True)
+            found += [(p, int(x)) for x in near[at]]
+            label[np.isin(label, merged)] = label[p]
     return found
 
 
+def ties(low: np.ndarray, side: np.ndarray, threshold: float, tolerance: float) -> list[tuple[int, int]]:
+    """Surviving pairs of one run, just enough to connect all that are connected: fewer than rows.
+
+    Rows come in order of rep, so the bands of one group mostly name the same few rows first.
+    Where the run holds two blocks (``side``), what is tied inside a block is named by that
+    block's own task, and only pairs across that tie more are named here.
+    """
+    label = np.arange(len(low))
+    if side.any() and not side.all():
+        for half in (np.flatnonzero(side), np.flatnonzero(~side)):
+            own = np.arange(len(half))
+            forest(low[half], own, threshold, tolerance)
+            label[half] = half[own]
+    return forest(low, label, threshold, tolerance)
+
+
+def spanning(alive: np.ndarray, i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    """Which surviving pairs (runs x pairs i < j) of small runs are needed to connect the same rows.
+
+    With f the first partner of j, the pair i, j goes if f and i survive as a pair: both hang on f.
+    """
+    near = np.zeros((len(alive), m, m), bool)
+    near[:, i, j] = alive
+    first = near.argmax(1)[:, j]
+    return alive & ((first == i) | ~near[np.arange(len(alive))[:, None], first, i])
+
+
 def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of pairs of sets."""
     if len(a) < 4 * len(sets):
@@ -198,14 +213,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(threshold: float, tolerance: float):
-    """Rows (part, rep, nth, low, keys), sorted by part and rep, to edges between candidates that survive.
+    """Rows (part, rep, nth, mine, low, keys), sorted by part and rep, to edges that connect surviving candidates.
 
-    A pair is named only in the first band that both share; that band ties them as well.
+    Every run names fewer edges than it has rows. A pair is named only in the first band
+    that both share; that band connects them as well.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "part"):
-            rep, low, nth = table["rep"].to_numpy(), _low(table["low"]), table["nth"].to_numpy()
+            rep, low, nth, mine = table["rep"].to_numpy(), _low(table["low"]), table["nth"].to_numpy(), table["mine"].to_numpy()
             keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32).reshape(-1, BANDS)
             first, size = _bounds(table["part"].to_numpy())
             a, b = [], []
@@ -213,11 +229,13 @@ def _compare(threshold: float, tolerance: float):
                 at, (i, j) = first[size == m], _pairs(m)
                 for k in range(0, len(at), 4096):
                     x, y = ((at[k : k + 4096, None] + z).ravel() for z in (i, j))
-                    keep = prune(low, x, y, threshold, tolerance)
+                    keep = np.zeros(len(x), bool)
+                    keep[prune(low, x, y, threshold, tolerance)] = True
+                    keep = spanning(keep.reshape(-1, len(i)), i, j, m).ravel()
                     a.append(x[keep])
                     b.append(y[keep])
             for at, m in zip(first[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-                if found := ties(low[at : at + m], threshold, tolerance):
+                if found := ties(low[at : at + m], mine[at : at + m], threshold, tolerance):
                     x, y = np.array(found).T + at
                     a.append(x)
                     b.append(y)
@@ -291,23 +309,25 @@ def resolve(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     d = with_row_id(base.withColumn("text_hash", F.xxhash64("text")))
     sigs = stage(d.mapInArrow(_sketch, SKETCH), "sketches")
     full = sigs.where("n_shingles > 0")
-    classes = full.groupBy("s1", "s2").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members"), F.first("low").alias("low"), F.first("keys").alias("keys"), F.first("bands").alias("bands"))
+    classes = full.groupBy("s1", "s2").agg(F.min("row_id").alias("rep"), F.min(F.struct("row_id", "doc_id", "text_hash")).alias("own"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members"), F.first("low").alias("low"), F.first("keys").alias("keys"), F.first("bands").alias("bands"))
     classes = stage(classes, "classes")
 
     banded = classes.select("rep", F.posexplode("bands").alias("nth", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     hits = stage(banded.join(shared.hint("merge"), "band"), "hits")
     lows = hits.join(classes.select("rep", "low", "keys").hint("merge"), "rep")
-    parts = _blocked(lows, F.col("band"), F.col("size"), block).select("part", "rep", "nth", "low", "keys")
+    parts = _blocked(lows, F.col("band"), F.col("size"), block).select("part", "rep", "nth", "mine", "low", "keys")
     edges = parts.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(_compare(threshold, tolerance), "a long, b long")
     near = stage(components(edges).withColumnsRenamed({"node": "rep", "root": "cluster"}), "clusters")
 
     sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    wanted = near.join(sizes.hint("merge"), "cluster").join(classes.select("rep", F.col("doc_id").alias("id_"), "members", "s1", "s2").hint("merge"), "rep")
+    wanted = near.join(sizes.hint("merge"), "cluster").join(classes.select("rep", F.col("own.doc_id").alias("id_"), F.col("own.text_hash").alias("hash_"), "members", "s1", "s2").hint("merge"), "rep")
     wanted = stage(wanted, "wanted")
     hint = "broadcast" if stored_bytes(wanted) <= BROADCAST_BYTES else "merge"
-    bodies = base.join(wanted.hint(hint), F.col("doc_id").eqNullSafe(F.col("id_"))).select("text", "rep", "members", "cluster", "size", "s1", "s2")
+    on = [F.col("doc_id").eqNullSafe(F.col("id_")), F.xxhash64("text") == F.col("hash_")]
+    bodies = base.join(wanted.hint(hint), on).select("text", "rep", "members", "cluster", "size", "s1", "s2")
     bodies = bodies.mapInArrow(_shingled, "rep long, members long, cluster long, size long, low binary, sets binary")
+    bodies = bodies.dropDuplicates(["rep"])  # rows that repeat id and text bring the same body
     parts = _blocked(bodies, F.col("cluster"), F.col("size"), block // 2).select("part", "rep", "members", "mine", "both", "low", "sets")
     checked = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_verify(threshold, tolerance), "rep long, links long, parent long")
     checked = stage(checked, "links")
@@ -324,15 +344,14 @@ def resolve(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the row with the smallest doc_id (nulls last).
+    """The rows of ``docs`` that stay: of each group one row with the smallest doc_id (nulls last).
 
     Only ids of dropped rows travel: broadcast when their stored size is small, else shuffled.
     """
-    rows = stage(resolve(docs, threshold), "groups")
+    rows = resolve(docs, threshold).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(rows, "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
     first = rows.groupBy("root").agg(F.min(rank).alias("first"))
-    marked = rows.join(first.hint("merge"), "root").where(rank != F.col("first"))
-    gone = stage(marked.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct(), "dropped")
-    hint = "broadcast" if stored_bytes(gone) <= BROADCAST_BYTES else "shuffle_hash"
-    on = [F.col("doc_id").eqNullSafe(F.col("id_")), F.xxhash64("text") == F.col("hash_")]
-    return docs.join(gone.hint(hint), on, "left_anti")
+    marked = rows.join(first.hint("merge"), "root").withColumn("twin", rank == F.col("first"))
+    gone = stage(marked.where("not twin or n > 1").select("doc_id", "text_hash", "twin"), "dropped")
+    return drop_rows(docs, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64("text")}, gone, BROADCAST_BYTES)

@@ -14,7 +14,8 @@ share is one row for each task; digests found once never travel again.
 
 Defined cases: a null or empty text has no chunks and stays as it is; rows with the same
 doc_id count as one document, of which none loses to another; a null doc_id is a document
-of its own after all others; further columns are ignored, or carried by :func:`remove`.
+of its own after all others; further columns of any name are ignored, or carried by
+:func:`remove`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -138,18 +139,21 @@ def find(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def remove(docs: DataFrame, min_words: int = MIN_WORDS, facts: bool = False) -> DataFrame:
     """``docs`` with repeated runs cut out of ``text``; rows, order of columns and types stay.
 
-    facts: add repeat_words (in runs that repeat, whoever keeps them) and removed_words.
+    facts: add repeat_words (in runs that repeat, whoever keeps them) and removed_words, in
+    place of columns of ``docs`` that have these names.
     Only rows that take part in a repeat are joined: broadcast when their stored size is
     small, else shuffled.
     """
-    found = find(docs, min_words).where("repeat_words > 0").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "repeat_words", "removed_words", F.col("removed").alias("removed_"))
-    cut = stage(found.dropDuplicates(["id_", "hash_"]), "cuts")
+    found = find(docs, min_words).where("repeat_words > 0").select("doc_id", "text_hash", "repeat_words", "removed_words", "removed")
+    cut = stage(found.dropDuplicates(["doc_id", "text_hash"]), "cuts")
     small = stored_bytes(cut) <= BROADCAST_BYTES
-    on = [F.col("doc_id").eqNullSafe(F.col("id_")), F.xxhash64("text") == F.col("hash_")]
+    # Rows travel inside one struct, so their columns may have any names.
+    marked = docs.select(F.struct("*").alias("doc_"), "text", F.col("doc_id").alias("id_"), F.xxhash64("text").alias("hash_"))
+    on = [marked["id_"].eqNullSafe(cut["doc_id"]), marked["hash_"] == cut["text_hash"]]
     # Kept pieces lie between one removed span's stop and the next one's start.
-    begin = "if(k = 0, 0, coalesce(removed_[k - 1].stop, length(text)))"
-    kept = F.expr(f"concat_ws('', transform(sequence(0, size(removed_)), k -> substring(text, {begin} + 1, if(k = size(removed_), length(text), removed_[k].start) - {begin})))")
-    joined = docs.join(cut.hint("broadcast" if small else "shuffle_hash"), on, "left")
-    text = F.when(F.coalesce(F.size("removed_"), F.lit(0)) > 0, kept).otherwise(F.col("text"))
-    more = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("repeat_words", "removed_words")] if facts else []
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *more)
+    begin = "if(k = 0, 0, coalesce(removed[k - 1].stop, length(text)))"
+    kept = F.expr(f"concat_ws('', transform(sequence(0, size(removed)), k -> substring(text, {begin} + 1, if(k = size(removed), length(text), removed[k].start) - {begin})))")
+    joined = marked.join(cut.hint("broadcast" if small else "merge"), on, "left")
+    text = F.when(F.coalesce(F.size("removed"), F.lit(0)) > 0, kept).otherwise(F.col("text"))
+    more = {c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("repeat_words", "removed_words")} if facts else {}
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"doc_.`{c}`") for c in docs.columns if c not in more], *more.values())
