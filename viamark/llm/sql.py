@@ -31,19 +31,19 @@ def license_sql() -> str:
     blocks, notices = [], []
     for span, group in size_classes(NOTICES).items():
         blocks.append(f"SELECT r, {span} AS span, k, list_distinct(w[k * {span} + 1 : k * {span} + {2 * span}]) AS b FROM (SELECT r, w, unnest(range(0, greatest(0, (len(w) - {span} - 1) // {span}) + 1)) AS k FROM t)")
-        for n, (label, words) in enumerate(group):
+        for n, (label, words, must) in enumerate(group):
             own = list(dict.fromkeys(words))
-            notices.append(f"({span}, {n}, {_quoted(label)}, [{', '.join(map(_quoted, own))}], {math.ceil(THRESHOLD * len(own) - 1e-9)})")
+            notices.append(f"({span}, {n}, {_quoted(label)}, [{', '.join(map(_quoted, own))}], {math.ceil(THRESHOLD * len(own) - 1e-9)}, [{', '.join(map(_quoted, must))}])")
     return f"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS w FROM documents
 ), p AS ({' UNION ALL '.join(phrases)}
 ), base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY r
 ), block AS ({' UNION ALL '.join(blocks)}
-), notice(span, n, label, words, least) AS (VALUES {', '.join(notices)}
+), notice(span, n, label, words, least, must) AS (VALUES {', '.join(notices)}
 ), hit AS (
   SELECT r, label, len(list_intersect(b, words)) AS c, len(words) AS size
-  FROM block JOIN notice USING (span) WHERE len(list_intersect(b, words)) >= least
+  FROM block JOIN notice USING (span) WHERE len(list_intersect(b, words)) >= least AND list_has_all(b, must)
 ), found AS (SELECT r, list(DISTINCT label) AS labels, max(c / size) AS share FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
@@ -79,7 +79,8 @@ def quality_sql() -> str:
     }
     count = lambda chars: f"length(x) - length(translate(x, '{chars}', ''))"
     level = math.log(ALPHA / ((len(STRATA) + 1) * len(rules) * len(GRID)))
-    shares = " UNION ALL ".join(f"SELECT r, doc_id, stratum, '{n}' AS rule, {e} AS v FROM m" for n, e in rules.items())
+    part = MAX_FALSE / len(rules)
+    shares = " UNION ALL ".join(f"SELECT r, doc_id, stratum, d, '{n}' AS rule, {e} AS v FROM m" for n, e in rules.items())
     return f"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, CASE WHEN lang IN ({', '.join(map(_quoted, STRATA))}) THEN lang ELSE 'other' END AS stratum,
@@ -89,18 +90,19 @@ WITH t AS (
 ), again AS (SELECT r, k FROM g QUALIFY count(*) OVER (PARTITION BY r, s) > 1
 ), covered AS (SELECT r, count(DISTINCT k + o) AS n FROM again, range(0, 5) z(o) GROUP BY r
 ), m AS (
-  SELECT t.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(x, {_BLANKS}, '')) AS BIGINT) AS word_chars,
+  SELECT t.r, doc_id, stratum, sha256(translate(x, {_BLANKS}, '')) AS d, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(x, {_BLANKS}, '')) AS BIGINT) AS word_chars,
     CAST({count('#*$%&|<>')} AS BIGINT) AS n_symbols, {count(_UP)} AS n_upper, {count('0123456789')} AS n_digits, len(l) AS n_lines,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
   FROM t LEFT JOIN covered ON covered.r = t.r
 ), good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1
 ), share AS ({shares}
 ), cut(cutoff) AS (VALUES {', '.join(f'({g})' for g in GRID)}
+), held AS (SELECT stratum, rule, d, max(v) AS v FROM share JOIN good USING (doc_id) GROUP BY ALL
 ), seen AS (
-  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM share JOIN good USING (doc_id), cut GROUP BY ALL
+  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM held, cut GROUP BY ALL
 ), tail AS (
-  SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({MAX_FALSE}) + (n - j) * ln(1 - {MAX_FALSE}))) AS p
-  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM seen WHERE k <= {MAX_FALSE} * n) GROUP BY ALL
+  SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({part}) + (n - j) * ln(1 - {part}))) AS p
+  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM seen WHERE k <= {part} * n) GROUP BY ALL
 ), chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE ln(p) <= {level} GROUP BY ALL
 ), bad AS (SELECT DISTINCT r FROM share JOIN chosen USING (stratum, rule) WHERE v > cutoff
 ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
