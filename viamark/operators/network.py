@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from viamark.plans.tables import stage
+from viamark.operators.components import components
+from viamark.plans.tables import Appended, stage
 
 #: Speed against the posted limit, and preference for scenery.
 MOTORWAY_FACTOR, SURFACE_FACTOR = 1.16, 0.95
@@ -76,51 +77,94 @@ def reweighted(df: DataFrame, weights: dict[str, float], defaults: dict[str, flo
     return sum((F.lit(w * scale) * F.col(f"c_{k}") for k, w in weights.items()), F.lit(0.0))
 
 
-def reachable(arcs_: DataFrame, starts: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """node, rounds: nodes that can be reached from ``starts`` (node), frontier by frontier."""
-    seen = stage(starts.select("node").distinct().withColumn("rounds", F.lit(0)), "seen")
-    front = seen
-    hops = arcs_.select(F.col("tail").alias("node"), F.col("head").alias("next")).distinct()
-    for r in range(1, max_rounds + 1):
-        step = front.join(hops.hint("shuffle_hash"), "node").select(F.col("next").alias("node")).distinct()
-        front = stage(step.join(seen.hint("shuffle_hash"), "node", "left_anti").withColumn("rounds", F.lit(r)), "front")
-        if front.isEmpty():
-            return seen
-        seen = stage(seen.unionByName(front), "seen")
-    raise RuntimeError(f"still growing after {max_rounds} rounds")
-
+def reachable(arcs_: DataFrame, starts: DataFrame) -> DataFrame:
+    """node, rounds: nodes that can be reached from ``starts`` (node), frontier by frontier.
 
-def largest_scc(arcs_: DataFrame, max_rounds: int = 200, tries: int = 20) -> DataFrame:
-    """node: the largest strongly connected component.
-
-    Nodes that nothing enters or leaves are trimmed. The component of the node with most
-    arcs is what it reaches and what reaches it; it is the largest if no more nodes are
-    left beside it, else the rest is tried.
+    A round appends its frontier to the table of nodes seen and never writes the others again.
     """
-    left, best, size = stage(arcs_.select("tail", "head").where("tail <> head").distinct(), "arcs"), None, 0
-    for _ in range(tries):
-        into, out = left.select(F.col("head").alias("node")).distinct(), left.select(F.col("tail").alias("node")).distinct()
-        both = into.intersect(out)
-        inner = left.join(both.select(F.col("node").alias("tail")).hint("shuffle_hash"), "tail", "left_semi").join(both.select(F.col("node").alias("head")).hint("shuffle_hash"), "head", "left_semi")
-        left = stage(inner, "arcs")
-        degree = left.select(F.col("tail").alias("node")).unionAll(left.select("head")).groupBy("node").count()
-        pivot = degree.orderBy(F.desc("count"), "node").limit(1).select("node")
+    hops = arcs_.select(F.col("tail").alias("node"), F.col("head").alias("next")).distinct()
+    front, r = starts.select("node").distinct().withColumn("rounds", F.lit(0)), 0
+    seen = Appended(front, "seen")
+    front = seen.last
+    while not front.isEmpty():
+        r += 1
+        step = front.join(hops.hint("merge"), "node").select(F.col("next").alias("node")).distinct()
+        front = seen.append(step.join(seen.all().hint("merge"), "node", "left_anti").withColumn("rounds", F.lit(r)))
+    return seen.all()
+
+
+def strong_components(arcs_: DataFrame) -> DataFrame:
+    """node, root: the strongly connected components of two nodes or more; root is one of its nodes.
+
+    Nodes that arcs join in both directions are contracted first, again and again, which
+    leaves little of a road network and short ways through it. Then each node takes the greatest node that reaches it as its colour; what reaches the colour's
+    own node inside the colour is one component. All colours are settled at once, then the
+    rest goes on. Every round settles the greatest node left, so rounds end.
+    """
+    left, member = _contracted(stage(arcs_.select("tail", "head").where("tail <> head").distinct(), "arcs"))
+    found = _coloured(left)
+    if member is None:
+        return found if found is not None else arcs_.select(F.col("tail").alias("node"), F.col("tail").alias("root")).limit(0)
+    if found is None:
+        return member
+    wide = member.join(found.select(F.col("node").alias("root"), F.col("root").alias("over")).hint("merge"), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    alone = found.join(member.select(F.col("root").alias("node")).distinct().hint("merge"), "node", "left_anti")
+    return wide.unionByName(alone)
+
+
+def _contracted(arcs_: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Arcs between groups of nodes that are joined both ways, and node, root of every node in a group."""
+    member = None
+    while True:
+        back = arcs_.select(F.col("head").alias("tail"), F.col("tail").alias("head"))
+        pairs = stage(arcs_.where("tail < head").join(back.hint("merge"), ["tail", "head"], "left_semi").select(F.col("tail").alias("a"), F.col("head").alias("b")), "pairs")
+        if pairs.isEmpty():
+            return arcs_, member
+        comp = stage(components(pairs), "groups")
+        to = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")).hint("merge")
+        joined = arcs_.join(to("tail"), "tail", "left").join(to("head"), "head", "left")
+        arcs_ = stage(joined.select(F.coalesce("tail_root", "tail").alias("tail"), F.coalesce("head_root", "head").alias("head")).where("tail <> head").distinct(), "arcs")
+        if member is None:
+            member = comp
+        else:
+            old = member.join(comp.select(F.col("node").alias("root"), F.col("root").alias("over")).hint("merge"), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+            new = comp.join(member.select(F.col("root").alias("node")).distinct().hint("merge"), "node", "left_anti").select("node", "root")
+            member = stage(old.unionByName(new), "members")
+
+
+def _coloured(left: DataFrame) -> DataFrame | None:
+    """node, root of the strongly connected components of two nodes or more, or None."""
+    out = None
+    while True:
+        while True:  # nodes that nothing enters or leaves are components of their own
+            into, leave = left.select(F.col("head").alias("node")).distinct(), left.select(F.col("tail").alias("node")).distinct()
+            both = into.join(leave.hint("merge"), "node", "left_semi")
+            inner = stage(left.join(both.select(F.col("node").alias("tail")).hint("merge"), "tail", "left_semi").join(both.select(F.col("node").alias("head")).hint("merge"), "head", "left_semi").select("tail", "head"), "arcs")
+            shrunk, left = inner.count() < left.count(), inner
+            if not shrunk:
+                break
         if left.isEmpty():
-            break
-        pivot = stage(pivot, "pivot")
-        ahead = reachable(left, pivot, max_rounds).select("node")
-        behind = reachable(left.select(F.col("head").alias("tail"), F.col("tail").alias("head")), pivot, max_rounds).select("node")
-        comp = stage(ahead.intersect(behind), "scc")
-        n = comp.count()
-        if n > size:
-            best, size = comp, n
-        rest = left.join(comp.select(F.col("node").alias("tail")).hint("shuffle_hash"), "tail", "left_anti").join(comp.select(F.col("node").alias("head")).hint("shuffle_hash"), "head", "left_anti")
-        left = stage(rest, "arcs")
-        if left.select(F.col("tail").alias("node")).unionAll(left.select("head")).distinct().count() <= size:
-            return best
-    if not left.isEmpty():
-        raise RuntimeError(f"a larger component cannot be ruled out after {tries} tries")
-    return best if best is not None else arcs_.select(F.col("tail").alias("node")).limit(0)
+            return out
+        colour = stage(left.select(F.col("tail").alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
+        front = colour
+        while not front.isEmpty():
+            step = front.join(left.select(F.col("tail").alias("node"), F.col("head").alias("next")).hint("merge"), "node").groupBy(F.col("next").alias("node")).agg(F.max("colour").alias("new"))
+            nxt = stage(colour.join(step.hint("merge"), "node", "left").select("node", F.greatest("colour", "new").alias("colour"), F.coalesce(F.col("new") > F.col("colour"), F.lit(False)).alias("moved")), "colour")
+            colour, front = nxt.drop("moved"), nxt.where("moved").drop("moved")
+        paint = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour")).hint("merge")
+        inside = stage(left.join(paint("tail"), "tail").join(paint("head"), "head").where("tail_colour = head_colour").select("tail", "head"), "inside")
+        found = reachable(inside.select(F.col("head").alias("tail"), F.col("tail").alias("head")), colour.where("node = colour").select("node")).select("node")
+        comp = stage(found.join(colour.hint("merge"), "node").select("node", F.col("colour").alias("root")), "scc")
+        out = comp if out is None else out.unionByName(comp)
+        rest = left.join(comp.select(F.col("node").alias("tail")).hint("merge"), "tail", "left_anti").join(comp.select(F.col("node").alias("head")).hint("merge"), "head", "left_anti")
+        left = stage(rest.select("tail", "head"), "arcs")
+
+
+def largest_scc(arcs_: DataFrame) -> DataFrame:
+    """node: the largest strongly connected component; of equal ones that of the greatest node."""
+    comp = stage(strong_components(arcs_), "components")
+    best = comp.groupBy("root").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "root")).alias("m")).select(F.col("m.root").alias("root"))
+    return comp.join(F.broadcast(best), "root").select("node")  # one row is broadcast
 
 
 def shortest(arcs_: DataFrame, trips: DataFrame, cost: str = "minutes", corridor: DataFrame | None = None, max_rounds: int = 500) -> DataFrame:
@@ -154,13 +198,13 @@ def corridor(nodes: DataFrame, trips: DataFrame, slack: float) -> DataFrame:
     from viamark.operators.spatial import cells_of_box
 
     size = 2000.0
-    pad = F.lit(slack / 2)
+    straight = F.sqrt((F.col("ox") - F.col("dx")) ** 2 + (F.col("oy") - F.col("dy")) ** 2)
+    pad = F.sqrt(slack * (2 * straight + slack)) / 2  # half the ellipse's width
     box = cells_of_box(F.least("ox", "dx") - pad, F.least("oy", "dy") - pad, F.greatest("ox", "dx") + pad, F.greatest("oy", "dy") + pad, size)
     cut = trips.withColumn("cell", F.explode(box)).select("trip", "ox", "oy", "dx", "dy", "cell.cx", "cell.cy")
     at = nodes.select(F.col("node_id").alias("node"), "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     d = lambda a, b: F.sqrt((F.col("x") - F.col(a)) ** 2 + (F.col("y") - F.col(b)) ** 2)
-    straight = F.sqrt((F.col("ox") - F.col("dx")) ** 2 + (F.col("oy") - F.col("dy")) ** 2)
-    return at.join(cut.hint("shuffle_hash"), ["cx", "cy"]).where(d("ox", "oy") + d("dx", "dy") <= straight + slack).select("trip", "node")
+    return at.join(cut.hint("merge"), ["cx", "cy"]).where(d("ox", "oy") + d("dx", "dy") <= straight + slack).select("trip", "node")
 
 
 def path_sums(parents: DataFrame, value: str, max_rounds: int = 40) -> DataFrame:

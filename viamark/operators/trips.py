@@ -102,3 +102,15 @@ def survival(misses: DataFrame, by: str, days: int, thin: int) -> DataFrame:
     every = each.groupBy("k").agg(F.avg("over").alias("all"))
     # As many rows as days.
     return own.join(F.broadcast(every), "k").select(by, "k", F.when(F.col("n") >= thin, F.col("own")).otherwise(F.col("all")).alias("s"))
+
+
+def worth_the_detour(arms: DataFrame, first_gain: float = 0.805) -> DataFrame:
+    """pair, sent, no_gain: the scenic arm unless it scores less, has less beautiful road or gains less than half a mile.
+
+    arms: pair, arm (fast, scenic), score, beautiful_km. Pairs without both arms have no answer.
+    """
+    of = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    p = arms.groupBy("pair").agg(of("fast", "score").alias("fs"), of("scenic", "score").alias("ss"), of("fast", "beautiful_km").alias("fb"), of("scenic", "beautiful_km").alias("sb")).where("fs is not null and ss is not null")
+    short = F.col("sb") - F.col("fb") < first_gain
+    back = (F.col("ss") < F.col("fs")) | (F.col("sb") < F.col("fb")) | short
+    return p.select("pair", F.when(back, "fast").otherwise("scenic").alias("sent"), (back & short).alias("no_gain"))

@@ -39,6 +39,26 @@ FROM (SELECT way_id, n, x, y, node_id, lead(x) OVER w AS x2, lead(y) OVER w AS y
 WHERE x2 IS NOT NULL"""
 ROAD_LENGTH = f"SELECT s.way_id, sum(len) AS length FROM ({SEGMENTS}) s JOIN ({WAYS}) w ON s.way_id = w.way_id GROUP BY s.way_id"
 
+#: Steps of edges: ways cut where a node is used twice or more; z runs from the edge's first vertex.
+EDGE_STEPS = f"""
+SELECT way_id, seq, n, node_id, node2, x, y, x2, y2, len, sum(len) OVER (PARTITION BY way_id, seq ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS z, sum(len) OVER (PARTITION BY way_id, seq) AS total FROM (
+  SELECT *, sum(CASE WHEN rn = 1 OR uses >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY way_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seq, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS len FROM (
+    SELECT *, row_number() OVER (PARTITION BY way_id ORDER BY n) AS rn, count(*) OVER (PARTITION BY node_id) AS uses,
+      lead(node_id) OVER (PARTITION BY way_id ORDER BY n) AS node2, lead(x) OVER (PARTITION BY way_id ORDER BY n) AS x2, lead(y) OVER (PARTITION BY way_id ORDER BY n) AS y2 FROM ({REFS}) r) a) b
+WHERE node2 IS NOT NULL"""
+#: Edges with the point in their middle. A way has at most 2,000 vertices, so way_id * 10000 + seq is an edge's own.
+EDGES = f"""
+SELECT way_id * 10000 + seq AS edge, way_id, seq, min_by(node_id, n) AS u, max_by(node2, n) AS v, sum(len) AS length_m, count(*) + 1 AS points,
+  min_by(x + (CASE WHEN len > 0 THEN (total / 2 - z + len) / len ELSE 0.0 END) * (x2 - x), n) FILTER (WHERE z >= total / 2 - 1e-9) AS mx,
+  min_by(y + (CASE WHEN len > 0 THEN (total / 2 - z + len) / len ELSE 0.0 END) * (y2 - y), n) FILTER (WHERE z >= total / 2 - 1e-9) AS my
+FROM ({EDGE_STEPS}) s GROUP BY way_id, seq HAVING sum(len) >= 1"""
+#: Edges with the tags of their ways and a score of their own.
+ROADS = f"SELECT e.*, highway, oneway, name, surface, scenic, region, CAST((e.way_id * 37 + seq) % 100 AS DOUBLE) / 10 AS score FROM ({EDGES}) e JOIN ({WAYS}) w ON w.way_id = e.way_id"
+NODES = f"SELECT node_id, min(x) AS x, min(y) AS y, count(*) AS uses FROM ({REFS}) r GROUP BY node_id"
+#: Trips: every supplier's, from its park's nearest grid corner to one a few cells on.
+TRIPS = """
+SELECT s_suppkey AS trip, CAST((s_suppkey * 7919) % 143 + 2 AS BIGINT) AS gx, CAST((s_suppkey * 104729) % 145 + 2 AS BIGINT) AS gy, CAST(2 + s_suppkey % 3 AS BIGINT) AS ahead, s_nationkey AS region FROM supplier"""
+
 _TABLES = ("lineitem", "orders", "customer", "supplier", "part", "events", "nation")
 
 

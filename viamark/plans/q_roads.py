@@ -128,13 +128,13 @@ def d12_point_in_polygon(spark, sf_dir):
 
 
 @query(f"""
-WITH m AS ({_MIDS}), c AS (SELECT way_id * 100 + k AS pid, x, y FROM m)
+WITH m AS ({_MIDS}), c AS (SELECT way_id * 10000 + k AS pid, x, y FROM m)
 SELECT c.pid, round(min(sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2))), 3) AS dist,
   CASE WHEN min(sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2))) <= 120 THEN 1.0::DOUBLE ELSE 0.45::DOUBLE END AS credit
 FROM c JOIN ({WATER}) w ON abs(c.x - w.x) <= 350 AND abs(c.y - w.y) <= 350 WHERE sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2)) <= 350 GROUP BY c.pid""")
 def j2_two_band_credit(spark, sf_dir):
     """Pieces near water, full credit within 120 m and less within 350 m."""
-    pieces = _chunks(spark, sf_dir).select((F.col("way_id") * 100 + F.col("k")).alias("pid"), "x", "y")
+    pieces = _chunks(spark, sf_dir).select((F.col("way_id") * 10000 + F.col("k")).alias("pid"), "x", "y")
     water = _as_segments(derive(spark, sf_dir, WATER))
     best = spatial.least_distance(pieces, water, "id", scenery.DIST["water_mid"])
     return best.select("pid", F.round("dist", 3).alias("dist"), scenery.two_bands("dist", 120.0, 350.0, scenery.WATER_MID).alias("credit"))
@@ -165,7 +165,7 @@ def j23_nearest_edge_capped(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     """Pieces with water, place and park components and the composite score."""
-    pieces = _chunks(spark, sf_dir).withColumn("pid", F.col("way_id") * 100 + F.col("k"))
+    pieces = _chunks(spark, sf_dir).withColumn("pid", F.col("way_id") * 10000 + F.col("k"))
     at = pieces.select("pid", "x", "y")
     water = spatial.least_distance(at, _as_segments(derive(spark, sf_dir, WATER)), "id", scenery.DIST["water_mid"]).withColumnRenamed("dist", "d_water")
     place = spatial.least_distance(at, _as_segments(derive(spark, sf_dir, PLACES)), "id", scenery.DIST["place_mid"]).withColumnRenamed("dist", "d_place")
@@ -187,7 +187,7 @@ def _scored(spark, sf_dir):
 
 _ADJ = " ".join(f"WHEN '{k}' THEN {v}" for k, v in scenery.CLASS_ADJ.items())
 _SCORED = f"""
-WITH m AS MATERIALIZED ({_MIDS}), c AS (SELECT m.way_id * 100 + k AS pid, m.x, m.y, length_m, w.* EXCLUDE (way_id), m.way_id FROM m JOIN ({WAYS}) w ON w.way_id = m.way_id),
+WITH m AS MATERIALIZED ({_MIDS}), c AS (SELECT m.way_id * 10000 + k AS pid, m.x, m.y, length_m, w.* EXCLUDE (way_id), m.way_id FROM m JOIN ({WAYS}) w ON w.way_id = m.way_id),
 wa AS (SELECT pid, min(sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2))) AS d FROM c JOIN ({WATER}) w ON abs(c.x - w.x) <= 350 AND abs(c.y - w.y) <= 350 GROUP BY pid),
 pl AS (SELECT pid, min(sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2))) AS d FROM c JOIN ({PLACES}) w ON abs(c.x - w.x) <= 900 AND abs(c.y - w.y) <= 900 GROUP BY pid),
 gr AS (SELECT DISTINCT pid FROM c JOIN ({PARKS}) p ON p.side * p.side >= 30000 AND sqrt(pow(greatest(abs(c.x - p.x) - p.side / 2, 0), 2) + pow(greatest(abs(c.y - p.y) - p.side / 2, 0), 2)) <= 80),

@@ -61,7 +61,7 @@ _ALL = f"SELECT s.way_id, s.n, s.x, s.y, s.x2, s.y2, (degrees(atan2(x2 - x, y2 -
 
 
 @query(f"""
-WITH a AS MATERIALIZED ({_ALL}), p AS (SELECT way_id * 100 + n AS pid, (x + x2) / 2 AS px, (y + y2) / 2 AS py, b AS pb FROM a WHERE highway IN ('tertiary', 'residential')),
+WITH a AS MATERIALIZED ({_ALL}), p AS (SELECT way_id * 10000 + n AS pid, (x + x2) / 2 AS px, (y + y2) / 2 AS py, b AS pb FROM a WHERE highway IN ('tertiary', 'residential')),
 d AS (SELECT pid, way_id, CASE WHEN abs(pb - b) % 180 > 90 THEN 180 - abs(pb - b) % 180 ELSE abs(pb - b) % 180 END AS off, sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2)) AS dist
   FROM (SELECT p.*, q.way_id, q.x, q.y, q.x2, q.y2, q.b, greatest(0.0, least(1.0, ((px - q.x) * (q.x2 - q.x) + (py - q.y) * (q.y2 - q.y)) / ((q.x2 - q.x) * (q.x2 - q.x) + (q.y2 - q.y) * (q.y2 - q.y)))) AS t
     FROM p JOIN a q ON q.highway IN ('motorway', 'primary', 'secondary') AND least(q.x, q.x2) - 12 <= px AND greatest(q.x, q.x2) + 12 >= px AND least(q.y, q.y2) - 12 <= py AND greatest(q.y, q.y2) + 12 >= py) z)
@@ -69,7 +69,7 @@ SELECT pid, arg_min(way_id, (dist, way_id)) AS way_id, round(min(dist), 4) AS di
 def j5_same_way_match(spark, sf_dir):
     """The nearest major road within 12 m that runs the same way, for the middle of every minor segment."""
     s = derive(spark, sf_dir, _ALL)
-    p = s.where(F.col("highway").isin("tertiary", "residential")).select((F.col("way_id") * 100 + F.col("n")).alias("pid"), ((F.col("x") + F.col("x2")) / 2).alias("x"), ((F.col("y") + F.col("y2")) / 2).alias("y"), F.col("b").alias("bearing"))
+    p = s.where(F.col("highway").isin("tertiary", "residential")).select((F.col("way_id") * 10000 + F.col("n")).alias("pid"), ((F.col("x") + F.col("x2")) / 2).alias("x"), ((F.col("y") + F.col("y2")) / 2).alias("y"), F.col("b").alias("bearing"))
     q = s.where(F.col("highway").isin("motorway", "primary", "secondary")).select("way_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"), F.col("b").alias("bearing"))
     return studies.same_way(p, q, "way_id").withColumn("dist", F.round("dist", 4))
 
@@ -140,7 +140,7 @@ def j37_banded_pairs(spark, sf_dir):
 
 
 _NEAREST = f"""
-WITH a AS MATERIALIZED ({_ALL}), p AS (SELECT way_id AS edge, way_id * 100 + n AS pid, (x + x2) / 2 AS px, (y + y2) / 2 AS py, b AS pb FROM a WHERE highway IN ('tertiary', 'residential')),
+WITH a AS MATERIALIZED ({_ALL}), p AS (SELECT way_id AS edge, way_id * 10000 + n AS pid, (x + x2) / 2 AS px, (y + y2) / 2 AS py, b AS pb FROM a WHERE highway IN ('tertiary', 'residential')),
 d AS (SELECT edge, pid, way_id, CASE WHEN abs(pb - b) % 180 > 90 THEN 180 - abs(pb - b) % 180 ELSE abs(pb - b) % 180 END AS off, sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2)) AS dist
   FROM (SELECT p.*, q.way_id, q.x, q.y, q.x2, q.y2, q.b, greatest(0.0, least(1.0, ((px - q.x) * (q.x2 - q.x) + (py - q.y) * (q.y2 - q.y)) / ((q.x2 - q.x) * (q.x2 - q.x) + (q.y2 - q.y) * (q.y2 - q.y)))) AS t
     FROM p JOIN a q ON q.highway IN ('motorway', 'primary', 'secondary') AND least(q.x, q.x2) - 15 <= px AND greatest(q.x, q.x2) + 15 >= px AND least(q.y, q.y2) - 15 <= py AND greatest(q.y, q.y2) + 15 >= py) z),
@@ -152,7 +152,7 @@ SELECT b.edge, b.way_id, round(count(*) / any_value(n.n), 8) AS share FROM b JOI
 def j6_line_shares(spark, sf_dir):
     """Nearest line within 15 m first, then its direction; the share of each edge's samples on a line."""
     s = derive(spark, sf_dir, _ALL)
-    p = s.where(F.col("highway").isin("tertiary", "residential")).select(F.col("way_id").alias("edge"), (F.col("way_id") * 100 + F.col("n")).alias("pid"), ((F.col("x") + F.col("x2")) / 2).alias("x"), ((F.col("y") + F.col("y2")) / 2).alias("y"), F.col("b").alias("bearing"))
+    p = s.where(F.col("highway").isin("tertiary", "residential")).select(F.col("way_id").alias("edge"), (F.col("way_id") * 10000 + F.col("n")).alias("pid"), ((F.col("x") + F.col("x2")) / 2).alias("x"), ((F.col("y") + F.col("y2")) / 2).alias("y"), F.col("b").alias("bearing"))
     q = s.where(F.col("highway").isin("motorway", "primary", "secondary")).select("way_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"), F.col("b").alias("bearing"))
     m = studies.same_way(p, q, "way_id", 15.0, 30.0, align_first=False)
     return studies.covered(m, p, "edge", "way_id").withColumn("share", F.round("share", 8))

@@ -5,34 +5,92 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_tables: list[tuple[SparkSession, str]] = []
+#: Paths staged inside the innermost :func:`collecting` of this thread.
+_scope: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if the session names none."""
+    """The folder that driver and executors share.
+
+    Where the session names none, a local session gets one of its own; on a cluster there is
+    no folder that can be guessed, so it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="viamark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, gives true sizes.
-
-    The table goes when the application ends, or with :func:`drop_tables`.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the application ends."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     _tables.append((spark, path))
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, gives true sizes.
+
+    The table goes when the application ends, or with :func:`drop_paths`.
+    """
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Appended:
+    """A staged table that grows by parts, so that a round writes only what is new in it."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self.spark, self.schema, self.path = first.sparkSession, first.schema, new_path(first.sparkSession, name)
+        self.parts = 0
+        self.last = self.append(first)
+
+    def append(self, part: DataFrame) -> DataFrame:
+        """Adds a part and gives it back as a table."""
+        at = f"{self.path}/part={self.parts}"
+        part.select(*self.schema.names).write.parquet(at)
+        self.parts += 1
+        self.last = self.spark.read.schema(self.schema).parquet(at)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of the tables that are staged inside the block."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _scope.reset(token)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables; their readers must have finished."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def tables_so_far() -> int:
@@ -40,10 +98,8 @@ def tables_so_far() -> int:
 
 
 def drop_tables(first: int, last: int) -> None:
-    """Delete the staged tables with these numbers; their readers must have finished."""
     for spark, path in _tables[first:last]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        drop_paths(spark, [path])
 
 
 def stored_bytes(df: DataFrame) -> int:
