@@ -115,3 +115,15 @@ def affine_fit(df: DataFrame, raw: str, bases: list[float], stretches: list[floa
     error = F.abs(scale(F.col("q")[0]) - p50) + F.abs(scale(F.col("q")[1]) - p99)
     best = grid.agg(F.min(F.struct(F.round(error, 9).alias("error"), "base", "stretch")).alias("m"))
     return best.select("m.base", "m.stretch", "m.error")
+
+
+def map_points(df: DataFrame, value: str, by: str, points: list[float], grid: int = 20) -> DataFrame:
+    """by, value, mapped: what fixed values of each group become on the quantiles of all groups together."""
+    p = F.percentile(value, F.array(*[F.lit(i / grid) for i in range(grid + 1)]))
+    # One row for each group, and one row for all.
+    both = df.groupBy(by).agg(p.alias("own")).join(F.broadcast(df.agg(p.alias("all"))), F.lit(True)).withColumn(value, F.explode(F.array(*map(F.lit, points))))
+    out = both.withColumn("i", F.expr(f"greatest(1, least({grid}, size(filter(own, q -> q <= {value}))))"))
+    low, high = F.element_at("own", F.col("i")), F.element_at("own", F.col("i") + 1)
+    t = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0)
+    a, b = F.element_at("all", F.col("i")), F.element_at("all", F.col("i") + 1)
+    return out.select(by, value, (a + t * (b - a)).alias("mapped"))
