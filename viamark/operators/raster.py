@@ -2,7 +2,8 @@
 
 Focal filters are separable: a frame along rows, then one along columns. Windows are
 partitioned by tile and row (or column), so no task holds more than one line of a tile.
-Missing pixels are missing rows or null values and are invisible to extremes.
+Missing pixels may be missing rows or null values: they are filled in before a filter and
+are invisible to extremes.
 """
 
 from __future__ import annotations
@@ -37,11 +38,24 @@ def _along(by: str, order: str, reach: int) -> Window:
     return Window.partitionBy("tile", by).orderBy(order).rangeBetween(-reach, reach)
 
 
+def filled(df: DataFrame) -> DataFrame:
+    """Every place of each tile's box, with ``here_``: true where ``df`` has a pixel, else null like its columns.
+
+    A frame over rows only sees the columns that are there, so holes must be rows before two
+    passes can stand for a square. Rows are dealt to tasks before their columns are laid out.
+    """
+    edge = df.groupBy("tile").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    rows = edge.withColumn("row", F.explode(F.sequence("r0", "r1"))).repartition("tile", "row")
+    full = rows.withColumn("col", F.explode(F.sequence("c0", "c1"))).select("tile", "row", "col")
+    return full.join(df.withColumn("here_", F.lit(True)).hint("merge"), ["tile", "row", "col"], "left")
+
+
 def focal(df: DataFrame, value: str, px: int) -> DataFrame:
     """Adds ``low`` and ``high``: extremes of the square of ``px`` pixels around each pixel that is there."""
     k = px // 2
-    across = df.withColumns({"lo_": F.min(value).over(_along("row", "col", k)), "hi_": F.max(value).over(_along("row", "col", k))})
-    return across.withColumns({"low": F.min("lo_").over(_along("col", "row", k)), "high": F.max("hi_").over(_along("col", "row", k))}).drop("lo_", "hi_")
+    across = filled(df).withColumns({"lo_": F.min(value).over(_along("row", "col", k)), "hi_": F.max(value).over(_along("row", "col", k))})
+    both = across.withColumns({"low": F.min("lo_").over(_along("col", "row", k)), "high": F.max("hi_").over(_along("col", "row", k))})
+    return both.where("here_").select(*df.columns, "low", "high")
 
 
 def relief(df: DataFrame, value: str, px: int) -> DataFrame:
@@ -116,3 +130,53 @@ def tiles_of_box(west: Column, south: Column, east: Column, north: Column, step:
     first = lambda v: (F.floor(v / step) * step).cast("int")
     lats, lons = F.sequence(first(south), first(north), F.lit(step)), F.sequence(first(west), first(east), F.lit(step))
     return F.flatten(F.transform(lats, lambda a: F.transform(lons, lambda o: F.struct(a.alias("lat"), o.alias("lon")))))
+
+
+def coverage(pixels: DataFrame, by: str, expected: int) -> DataFrame:
+    """by, pixels, share: how much of what is expected each mosaic holds."""
+    return pixels.groupBy(by).agg(F.count(F.lit(1)).alias("pixels")).withColumn("share", F.col("pixels") / expected)
+
+
+def blob_mask(df: DataFrame, value: str, block: int = 4, reach: int = 2, off: float = 1200.0, grow: int = 2) -> DataFrame:
+    """tile, brow, bcol: blocks whose median is ``off`` from the median of the blocks around them, grown by ``grow`` blocks."""
+    b = df.groupBy("tile", F.floor(F.col("row") / block).alias("brow"), F.floor(F.col("col") / block).alias("bcol")).agg(F.median(value).alias("m"))
+    square = F.expr(f"explode(flatten(transform(sequence(-{reach}, {reach}), i -> transform(sequence(-{reach}, {reach}), j -> struct(i, j)))))")
+    asked = b.withColumn("o", square).select("tile", (F.col("brow") + F.col("o.i")).alias("r"), (F.col("bcol") + F.col("o.j")).alias("c"), "brow", "bcol", F.col("m").alias("own_"))
+    seen = asked.join(b.select("tile", F.col("brow").alias("r"), F.col("bcol").alias("c"), F.col("m").alias("n_")).hint("merge"), ["tile", "r", "c"])
+    bad = seen.groupBy("tile", "brow", "bcol").agg(F.median("n_").alias("around"), F.first("own_").alias("own_")).where(F.abs(F.col("own_") - F.col("around")) > off)
+    wide = F.expr(f"explode(flatten(transform(sequence(-{grow}, {grow}), i -> transform(sequence(-{grow}, {grow}), j -> struct(i, j)))))")
+    grown = bad.withColumn("o", wide).select("tile", (F.col("brow") + F.col("o.i")).alias("brow"), (F.col("bcol") + F.col("o.j")).alias("bcol")).distinct()
+    return grown.join(b.select("tile", "brow", "bcol").hint("merge"), ["tile", "brow", "bcol"], "left_semi")
+
+
+def robust_defects(df: DataFrame, value: str, reach: int = 2, times: float = 6.0, least: float = 50.0) -> DataFrame:
+    """Pixels with ``defect``: farther from the median of their square than ``times`` its median deviation, and than ``least``."""
+    square = F.expr(f"explode(flatten(transform(sequence(-{reach}, {reach}), i -> transform(sequence(-{reach}, {reach}), j -> struct(i, j)))))")
+    asked = df.withColumn("o", square).select("tile", (F.col("row") + F.col("o.i")).alias("r"), (F.col("col") + F.col("o.j")).alias("c"), "row", "col", F.col(value).alias("own_"))
+    seen = asked.join(df.select("tile", F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("n_")).hint("merge"), ["tile", "r", "c"])
+    # At most (2 reach + 1)^2 values a pixel are gathered.
+    m = seen.groupBy("tile", "row", "col").agg(F.median("n_").alias("m"), F.collect_list("n_").alias("all_"), F.first("own_").alias("own_"))
+    dev = F.array_sort(F.transform("all_", lambda v: F.abs(v - F.col("m"))))
+    m = m.withColumn("dev", dev).withColumn("mad", (F.element_at("dev", F.floor((F.size("dev") + 1) / 2).cast("int")) + F.element_at("dev", F.floor(F.size("dev") / 2 + 1).cast("int"))) / 2)
+    far = F.abs(F.col("own_") - F.col("m"))
+    return m.select("tile", "row", "col", F.col("own_").alias(value), ((far > times * F.col("mad")) & (far > least)).alias("defect"))
+
+
+def gate_seam(cells: DataFrame, step: float) -> DataFrame:
+    """band, desert, kept, footprint: shares by band of longitude. cells: lon, desert, kept (both 0 to 1)."""
+    band = F.floor(F.col("lon") / step)
+    out = cells.groupBy(band.alias("band")).agg(F.avg("desert").alias("desert"), (F.sum(F.col("desert") * F.col("kept")) / F.sum("desert")).alias("kept"), F.count(F.lit(1)).alias("n_"))
+    every = Window.partitionBy(F.lit(0))  # as many rows as bands
+    return out.select("band", "desert", "kept", (F.col("n_") / F.sum("n_").over(every)).alias("footprint"))
+
+
+def block_means(df: DataFrame, value: str, rows: int, cols: int, absent: float) -> DataFrame:
+    """tile, row, col, mean: the mean over a window of rows and columns on a full grid; blocks that are absent count as ``absent``.
+
+    Sums and counts along rows, then along columns; what is missing in the window's clipped
+    box takes the absent value.
+    """
+    across, up = _along("row", "col", cols // 2), _along("col", "row", rows // 2)
+    s = filled(df).withColumns({"s_": F.sum(value).over(across), "n_": F.count(value).over(across)})
+    s = s.withColumns({"sum_": F.sum("s_").over(up), "have_": F.sum("n_").over(up)}).where("here_")
+    return s.select("tile", "row", "col", ((F.col("sum_") + (rows * cols - F.col("have_")) * absent) / (rows * cols)).alias("mean"))

@@ -13,8 +13,7 @@ GRID = f"SELECT 0 AS tile, CAST(floor(y / 500) AS BIGINT) AS row, CAST(floor(x /
 
 
 @query(f"""
-WITH g AS ({GRID}), a AS (SELECT *, min(z) OVER w AS lo, max(z) OVER w AS hi FROM g WINDOW w AS (PARTITION BY row ORDER BY col RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING))
-SELECT row, col, max(hi) OVER w - min(lo) OVER w AS relief, max(hi) OVER w - z AS prominence FROM a WINDOW w AS (PARTITION BY col ORDER BY row RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+WITH g AS MATERIALIZED ({GRID}) SELECT a.row, a.col, max(b.z) - min(b.z) AS relief, max(b.z) - a.z AS prominence FROM g a JOIN g b ON abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY a.row, a.col, a.z""")
 def r4_relief(spark, sf_dir):
     """Relief and prominence in a square of seven cells; holes are invisible."""
     g = raster.focal(derive(spark, sf_dir, GRID), "z", 7)
@@ -46,9 +45,7 @@ SELECT s.row, s.col, round(n / ((least(s.row + 2, r1) - greatest(s.row - 2, r0)
 def r9_box_shares(spark, sf_dir):
     """Shares in a box of five cells by four corners of the summed area; the grid is filled first."""
     g = derive(spark, sf_dir, GRID).select("tile", "row", "col", "n")
-    edge = g.groupBy("tile").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    full = edge.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).select("tile", "row", "col")
-    full = full.join(g.hint("shuffle_hash"), ["tile", "row", "col"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    full = raster.filled(g).withColumn("n", F.coalesce("n", F.lit(0.0))).drop("here_")
     out = raster.box_shares(full, "n", 2).join(g.select("row", "col").hint("shuffle_hash"), ["row", "col"], "left_semi")
     return out.select("row", "col", F.round("share", 8).alias("share"))
 

@@ -84,3 +84,22 @@ def layers(areas: DataFrame) -> DataFrame:
         .when(tag("landuse").isin("retail", "commercial"), "urban")
     )
     return areas.withColumn("layer", layer).where("layer is not null")
+
+
+def slice_with_neighbours(spark: SparkSession, path: str, partition: str, values: list, columns: list[str]) -> DataFrame:
+    """Rows of some partitions with few columns, and all edges that touch their nodes (columns edge, u, v among them)."""
+    every = spark.read.parquet(path)
+    own = every.where(F.col(partition).isin(*values)).select(*columns)
+    nodes = own.select(F.col("u").alias("node_")).unionAll(own.select(F.col("v").alias("node_"))).distinct()
+    other = every.where(~F.col(partition).isin(*values)).select(*columns)
+    at_u = other.join(nodes.hint("merge"), F.col("u") == F.col("node_"), "left_semi")
+    at_v = other.join(nodes.hint("merge"), F.col("v") == F.col("node_"), "left_semi")
+    touching = at_u.unionByName(at_v).dropDuplicates(["edge"])
+    return own.withColumn("inside", F.lit(True)).unionByName(touching.withColumn("inside", F.lit(False)))
+
+
+def report(row: DataFrame, path: str) -> DataFrame:
+    """metric, value: a one-row table of numbers written as JSON, one line a metric, and read back."""
+    lines = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns])).alias("m")
+    row.select(lines).select("m.metric", "m.value").write.json(path)
+    return row.sparkSession.read.schema("metric string, value double").json(path)
