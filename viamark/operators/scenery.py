@@ -75,6 +75,34 @@ def landmark(inside: Column, near: Column, built: Column) -> Column:
     return F.when((inside | near) & (built <= BUILT_MAX), 1.0).otherwise(0.0)
 
 
+#: Shares of land cover by class of the grid: tree, desert, built, wet, mangrove; any other class takes the second.
+COVER = {"tree": (0, 0.8, 0.1), "desert": (2, 0.7, 0.0), "built": (3, 0.6, 0.05), "wet": (1, 0.6, 0.1), "mangrove": (4, 0.2, 0.0)}
+
+
+def with_cover(df: DataFrame, cls: Column) -> DataFrame:
+    return df.withColumns({name: F.when(cls == own, inside).otherwise(outside) for name, (own, inside, outside) in COVER.items()})
+
+
+def with_components(df: DataFrame) -> DataFrame:
+    """The eleven components from distances (d_*, null: nothing near), curvature, relief, prominence and shares of cover."""
+    near = lambda c, d: F.when(F.col(c) <= d, 1.0).otherwise(0.0)
+    clip = lambda c, full: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0.0)) / full))
+    on = lambda c: F.col(c).isNotNull()
+    return df.withColumns({
+        "c_water": F.greatest(two_bands("d_water", DIST["water"], DIST["water_mid"], WATER_MID), sea_as_water("d_coast", F.col("wet"))),
+        "c_coast": near("d_coast", DIST["coast"]),
+        "c_forest": forest(on("d_green").cast("double"), F.col("tree"), F.col("desert")),
+        "c_curves": clip("curvature", CURVE_FULL),
+        "c_relief": clip("relief", RELIEF_FULL),
+        "c_farm": on("d_farm").cast("double"),
+        "c_views": near("d_view", DIST["view"]),
+        "c_scenic_tag": F.col("scenic").cast("double"),
+        "c_urban": two_bands("d_place", DIST["place"], DIST["place_mid"], PLACE_MID),
+        "c_grand": vista("prominence", F.col("tree"), F.col("built"), F.col("mangrove")),
+        "c_protected": landmark(on("d_land"), F.lit(False), F.col("built")),
+    })
+
+
 def scored(df: DataFrame) -> DataFrame:
     """Adds score_adj, unpaved, raw and score to a table with c_ columns, highway and surface."""
     df = df.withColumns({"score_adj": class_adjustment(), "unpaved": unpaved()})

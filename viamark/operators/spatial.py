@@ -1,7 +1,8 @@
 """Spatial and interval joins as equi-joins on cells, with an exact test afterwards.
 
 A distance alone as join condition plans as a nested loop; here one side is copied to the
-cells it may touch and both are hashed on the cell. Cells are as large as the distance.
+cells it may touch and both are joined on the cell by sorting, so that a crowded cell spills
+and can be split. Cells are as large as the distance.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _candidates(points: DataFrame, segs: DataFrame, key: str, d: float, cell: fl
     cut = segs.withColumn("cell", F.explode(touched)).select(key, "ax", "ay", "bx", "by", "cell.cx", "cell.cy")
     at = points.select("pid", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     dist, _ = to_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    return at.join(cut.hint("shuffle_hash"), ["cx", "cy"]).select("pid", key, dist.alias("dist")).where(F.col("dist") <= d)
+    return at.join(cut.hint("merge"), ["cx", "cy"]).select("pid", key, dist.alias("dist")).where(F.col("dist") <= d)
 
 
 def near_pairs(points: DataFrame, segs: DataFrame, key: str, d: float, cell: float | None = None) -> DataFrame:
@@ -58,6 +59,20 @@ def least_distance(points: DataFrame, segs: DataFrame, key: str, d: float, cell:
     return _candidates(points, segs, key, d, cell).groupBy("pid").agg(F.min("dist").alias("dist"))
 
 
+def distances(points: DataFrame, layers: dict[str, tuple[DataFrame, float]], rings: dict[str, DataFrame], key: str, cell: float) -> DataFrame:
+    """pid and ``d_<layer>``: the distance to the nearest feature of each layer within its reach, else null.
+
+    layers: segments and reach; rings: polygons of layers, inside which the distance is 0. All
+    layers share one aggregation, partial in each task.
+    """
+    parts = [_candidates(points, segs, key, d, None).select("pid", F.lit(name).alias("layer"), "dist") for name, (segs, d) in layers.items()]
+    parts += [containing(points, r, key, cell).select("pid", F.lit(name).alias("layer"), F.lit(0.0).alias("dist")) for name, r in rings.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionAll(p)
+    return every.groupBy("pid").agg(*[F.min(F.when(F.col("layer") == name, F.col("dist"))).alias(f"d_{name}") for name in layers])
+
+
 def nearest(points: DataFrame, segs: DataFrame, key: str, d: float) -> DataFrame:
     """pid, key, dist: the nearest feature within ``d``; ties take the smallest key."""
     best = _candidates(points, segs, key, d, None).groupBy("pid").agg(F.min(F.struct("dist", key)).alias("m"))
@@ -73,7 +88,7 @@ def nearest_any(points: DataFrame, segs: DataFrame, key: str, d: float, rounds:
     for _ in range(rounds):
         now = stage(nearest(left, segs, key, d), "nearest")
         found = now if found is None else found.unionByName(now)
-        left = stage(left.join(now.hint("shuffle_hash"), "pid", "left_anti"), "points")
+        left = stage(left.join(now.hint("merge"), "pid", "left_anti"), "points")
         if left.isEmpty():
             return found
         d *= 2
@@ -88,7 +103,7 @@ def containing(points: DataFrame, rings: DataFrame, key: str, size: float) -> Da
     high = lambda c: F.array_max(F.transform("geom", lambda p: p[c]))
     cut = rings.withColumn("cell", F.explode(cells_of_box(low("x"), low("y"), high("x"), high("y"), size))).select(key, "geom", "cell.cx", "cell.cy")
     at = points.select("pid", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    return at.join(cut.hint("shuffle_hash"), ["cx", "cy"]).where(inside(point(F.col("x"), F.col("y")), "geom")).select("pid", key)
+    return at.join(cut.hint("merge"), ["cx", "cy"]).where(inside(point(F.col("x"), F.col("y")), "geom")).select("pid", key)
 
 
 def interval_join(points: DataFrame, spans: DataFrame, on: list[str], t: str, start: str, stop: str, width: float) -> DataFrame:
@@ -99,13 +114,13 @@ def interval_join(points: DataFrame, spans: DataFrame, on: list[str], t: str, st
     bucket = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width)))
     cut = spans.withColumn("bucket_", bucket)
     at = points.withColumn("bucket_", F.floor(F.col(t) / width))
-    return at.join(cut.hint("shuffle_hash"), [*on, "bucket_"]).where((F.col(t) >= F.col(start)) & (F.col(t) <= F.col(stop))).drop("bucket_")
+    return at.join(cut.hint("merge"), [*on, "bucket_"]).where((F.col(t) >= F.col(start)) & (F.col(t) <= F.col(stop))).drop("bucket_")
 
 
 def time_near(left: DataFrame, right: DataFrame, on: list[str], t: str, u: str, d: float) -> DataFrame:
     """Pairs of rows whose times lie within ``d``: buckets of ``d``, the right side in three."""
     near = F.explode(F.array(*[F.floor(F.col(u) / d) + k for k in (-1, 0, 1)]))
-    return left.withColumn("bucket_", F.floor(F.col(t) / d)).join(right.withColumn("bucket_", near).hint("shuffle_hash"), [*on, "bucket_"]).where(F.abs(F.col(t) - F.col(u)) <= d).drop("bucket_")
+    return left.withColumn("bucket_", F.floor(F.col(t) / d)).join(right.withColumn("bucket_", near).hint("merge"), [*on, "bucket_"]).where(F.abs(F.col(t) - F.col(u)) <= d).drop("bucket_")
 
 
 def as_of(left: DataFrame, right: DataFrame, on: list[str], t: str, u: str, value: str) -> DataFrame:

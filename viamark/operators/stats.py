@@ -75,17 +75,23 @@ def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.select(*by, "n", "low", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"), "high", "mean")
 
 
-def bootstrap_means(df: DataFrame, cluster: str, value: str, replicates: int) -> DataFrame:
-    """replicate, mean: clusters drawn with replacement, by arithmetic on their rank.
+#: P(Poisson(1) <= k) for k = 0, 1, ...: a uniform number above k of these draws a cluster k times.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 
-    Clusters are summed before they are drawn: a replicate joins as many rows as clusters.
+
+def bootstrap_means(df: DataFrame, cluster: str, value: str, other: str, replicates: int) -> DataFrame:
+    """replicate, mean, difference: means of ``value``, and less that of ``other``, with whole clusters drawn by Poisson weights.
+
+    A weight is a seeded number of the cluster and the replicate, so clusters need no order
+    and meet no other; a task adds up its own clusters for every replicate.
     """
-    sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.orderBy(cluster)) - 1)
-    clusters = ranked.agg(F.count(F.lit(1)).alias("m"))
-    draws = clusters.select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate")).withColumn("j", F.explode(F.expr("sequence(0L, m - 1L)")))
-    draws = draws.select("replicate", ((F.col("replicate") * 7919 + F.col("j") * F.col("j") * 31 + F.col("j") * F.col("replicate") * 104729) % F.col("m")).alias("rank"))
-    return draws.join(ranked.hint("shuffle_hash"), "rank").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.sum(other).alias("o"), F.count(value).alias("n"))
+    each = sums.withColumn("replicate", F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")))
+    u = (((F.col(cluster) * 7919 + F.col("replicate") * 104729 + 1) % 1000003) * 48271 % 2147483647) / 2147483647.0
+    w = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    total = lambda c: F.sum(F.col(c) * F.col("w"))
+    out = each.withColumn("w", w).groupBy("replicate").agg((total("s") / total("n")).alias("mean"), ((total("s") - total("o")) / total("n")).alias("difference"))
+    return out.where("mean is not null")
 
 
 def quantile_map(df: DataFrame, value: str, key: str, by: str, grid: int = 20) -> DataFrame:

@@ -55,11 +55,14 @@ def rolling_median(value: str, width: int = MEDIAN_WIDTH) -> Column:
 
 def grade(fixes: DataFrame, run: float = GRADE_RUN) -> DataFrame:
     """Rise of the smoothed altitude to the first fix ``run`` ahead along the drive; null at the tail."""
+    from viamark.operators.spatial import as_of
+
+    # Metres ahead are whole centimetres. Counted backwards, the first fix ahead is the last one not after.
+    cm = F.round(F.col("along") * 100).cast("long")
     s = fixes.withColumn("smooth", rolling_median("alt"))
-    # A range frame over numbers takes whole bounds: centimetres.
-    ahead = Window.partitionBy("drive").orderBy(F.round(F.col("along") * 100).cast("long")).rangeBetween(round(run * 100), Window.unboundedFollowing)
-    s = s.withColumn("far", F.min(F.struct("along", "fix", "smooth")).over(ahead))
-    return s.withColumn("grade", (F.col("far.smooth") - F.col("smooth")) / (F.col("far.along") - F.col("along"))).drop("far")
+    ahead = s.select("drive", (-cm).alias("at_"), F.struct("along", "fix", "smooth").alias("far"))
+    s = as_of(s.withColumn("want_", -cm - round(run * 100)), ahead, ["drive"], "want_", "at_", "far")
+    return s.withColumn("grade", (F.col("far.smooth") - F.col("smooth")) / (F.col("far.along") - F.col("along"))).drop("far", "want_")
 
 
 def islands(df: DataFrame, flag: Column, split: Column | None = None) -> DataFrame:

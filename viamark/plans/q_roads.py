@@ -23,14 +23,17 @@ LATERAL (SELECT CASE WHEN s.len > 0 THEN greatest(0.0, least(1.0, (c.d - s.pos)
 GROUP BY ALL"""
 
 
-def _chunks(spark, sf_dir):
-    """way_id, k, length_m, x, y (middle) and the way's tags: pieces of at most 400 m."""
+def _chunks(spark, sf_dir, curves: bool = False):
+    """way_id, k, length_m, x, y (middle) and the way's tags: pieces of at most 400 m; with the road's curvature if asked for."""
     r = roads(spark, sf_dir).withColumn("parts", g.located("geom")).withColumn("total", F.aggregate("parts", F.lit(0.0), lambda t, s: t + s["len"]))
+    more = ["curvature"] if curves else []
+    if curves:
+        r = r.withColumn("curvature", g.curvature("parts", F.col("total"), F.col("total")))
     r = r.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("total") / 400)).cast("int"))
     r = r.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     mid = g.point_on("parts", (F.col("k") + 0.5) * F.col("total") / F.col("n") - 1e-9)
     r = r.withColumn("mid", mid)
-    return r.select("way_id", F.col("k").cast("long").alias("k"), (F.col("total") / F.col("n")).alias("length_m"), F.col("mid.x").alias("x"), F.col("mid.y").alias("y"), "highway", "oneway", "name", "surface", "scenic", "region")
+    return r.select("way_id", F.col("k").cast("long").alias("k"), (F.col("total") / F.col("n")).alias("length_m"), F.col("mid.x").alias("x"), F.col("mid.y").alias("y"), "highway", "oneway", "name", "surface", "scenic", "region", *more)
 
 
 def _as_segments(points, key="id"):
@@ -163,38 +166,59 @@ def j23_nearest_edge_capped(spark, sf_dir):
     return spatial.nearest(places, segs, "way_id", 30.0).select("pid", "way_id", F.round("dist", 3).alias("dist"))
 
 
+#: Curvature of whole roads: points each 60 m, capped turns between chords.
+CURVES = f"""
+SELECT way_id, CASE WHEN any_value(n) >= 2 THEN coalesce(sum(CASE WHEN turn IS NOT NULL THEN least(25.0, turn) END), 0) / (CASE WHEN any_value(total) < 300 THEN 300 ELSE any_value(total) END / 1000) ELSE 0.0 END AS curvature FROM (
+  SELECT *, abs((lead(h) OVER (PARTITION BY way_id ORDER BY k) - h + 540) % 360 - 180) AS turn FROM (
+    SELECT *, (degrees(atan2(lead(x) OVER (PARTITION BY way_id ORDER BY k) - x, lead(y) OVER (PARTITION BY way_id ORDER BY k) - y)) + 360) % 360 AS h FROM (
+      SELECT c.way_id, c.k, c.n, c.total, arg_min(s.x + t * (s.x2 - s.x), s.n) AS x, arg_min(s.y + t * (s.y2 - s.y), s.n) AS y FROM (SELECT way_id, total, n, unnest(range(0, n + 1)) AS k FROM (SELECT way_id, sum(len) AS total, CAST(floor(sum(len) / 60) AS BIGINT) AS n FROM ({SEGMENTS}) s GROUP BY way_id) a) c
+        JOIN ({_RUNNING}) s ON s.way_id = c.way_id AND s.pos + s.len >= c.k * 60, LATERAL (SELECT CASE WHEN s.len > 0 THEN greatest(0.0, least(1.0, (c.k * 60 - s.pos) / s.len)) ELSE 0.0 END AS t) z GROUP BY ALL) p) q) r GROUP BY way_id"""
+
+
 def _scored(spark, sf_dir):
-    """Pieces with water, place and park components and the composite score."""
-    pieces = _chunks(spark, sf_dir).withColumn("pid", F.col("way_id") * 10000 + F.col("k"))
+    """Pieces with the eleven components and the composite score.
+
+    The layers: water and its coast (kinds under 5), parks by number as green, farm and protected
+    land, places as towns and, large ones, as viewpoints, the grid as heights and land cover.
+    """
+    from viamark.operators import raster
+    from viamark.plans.q_rasters import GRID
+    from viamark.plans.tables import stage
+
+    pieces = stage(_chunks(spark, sf_dir, curves=True).withColumn("pid", F.col("way_id") * 10000 + F.col("k")), "pieces")
     at = pieces.select("pid", "x", "y")
-    water = spatial.least_distance(at, _as_segments(derive(spark, sf_dir, WATER)), "id", scenery.DIST["water_mid"]).withColumnRenamed("dist", "d_water")
-    place = spatial.least_distance(at, _as_segments(derive(spark, sf_dir, PLACES)), "id", scenery.DIST["place_mid"]).withColumnRenamed("dist", "d_place")
-    parks = derive(spark, sf_dir, PARKS).where(F.col("side") * F.col("side") >= scenery.MIN_AREA["green"])
-    rings = parks.select("id", g.square(F.col("x"), F.col("y"), F.col("side")).alias("geom"))
-    near = spatial.least_distance(at, spatial.outlines(rings, "id"), "id", scenery.DIST["green"]).select("pid")
-    green = near.unionByName(spatial.containing(at, rings, "id", 700.0).select("pid")).distinct().withColumn("green", F.lit(1.0))
-    df = pieces
-    for side in (water, place, green):
-        df = df.join(side.hint("shuffle_hash"), "pid", "left")
-    df = df.withColumns({
-        "c_water": scenery.two_bands("d_water", 120.0, 350.0, scenery.WATER_MID),
-        "c_urban": scenery.two_bands("d_place", 400.0, 900.0, scenery.PLACE_MID),
-        "c_forest": scenery.forest(F.coalesce("green", F.lit(0.0)), F.lit(0.0), F.lit(0.0)),
-        "c_scenic_tag": F.col("scenic").cast("double"),
-    })
-    return scenery.scored(df)
+    water, places = derive(spark, sf_dir, WATER), derive(spark, sf_dir, PLACES)
+    parks = derive(spark, sf_dir, PARKS).select("id", "side", g.square(F.col("x"), F.col("y"), F.col("side")).alias("geom"))
+    area = F.col("side") * F.col("side")
+    green, farm, land = parks.where(area >= scenery.MIN_AREA["green"]), parks.where((F.col("id") % 3 == 0) & (area >= scenery.MIN_AREA["farm"])), parks.where("id % 4 = 0")
+    d = scenery.DIST
+    near = spatial.distances(at, {
+        "water": (_as_segments(water), d["water_mid"]), "coast": (_as_segments(water.where("kind < 5")), d["coast"]), "place": (_as_segments(places), d["place_mid"]), "view": (_as_segments(places.where("size >= 45")), d["view"]),
+        "green": (spatial.outlines(green, "id"), d["green"]), "farm": (spatial.outlines(farm, "id"), d["farm"]), "land": (spatial.outlines(land, "id"), 80.0),
+    }, {"green": green, "farm": farm, "land": land}, "id", 700.0)
+    grid = raster.focal(derive(spark, sf_dir, GRID).select("tile", "row", "col", "z", "cls"), "z", 7)
+    grid = grid.select("row", "col", "cls", (F.col("high") - F.col("low")).alias("relief"), (F.col("high") - F.col("z")).alias("prominence"))
+    df = pieces.withColumns({"row": F.floor(F.round("y", 6) / 500), "col": F.floor(F.round("x", 6) / 500)}).join(grid.hint("merge"), ["row", "col"], "left").join(near.hint("merge"), "pid", "left")
+    df = scenery.with_cover(df, F.col("cls"))
+    return scenery.scored(scenery.with_components(df))
 
 
 _ADJ = " ".join(f"WHEN '{k}' THEN {v}" for k, v in scenery.CLASS_ADJ.items())
+_PT = "(SELECT pid, min(sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2))) AS d FROM c JOIN (SELECT * FROM ({t}) q WHERE {w}) w ON abs(c.x - w.x) <= {r} AND abs(c.y - w.y) <= {r} GROUP BY pid)"
+_SQ = "(SELECT DISTINCT pid FROM c JOIN ({t}) p ON {w} AND sqrt(pow(greatest(abs(c.x - p.x) - p.side / 2, 0), 2) + pow(greatest(abs(c.y - p.y) - p.side / 2, 0), 2)) <= 80)"
+_GRIDSQL = f"SELECT CAST(floor(y / 500) AS BIGINT) AS row, CAST(floor(x / 500) AS BIGINT) AS col, CAST(sum(node_id * 7 + n * 131) % 900 AS DOUBLE) AS z, min(node_id) % 5 AS cls FROM ({REFS}) v GROUP BY 1, 2"
 _SCORED = f"""
-WITH m AS MATERIALIZED ({_MIDS}), c AS (SELECT m.way_id * 10000 + k AS pid, m.x, m.y, length_m, w.* EXCLUDE (way_id), m.way_id FROM m JOIN ({WAYS}) w ON w.way_id = m.way_id),
-wa AS (SELECT pid, min(sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2))) AS d FROM c JOIN ({WATER}) w ON abs(c.x - w.x) <= 350 AND abs(c.y - w.y) <= 350 GROUP BY pid),
-pl AS (SELECT pid, min(sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2))) AS d FROM c JOIN ({PLACES}) w ON abs(c.x - w.x) <= 900 AND abs(c.y - w.y) <= 900 GROUP BY pid),
-gr AS (SELECT DISTINCT pid FROM c JOIN ({PARKS}) p ON p.side * p.side >= 30000 AND sqrt(pow(greatest(abs(c.x - p.x) - p.side / 2, 0), 2) + pow(greatest(abs(c.y - p.y) - p.side / 2, 0), 2)) <= 80),
-v AS (SELECT c.*, CASE WHEN wa.d <= 120 THEN 1.0 WHEN wa.d <= 350 THEN 0.45 ELSE 0.0 END AS c_water, CASE WHEN pl.d <= 400 THEN 1.0 WHEN pl.d <= 900 THEN 0.5 ELSE 0.0 END AS c_urban,
-  CASE WHEN gr.pid IS NULL THEN 0.0 ELSE 0.5 END AS c_forest, CASE WHEN scenic THEN 1.0 ELSE 0.0 END AS c_scenic_tag, CASE highway {_ADJ} ELSE 0.0 END AS adj
-  FROM c LEFT JOIN wa USING (pid) LEFT JOIN pl USING (pid) LEFT JOIN gr USING (pid)),
-scored AS (SELECT *, 10 * greatest(0.0, least(1.0, (0.22 * c_water + 0.14 * c_urban + 0.18 * c_forest + 0.07 * c_scenic_tag + 0.143) * 1.2 + adj))::DOUBLE AS score FROM v)
+WITH m AS MATERIALIZED ({_MIDS}), cv AS MATERIALIZED ({CURVES}), c AS MATERIALIZED (SELECT m.way_id * 10000 + k AS pid, m.x, m.y, length_m, w.* EXCLUDE (way_id), m.way_id, cv.curvature FROM m JOIN ({WAYS}) w ON w.way_id = m.way_id JOIN cv ON cv.way_id = m.way_id),
+gr0 AS MATERIALIZED ({_GRIDSQL}), gf AS MATERIALIZED (SELECT a.row, a.col, a.cls, max(b.z) - min(b.z) AS relief, max(b.z) - a.z AS prominence FROM gr0 a JOIN gr0 b ON abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY a.row, a.col, a.cls, a.z),
+wa AS {_PT.format(t=WATER, w='TRUE', r=350)}, co AS {_PT.format(t=WATER, w='kind < 5', r=800)}, pl AS {_PT.format(t=PLACES, w='TRUE', r=900)}, vi AS {_PT.format(t=PLACES, w='size >= 45', r=400)},
+gr AS {_SQ.format(t=PARKS, w='p.side * p.side >= 30000')}, fa AS {_SQ.format(t=PARKS, w='p.id % 3 = 0 AND p.side * p.side >= 20000')}, la AS {_SQ.format(t=PARKS, w='p.id % 4 = 0')},
+b AS (SELECT c.*, wa.d AS dw, co.d AS dc, pl.d AS dp, vi.d AS dv, gr.pid IS NOT NULL AS green, fa.pid IS NOT NULL AS farm, la.pid IS NOT NULL AS land, coalesce(relief, 0) AS relief, coalesce(prominence, 0) AS prominence,
+  CASE WHEN cls = 0 THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END AS tree, CASE WHEN cls = 2 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS desert, CASE WHEN cls = 3 THEN 0.6::DOUBLE ELSE 0.05::DOUBLE END AS built, CASE WHEN cls = 1 THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END AS wet, CASE WHEN cls = 4 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS mangrove
+  FROM c LEFT JOIN gf ON gf.row = CAST(floor(round(c.y, 6) / 500) AS BIGINT) AND gf.col = CAST(floor(round(c.x, 6) / 500) AS BIGINT) LEFT JOIN wa USING (pid) LEFT JOIN co USING (pid) LEFT JOIN pl USING (pid) LEFT JOIN vi USING (pid) LEFT JOIN gr USING (pid) LEFT JOIN fa USING (pid) LEFT JOIN la USING (pid)),
+v AS (SELECT *, greatest(CASE WHEN dw <= 120 THEN 1.0 WHEN dw <= 350 THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN wet >= 0.5 AND dc <= 120 THEN 1.0 WHEN wet >= 0.5 AND dc <= 350 THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END) AS c_water, CASE WHEN dc <= 800 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_coast,
+  greatest(0.5::DOUBLE * CASE WHEN green THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.5::DOUBLE * tree, desert) AS c_forest, greatest(0.0, least(1.0, curvature / 160)) AS c_curves, greatest(0.0, least(1.0, relief / 100)) AS c_relief, CASE WHEN farm THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_farm, CASE WHEN dv <= 400 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_views,
+  CASE WHEN scenic THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_scenic_tag, CASE WHEN dp <= 400 THEN 1.0 WHEN dp <= 900 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS c_urban, greatest(0.0, 1.0::DOUBLE - tree - built - mangrove) * greatest(0.0, least(1.0, (prominence - 300) / 600)) AS c_grand, CASE WHEN land AND built <= 0.3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_protected, CAST(CASE highway {_ADJ} ELSE 0.0 END AS DOUBLE) AS adj FROM b),
+scored AS (SELECT *, 10 * greatest(0.0, least(1.0, ({' + '.join(f'{w}::DOUBLE * c_{k}' for k, w in scenery.WEIGHTS.items())} + 0.143::DOUBLE) * 1.2::DOUBLE + adj))::DOUBLE AS score FROM v)
 """
 
 
@@ -213,19 +237,19 @@ def t1_top_roads(spark, sf_dir):
 
 @query(_SCORED + """, r AS (SELECT round(score, 6) AS score FROM scored, LATERAL (SELECT unnest(range(0, greatest(1, CAST(round(length_m / 100) AS BIGINT))))) z)
 SELECT round((SELECT quantile_cont(score, 0.1) FROM r), 4) AS p10, round((SELECT quantile_cont(score, 0.5) FROM r), 4) AS p50, round((SELECT quantile_cont(score, 0.9) FROM r), 4) AS p90, round((SELECT quantile_cont(score, 0.99) FROM r), 4) AS p99,
-  round(sum(CASE WHEN score <= 0 THEN length_m ELSE 0 END) / sum(length_m), 6) AS floor_share, round(sum(CASE WHEN score >= 10 THEN length_m ELSE 0 END) / sum(length_m), 6) AS ceiling_share FROM scored""")
+  round(sum(CASE WHEN round(score, 6) <= 0 THEN length_m ELSE 0 END) / sum(length_m), 6) AS floor_share, round(sum(CASE WHEN round(score, 6) >= 10 THEN length_m ELSE 0 END) / sum(length_m), 6) AS ceiling_share FROM scored""")
 def a4_calibration(spark, sf_dir):
     out = scenery.calibration(_scored(spark, sf_dir).withColumn("score", F.round("score", 6)))
     return out.select(*[F.round(c, 4 if c.startswith("p") else 6).alias(c) for c in out.columns])
 
 
-@query(_SCORED + """SELECT way_id, round(sum(c_water * length_m) / sum(length_m), 6) AS c_water, round(sum(c_urban * length_m) / sum(length_m), 6) AS c_urban, round(sum(c_forest * length_m) / sum(length_m), 6) AS c_forest,
-  round(sum(CASE WHEN surface IN ('gravel', 'compacted') THEN length_m ELSE 0 END) / sum(length_m), 6) AS unpaved FROM scored GROUP BY way_id""")
+@query(_SCORED + f"""SELECT way_id, round(sum(c_water * length_m) / sum(length_m), 8) AS c_water, round(sum(c_urban * length_m) / sum(length_m), 8) AS c_urban, round(sum(c_forest * length_m) / sum(length_m), 8) AS c_forest, {', '.join(f"round(sum(c_{k} * length_m) / sum(length_m), 8)::DOUBLE AS c_{k}" for k in ("coast", "curves", "relief", "farm", "views", "grand", "protected"))},
+  round(sum(CASE WHEN surface IN ('gravel', 'compacted') THEN length_m ELSE 0 END) / sum(length_m), 8) AS unpaved FROM scored GROUP BY way_id""")
 def a1_edge_means(spark, sf_dir):
-    """A1: length-weighted means of components for each way, and its unpaved share."""
-    values = ["c_water", "c_urban", "c_forest", "unpaved"]
+    """A1, A3: length-weighted means of components for each way, and its unpaved share."""
+    values = ["c_water", "c_urban", "c_forest", "c_coast", "c_curves", "c_relief", "c_farm", "c_views", "c_grand", "c_protected", "unpaved"]
     out = scenery.edge_means(_scored(spark, sf_dir), "way_id", "length_m", values)
-    return out.select("way_id", *[F.round(v, 6).alias(v) for v in values])
+    return out.select("way_id", *[F.round(v, 8).alias(v) for v in values])
 
 
 @query(f"SELECT node_id, count(*) AS uses FROM ({REFS}) r GROUP BY node_id HAVING count(*) >= 2")

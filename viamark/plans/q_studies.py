@@ -10,6 +10,7 @@ from viamark.operators.scenery import unpaved
 from viamark.plans.catalog import query
 from viamark.plans.derived import REFS, SEGMENTS, WAYS, derive
 from viamark.plans.q_rasters import ROUTE
+from viamark.plans.q_roads import CURVES
 from viamark.plans.q_traces import _MARKS, _marks
 
 _KMH = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SPEED_KMH.items())
@@ -198,9 +199,9 @@ def a6_controls(spark, sf_dir):
     return network.controls(refs.select("way_id", "n", "node_id"), signs, network.junctions(refs), ways).drop("seq")
 
 
-@query()
+@query(f"SELECT way_id, round(curvature, 4) AS curvature FROM ({CURVES}) c WHERE way_id IN (SELECT way_id FROM ({WAYS}) w)")
 def d4_curvature(spark, sf_dir):
-    """Degrees of turn per km of every road, between chords of 60 m; the tests hold the arithmetic."""
+    """Degrees of turn per km of every road, between chords of 60 m."""
     from viamark.functions import geometry as g
     from viamark.plans.derived import roads
 

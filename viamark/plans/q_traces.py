@@ -212,16 +212,16 @@ def a11_mark_report(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS (SELECT drive, sum(floor(speed)) AS s, count(*) AS n, row_number() OVER (ORDER BY drive) - 1 AS rank FROM ({FIXES}) f GROUP BY drive), k AS (SELECT count(*) AS m FROM c),
-d AS (SELECT r, (r * 7919 + j * j * 31 + j * r * 104729) % m AS rank FROM k, range(0, 200) a(r), LATERAL (SELECT unnest(range(0, m)) AS j) z),
-b AS (SELECT r, sum(s) / sum(n) AS mean FROM d JOIN c USING (rank) GROUP BY r)
-SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.5), 6) AS mid, round(quantile_cont(mean, 0.975), 6) AS high FROM b""")
+WITH c AS (SELECT drive, sum(floor(speed)) AS s, sum(CASE WHEN kind = 'view' THEN floor(speed) ELSE 1 END) AS o, count(*) AS n FROM ({FIXES}) f GROUP BY drive), d AS (SELECT r, s, o, n, (((drive * 7919 + r * 104729 + 1) % 1000003) * 48271 % 2147483647) / 2147483647.0 AS u FROM c, range(0, 200) a(r)),
+w AS (SELECT r, s, o, n, {' + '.join(f"CASE WHEN u >= {p!r}::DOUBLE THEN 1 ELSE 0 END" for p in stats.POISSON)} AS w FROM d), b AS (SELECT r, sum(s * w) / sum(n * w) AS mean, (sum(s * w) - sum(o * w)) / sum(n * w) AS diff FROM w GROUP BY r HAVING sum(n * w) > 0)
+SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.5), 6) AS mid, round(quantile_cont(mean, 0.975), 6) AS high, round(quantile_cont(diff, 0.025), 6) AS diff_low, round(quantile_cont(diff, 0.975), 6) AS diff_high FROM b""")
 def a12_bootstrap(spark, sf_dir):
-    """Interval of a mean by drawing whole drives."""
-    f = _fixes(spark, sf_dir).withColumn("v", F.floor("speed"))
-    b = stats.bootstrap_means(f, "drive", "v", 200)
-    p = b.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p"))
-    return p.select(F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("mid"), F.round(F.col("p")[2], 6).alias("high"))
+    """Intervals of a mean and of a paired difference by drawing whole drives."""
+    f = _fixes(spark, sf_dir).withColumns({"v": F.floor("speed"), "o": F.when(F.col("kind") == "view", F.floor("speed")).otherwise(1)})
+    b = stats.bootstrap_means(f, "drive", "v", "o", 200)
+    p = b.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p"), F.percentile("difference", F.array(F.lit(0.025), F.lit(0.975))).alias("d"))  # 200 rows
+    r = lambda c, i, n: F.round(F.col(c)[i], 6).alias(n)
+    return p.select(r("p", 0, "low"), r("p", 1, "mid"), r("p", 2, "high"), r("d", 0, "diff_low"), r("d", 1, "diff_high"))
 
 
 _Z = "greatest(0, abs(w - l) - 1) / sqrt(w + l)"
