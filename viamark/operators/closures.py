@@ -132,7 +132,7 @@ def closed_by_lines(match: DataFrame, windows: DataFrame) -> DataFrame:
     """
     closing = match.join(windows.select("line").distinct().hint("merge"), "line", "left_semi")
     e = Window.partitionBy("edge")
-    closing = closing.withColumns({"covered": F.sum("share").over(e), "most": F.max("share").over(e)})
+    closing = closing.withColumns({"covered": F.round(F.sum("share").over(e), 9), "most": F.max("share").over(e)})
     kept = closing.where((F.col("covered") >= MIN_SHARE) & ((F.col("share") >= WINDOW_SHARE) | (F.col("most") < WINDOW_SHARE)))
     return kept.join(windows.hint("merge"), "line").groupBy("edge", *WINDOW).agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("lines"))
 
@@ -153,7 +153,7 @@ def no_car_edges(match: DataFrame, lines: DataFrame, edges: DataFrame, exception
     match: edge, line, share; lines: line, car (boolean). The line named has the greatest share.
     """
     closing = match.join(lines.where("not car").select("line").hint("merge"), "line", "left_semi")
-    e = closing.groupBy("edge").agg(F.sum("share").alias("covered"), F.min(F.struct((-F.col("share")).alias("less"), "line")).alias("m")).where(F.col("covered") >= MIN_SHARE)
+    e = closing.groupBy("edge").agg(F.round(F.sum("share"), 9).alias("covered"), F.min(F.struct((-F.col("share")).alias("less"), "line")).alias("m")).where(F.col("covered") >= MIN_SHARE)
     why = F.coalesce(exception, F.when(sealed, F.lit("sealed surface")))
     return e.join(edges.hint("merge"), "edge").select("edge", F.col("m.line").alias("line"), why.alias("why"))
 

@@ -165,7 +165,7 @@ def robust_defects(df: DataFrame, value: str, reach: int = 2, times: float = 6.0
 def gate_seam(cells: DataFrame, step: float) -> DataFrame:
     """band, desert, kept, footprint: shares by band of longitude. cells: lon, desert, kept (both 0 to 1)."""
     band = F.floor(F.col("lon") / step)
-    out = cells.groupBy(band.alias("band")).agg(F.avg("desert").alias("desert"), (F.sum(F.col("desert") * F.col("kept")) / F.sum("desert")).alias("kept"), F.count(F.lit(1)).alias("n_"))
+    out = cells.groupBy(band.alias("band")).agg(F.avg("desert").alias("desert"), (F.sum(F.col("desert") * F.col("kept")) / F.nullif(F.sum("desert"), F.lit(0.0))).alias("kept"), F.count(F.lit(1)).alias("n_"))
     every = Window.partitionBy(F.lit(0))  # as many rows as bands
     return out.select("band", "desert", "kept", (F.col("n_") / F.sum("n_").over(every)).alias("footprint"))
 

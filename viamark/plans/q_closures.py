@@ -220,7 +220,7 @@ def c7_agency_windows(spark, sf_dir):
 
 
 @query(f"""
-WITH s AS ({SHARES}), w AS (SELECT s_suppkey AS line, CASE WHEN s_suppkey % 2 = 0 THEN 11 ELSE 12 END AS m1 FROM supplier WHERE s_suppkey % 3 <> 0), k AS (SELECT s.*, w.m1, sum(share) OVER (PARTITION BY edge) AS covered, max(share) OVER (PARTITION BY edge) AS most FROM s JOIN w USING (line))
+WITH s AS ({SHARES}), w AS (SELECT s_suppkey AS line, CASE WHEN s_suppkey % 2 = 0 THEN 11 ELSE 12 END AS m1 FROM supplier WHERE s_suppkey % 3 <> 0), k AS (SELECT s.*, w.m1, round(sum(share) OVER (PARTITION BY edge), 9) AS covered, max(share) OVER (PARTITION BY edge) AS most FROM s JOIN w USING (line))
 SELECT edge, m1, min(line) AS line, count(*) AS lines FROM k WHERE covered >= 0.5 AND (share >= 0.2 OR most < 0.2) GROUP BY edge, m1""")
 def j7_closed_by_lines(spark, sf_dir):
     """Edges that seasonal lines cover by half, and the windows of lines with a fifth of them."""
@@ -243,7 +243,7 @@ def j8_agency_precedence(spark, sf_dir):
 
 
 @query(f"""
-WITH s AS ({SHARES}), n AS (SELECT line FROM ({LINES}) l WHERE NOT car), g AS (SELECT edge, sum(share) AS covered, arg_min(line, (-share, line)) AS line FROM s JOIN n USING (line) GROUP BY edge)
+WITH s AS ({SHARES}), n AS (SELECT line FROM ({LINES}) l WHERE NOT car), g AS (SELECT edge, round(sum(share), 9) AS covered, arg_min(line, (-share, line)) AS line FROM s JOIN n USING (line) GROUP BY edge)
 SELECT edge, line, CASE WHEN highway IN ({', '.join(f"'{m}'" for m in MAJOR if m != 'secondary' and m != 'secondary_link')}) THEN 'highway=' || highway WHEN surface IN ('asphalt', 'paved') THEN 'sealed surface' END AS why FROM g JOIN ({WAYS}) w ON w.way_id = edge WHERE covered >= 0.5""")
 def j9_no_car_edges(spark, sf_dir):
     """Edges that lines without a designation for cars close, and the exceptions that keep them open."""

@@ -53,7 +53,7 @@ def r7_blob_mask(spark, sf_dir):
     return raster.blob_mask(_grid(spark, sf_dir), "z", 4, 2, 250.0, 1).select("brow", "bcol")
 
 
-@query(f"SELECT CAST(floor(col / 10.0) AS BIGINT) AS band, round(avg(d), 8) AS desert, round(sum(d * k) / sum(d), 8) AS kept, round(count(*) / sum(count(*)) OVER (), 8) AS footprint FROM (SELECT col, CASE WHEN cls = 2 THEN 1.0::DOUBLE ELSE 0.0 END AS d, CASE WHEN z > 300 THEN 1.0::DOUBLE ELSE 0.0 END AS k FROM ({GRID}) g) q GROUP BY 1")
+@query(f"SELECT CAST(floor(col / 10.0) AS BIGINT) AS band, round(avg(d), 8) AS desert, round(sum(d * k) / nullif(sum(d), 0), 8) AS kept, round(count(*) / sum(count(*)) OVER (), 8) AS footprint FROM (SELECT col, CASE WHEN cls = 2 THEN 1.0::DOUBLE ELSE 0.0 END AS d, CASE WHEN z > 300 THEN 1.0::DOUBLE ELSE 0.0 END AS k FROM ({GRID}) g) q GROUP BY 1")
 def r12_gate_seam(spark, sf_dir):
     """Shares of desert, of what a gate keeps of it, and of the footprint by band of columns."""
     g = _grid(spark, sf_dir).select(F.col("col").cast("double").alias("lon"), F.when(F.col("cls") == 2, 1.0).otherwise(0.0).alias("desert"), F.when(F.col("z") > 300, 1.0).otherwise(0.0).alias("kept"))
