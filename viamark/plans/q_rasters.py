@@ -148,7 +148,7 @@ b AS (SELECT o_custkey AS k, o_orderdate AS v, row_number() OVER (PARTITION BY o
 j AS (SELECT CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'old' ELSE 'both' END AS side, a.v IS DISTINCT FROM b.v AS dv, a.p IS DISTINCT FROM b.p AS dp FROM a FULL JOIN b ON a.k = b.k AND a.nth = b.nth)
 SELECT side, count(*) AS rows, sum(CASE WHEN side = 'both' AND dv THEN 1 ELSE 0 END) AS dates, sum(CASE WHEN side = 'both' AND dp THEN 1 ELSE 0 END) AS prices FROM j GROUP BY side""")
 def j18_reconcile(spark, sf_dir):
-    """Full outer comparison of two builds, repeats numbered, differences by column."""
+    """Full outer comparison of two builds, repeats numbered, differences by column."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("v"), F.col("o_totalprice").alias("p"), F.col("o_orderkey").alias("i"))
     old = o.where("i % 10 <> 3").drop("i")
     new = o.where("i % 10 <> 4").withColumn("p", F.col("p") + (F.col("i") % 7 == 0).cast("int")).drop("i")
@@ -159,7 +159,7 @@ def j18_reconcile(spark, sf_dir):
 
 @query()
 def q2_dataset_digest(spark, sf_dir):
-    """Q1, Q2: a digest of a table that does not depend on the order or the files of its rows."""
+    """Q2: a digest of a table that does not depend on the order or the files of its rows."""
     return checks.digest(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 

@@ -124,7 +124,7 @@ def d11_ring_area(spark, sf_dir):
 SELECT p.id AS place, q.id AS park FROM ({PLACES}) p JOIN ({PARKS}) q ON abs(p.x - q.x) <= 20 * q.side / 2 AND abs(p.y - q.y) <= 20 * q.side / 2
 WHERE p.x < q.x + 10 * q.side AND p.x >= q.x - 10 * q.side AND p.y < q.y + 10 * q.side AND p.y >= q.y - 10 * q.side""")
 def d12_point_in_polygon(spark, sf_dir):
-    """Places inside parks grown twenty times, by cells and the even-odd rule."""
+    """Places inside parks grown twenty times, by cells and the even-odd rule."""
     parks = derive(spark, sf_dir, PARKS).select(F.col("id").alias("park"), g.square(F.col("x"), F.col("y"), F.col("side") * 20).alias("geom"))
     places = derive(spark, sf_dir, PLACES).withColumnRenamed("id", "pid")
     return spatial.containing(places, parks, "park", 2000.0).select(F.col("pid").alias("place"), "park")
@@ -224,7 +224,7 @@ scored AS (SELECT *, 10 * greatest(0.0, least(1.0, ({' + '.join(f'{w}::DOUBLE *
 
 @query(_SCORED + "SELECT highway, round(sum(length_m) / 1000, 3) AS km, round(sum(score * length_m) / sum(length_m), 5) AS score, count(*) AS pieces FROM scored GROUP BY highway")
 def a5_score_by_class(spark, sf_dir):
-    """The flagship: length-weighted scenic score by road class."""
+    """A2, A3, A5, the flagship: length-weighted scenic score of eleven components by road class."""
     out = scenery.by_class(_scored(spark, sf_dir))
     return out.select("highway", F.round("km", 3).alias("km"), F.round("score", 5).alias("score"), "pieces")
 

@@ -10,7 +10,7 @@ from viamark.operators.scenery import unpaved
 from viamark.plans.catalog import query
 from viamark.plans.derived import REFS, SEGMENTS, WAYS, derive
 from viamark.plans.q_rasters import ROUTE
-from viamark.plans.q_roads import CURVES
+from viamark.plans.q_roads import _RUNNING, CURVES
 from viamark.plans.q_traces import _MARKS, _marks
 
 _KMH = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SPEED_KMH.items())
@@ -33,7 +33,7 @@ def a23_tag_coverage(spark, sf_dir):
 
 @query(f"SELECT region, highway, round(sum(length_m) / 1000, 4) AS km, round(sum(length_m * score) / sum(length_m), 8) AS mean, round(sum(CASE WHEN score >= 7 THEN length_m ELSE 0 END) / sum(length_m), 8) AS high FROM ({LENGTHS}) w GROUP BY ROLLUP (region, highway)")
 def a26_region_totals(spark, sf_dir):
-    """Tables by region and class with total rows."""
+    """Tables by region and class with total rows."""
     out = studies.totals(_ways(spark, sf_dir), "region", "highway")
     return out.select("region", "highway", F.round("km", 4).alias("km"), F.round("mean", 8).alias("mean"), F.round("high", 8).alias("high"))
 
@@ -61,18 +61,40 @@ def a31_movers(spark, sf_dir):
 _ALL = f"SELECT s.way_id, s.n, s.x, s.y, s.x2, s.y2, (degrees(atan2(x2 - x, y2 - y)) + 360) % 360 AS b, w.highway FROM ({SEGMENTS}) s JOIN ({WAYS}) w ON w.way_id = s.way_id WHERE len > 0"
 
 
+#: Samples each 25 m of minor ways, with the bearing of the segment they lie on.
+_EVERY = f"""
+SELECT c.way_id AS edge, c.way_id * 100000 + c.k AS pid, round(arg_min(s.x + t * (s.x2 - s.x), s.n), 6) AS px, round(arg_min(s.y + t * (s.y2 - s.y), s.n), 6) AS py, arg_min((degrees(atan2(s.x2 - s.x, s.y2 - s.y)) + 360) % 360, s.n) AS pb FROM (
+  SELECT way_id, k, (k + 0.5) * total / n AS at FROM (SELECT way_id, total, n, unnest(range(0, n)) AS k FROM (SELECT s.way_id, sum(len) AS total, CAST(greatest(1, round(sum(len) / 25)) AS BIGINT) AS n FROM ({SEGMENTS}) s JOIN ({WAYS}) w ON w.way_id = s.way_id WHERE highway IN ('tertiary', 'residential') GROUP BY s.way_id HAVING sum(len) > 0) a) b) c
+  JOIN ({_RUNNING}) s ON s.way_id = c.way_id AND s.pos + s.len >= c.at - 1e-9, LATERAL (SELECT CASE WHEN s.len > 0 THEN greatest(0.0, least(1.0, (c.at - s.pos) / s.len)) ELSE 0.0 END AS t) z GROUP BY c.way_id, c.k"""
+_OFFS = """
+SELECT p.*, q.way_id, CASE WHEN abs(pb - b) % 180 > 90 THEN 180 - abs(pb - b) % 180 ELSE abs(pb - b) % 180 END AS off, sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2)) AS dist
+  FROM p JOIN a q ON q.highway IN ('motorway', 'primary', 'secondary') AND least(q.x, q.x2) - {d} <= px AND greatest(q.x, q.x2) + {d} >= px AND least(q.y, q.y2) - {d} <= py AND greatest(q.y, q.y2) + {d} >= py,
+  LATERAL (SELECT greatest(0.0, least(1.0, ((px - q.x) * (q.x2 - q.x) + (py - q.y) * (q.y2 - q.y)) / ((q.x2 - q.x) * (q.x2 - q.x) + (q.y2 - q.y) * (q.y2 - q.y)))) AS t) z"""
+
+
+def _every(spark, sf_dir):
+    """edge, pid, x, y, bearing: samples each 25 m of minor ways."""
+    from viamark.functions import geometry as g
+    from viamark.plans.derived import roads
+
+    r = roads(spark, sf_dir).where(F.col("highway").isin("tertiary", "residential")).withColumn("parts", g.located("geom")).withColumn("total", F.aggregate("parts", F.lit(0.0), lambda t, s: t + s["len"])).where("total > 0")
+    r = r.withColumn("n", F.greatest(F.lit(1), F.round(F.col("total") / 25)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = (F.col("k") + 0.5) * F.col("total") / F.col("n") - 1e-9
+    r = r.withColumns({"p": g.point_on("parts", at), "on": F.element_at(F.filter("parts", lambda s: s["at"] + s["len"] >= at), 1)})
+    return r.select(F.col("way_id").alias("edge"), (F.col("way_id") * 100000 + F.col("k")).alias("pid"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), g.bearing(F.col("on.a"), F.col("on.b")).alias("bearing"))
+
+
+def _major(spark, sf_dir):
+    s = derive(spark, sf_dir, _ALL).where(F.col("highway").isin("motorway", "primary", "secondary"))
+    return s.select("way_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"), F.col("b").alias("bearing"))
+
+
 @query(f"""
-WITH a AS MATERIALIZED ({_ALL}), p AS (SELECT way_id * 10000 + n AS pid, (x + x2) / 2 AS px, (y + y2) / 2 AS py, b AS pb FROM a WHERE highway IN ('tertiary', 'residential')),
-d AS (SELECT pid, way_id, CASE WHEN abs(pb - b) % 180 > 90 THEN 180 - abs(pb - b) % 180 ELSE abs(pb - b) % 180 END AS off, sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2)) AS dist
-  FROM (SELECT p.*, q.way_id, q.x, q.y, q.x2, q.y2, q.b, greatest(0.0, least(1.0, ((px - q.x) * (q.x2 - q.x) + (py - q.y) * (q.y2 - q.y)) / ((q.x2 - q.x) * (q.x2 - q.x) + (q.y2 - q.y) * (q.y2 - q.y)))) AS t
-    FROM p JOIN a q ON q.highway IN ('motorway', 'primary', 'secondary') AND least(q.x, q.x2) - 12 <= px AND greatest(q.x, q.x2) + 12 >= px AND least(q.y, q.y2) - 12 <= py AND greatest(q.y, q.y2) + 12 >= py) z)
+WITH a AS MATERIALIZED ({_ALL}), p AS MATERIALIZED ({_EVERY}), d AS ({_OFFS.format(d=12)})
 SELECT pid, arg_min(way_id, (dist, way_id)) AS way_id, round(min(dist), 4) AS dist FROM d WHERE dist <= 12 AND off <= 30 GROUP BY pid""")
 def j5_same_way_match(spark, sf_dir):
-    """The nearest major road within 12 m that runs the same way, for the middle of every minor segment."""
-    s = derive(spark, sf_dir, _ALL)
-    p = s.where(F.col("highway").isin("tertiary", "residential")).select((F.col("way_id") * 10000 + F.col("n")).alias("pid"), ((F.col("x") + F.col("x2")) / 2).alias("x"), ((F.col("y") + F.col("y2")) / 2).alias("y"), F.col("b").alias("bearing"))
-    q = s.where(F.col("highway").isin("motorway", "primary", "secondary")).select("way_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"), F.col("b").alias("bearing"))
-    return studies.same_way(p, q, "way_id").withColumn("dist", F.round("dist", 4))
+    """The nearest major road within 12 m that runs the same way, each 25 m of every minor road."""
+    return studies.same_way(_every(spark, sf_dir).drop("edge"), _major(spark, sf_dir), "way_id").withColumn("dist", F.round("dist", 4))
 
 
 @query(f"""
@@ -101,7 +123,7 @@ def w15_legs(spark, sf_dir):
 WITH e AS (SELECT way_id, region, highway FROM ({LENGTHS}) w), o AS (SELECT way_id, CASE WHEN way_id % 17 = 0 THEN 'other' ELSE highway END AS highway FROM e)
 SELECT e.region, count(*) AS rows, sum(CASE WHEN e.highway <> o.highway THEN 1 ELSE 0 END) AS differ FROM e JOIN o USING (way_id) GROUP BY e.region""")
 def j16_aligned_check(spark, sf_dir):
-    """Two tables of the same keys joined and the columns that must be equal counted."""
+    """Two tables of the same keys joined and the columns that must be equal counted."""
     e = derive(spark, sf_dir, LENGTHS).select("way_id", "region", "highway")
     o = e.select("way_id", F.when(F.col("way_id") % 17 == 0, "other").otherwise(F.col("highway")).alias("other"))
     return e.join(o.hint("shuffle_hash"), "way_id").groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("highway") != F.col("other")).cast("int")).alias("differ"))
@@ -119,7 +141,7 @@ def j17_side_table_check(spark, sf_dir):
 WITH m AS (SELECT stratum, score, nice, road FROM ({_MARKS}) q), r AS (SELECT stratum, count(*) AS n, round(avg(CASE WHEN nice = 1 THEN score END), 6) AS nice_mean, round(avg(CASE WHEN nice = 0 THEN score END), 6) AS dull_mean, count(DISTINCT road) AS roads FROM m GROUP BY stratum)
 SELECT * FROM r""")
 def v28_feature_separation(spark, sf_dir):
-    """How a single feature separates marks in each stratum."""
+    """How a single feature separates marks in each stratum."""
     m = _marks(spark, sf_dir)
     mean = lambda v: F.round(F.avg(F.when(F.col("nice") == v, F.col("score"))), 6)
     return m.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), mean(1).alias("nice_mean"), mean(0).alias("dull_mean"), F.countDistinct("road").alias("roads"))
@@ -140,23 +162,15 @@ def j37_banded_pairs(spark, sf_dir):
     return studies.banded_pairs(derive(spark, sf_dir, PLACES), [1000.0, 5000.0, 10000.0, 20000.0, 60000.0], 500, 8)
 
 
-_NEAREST = f"""
-WITH a AS MATERIALIZED ({_ALL}), p AS (SELECT way_id AS edge, way_id * 10000 + n AS pid, (x + x2) / 2 AS px, (y + y2) / 2 AS py, b AS pb FROM a WHERE highway IN ('tertiary', 'residential')),
-d AS (SELECT edge, pid, way_id, CASE WHEN abs(pb - b) % 180 > 90 THEN 180 - abs(pb - b) % 180 ELSE abs(pb - b) % 180 END AS off, sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t * (y2 - y), 2)) AS dist
-  FROM (SELECT p.*, q.way_id, q.x, q.y, q.x2, q.y2, q.b, greatest(0.0, least(1.0, ((px - q.x) * (q.x2 - q.x) + (py - q.y) * (q.y2 - q.y)) / ((q.x2 - q.x) * (q.x2 - q.x) + (q.y2 - q.y) * (q.y2 - q.y)))) AS t
-    FROM p JOIN a q ON q.highway IN ('motorway', 'primary', 'secondary') AND least(q.x, q.x2) - 15 <= px AND greatest(q.x, q.x2) + 15 >= px AND least(q.y, q.y2) - 15 <= py AND greatest(q.y, q.y2) + 15 >= py) z),
+@query(f"""
+WITH a AS MATERIALIZED ({_ALL}), p AS MATERIALIZED ({_EVERY}), d AS ({_OFFS.format(d=15)}),
 b AS (SELECT edge, pid, arg_min(way_id, (dist, way_id, off)) AS way_id, arg_min(off, (dist, way_id, off)) AS off FROM d WHERE dist <= 15 GROUP BY edge, pid)
-SELECT b.edge, b.way_id, round(count(*) / any_value(n.n), 8) AS share FROM b JOIN (SELECT edge, count(*) AS n FROM p GROUP BY edge) n ON n.edge = b.edge WHERE off <= 30 GROUP BY b.edge, b.way_id"""
-
-
-@query(_NEAREST)
+SELECT b.edge, b.way_id, round(count(*) / any_value(n.n), 8) AS share FROM b JOIN (SELECT edge, count(*) AS n FROM p GROUP BY edge) n ON n.edge = b.edge WHERE off <= 30 GROUP BY b.edge, b.way_id""")
 def j6_line_shares(spark, sf_dir):
-    """Nearest line within 15 m first, then its direction; the share of each edge's samples on a line."""
-    s = derive(spark, sf_dir, _ALL)
-    p = s.where(F.col("highway").isin("tertiary", "residential")).select(F.col("way_id").alias("edge"), (F.col("way_id") * 10000 + F.col("n")).alias("pid"), ((F.col("x") + F.col("x2")) / 2).alias("x"), ((F.col("y") + F.col("y2")) / 2).alias("y"), F.col("b").alias("bearing"))
-    q = s.where(F.col("highway").isin("motorway", "primary", "secondary")).select("way_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"), F.col("b").alias("bearing"))
-    m = studies.same_way(p, q, "way_id", 15.0, 30.0, align_first=False)
-    return studies.covered(m, p, "edge", "way_id").withColumn("share", F.round("share", 8))
+    """Nearest line within 15 m first, then its direction; the share of each road's samples, 25 m apart, on a line."""
+    p = _every(spark, sf_dir)
+    m = studies.same_way(p, _major(spark, sf_dir), "way_id", 15.0, 30.0, align_first=False)
+    return studies.covered(m, p.select("pid", "edge"), "edge", "way_id").withColumn("share", F.round("share", 8))
 
 
 @query(f"""

@@ -133,7 +133,7 @@ _DOY = "list_value(0, 31, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335)"
 WITH w AS ({_WINDOWS}), o AS (SELECT o_orderkey AS id, o_custkey, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)
 SELECT o.id, CASE WHEN m1 * 100 + d1 <= m2 * 100 + d2 THEN m * 100 + d BETWEEN m1 * 100 + d1 AND m2 * 100 + d2 ELSE m * 100 + d >= m1 * 100 + d1 OR m * 100 + d <= m2 * 100 + d2 END AS closed FROM o JOIN w ON w.id = o.o_custkey""")
 def c1_in_window(spark, sf_dir):
-    """Whether an order's day falls in its customer's window."""
+    """Whether an order's day falls in its customer's window."""
     w = derive(spark, sf_dir, _WINDOWS).withColumn("w", F.struct("m1", "d1", "m2", "d2")).select(F.col("id").alias("o_custkey"), "w")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return o.join(w, "o_custkey").select(F.col("o_orderkey").alias("id"), cal.in_window(F.col("w"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")).alias("closed"))
@@ -146,7 +146,7 @@ d AS (SELECT DISTINCT k, (a + i + 366) % 366 AS day FROM s, LATERAL (SELECT unne
 r AS (SELECT d.k, count(*) AS runs, min(d.day) AS first FROM d LEFT JOIN d e ON e.k = d.k AND e.day = (d.day + 365) % 366 WHERE e.k IS NULL GROUP BY d.k)
 SELECT c.k, CASE WHEN closed >= 366 THEN 366 ELSE closed END AS closed, CASE WHEN closed >= 366 THEN 1 ELSE runs END AS runs, CASE WHEN closed >= 366 THEN 0 ELSE first END AS first FROM c LEFT JOIN r USING (k)""")
 def c5_widened_windows(spark, sf_dir):
-    """Windows widened by 7 days before and 14 after, merged, as runs of closed days."""
+    """Windows widened by 7 days before and 14 after, merged, as runs of closed days."""
     w = derive(spark, sf_dir, _WINDOWS).groupBy((F.col("id") % 700).alias("k")).agg(F.collect_list(F.struct("m1", "d1", "m2", "d2")).alias("w"))
     w = w.withColumn("r", cal.widen(F.col("w"), 7, 14))
     days = F.aggregate("r", F.lit(0), lambda n, x: n + F.pmod(cal.day_of(x["m2"], x["d2"]) - cal.day_of(x["m1"], x["d1"]), F.lit(cal.DAYS)) + 1)
@@ -158,6 +158,6 @@ _TEXTS = ["no @ (Nov-Apr)", "no @ (Nov 15-Apr 1; 22:00-06:00)", "yes @ (May 20-O
 
 @query()
 def c2_conditional_windows(spark, sf_dir):
-    """Closed windows and refusals of a conditional tag for each order; tests hold the rule table."""
+    """Closed windows and refusals of a conditional tag for each order; tests hold the rule table."""
     o = derive(spark, sf_dir, f"SELECT o_orderkey AS id, {_pick('v', 'o_orderkey', _TEXTS)} FROM orders")
     return cal.conditional_windows(o, "id", "v").select("id", F.size("windows").alias("windows"), F.array_join("refused", ",").alias("refused"))
