@@ -10,7 +10,8 @@ Ids are those of the ``tokenizers`` file; the rank file of the same vocabulary g
 same ids faster, and texts that contain a special token's string go to ``tokenizers``.
 
 Defined cases: a null or empty text is the end id alone; each input row is packed, repeated
-rows too; further columns are ignored; an empty table gives no pieces.
+rows too; further columns of any name are ignored; an empty table gives no pieces; a text of
+any length is encoded whole.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ after deleting white space count once in a stratum, with the greatest share of e
 
 Defined cases: a null text has no words, so the base rule rejects it; labels with a null
 id or a quality other than 1 are no evidence, and repeated labels count once; a null or
-unlisted language belongs to the stratum ``other``; without labels only the base rule acts.
+unlisted language belongs to the stratum ``other``; without labels only the base rule acts;
+repeated rows are judged alike and all kept or all rejected; an empty table gives no rows;
+further columns of any name are ignored, or carried by :func:`keep_good`; a text of any
+length is measured whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ and ``x`` continues one. Words are runs of ``[^\\x20\\x09-\\x0D]``. A word with
 segmentation counts as one unknown token.
 
 Defined cases: a null or empty text has no words and no tokens; each input row gives one
-row; further columns are ignored. Memory of a task: the tables and one Arrow batch.
+row, repeated rows too; an empty table gives no rows; further columns of any name are
+ignored; a word of any length is walked whole. Memory of a task: the tables and one batch.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from viamark.llm.common import ship_package, with_row_id
 
 MARK = "▁"
+#: Words of more bytes than this are walked alone, so that a batch advances no further than its usual words.
+LONG = 4096
 SCHEMA = "row_id long, doc_id long, n_words long, n_tokens long, n_unknown long"
 
 
@@ -82,29 +85,48 @@ class Automaton:
             level = below
         self.go, self.pops = self.go.ravel(), self.pops.ravel()
 
+    def walk(self, raw: bytes) -> tuple[int, bool]:
+        """Tokens of one long word, byte by byte, and whether it is unknown."""
+        go, pops, v, n = memoryview(self.go), memoryview(self.pops), 1, 0
+        for c in raw:
+            slot = v * 256 + c
+            n += pops[slot]
+            v = go[slot]
+            if not v:
+                return 1, True
+        rest = int(self.last[v])
+        return (1, True) if rest < 0 else (n + rest, False)
+
     def count(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each word, and whether it is unknown."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        tokens, unknown = np.zeros(len(raw), np.int64), np.zeros(len(raw), bool)
+        long = [i for i, w in enumerate(raw) if len(w) > LONG]
+        for i in long:
+            tokens[i], unknown[i] = self.walk(raw[i])
+            raw[i] = b""
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         order = np.argsort(-size, kind="stable")
         data = np.frombuffer(b"".join(raw), np.uint8)
         start = np.cumsum(size) - size
         first, size = start[order], size[order]
-        at, tokens = np.ones(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        at, seen = np.ones(len(raw), np.int64), np.zeros(len(raw), np.int64)
         live = len(raw)
         for j in range(int(size[0]) if live else 0):
             live = int(np.searchsorted(-size, -j, "left"))  # words longer than j come first
             if not live:
                 break
             slot = at[:live] * 256 + data[first[:live] + j]
-            tokens[:live] += self.pops[slot]
+            seen[:live] += self.pops[slot]
             at[:live] = self.go[slot]
         rest = self.last[at]
-        unknown = (rest < 0) | (at == 0)
-        tokens = np.where(unknown, 1, tokens + rest)
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return tokens[back], unknown[back]
+        lost = (rest < 0) | (at == 0)
+        short = np.ones(len(raw), bool)
+        short[long] = False
+        mine = short[order]
+        tokens[order[mine]] = np.where(lost, 1, seen + rest)[mine]
+        unknown[order[mine]] = lost[mine]
+        return tokens, unknown
 
 
 @lru_cache(maxsize=1)
