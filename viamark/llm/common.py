@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viamark.plans.tables import collecting, drop_paths, drop_tables, ship_package, stage, stored_bytes, tables_so_far
+from viamark.plans.tables import collecting, drop_paths, ship_package, stage, stored_bytes
 
-__all__ = ["BLANKS", "collecting", "drop_paths", "drop_rows", "drop_tables", "lowered", "runs", "ship_package", "stage", "stored_bytes", "tables_so_far", "text_of", "union_all", "with_row_id", "without_blanks"]
+__all__ = ["BLANKS", "collecting", "drop_paths", "drop_rows", "lowered", "runs", "ship_package", "stage", "stored_bytes", "text_of", "union_all", "with_row_id", "without_blanks"]
 
 #: The six white-space characters that end a word: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
