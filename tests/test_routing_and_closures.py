@@ -187,3 +187,15 @@ def test_turned_back_clips_to_the_strip(spark):
     df = spark.createDataFrame(segs, "route string, start double, ax double, ay double, bx double, by double, px double, py double, heading double")
     got = {r.route: round(r.at_m, 3) for r in driven.turned_back(df).collect()}
     assert got == {"a": 200.0, "d": round(10 + np.hypot(120, 120) / 3, 3)}
+
+
+def test_quantiles_are_exact_over_bins(spark):
+    from viamark.operators import stats
+
+    rng = np.random.default_rng(6)
+    for values in (rng.integers(0, 40, 3000), rng.normal(0, 1, 777), np.array([3.0]), np.repeat([1.0, 2.0], [900, 3])):
+        df = spark.createDataFrame([(float(v), int(k % 3 + 1)) for k, v in enumerate(values)], "v double, n int")
+        shares = (0.0, 0.1, 0.5, 0.9, 0.99, 1.0)
+        assert np.allclose(stats.quantiles(df, "v", shares, bins=16).first().q, np.quantile(values, shares), atol=1e-9)
+        repeated = np.repeat(values, [k % 3 + 1 for k in range(len(values))])
+        assert np.allclose(stats.quantiles(df, "v", shares, F.col("n"), bins=16).first().q, np.quantile(repeated, shares), atol=1e-9)

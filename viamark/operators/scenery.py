@@ -129,10 +129,13 @@ def top_roads(df: DataFrame, least_km: float = 3.0, n: int = 25) -> DataFrame:
 
 def calibration(df: DataFrame, shares: tuple[float, ...] = (0.1, 0.5, 0.9, 0.99)) -> DataFrame:
     """Percentiles of the score over length (a piece counts once for every 0.1 km), and clipped shares."""
+    from viamark.operators.stats import quantiles
+
     w = F.greatest(F.lit(1), F.round(F.col("length_m") / 100)).cast("long")
     clip = lambda c: F.sum(F.when(c, F.col("length_m")).otherwise(0.0)) / F.sum("length_m")
-    p = F.percentile("score", F.array(*[F.lit(s) for s in shares]), w)
-    out = df.agg(p.alias("p"), clip(F.col("score") <= 0).alias("floor_share"), clip(F.col("score") >= 10).alias("ceiling_share"))
+    out = df.agg(clip(F.col("score") <= 0).alias("floor_share"), clip(F.col("score") >= 10).alias("ceiling_share"))
+    p = quantiles(df, "score", shares, w).withColumnRenamed("q", "p")
+    out = out.join(F.broadcast(p), F.lit(True))  # one row
     return out.select(*[F.col("p")[i].alias(f"p{round(s * 100)}") for i, s in enumerate(shares)], "floor_share", "ceiling_share")
 
 

@@ -75,6 +75,29 @@ def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.select(*by, "n", "low", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"), "high", "mean")
 
 
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], weight: Column | None = None, bins: int = 256) -> DataFrame:
+    """One row, ``q``: exact interpolated quantiles over all rows, as :func:`percentile` gives them, without one task that holds all values.
+
+    Rows are counted in bins between approximate quantiles; only the values of the bins that
+    hold a wanted rank are looked at again, one bin in one task. weight: whole numbers.
+    """
+    w = weight if weight is not None else F.lit(1)
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), w.cast("long").alias("w"))
+    cuts = rows.agg(F.percentile_approx("v", F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10_000)).alias("cuts"))  # one row
+    tagged = rows.join(F.broadcast(cuts), F.lit(True)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("v")))).groupBy("bin", "v").agg(F.sum("w").alias("w"))
+    sizes = tagged.groupBy("bin").agg(F.sum("w").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # as many rows as bins
+    total = sizes.agg(F.sum("n").alias("n_"))
+    place = [F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("n_") - 1)).alias("at")) for i, s in enumerate(shares)]
+    asked = total.select(F.explode(F.array(*place)).alias("a")).select("a.i", "a.at", F.explode(F.array(F.floor("a.at"), F.ceil("a.at"))).alias("rank")).distinct()
+    asked = asked.join(F.broadcast(sizes), (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select("i", "at", "rank", "bin", "before")
+    held = tagged.join(F.broadcast(asked.select("bin").distinct()), "bin")  # twice as many rows as shares
+    run = F.sum("w").over(Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = held.withColumn("to", run).join(F.broadcast(asked), "bin").where((F.col("rank") - F.col("before") >= F.col("to") - F.col("w")) & (F.col("rank") - F.col("before") < F.col("to")))
+    low = found.groupBy("i", "at").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
+    each = low.select("i", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("q"))
+    return each.agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("x")).select(F.transform("x", lambda s: s["q"]).alias("q"))
+
+
 #: P(Poisson(1) <= k) for k = 0, 1, ...: a uniform number above k of these draws a cluster k times.
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
 
@@ -99,7 +122,7 @@ def quantile_map(df: DataFrame, value: str, key: str, by: str, grid: int = 20) -
     shares = [i / grid for i in range(grid + 1)]
     p = lambda c: F.percentile(c, F.array(*[F.lit(s) for s in shares]))
     own = df.groupBy(by).agg(p(value).alias("own"))
-    every = df.agg(p(value).alias("all"))
+    every = quantiles(df, value, tuple(shares)).withColumnRenamed("q", "all")
     # One row for each group, and one row for all.
     both = own.join(F.broadcast(every), F.lit(True))
     i = F.expr(f"greatest(1, least({grid}, size(filter(own, q -> q <= {value}))))")
@@ -115,7 +138,7 @@ def affine_fit(df: DataFrame, raw: str, bases: list[float], stretches: list[floa
 
     The percentiles of the raw value are taken once: an affine map moves them along.
     """
-    q = df.agg(F.percentile(raw, F.array(F.lit(0.5), F.lit(0.99))).alias("q"))
+    q = quantiles(df, raw, (0.5, 0.99))
     grid = q.withColumn("base", F.explode(F.array(*map(F.lit, bases)))).withColumn("stretch", F.explode(F.array(*map(F.lit, stretches))))
     scale = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(10.0), 10 * (v + F.col("base")) * F.col("stretch")))
     error = F.abs(scale(F.col("q")[0]) - p50) + F.abs(scale(F.col("q")[1]) - p99)
@@ -127,7 +150,8 @@ def map_points(df: DataFrame, value: str, by: str, points: list[float], grid: in
     """by, value, mapped: what fixed values of each group become on the quantiles of all groups together."""
     p = F.percentile(value, F.array(*[F.lit(i / grid) for i in range(grid + 1)]))
     # One row for each group, and one row for all.
-    both = df.groupBy(by).agg(p.alias("own")).join(F.broadcast(df.agg(p.alias("all"))), F.lit(True)).withColumn(value, F.explode(F.array(*map(F.lit, points))))
+    every = quantiles(df, value, tuple(i / grid for i in range(grid + 1))).withColumnRenamed("q", "all")
+    both = df.groupBy(by).agg(p.alias("own")).join(F.broadcast(every), F.lit(True)).withColumn(value, F.explode(F.array(*map(F.lit, points))))
     out = both.withColumn("i", F.expr(f"greatest(1, least({grid}, size(filter(own, q -> q <= {value}))))"))
     low, high = F.element_at("own", F.col("i")), F.element_at("own", F.col("i") + 1)
     t = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0)

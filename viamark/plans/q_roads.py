@@ -239,7 +239,10 @@ def t1_top_roads(spark, sf_dir):
 SELECT round((SELECT quantile_cont(score, 0.1) FROM r), 4) AS p10, round((SELECT quantile_cont(score, 0.5) FROM r), 4) AS p50, round((SELECT quantile_cont(score, 0.9) FROM r), 4) AS p90, round((SELECT quantile_cont(score, 0.99) FROM r), 4) AS p99,
   round(sum(CASE WHEN round(score, 6) <= 0 THEN length_m ELSE 0 END) / sum(length_m), 6) AS floor_share, round(sum(CASE WHEN round(score, 6) >= 10 THEN length_m ELSE 0 END) / sum(length_m), 6) AS ceiling_share FROM scored""")
 def a4_calibration(spark, sf_dir):
-    out = scenery.calibration(_scored(spark, sf_dir).withColumn("score", F.round("score", 6)))
+    from viamark.plans.tables import stage
+
+    # Read several times: the quantiles take four passes over two columns.
+    out = scenery.calibration(stage(_scored(spark, sf_dir).select(F.round("score", 6).alias("score"), "length_m"), "scores"))
     return out.select(*[F.round(c, 4 if c.startswith("p") else 6).alias(c) for c in out.columns])
 
 

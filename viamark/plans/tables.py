@@ -38,7 +38,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     if (scope := _scope.get()) is not None:
         scope.append(path)
-    _tables.append((spark, path))
     return path
 
 
@@ -90,18 +89,6 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-_tables: list[tuple[SparkSession, str]] = []
-
-
-def tables_so_far() -> int:
-    return len(_tables)
-
-
-def drop_tables(first: int, last: int) -> None:
-    for spark, path in _tables[first:last]:
-        drop_paths(spark, [path])
-
-
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a DataFrame read from files."""
     spark, total = df.sparkSession, 0
