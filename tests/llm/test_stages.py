@@ -76,3 +76,25 @@ def test_a_run_of_copies_gives_one_edge_a_row():
     low = np.zeros((1000, ngram_join.HASHES), np.uint8)
     assert len(ngram_join.ties(low, np.zeros(1000, bool), 0.8, 1e-6)) == 999
     assert len(ngram_join.ties(low, np.arange(1000) % 2 == 1, 0.8, 1e-6)) == 1
+
+
+def test_pipeline_on_null_ids_further_columns_and_no_rows(spark, tmp_path):
+    import corpus_pipeline
+    from viamark.llm.common import stage
+
+    body = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, body), (None, body), (1, body), (2, body.replace("word7 ", "other ")), (3, None), (4, ""), (None, " ".join(f"x{k}" for k in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en")} | {c: F.lit(c) for c in CLASHES})
+    path = str(tmp_path / "sf")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    df, kept = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, work in corpus_pipeline.STAGES[:-1]:
+        df = stage(work(spark, df, path), name.replace(" ", ""))
+        assert df.columns == docs.columns and work(spark, df.limit(0), path).count() == 0
+        kept.append(sorted((r.doc_id or 0, (r.text or "")[:1]) for r in df.collect()))
+    assert kept == [[(0, "w"), (0, "w"), (0, "x"), (1, "w"), (2, "w")], [(0, "x"), (1, "w"), (2, "w")], [(0, "x"), (1, "w")], [(0, "x"), (1, "w")]]
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, path)
+    assert packed.count() == 2 and corpus_pipeline.STAGES[-1][1](spark, df.limit(0), path).count() == 0
+    first, second = corpus_pipeline.run(spark, path), corpus_pipeline.run(spark, path)
+    assert first.count() == second.count() == 2  # a second run leaves the first one's rows alone
