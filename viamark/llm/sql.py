@@ -109,4 +109,41 @@ WITH t AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.r NOT IN (SELECT r FROM bad) AS kept FROM b"""
 
 
-ORACLE = {"op1_license_scan": license_sql(), "op3_exact_dedup": EXACT, "op4_ngram_join": NEAR, "op7_quality_rules": quality_sql()}
+def collocation_sql() -> str:
+    """All phrases of one to three words as strings, counted, cut, compared with longer ones."""
+    return rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), (VALUES (1), (2), (3)) AS s(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT f.lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 :], ' ') AS y FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f) AS f),
+s AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, 1000000 * c.a::HUGEINT * c.a::HUGEINT // (l.a::HUGEINT * r.a::HUGEINT) AS score
+  FROM c JOIN f AS l ON l.lang = c.lang AND l.phrase = x JOIN f AS r ON r.lang = c.lang AND r.phrase = y),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1 : 2], ' '), array_to_string(string_split(phrase, ' ')[2 : 3], ' ')]) AS phrase FROM f WHERE m = 3) GROUP BY ALL),
+left_over AS (SELECT low.* FROM low LEFT JOIN o USING (lang, phrase) WHERE o.a IS NULL OR 100 * o.a < 50 * low.a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def leak_sql() -> str:
+    """Every window as a string, against every stretch of as many words of every document."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+v AS (SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS s FROM (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+g AS (SELECT r, i, m, array_to_string(w[i : i + m - 1], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT m FROM v) WHERE i + m - 1 <= len(w)),
+h AS (SELECT r, i, m, item FROM g JOIN v USING (m, s)),
+n AS (SELECT r, count(DISTINCT i + o) AS n_hit FROM h, range(0, 10) z(o) WHERE o < m GROUP BY r),
+k AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)"""
+
+
+ORACLE = {
+    "op1_license_scan": license_sql(), "op3_exact_dedup": EXACT, "op4_ngram_join": NEAR, "op7_quality_rules": quality_sql(),
+    "op11_collocations": collocation_sql(), "op12_decontaminate": leak_sql(),
+}
