@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viamark.llm import byte_bpe, collocations, decontaminate, exact_dedup, license_scan, lm_score, ngram_join, packing, quality, sharding, substring_dedup, token_count
+from viamark.llm import byte_bpe, collocations, decontaminate, exact_dedup, license_scan, lm_score, negatives, ngram_join, packing, quality, sharding, substring_dedup, token_count
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +65,14 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_lm_score, op3_exact_dedup, op4_ngram_join, op5_sharding, op6_byte_bpe, op7_quality_rules, op8_packing, op9_token_counts, op10_substring_dedup,
-        op11_collocations, op12_decontaminate,
+        op11_collocations, op12_decontaminate, op13_hard_negatives,
     )
 }
