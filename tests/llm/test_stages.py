@@ -8,7 +8,7 @@ from viamark.llm import exact_dedup, ngram_join, packing, quality, substring_ded
 
 TEXT = " ".join(f"w{k * k % 97}" for k in range(40))
 NEAR = TEXT.replace("w0 w1", "w0 wx", 1)
-CLASHES = ("id_", "hash_", "doc_", "keep", "twin", "best_", "gone_id", "text_sha256", "text_hash", "row_id", "repeat_words", "removed", "n_words", "h")
+CLASHES = ("id_", "hash_", "doc_", "keep", "twin", "best_", "gone_id", "text_sha256", "text_hash", "row_id", "repeat_words", "removed", "n_words", "h", "a.b", "a`b")
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,7 @@ def test_columns_of_any_name_are_carried(rows, work):
     wide = rows.withColumns({c: F.lit(c) for c in CLASHES})
     out = work(wide)
     assert out.columns == wide.columns and out.count() == work(rows).count()
-    assert {tuple(r) for r in out.select(*CLASHES).collect()} == {CLASHES}
+    assert {tuple(r[c] for c in CLASHES) for r in out.collect()} == {CLASHES}
     assert work(wide.limit(0)).count() == 0
 
 
@@ -98,3 +98,18 @@ def test_pipeline_on_null_ids_further_columns_and_no_rows(spark, tmp_path):
     assert packed.count() == 2 and corpus_pipeline.STAGES[-1][1](spark, df.limit(0), path).count() == 0
     first, second = corpus_pipeline.run(spark, path), corpus_pipeline.run(spark, path)
     assert first.count() == second.count() == 2  # a second run leaves the first one's rows alone
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_substring_dedup_loses_no_text(spark, parts):
+    """Rows without an id, with one id and with equal texts: what is cut depends on id and text alone, and one copy stays."""
+    a, b = (" ".join(f"{c}{k * k % 89}" for k in range(60)) for c in "ab")
+    rows = [(None, a), (None, a), (None, a), (None, a + " tail"), (None, b), (7, b), (7, b), (9, b + " more"), (9, "short"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted(((r.doc_id, r.text) for r in substring_dedup.remove(docs).collect()), key=str)
+    texts = [t for _, t in got if t]
+    assert [t for i, t in got if i == 7] == [b, b] and len(got) == len(rows)
+    whole = [t for i, t in got if i is None and t and t.startswith(a)]
+    assert a in "|".join(texts) and (whole in ([a, a, a], [a + " tail"])), got
+    again = sorted(((r.doc_id, r.text) for r in substring_dedup.remove(docs.repartition(3)).collect()), key=str)
+    assert again == got

@@ -13,8 +13,8 @@ Digests are counted with map-side partial aggregation, so a passage that many do
 share is one row for each task; digests found once never travel again.
 
 Defined cases: a null or empty text has no chunks and stays as it is; rows with the same
-doc_id count as one document, of which none loses to another; a null doc_id is a document
-of its own after all others; further columns of any name are ignored, or carried by
+doc_id count as one document, of which none loses to another; rows without a doc_id come
+after all others, in the order of a hash of their texts, and those with equal texts count as one document; further columns of any name are ignored, or carried by
 :func:`remove`; an empty table gives no rows.
 """
 
@@ -126,14 +126,14 @@ def find(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ship_package(docs.sparkSession)
     d = with_row_id(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")))
     chunks = stage(d.mapInArrow(_chunked, CHUNKS), "chunks")
-    # Document order as one number: by doc_id, then rows without one.
-    owner = F.coalesce("doc_id", F.lit(2**63 - 1) - F.col("row_id"))
+    # Document order: by doc_id, then rows without one. What is cut from a row depends on its doc_id and text alone.
+    owner = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "text_hash").alias("by"))
     each = chunks.select("row_id", owner.alias("owner"), F.explode(F.array_distinct("digests")).alias("digest"))
     counted = each.groupBy("digest").agg(F.min("owner").alias("keeper"), F.count(F.lit(1)).alias("n"))
     repeated = stage(counted.where("n > 1").select("digest", "keeper"), "repeated")
     hits = each.join(repeated.hint("merge"), "digest")
     lists = hits.groupBy("row_id").agg(F.collect_list("digest").alias("again"), F.collect_list(F.when(F.col("keeper") == F.col("owner"), F.col("digest"))).alias("mine"))
-    return chunks.join(lists.hint("shuffle_hash"), "row_id", "left").mapInArrow(_spans(min_words), SPANS)
+    return chunks.join(lists.hint("merge"), "row_id", "left").mapInArrow(_spans(min_words), SPANS)
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS, facts: bool = False) -> DataFrame:
@@ -156,4 +156,4 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, facts: bool = False) ->
     joined = marked.join(cut.hint("broadcast" if small else "merge"), on, "left")
     text = F.when(F.coalesce(F.size("removed"), F.lit(0)) > 0, kept).otherwise(F.col("text"))
     more = {c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("repeat_words", "removed_words")} if facts else {}
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"doc_.`{c}`") for c in docs.columns if c not in more], *more.values())
+    return joined.select(*[text.alias(c) if c == "text" else F.col("doc_").getField(c).alias(c) for c in docs.columns if c not in more], *more.values())
