@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -138,17 +139,39 @@ def test_quality(spark, docs, none):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
-def test_quality_cutoffs_are_exact(spark):
-    n = 2000
-    share = [0.0] * (n - 6) + [0.5] * 6
-    held = spark.createDataFrame([("en", s, 0.0, 0.0, 0.0, 0.0) for s in share], "stratum string, " + ", ".join(f"{r} double" for r in quality.RULES))
-    got = {r.rule: r.cutoff for r in quality.choose_cutoffs(held).collect()}
+def test_quality_levels_are_exact(spark):
+    """The strictest level whose exact tail is small enough, tested in order; nothing under 459 good texts."""
     from math import comb
 
-    tail = sum(comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(7))
-    limit = 0.05 / ((len(quality.STRATA) + 1) * len(quality.RULES) * len(quality.GRID))
-    assert tail > limit and got["symbol_share"] == 0.6  # only no rejection at all is certified
-    assert got["digit_share"] == quality.GRID[0]
+    kinds = "stratum string, " + ", ".join(f"{r} double" for r in quality.RULES)
+    worst = [0.0] * 1960 + [0.03] * 5 + [0.12] * 30 + [0.5] * 5
+    rows = [("en", v if k % 2 else 0.0, 0.0, 0.0, 0.0, v) for k, v in enumerate(worst)]
+    rows += [("de", 0.0, 0.0, 0.0, 0.0, 0.0)] * 459 + [("fr", 0.0, 0.0, 0.0, 0.0, 0.0)] * 458
+    got = {r.stratum: r for r in quality.choose_levels(spark.createDataFrame(rows, kinds)).collect()}
+    tail = lambda n, k: sum(comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1))
+    level = 0.05 / (len(quality.STRATA) + 1)
+    good = []
+    for c in quality.LADDER:
+        if tail(2000, sum(v > c for v in worst)) > level:
+            break
+        good.append(c)
+    assert got["en"].cutoff == good[-1] == 0.15 and (got["en"].n_good, got["en"].n_lost) == (2000, 5)
+    assert abs(math.exp(got["en"].log_p) - tail(2000, 5)) < 1e-9
+    assert got["de"].cutoff == quality.LADDER[-1] and tail(459, 0) <= level < tail(458, 0) and "fr" not in got
+
+
+def test_quality_rejects_by_rule(spark):
+    """Both ways to judge reject the texts above the certified cutoff of their stratum, and no others."""
+    rows = [(k, lettered(k), "en") for k in range(600)] + [(9000 + k, lettered(k) + " " + "#" * (4 * k), lang) for k in (1, 4, 30) for lang in ("en", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("a.b", F.lit(1))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(600)], "doc_id long, quality int, toxic int")
+    judged = quality.judge(df, labels).collect()
+    share = {r.doc_id: r.symbol_share for r in judged if r.stratum == "en"}
+    gone = sorted(i for i, v in share.items() if v > quality.LADDER[-1])
+    assert sorted(r.doc_id for r in judged if not r.kept) == gone == [9001, 9004, 9030]
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.lang) for r in kept.where("doc_id >= 9000").collect()) == [(9001, "de"), (9004, "de"), (9030, "de")]
+    assert kept.count() == 603
 
 
 def lettered(k):

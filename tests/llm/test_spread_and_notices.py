@@ -50,7 +50,8 @@ def test_numbers_of_many_repeats(spark, monkeypatch):
         ("Released under the MIT License", ["mit"]),
         ("Licensed under the Mozilla Public License, Version 2.0", ["mpl-2.0"]),
         ("Licensed under the Apache License, Version 2.0", ["apache-2.0"]),
-        ("This work is licensed under the Open Public License, version 3", []),
+        ("This work is licensed under the Open Public License, version 3", ["unnamed"]),
+        ("Released under the Zope License", ["unnamed"]),
         ("released with a licence for the public", []),
     ],
 )

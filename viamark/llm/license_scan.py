@@ -7,8 +7,9 @@ words. Blocks are cut down to words of notices, words are ordered by how many bl
 them (rarest first), and only blocks that share a word of both prefixes, pass the length
 filter and the positional filter are compared. The filters lose no match.
 
-A notice may name words that must be in the block besides, so that a short notice does not
-match the same sentence about another licence.
+A notice may name words that make it out. A block that meets the threshold without them
+is a match as well, but its label is ``unnamed``: a short notice has the same sentence as
+that of another licence.
 
 Whole phrases are found by position besides. Notices are parameters and are worked on in
 batches of ``MAX_WORDS`` words, which bounds everything that is broadcast or collected.
@@ -30,10 +31,12 @@ from viamark.llm.common import lowered, stage, text_of, union_all, with_row_id
 
 THRESHOLD = 0.8
 MAX_WORDS = 20_000
+#: Label of a match without the words that make the notice out.
+UNNAMED = "unnamed"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label and wording of widely used public licence notices, and the words that must be there.
+#: Label and wording of widely used public licence notices, and the words that make them out.
 NOTICES = (
     ("mit", "Released under the MIT License", ("mit",)),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache",)),
@@ -53,7 +56,7 @@ def words_of(text: str) -> list[str]:
 
 
 def size_classes(notices) -> dict[int, list[tuple[str, list[str], list[str]]]]:
-    """Notices by window: the words of the longest notice up to 16, 64, 256, ... words; label, words, words that must be there."""
+    """Notices by window: the words of the longest notice up to 16, 64, 256, ... words; label, words, words that make it out."""
     out: dict[int, list[tuple[str, list[str], list[str]]]] = {}
     for label, text, *must in notices:
         if words := words_of(text):
@@ -134,8 +137,9 @@ def _matches(slim: DataFrame, need: dict[int, list]) -> DataFrame:
     # As many rows as words in the prefixes of a batch of notices.
     pairs = b.select("row_id", "at", "span", "words", F.posexplode("prefix").alias("j", "w")).join(F.broadcast(index_df), ["span", "w"])
     pairs = pairs.where("size(words) >= least and 1 + least(size - i - 1, size(words) - j - 1) >= least")
-    pairs = pairs.withColumn("common", F.size(F.array_intersect("words", "notice"))).where("common >= least and forall(must, m -> array_contains(words, m))")
-    return pairs.select("row_id", "label", F.struct("span", "notice_no").alias("notice_no"), "at", (F.col("common") / F.col("size")).alias("share"))
+    pairs = pairs.withColumn("common", F.size(F.array_intersect("words", "notice"))).where("common >= least")
+    label = F.expr(f"if(forall(must, m -> array_contains(words, m)), label, '{UNNAMED}')")
+    return pairs.select("row_id", label.alias("label"), F.struct("span", "notice_no").alias("notice_no"), "at", (F.col("common") / F.col("size")).alias("share"))
 
 
 def scan(docs: DataFrame, notices=NOTICES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, max_words: int = MAX_WORDS) -> DataFrame:
@@ -151,7 +155,7 @@ def scan(docs: DataFrame, notices=NOTICES, phrases: dict[str, str] = PHRASES, th
     out = slim.drop("blocks")
     if pairs:
         found = union_all(*pairs).groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"), F.countDistinct("at", "notice_no").alias("n_matches"))
-        out = out.join(found.hint("shuffle_hash"), "row_id", "left")
+        out = out.join(found.hint("merge"), "row_id", "left")
     else:
         out = out.withColumns({"found": none, "share": F.lit(0.0), "n_matches": F.lit(0).cast("long")})
     base = F.coalesce(F.array_sort(F.array_distinct(F.col("places.label"))), none)

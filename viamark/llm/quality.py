@@ -1,15 +1,16 @@
 """Quality rules with risk-controlled cutoffs (DataFrame functions only).
 
-Each rule measures one share of a text. At most ``max_false`` of the good texts of a stratum
-(language) may be lost to all rules together, so each rule has an equal part of it,
-``share``. For every stratum and rule, the lowest cutoff of a fixed grid is taken for which
-labelled good texts show, with confidence, that at most ``share`` of good texts lie above
-it. The evidence is an exact one-sided binomial (Clopper-Pearson) bound: a cutoff with ``k``
-of ``n`` good texts above it is certified when P(Bin(n, share) <= k) <= alpha / tests, where ``tests`` is the number
-of all strata, rules and cutoffs (Bonferroni). Where too few labels certify a cutoff, the
-rule rejects nothing in that stratum. The grid is fixed beforehand and nothing is fitted,
-so every labelled text serves as holdout. Copies are one trial: texts that are identical
-after deleting white space count once in a stratum, with the greatest share of each rule.
+Each rule measures one share of a text; ``LADDER`` is a fixed, nested family of cutoffs
+for all rules together, from the level that rejects least to the strictest. At most
+``max_false`` of the good texts of a stratum (language) that pass the base rule may be
+rejected, by any of the rules. For every stratum the evidence at a level is an exact one-sided
+binomial (Clopper-Pearson) test on labelled good texts: with ``k`` of ``n`` rejected there, the level
+is certified when P(Bin(n, max_false) <= k) <= alpha / strata. Levels are tested from the
+mildest on until the first that fails (fixed sequence), which needs no division by the
+number of rules or levels; strata share alpha (Bonferroni). The strictest certified level
+is used; without one the rules reject nothing in that stratum. Nothing is fitted, so every
+labelled text serves as holdout. Copies are one trial: texts that are identical after
+deleting white space count once in a stratum, with the greatest share of each rule.
 
 Defined cases: a null text has no words, so the base rule rejects it; labels with a null
 id or a quality other than 1 are no evidence, and repeated labels count once; a null or
@@ -21,6 +22,7 @@ length is measured whole.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +36,8 @@ MAX_FALSE = 0.01
 ALPHA = 0.05
 #: Stored size up to which the ids of labelled good texts are broadcast.
 BROADCAST_BYTES = 16 << 20
-#: Cutoffs of each rule, lowest first; a text above the chosen one is rejected.
-GRID = (0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6)
+#: Cutoffs, one for each level and the same for every rule; a text above the one of the chosen level is rejected.
+LADDER = (0.6, 0.4, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.02, 0.01, 0.005)
 RULES = {
     "symbol_share": "n_symbols / greatest(word_chars, 1)",
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
@@ -75,11 +77,8 @@ def measure(docs: DataFrame) -> DataFrame:
     }).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")).drop("t_", "w_", "l_", "h_", "g_", "p_")
 
 
-def _certified(share: float, level: float) -> Column:
-    """P(Bin(n_, share) <= k_) <= level, by adding up logarithms of the terms 0 to k_.
-
-    Above the expected count the probability is near a half or more: not certified.
-    """
+def _log_tail(share: float) -> Column:
+    """ln P(Bin(n_, share) <= k_), by adding up logarithms of the terms 0 to k_; null above the expected count."""
     odds, none = f"ln({share}D) - ln(1 - {share}D)", f"n_ * ln(1 - {share}D)"
     log_sum = (
         "aggregate(sequence(1, cast(greatest(k_, 1) as int)), struct({none} as t, {none} as s),"
@@ -87,7 +86,7 @@ def _certified(share: float, level: float) -> Column:
         " greatest(a.s, a.t + ln(n_ - j + 1) - ln(j) + {odds})"
         " + ln(1 + exp(-abs(a.s - (a.t + ln(n_ - j + 1) - ln(j) + {odds})))) as s)), a -> a.s)"
     ).format(none=none, odds=odds)
-    return F.expr(f"if(n_ = 0 or k_ > {share}D * n_, false, {log_sum} <= ln({level}D))")
+    return F.expr(f"if(n_ = 0 or k_ > {share}D * n_, null, {log_sum})")
 
 
 def stratum(lang: str = "lang") -> Column:
@@ -109,41 +108,37 @@ def each_once(held: DataFrame) -> DataFrame:
     return held.groupBy("stratum", "digest_").agg(*[F.max(r).alias(r) for r in RULES])
 
 
-def choose_cutoffs(held: DataFrame, max_false: float = MAX_FALSE, alpha: float = ALPHA) -> DataFrame:
-    """stratum, rule, cutoff: at most one row for each listed stratum and rule.
+def choose_levels(held: DataFrame, max_false: float = MAX_FALSE, alpha: float = ALPHA) -> DataFrame:
+    """stratum, level, cutoff, n_good, n_lost, log_p: the strictest certified level, at most one row a stratum.
 
-    held: the holdout, labelled good; stratum and one column for each rule. max_false holds for each rule alone.
+    held: the holdout, labelled good; stratum and one column for each rule.
     """
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v_")) for r in RULES])
-    above = reduce(lambda a, b: a + b, [F.when(F.col("x.v_") > g, 1).otherwise(0) for g in GRID])
-    counts = (
-        held.select("stratum", F.explode(rules).alias("x"))
-        .groupBy("stratum", "x.rule", above.alias("passed"))
-        .agg(F.count(F.lit(1)).alias("m_"))
-    )
-    # passed: how many cutoffs the value exceeds, so cutoff c is exceeded where passed > c.
-    cut = F.explode(F.array(*[F.struct(F.lit(c).alias("c_"), F.lit(g).alias("cutoff")) for c, g in enumerate(GRID)]))
+    # A text is rejected at the first level whose cutoff its worst share exceeds, and at all stricter ones.
+    spared = reduce(lambda a, b: a + b, [F.when(F.greatest(*RULES) <= c, 1).otherwise(0) for c in LADDER])
+    counts = held.groupBy("stratum", spared.alias("spared")).agg(F.count(F.lit(1)).alias("m_"))
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(c).alias("cutoff")) for i, c in enumerate(LADDER)]))
     tested = (
-        counts.withColumn("cut", cut)
-        .groupBy("stratum", "rule", "cut.c_", "cut.cutoff")
-        .agg(F.sum("m_").cast("double").alias("n_"), F.sum(F.when(F.col("passed") > F.col("cut.c_"), F.col("m_")).otherwise(0)).cast("double").alias("k_"))
+        counts.withColumn("at", step)
+        .groupBy("stratum", "at.level", "at.cutoff")
+        .agg(F.sum("m_").cast("double").alias("n_"), F.sum(F.when(F.col("spared") <= F.col("at.level"), F.col("m_")).otherwise(0)).cast("double").alias("k_"))
+        .withColumn("log_p", _log_tail(max_false))
     )
-    tests = (len(STRATA) + 1) * len(RULES) * len(GRID)
-    certified = tested.where(_certified(max_false, alpha / tests))
-    return certified.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    # The families are nested, so no level after the first failure passes.
+    passed = tested.where(F.col("log_p") <= math.log(alpha / (len(STRATA) + 1)))
+    best = passed.groupBy("stratum").agg(F.max_by(F.struct("level", "cutoff", F.col("n_").cast("long").alias("n_good"), F.col("k_").cast("long").alias("n_lost"), "log_p"), "level").alias("b"))
+    return best.select("stratum", "b.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, alpha: float = ALPHA) -> DataFrame:
-    """Measured rows with stratum, one share for each rule, ``failed_rules`` and ``kept``.
+    """Measured rows with stratum, one share for each rule, ``cutoff`` of the stratum, ``failed_rules`` and ``kept``.
 
     docs: doc_id, text, lang. The text itself is not carried on.
     """
     slim = stage(with_row_id(measure(docs.select("doc_id", "text", "lang").withColumn("digest_", digest())).drop("text")), "measured")
     shares = slim.withColumns({r: F.expr(e) for r, e in RULES.items()} | {"stratum": stratum()})
-    held = shares.join(good_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi")
-    chosen = choose_cutoffs(each_once(held), max_false / len(RULES), alpha).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
-    chosen = chosen.select("stratum", *[F.col(r).alias(f"{r}_cutoff") for r in RULES])
-    failed = F.filter(F.array(*[F.when(F.col(r) > F.col(f"{r}_cutoff"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    held = shares.where(~F.col("base_failed")).join(good_ids(labels).hint("merge"), "doc_id", "left_semi")
+    chosen = choose_levels(each_once(held), max_false, alpha).select("stratum", "cutoff")
+    failed = F.filter(F.array(*[F.when(F.col(r) > F.col("cutoff"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     # As many rows as strata, which are listed in STRATA.
     out = shares.drop("digest_").join(F.broadcast(chosen), "stratum", "left").withColumn("failed_rules", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
@@ -152,18 +147,17 @@ def judge(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, alph
 def keep_good(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, alpha: float = ALPHA) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
-    Holdout texts are measured once to choose the cutoffs, all texts once to apply them.
+    Holdout texts are measured once to choose the level, all texts once to apply it.
     Ids of labelled good texts are broadcast when their stored size is small; only where
     it is not are texts shuffled to them.
     """
     shares = {r: F.expr(e) for r, e in RULES.items()} | {"stratum": stratum()}
     good = stage(good_ids(labels), "good")
-    hint = "broadcast" if stored_bytes(good) <= BROADCAST_BYTES else "shuffle_hash"
+    hint = "broadcast" if stored_bytes(good) <= BROADCAST_BYTES else "merge"
     held = docs.select("doc_id", "text", "lang").join(good.hint(hint), "doc_id", "left_semi")
-    measured = measure(held.withColumn("digest_", digest())).drop("text").withColumns(shares)
-    cutoffs = choose_cutoffs(each_once(measured), max_false / len(RULES), alpha)
-    chosen = stage(cutoffs, "cutoffs").collect()  # at most one row for each stratum and rule
+    measured = measure(held.withColumn("digest_", digest())).drop("text").withColumns(shares).where(~F.col("base_failed"))
+    chosen = stage(choose_levels(each_once(measured), max_false, alpha), "levels").collect()  # at most one row for each stratum
     # The row number keeps the optimizer from copying the measures into the filter.
-    found = with_row_id(measure(docs.select(F.struct(*docs.columns).alias("doc_"), "text", "lang"))).withColumns(shares)
-    failed = [(F.col("stratum") == c.stratum) & (F.col(c.rule) > c.cutoff) for c in chosen]
+    found = with_row_id(measure(docs.select(F.struct("*").alias("doc_"), "text", "lang"))).withColumns(shares)
+    failed = [(F.col("stratum") == c.stratum) & (F.greatest(*RULES) > c.cutoff) for c in chosen]
     return found.where((F.col("row_id") >= 0) & ~reduce(lambda a, b: a | b, failed, F.col("base_failed"))).select("doc_.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 from viamark.llm.license_scan import NOTICES, PHRASES, THRESHOLD, size_classes
-from viamark.llm.quality import ALPHA, GRID, MAX_FALSE, STRATA
+from viamark.llm.quality import ALPHA, LADDER, MAX_FALSE, STRATA
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,8 +42,8 @@ WITH t AS (
 ), block AS ({' UNION ALL '.join(blocks)}
 ), notice(span, n, label, words, least, must) AS (VALUES {', '.join(notices)}
 ), hit AS (
-  SELECT r, label, len(list_intersect(b, words)) AS c, len(words) AS size
-  FROM block JOIN notice USING (span) WHERE len(list_intersect(b, words)) >= least AND list_has_all(b, must)
+  SELECT r, CASE WHEN list_has_all(b, must) THEN label ELSE 'unnamed' END AS label, len(list_intersect(b, words)) AS c, len(words) AS size
+  FROM block JOIN notice USING (span) WHERE len(list_intersect(b, words)) >= least
 ), found AS (SELECT r, list(DISTINCT label) AS labels, max(c / size) AS share FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
@@ -78,9 +78,8 @@ def quality_sql() -> str:
         "repeat_share": "n_repeat_words / greatest(n_words, 1)", "upper_share": "n_upper / greatest(word_chars, 1)", "digit_share": "n_digits / greatest(word_chars, 1)",
     }
     count = lambda chars: f"length(x) - length(translate(x, '{chars}', ''))"
-    level = math.log(ALPHA / ((len(STRATA) + 1) * len(rules) * len(GRID)))
-    part = MAX_FALSE / len(rules)
-    shares = " UNION ALL ".join(f"SELECT r, doc_id, stratum, d, '{n}' AS rule, {e} AS v FROM m" for n, e in rules.items())
+    level, part = math.log(ALPHA / (len(STRATA) + 1)), MAX_FALSE
+    worst = f"greatest({', '.join(rules.values())})"
     return f"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, CASE WHEN lang IN ({', '.join(map(_quoted, STRATA))}) THEN lang ELSE 'other' END AS stratum,
@@ -95,18 +94,16 @@ WITH t AS (
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
   FROM t LEFT JOIN covered ON covered.r = t.r
 ), good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1
-), share AS ({shares}
-), cut(cutoff) AS (VALUES {', '.join(f'({g})' for g in GRID)}
-), held AS (SELECT stratum, rule, d, max(v) AS v FROM share JOIN good USING (doc_id) GROUP BY ALL
+), b AS (SELECT *, {worst} AS v, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), cut(cutoff) AS (VALUES {', '.join(f'({c})' for c in LADDER)}
+), held AS (SELECT stratum, d, max(v) AS v FROM b JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY ALL
 ), seen AS (
-  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM held, cut GROUP BY ALL
+  SELECT stratum, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM held, cut GROUP BY ALL
 ), tail AS (
-  SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({part}) + (n - j) * ln(1 - {part}))) AS p
+  SELECT stratum, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({part}) + (n - j) * ln(1 - {part}))) AS p
   FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM seen WHERE k <= {part} * n) GROUP BY ALL
-), chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE ln(p) <= {level} GROUP BY ALL
-), bad AS (SELECT DISTINCT r FROM share JOIN chosen USING (stratum, rule) WHERE v > cutoff
-), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.r NOT IN (SELECT r FROM bad) AS kept FROM b"""
+), chosen AS (SELECT stratum, min(cutoff) AS cutoff FROM tail WHERE ln(p) <= {level} GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (cutoff IS NULL OR v <= cutoff) AS kept FROM b LEFT JOIN chosen USING (stratum)"""
 
 
 def collocation_sql() -> str:
