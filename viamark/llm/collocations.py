@@ -32,14 +32,15 @@ from viamark.llm.common import ship_package, stage
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text whose suffixes are added up before they travel; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Words of the corpus for each bucket, and suffixes held at once.
-BUCKET_WORDS, CHUNK = 1_000_000, 2_000_000
+BUCKET_WORDS, CHUNK = 250_000, 500_000
 HEAVY_WORDS = 2_000
 #: Parts in which the first of each language are taken before they meet.
 PARTS = 64
 COUNTS = "lang string, word string, a long"
-SUFFIXES = "bucket long, heavy boolean, langs array<string>, words array<string>, times array<long>"
+#: A row has the suffixes of one block for one bucket: its words once, and for each suffix ``max_words`` places among them (-1: none).
+SUFFIXES = "bucket long, heavy boolean, lang string, words array<string>, places array<int>, times array<int>"
 PHRASES = "lang string, phrase string, a long"
 
 _BREAK = np.zeros(256, bool)
@@ -71,7 +72,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     start, end = edges[::2], edges[1::2]
     offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
     held = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[inside]])]).dictionary_encode()
-    return np.asarray(held.indices), np.cumsum(_BREAK[raw])[start], held.dictionary
+    return np.asarray(held.indices), np.cumsum(_BREAK[raw], dtype=np.int32)[start], held.dictionary
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +113,22 @@ def _suffixes(max_words: int, buckets: int, heavy: dict[str, set[str]]):
             order = np.argsort(group, kind="stable")
             group, deep, times = group[order].astype(np.int64), deep[order], times[order]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).astype(np.int32)
-            flat = words.take(pa.array(deep.ravel(), pa.int32(), mask=deep.ravel() < 0))
+            # Each row's own words, in the order of their ids, and where they stand in it.
+            row = np.repeat(np.arange(len(cut) - 1), np.diff(cut) * max_words)
+            pairs, inverse = np.unique(row * (len(words) + 1) + deep.ravel() + 1, return_inverse=True)
+            own, missing = np.searchsorted(pairs, np.arange(len(cut)) * (len(words) + 1)), pairs % (len(words) + 1) == 0
+            none = np.cumsum(missing)
+            has = np.zeros(len(cut), np.int32)
+            has[:-1] = missing[own[:-1]]
+            places = inverse - own[row] - has[row]
+            starts = (own - np.concatenate([[0], none])[own]).astype(np.int32)
             lists = [
-                pa.ListArray.from_arrays(pa.array(cut), pa.repeat(pa.scalar(lang), len(group))),
-                pa.ListArray.from_arrays(pa.array(cut * max_words), flat),
-                pa.ListArray.from_arrays(pa.array(cut), pa.array(times, pa.int64())),
+                pa.ListArray.from_arrays(pa.array(starts), words.take(pa.array(pairs[~missing] % (len(words) + 1) - 1, pa.int32()))),
+                pa.ListArray.from_arrays(pa.array(cut * max_words), pa.array(places, pa.int32())),
+                pa.ListArray.from_arrays(pa.array(cut), pa.array(times, pa.int32())),
             ]
             found = group[cut[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(found >> 1, pa.int64()), pa.array(found % 2 == 1), *lists], names=["bucket", "heavy", "langs", "words", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(found >> 1, pa.int64()), pa.array(found % 2 == 1), pa.repeat(pa.scalar(lang), len(found)), *lists], names=["bucket", "heavy", "lang", "words", "places", "times"])
 
     return work
 
@@ -189,10 +198,14 @@ def _frequent(max_words: int, least: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, whole in _gathered(batches):
             table = pa.Table.from_batches(held).combine_chunks()
-            times = np.asarray(pc.list_flatten(table["times"]).combine_chunks())
-            langs, words = (pc.list_flatten(table[c]).combine_chunks().dictionary_encode() for c in ("langs", "words"))
-            ids = np.asarray(pc.fill_null(words.indices, -1)).reshape(-1, max_words)
-            keys = np.column_stack([np.asarray(langs.indices), ids]).astype(np.int64)
+            times = np.asarray(pc.list_flatten(table["times"]).combine_chunks()).astype(np.int64)
+            langs, words = table["lang"].combine_chunks().dictionary_encode(), pc.list_flatten(table["words"]).combine_chunks().dictionary_encode()
+            lengths, first = (np.asarray(pc.list_value_length(table[c].combine_chunks()), np.int64) for c in ("times", "words"))
+            row = np.repeat(np.arange(len(table)), lengths)
+            places = np.asarray(pc.list_flatten(table["places"]).combine_chunks()).reshape(-1, max_words)
+            at = np.where(places < 0, 0, places + (np.cumsum(first) - first)[row][:, None])
+            ids = np.where(places < 0, -1, np.asarray(words.indices)[at])
+            keys = np.column_stack([np.asarray(langs.indices)[row], ids])
             # A heavy leading word has its suffixes in many buckets: only whole suffixes can be abandoned here.
             alone = not table["heavy"][0].as_py()
             if not whole:
@@ -216,7 +229,7 @@ def count_phrases(docs: DataFrame, max_words: int = 3, least: int = 10) -> tuple
     total = totals.agg(F.sum("n")).first()[0] or 0
     # At most HEAVY_WORDS rows, as each has that part of all words.
     heavy: dict[str, set[str]] = {}
-    for r in words.where(F.col("a") >= max(BUCKET_WORDS // 4, -(-total // HEAVY_WORDS))).select("lang", "word").collect():
+    for r in words.where(F.col("a") >= max(BUCKET_WORDS // 2, -(-total // HEAVY_WORDS))).select("lang", "word").collect():
         heavy.setdefault(r.lang, set()).add(r.word)
     suffixes = texts.mapInArrow(_suffixes(max_words, total // BUCKET_WORDS + 1, heavy), SUFFIXES)
     routed = suffixes.repartition("bucket", "heavy").sortWithinPartitions("bucket", "heavy")
