@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from viamark.operators import network
+from viamark.operators import network, routing
 from viamark.operators.components import components
 
 
@@ -49,7 +49,7 @@ def test_largest_scc(spark):
     assert len(got) == best and all(y in r[x] for x in got for y in got)
 
 
-def test_shortest_and_read_back(spark):
+def test_fields_and_paths(spark):
     arcs = graph(5)
     dist, pred, heap = {0: 0.0}, {}, [(0.0, 0)]
     while heap:
@@ -61,10 +61,10 @@ def test_shortest_and_read_back(spark):
                 dist[b], pred[b] = d + w, x
                 heapq.heappush(heap, (d + w, b))
     df = spark.createDataFrame(arcs, "tail long, head long, minutes double")
-    tree = network.shortest(df, spark.createDataFrame([(7, 0)], "trip long, origin long"))
+    tree = routing.fields(df, spark.createDataFrame([(7, 0)], "trip long, node long"), None, "minutes")
     assert {r.node: r.cost for r in tree.collect()} == dist
     far = max(dist, key=dist.get)
-    path = network.read_back(tree, spark.createDataFrame([(7, far)], "trip long, node long")).orderBy(F.desc("back")).collect()
+    path = routing.path(tree, spark.createDataFrame([(7, far)], "trip long, node long")).orderBy(F.desc("back")).collect()
     least = {(a, b): min(w for x, y, w in arcs if (x, y) == (a, b)) for a, b, _ in arcs}
     assert path[0].tail == 0 and path[-1].head == far and sum(least[p.tail, p.head] for p in path) == dist[far]
 
@@ -93,16 +93,13 @@ def test_controls(spark):
     assert (got.n_signal_fwd, got.n_signal_rev, got.n_stop_fwd, got.n_stop_rev, got.n_giveway_fwd, got.n_giveway_rev) == (1, 1, 1, 0, 0, 1)
 
 
-def test_searches_that_end_too_early_raise(spark):
+def test_searches_go_on_until_all_is_found(spark):
     from viamark.operators import spatial
 
-    tree = spark.createDataFrame([(1, k, k - 1) for k in range(1, 5)], "trip long, node long, pred long")
-    ends = spark.createDataFrame([(1, 4)], "trip long, node long")
-    with pytest.raises(RuntimeError):
-        network.read_back(tree, ends, max_rounds=2)
-    assert network.read_back(tree, ends, max_rounds=4).count() == 4
+    tree = spark.createDataFrame([(1, k, k - 1 if k else None) for k in range(50)] + [(2, 5, None)], "trip long, node long, pred long")
+    ends = spark.createDataFrame([(1, 49), (2, 5), (3, 1)], "trip long, node long")
+    assert sorted(tuple(r) for r in routing.path(tree, ends).collect()) == [(1, b, 48 - b, 49 - b) for b in range(49)]
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 90.0, 0.0)], "pid long, x double, y double")
     segs = spark.createDataFrame([(7, 100.0, 0.0, 110.0, 0.0)], "id long, ax double, ay double, bx double, by double")
-    with pytest.raises(RuntimeError):
-        spatial.nearest_any(points, segs, "id", 20.0, rounds=2)
-    assert spatial.nearest_any(points, segs, "id", 20.0, rounds=4).count() == 2
+    assert spatial.nearest_any(points, segs, "id", 0.5).count() == 2
+    assert spatial.nearest_any(points, segs.limit(0), "id", 20.0).count() == 0

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viamark.functions import calendar as cal
-from viamark.operators import closures, driven, evaluation, network, raster, regions, routing, spatial
+from viamark.operators import closures, driven, evaluation, network, polygons, raster, regions, routing, spatial
 
 
 def graph(n, m, seed):
@@ -171,15 +171,89 @@ def test_owners_prefer_the_region_around_them(spark):
     assert {r.pid: r.region for r in regions.owners(points, cores, 5.0).collect()} == {1: 1, 2: 1, 3: 2, 4: None}
 
 
-def test_draws_fall_on_edges_by_length(spark):
-    edges = [(e, float(1 + e % 7)) for e in range(300)]
+@pytest.mark.parametrize("rows", [100_000, 7])
+def test_draws_fall_on_edges_by_length(spark, rows):
+    edges = [(e * 3, (e * 37) % 900) for e in range(300)]
     draws = [(k, k / 2000) for k in range(2000)]
-    got = evaluation.interval_draws(spark.createDataFrame(edges, "edge long, length_m double"), spark.createDataFrame(draws, "draw long, u double")).collect()
-    size, total, hits = dict(edges), sum(x for _, x in edges), {}
-    assert len(got) == 2000 and all(0 <= r.offset < size[r.edge] + 1e-9 for r in got)
+    got = evaluation.interval_draws(spark.createDataFrame(edges, "edge long, mm long"), spark.createDataFrame(draws, "draw long, u double"), rows).collect()
+    ends = np.cumsum([mm for _, mm in edges])
+    want = {}
+    for k, u in draws:
+        place = int(np.floor(u * ends[-1]))
+        at = int(np.searchsorted(ends, place, "right"))
+        want[k] = (edges[at][0], place - int(ends[at] - edges[at][1]))
+    assert {r.draw: (r.edge, r.offset) for r in got} == want
+
+
+def ring(rng, n, x, y, size):
+    """A ring that winds in and out, with vertices on round numbers."""
+    a = np.sort(rng.random(n)) * 2 * np.pi
+    r = size * (0.3 + 0.7 * rng.random(n))
+    return [(float(round(x + q * np.cos(t))), float(round(y + q * np.sin(t)))) for t, q in zip(a, r)]
+
+
+def inside(px, py, ring):
+    n = 0
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (ay > py) != (by > py) and px < (bx - ax) * (py - ay) / (by - ay) + ax:
+            n += 1
+    return n % 2 == 1
+
+
+@pytest.mark.parametrize("size", [7.0, 40.0, 500.0])
+def test_cut_polygons_answer_as_whole_ones(spark, size):
+    rng = np.random.default_rng(int(size))
+    rings = [(k, ring(rng, 60, *rng.integers(0, 200, 2), 80)) for k in range(6)] + [(9, [(0.0, 0.0), (30.0, 0.0), (30.0, 30.0), (0.0, 30.0)])]
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(-60, 260, (600, 2)))]
+    df = spark.createDataFrame(rings, "id int, geom array<struct<x:double,y:double>>")
+    at = spark.createDataFrame(points, "pid long, x double, y double")
+    want = {(k, i) for k, x, y in points for i, g in rings if inside(x, y, g)}
+    assert {tuple(r) for r in polygons.containing_cut(at, *polygons.cut(df, "id", size), "id", size).collect()} == want
+    both = spatial.containing(at, df, "id", size, vertices=20).collect()
+    assert len(both) == len(want) and {tuple(r) for r in both} == want
+
+
+def test_overlaps_come_once(spark):
+    rng = np.random.default_rng(4)
+    spans = lambda n: [(int(k % 3), k, float(a), float(a + b)) for k, (a, b) in enumerate(rng.integers(0, 90, (n, 2)))]
+    a, b = spans(60), spans(50)
+    left = spark.createDataFrame(a, "drive int, i int, a double, b double")
+    right = spark.createDataFrame(b, "drive int, j int, c double, d double")
+    got = sorted((r.i, r.j) for r in spatial.overlap_join(left, right, ["drive"], ("a", "b"), ("c", "d"), 5.0, 20.0).collect())
+    assert got == sorted((i, j) for v, i, x, y in a for w, j, s, t in b if v == w and x - 5 <= t and s <= y + 5)
+
+
+def test_gated_shares_cross_tiles(spark):
+    rng = np.random.default_rng(6)
+    grid = rng.integers(0, 2, (8, 12, 2))
+    cells = [(r + 4, c - 4, int(grid[r, c, 0]), int(grid[r, c].all())) for r in range(8) for c in range(12) if not 4 <= c < 8 or r < 4]
+    there = {(r, c): (a, g) for r, c, a, g in cells}
+    points = [(k, int(r), int(c)) for k, (r, c) in enumerate(rng.integers(-8, 20, (80, 2)))] + [(100, 4, -4), (101, 7, 3), (102, 8, 4)]
+    got = raster.gated_box_shares(spark.createDataFrame(points, "pid long, row long, col long"), spark.createDataFrame(cells, "row long, col long, a int, g int"), ["a", "g"], 2, 4).collect()
+    assert len(got) == len(points)
     for r in got:
-        hits[r.edge] = hits.get(r.edge, 0) + 1
-    assert all(abs(n - 2000 * size[e] / total) <= 2 for e, n in hits.items())
+        _, row, col = next(p for p in points if p[0] == r.pid)
+        box = [there.get((row + i, col + j), (0, 0)) for i in range(-2, 3) for j in range(-2, 3)]
+        assert (round(r.a * 25), round(r.g * 25)) == (sum(x for x, _ in box), sum(g for _, g in box))
+
+
+def test_switch_points_and_frontier(spark):
+    rng = np.random.default_rng(8)
+    rows = [(t, p + 1, float(k)) for t in range(3) for p, k in enumerate(np.cumsum(rng.integers(0, 5, 40)) / 10)]
+    got = {}
+    for r in routing.switch_points(spark.createDataFrame(rows, "trip int, pos int, km double"), points=6, step_km=0.5).collect():
+        got.setdefault(r.trip, []).append(r.pos)
+    for t in range(3):
+        line = [(p, k) for u, p, k in rows if u == t]
+        step, keep = max(0.5, line[-1][1] / 6), [line[0]]
+        for p, k in line[1:]:
+            if k >= keep[-1][1] + step - 1e-9:
+                keep.append((p, k))
+        assert sorted(got[t]) == sorted({p for p, _ in keep} | {line[-1][0]}) and len(got[t]) <= 8
+    options = [(1, i, j, float(e), float(g)) for (i, j), (e, g) in zip([(i, j) for i in range(9) for j in range(i)], rng.integers(1, 15, (36, 2)))]
+    best = routing.frontier_of(spark.createDataFrame(options, "trip int, i int, j int, extra double, gain double")).collect()
+    want = {(e, g) for _, _, _, e, g in options if not any(e2 <= e and g2 >= g and (e2, g2) != (e, g) for _, _, _, e2, g2 in options)}
+    assert {(r.extra, r.gain) for r in best} == want and len(best) == len(want)
 
 
 def test_turned_back_clips_to_the_strip(spark):

@@ -49,7 +49,7 @@ def require_empty(df: DataFrame, what: str, shown: int = 20) -> None:
 
 def matches(side: DataFrame, graph: DataFrame, key: list[str]) -> DataFrame:
     """Rows of a side table whose key the graph does not have; must be empty."""
-    return side.join(graph.select(*key).distinct().hint("shuffle_hash"), key, "left_anti")
+    return side.join(graph.select(*key).distinct().hint("merge"), key, "left_anti")
 
 
 def complete(df: DataFrame, key: str, expected: int) -> DataFrame:

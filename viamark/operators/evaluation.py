@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viamark.operators import stats
+from viamark.plans.tables import stage
 
 
 def share(c: Column, weight: Column | None = None) -> Column:
@@ -142,22 +143,33 @@ def decisive(df: DataFrame, base: str, candidate: str, least_m: float, high: flo
     return r.join(modal.hint("merge"), "name").select("name", "km", "group", verdict.alias("verdict"))
 
 
-def interval_draws(edges: DataFrame, draws: DataFrame) -> DataFrame:
-    """draw, edge, offset: draws at places of the total length, joined to the edge that holds the place.
+def interval_draws(edges: DataFrame, draws: DataFrame, rows: int = 100_000) -> DataFrame:
+    """draw, edge, offset: draws at places of the total length, each with the edge that holds its place.
 
-    edges: edge, length_m; draws: draw, u (0 to 1). Running lengths are taken in groups of
-    edges, so that no task orders more than one group.
+    edges: edge, mm (whole millimetres, so sums are exact); draws: draw, u (0 to 1). Edges are in the order
+    of their ids and cut into ranges of about ``rows``: a range's sum tells where it begins,
+    and inside it running sums and places are merged in one sort, without pairs.
     """
-    e = edges.withColumn("group", F.pmod(F.xxhash64("edge"), F.lit(64)))
-    g = e.groupBy("group").agg(F.sum("length_m").alias("m"))
-    g = g.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))  # 64 rows
-    total = g.agg(F.sum("m").alias("total"))
-    own = Window.partitionBy("group").orderBy("edge")
-    at = e.withColumn("end", F.sum("length_m").over(own)).withColumn("start", F.col("end") - F.col("length_m"))
-    d = draws.join(F.broadcast(total), F.lit(True)).withColumn("place", F.col("u") * F.col("total"))
-    d = d.join(F.broadcast(g.select("group", "m", "before")), (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("m"))).withColumn("place", F.col("place") - F.col("before"))
-    hit = d.join(at.select("group", "edge", "start", "end").hint("merge"), "group").where("place >= start and place < end")
-    return hit.select("draw", "edge", (F.col("place") - F.col("start")).alias("offset"))
+    n = max(1, -(-edges.count() // rows))
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else None
+    cuts = edges.agg((F.percentile_approx("edge", shares, F.lit(10_000)) if n > 1 else F.expr("cast(array() as array<bigint>)")).alias("cuts"))  # one row
+    e = stage(edges.join(F.broadcast(cuts), F.lit(True)).select("edge", "mm", F.size(F.filter("cuts", lambda c: c < F.col("edge"))).alias("range")), "ranges")
+    sums = e.groupBy("range").agg(F.sum("mm").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # as many rows as ranges
+    sums = stage(sums, "sums")
+    begins = sums.agg(F.sum("m").alias("total"), F.array_sort(F.collect_list(F.struct("before", "range"))).alias("at"))  # one row
+    d = draws.join(F.broadcast(begins), F.lit(True)).withColumn("place", F.floor(F.col("u") * F.col("total")))
+    d = d.withColumn("hit", F.element_at(F.filter("at", lambda a: a["before"] <= F.col("place")), -1)).select("draw", F.col("hit.range").alias("range"), (F.col("place") - F.col("hit.before")).alias("place"))
+    own = Window.partitionBy("range").orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)
+    starts = e.withColumn("place", F.sum("mm").over(own) - F.col("mm")).where("mm > 0")
+    both = starts.select("range", "place", F.struct("edge", "place").alias("e"), F.lit(None).cast("long").alias("draw")).unionByName(d.select("range", "place", F.lit(None).cast("struct<edge:bigint,place:bigint>").alias("e"), F.col("draw").cast("long").alias("draw")))
+    last = F.last("e", ignorenulls=True).over(Window.partitionBy("range").orderBy("place", F.col("draw").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("e", last).where("draw is not null").select("draw", "e.edge", (F.col("place") - F.col("e.place")).alias("offset"))
+
+
+def offset_ends(draws: DataFrame, x: str, y: str, near_m: float, far_m: float) -> DataFrame:
+    """``draws`` with the other end of a trip (tx, ty): at a seeded distance and bearing from (x, y). Needs columns v, w (0 to 1)."""
+    d, b = near_m + (far_m - near_m) * F.col("v"), F.radians(360.0 * F.col("w"))
+    return draws.withColumns({"tx": F.col(x) + d * F.sin(b), "ty": F.col(y) + d * F.cos(b)})
 
 
 def first_difference(before: DataFrame, after: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ def edges(refs: DataFrame, least: float = 1.0) -> DataFrame:
     first vertex began or continues.
     """
     order = Window.partitionBy("way_id").orderBy("n")
-    marked = refs.join(junctions(refs).select("node_id", F.lit(1).alias("junction")).hint("shuffle_hash"), "node_id", "left")
+    marked = refs.join(junctions(refs).select("node_id", F.lit(1).alias("junction")).hint("merge"), "node_id", "left")
     nxt = F.lead(F.struct("node_id", "x", "y")).over(order)
     steps = marked.withColumns({"breaks": ((F.row_number().over(order) == 1) | F.col("junction").isNotNull()).cast("int"), "next": nxt})
     steps = steps.withColumn("seq", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("next").isNotNull())
@@ -42,7 +42,7 @@ def edges(refs: DataFrame, least: float = 1.0) -> DataFrame:
 def node_table(refs: DataFrame, edges_: DataFrame) -> DataFrame:
     """One coordinate for every node that ends an edge."""
     ends = edges_.select(F.col("u").alias("node_id")).unionByName(edges_.select(F.col("v").alias("node_id"))).distinct()
-    return refs.join(ends.hint("shuffle_hash"), "node_id", "left_semi").groupBy("node_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    return refs.join(ends.hint("merge"), "node_id", "left_semi").groupBy("node_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
 
 
 def minutes(length_m: str, kmh: Column, highway: str) -> Column:
@@ -167,29 +167,6 @@ def largest_scc(arcs_: DataFrame) -> DataFrame:
     return comp.join(F.broadcast(best), "root").select("node")  # one row is broadcast
 
 
-def shortest(arcs_: DataFrame, trips: DataFrame, cost: str = "minutes", corridor: DataFrame | None = None, max_rounds: int = 500) -> DataFrame:
-    """trip, node, cost, pred: least costs from each trip's origin, by rounds of relaxation.
-
-    trips: trip, origin. corridor: trip, node - the nodes each trip may use. Only nodes
-    that have become cheaper are relaxed in the next round.
-    """
-    hops = arcs_.select(F.col("tail").alias("node"), F.col("head").alias("next"), F.col(cost).alias("w"))
-    state = stage(trips.select("trip", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("pred")), "state")
-    front = state
-    for _ in range(max_rounds):
-        step = front.join(hops.hint("shuffle_hash"), "node").select("trip", F.col("next").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("pred"))
-        if corridor is not None:
-            step = step.join(corridor.hint("shuffle_hash"), ["trip", "node"], "left_semi")
-        step = step.groupBy("trip", "node").agg(F.min(F.struct("cost", "pred")).alias("m")).select("trip", "node", "m.cost", "m.pred")
-        old = state.select("trip", "node", F.col("cost").alias("was"))
-        front = stage(step.join(old.hint("shuffle_hash"), ["trip", "node"], "left").where(F.col("was").isNull() | (F.col("cost") < F.col("was") - 1e-9)).drop("was"), "front")
-        if front.isEmpty():
-            return state
-        keep = state.join(front.select("trip", "node").hint("shuffle_hash"), ["trip", "node"], "left_anti")
-        state = stage(keep.unionByName(front), "state")
-    raise RuntimeError(f"costs still fall after {max_rounds} rounds")
-
-
 def corridor(nodes: DataFrame, trips: DataFrame, slack: float) -> DataFrame:
     """trip, node: nodes whose way over is at most the straight line and ``slack`` metres.
 
@@ -216,7 +193,7 @@ def path_sums(parents: DataFrame, value: str, max_rounds: int = 40) -> DataFrame
     state = stage(p.withColumn("total", F.col("total") * F.when(F.col("to") == F.col("node"), 0.0).otherwise(1.0)), "pointers")
     for _ in range(max_rounds):
         up = state.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("total").alias("more"))
-        nxt = state.join(up.hint("shuffle_hash"), "to", "left")
+        nxt = state.join(up.hint("merge"), "to", "left")
         nxt = nxt.select("node", F.coalesce("further", "to").alias("to_"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.coalesce("further", "to") != F.col("to")).alias("moved"))
         nxt = stage(nxt.withColumnRenamed("to_", "to"), "pointers")
         state = nxt.drop("moved")
@@ -225,35 +202,20 @@ def path_sums(parents: DataFrame, value: str, max_rounds: int = 40) -> DataFrame
     raise RuntimeError("the pointers run in a circle")
 
 
-def read_back(tree: DataFrame, ends: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """trip, back, tail, head: the arcs of each trip's path, from its end (trip, node) backwards."""
-    at, out = stage(ends.select("trip", "node"), "at"), None
-    for back in range(max_rounds + 1):
-        step = at.join(tree.select("trip", "node", "pred").hint("shuffle_hash"), ["trip", "node"]).where("pred is not null")
-        step = stage(step.select("trip", F.lit(back).alias("back"), F.col("pred").alias("tail"), F.col("node").alias("head")), "back")
-        if step.isEmpty():
-            break
-        out = step if out is None else out.unionByName(step)
-        at = step.select("trip", F.col("tail").alias("node"))
-    else:
-        raise RuntimeError(f"paths are not at their origins after {max_rounds} rounds")
-    return out if out is not None else ends.select("trip", F.lit(0).alias("back"), F.col("node").alias("tail"), F.col("node").alias("head")).limit(0)
-
-
 def turn_bans(restrictions: DataFrame, edges_: DataFrame) -> DataFrame:
     """via, from_edge, to_edge: banned movements. ``only_*`` bans the other exits; more than one approach is refused.
 
     restrictions: id, kind, from_way, via, to_way; edges_: edge, way_id, u, v.
     """
     ends = edges_.select("edge", "way_id", F.col("u").alias("via")).unionByName(edges_.select("edge", "way_id", F.col("v").alias("via"))).distinct()
-    src = restrictions.join(ends.select(F.col("edge").alias("from_edge"), F.col("way_id").alias("from_way"), "via").hint("shuffle_hash"), ["from_way", "via"])
+    src = restrictions.join(ends.select(F.col("edge").alias("from_edge"), F.col("way_id").alias("from_way"), "via").hint("merge"), ["from_way", "via"])
     src = src.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("n = 1").drop("n")
     to = ends.select(F.col("edge").alias("to_edge"), F.col("way_id").alias("to_way"), "via")
-    named = src.join(to.hint("shuffle_hash"), ["to_way", "via"])
+    named = src.join(to.hint("merge"), ["to_way", "via"])
     no = named.where(F.col("kind").startswith("no_")).select("via", "from_edge", "to_edge")
     only = named.where(F.col("kind").startswith("only_")).select("via", "from_edge", "to_edge")
-    others = only.select("via", "from_edge").distinct().join(to.select("via", "to_edge").distinct().hint("shuffle_hash"), "via").where("to_edge <> from_edge")
-    return no.unionByName(others.join(only.hint("shuffle_hash"), ["via", "from_edge", "to_edge"], "left_anti")).distinct()
+    others = only.select("via", "from_edge").distinct().join(to.select("via", "to_edge").distinct().hint("merge"), "via").where("to_edge <> from_edge")
+    return no.unionByName(others.join(only.hint("merge"), ["via", "from_edge", "to_edge"], "left_anti")).distinct()
 
 
 def controls(refs: DataFrame, signs: DataFrame, junctions_: DataFrame, edges_of: DataFrame) -> DataFrame:
@@ -262,8 +224,8 @@ def controls(refs: DataFrame, signs: DataFrame, junctions_: DataFrame, edges_of:
     refs: way_id, n, node_id; signs: node_id, kind, direction; edges_of: way_id, seq, first,
     last (vertex numbers). On a junction the direction tag is not read.
     """
-    s = signs.join(junctions_.select("node_id", F.lit(1).alias("j")).hint("shuffle_hash"), "node_id", "left").withColumn("direction", F.when(F.col("j").isNotNull(), "").otherwise(F.coalesce("direction", F.lit(""))))
-    at = refs.join(s.hint("shuffle_hash"), "node_id").join(edges_of.hint("shuffle_hash"), "way_id").where("n between first and last")
+    s = signs.join(junctions_.select("node_id", F.lit(1).alias("j")).hint("merge"), "node_id", "left").withColumn("direction", F.when(F.col("j").isNotNull(), "").otherwise(F.coalesce("direction", F.lit(""))))
+    at = refs.join(s.hint("merge"), "node_id").join(edges_of.hint("merge"), "way_id").where("n between first and last")
     n = lambda kind, d, ok: F.sum(F.when((F.col("kind") == kind) & ok, 1).otherwise(0)).alias(f"n_{kind}_{d}")
     fwd = (F.col("n") > F.col("first")) & (F.col("direction") != "backward")
     rev = (F.col("n") < F.col("last")) & (F.col("direction") != "forward")

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viamark.plans.tables import stage
+
 
 def terrarium(r: Column, g: Column, b: Column, low: float = -500.0, high: float = 9000.0) -> Column:
     """Height of an encoded pixel; out of band is null, below the sea is 0."""
@@ -75,9 +77,9 @@ def despiked(df: DataFrame, value: str, off: float = 250.0) -> DataFrame:
     suspects = near.where((F.col("high") - F.col(value) > off) | (F.col(value) - F.col("low") > off)).select("tile", "row", "col", value)
     square = F.expr("explode(flatten(transform(sequence(-2, 2), i -> transform(sequence(-2, 2), j -> struct(i, j)))))")
     asked = suspects.withColumn("o", square).select("tile", (F.col("row") + F.col("o.i")).alias("r"), (F.col("col") + F.col("o.j")).alias("c"), "row", "col", F.col(value).alias("own_"))
-    seen = asked.join(df.select("tile", F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("n_")).hint("shuffle_hash"), ["tile", "r", "c"])
+    seen = asked.join(df.select("tile", F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("n_")).hint("merge"), ["tile", "r", "c"])
     spikes = seen.groupBy("tile", "row", "col").agg(F.median("n_").alias("m"), F.first("own_").alias("own_")).where(F.abs(F.col("own_") - F.col("m")) > off).select("tile", "row", "col", F.lit(True).alias("spike_"))
-    return df.join(spikes.hint("shuffle_hash"), ["tile", "row", "col"], "left").withColumn(value, F.when(F.col("spike_").isNull(), F.col(value))).drop("spike_")
+    return df.join(spikes.hint("merge"), ["tile", "row", "col"], "left").withColumn(value, F.when(F.col("spike_").isNull(), F.col(value))).drop("spike_")
 
 
 def block_counts(df: DataFrame, cls: str, size: int = 12) -> DataFrame:
@@ -106,23 +108,65 @@ def box_shares(df: DataFrame, value: str, reach: int) -> DataFrame:
     """
     a = summed(df, value).select("tile", "row", "col", "area")
     edge = a.groupBy("tile").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    at = df.select("tile", "row", "col").join(edge.hint("shuffle_hash"), "tile")
+    at = df.select("tile", "row", "col").join(edge.hint("merge"), "tile")
     at = at.withColumns({"top": F.greatest(F.col("row") - reach, "r0"), "bottom": F.least(F.col("row") + reach, "r1"), "left": F.greatest(F.col("col") - reach, "c0"), "right": F.least(F.col("col") + reach, "c1")})
     out, total = at, F.lit(0.0)
     for i, (r, c, sign) in enumerate((("bottom", "right", 1), ("top", "right", -1), ("bottom", "left", -1), ("top", "left", 1))):
         corner = a.select("tile", F.col("row").alias(f"r_{i}"), F.col("col").alias(f"c_{i}"), F.col("area").alias(f"a_{i}"))
         rr = F.col(r) - 1 if r == "top" else F.col(r)
         cc = F.col(c) - 1 if c == "left" else F.col(c)
-        out = out.withColumns({f"r_{i}": rr, f"c_{i}": cc}).join(corner.hint("shuffle_hash"), ["tile", f"r_{i}", f"c_{i}"], "left")
+        out = out.withColumns({f"r_{i}": rr, f"c_{i}": cc}).join(corner.hint("merge"), ["tile", f"r_{i}", f"c_{i}"], "left")
         total = total + sign * F.coalesce(f"a_{i}", F.lit(0.0))
     n = (F.col("bottom") - F.col("top") + 1) * (F.col("right") - F.col("left") + 1)
     return out.select("tile", "row", "col", (total / n).alias("share"), n.alias("pixels"))
 
 
+def gated_box_shares(points: DataFrame, pixels: DataFrame, layers: list[str], reach: int, size: int) -> DataFrame:
+    """pid and, for each of ``layers``, its share of the box of (2 ``reach`` + 1)^2 pixels around a point; boxes may cross tiles.
+
+    points: pid, row, col; pixels: row, col and layers (0 or 1, or any amount), of
+    which ``size`` x ``size`` make a tile; a pixel that is not there counts as 0.
+    Summed areas on two levels: inside each tile, and over whole tiles, rows of tiles and
+    columns of tiles. No task sums more than one row or column of pixels of a tile, or of tiles.
+    """
+    tile = lambda c: F.floor(F.col(c) / size)
+    there = pixels.select(tile("row").alias("ty"), tile("col").alias("tx")).distinct()
+    square = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
+    every = there.withColumn("o", square).select("ty", "tx", (F.col("ty") * size + F.col("o.i")).alias("row"), (F.col("tx") * size + F.col("o.j")).alias("col"))
+    p = stage(every.join(pixels.select("row", "col", *layers).hint("merge"), ["row", "col"], "left").fillna(0, layers), "pixels")
+    upto = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    before = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = lambda df, w: df.withColumns({c: F.sum(c).over(w) for c in layers})
+    total = lambda df, by: df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in layers])
+    inner = sums(sums(p, upto(["ty", "tx", "row"], "col")), upto(["ty", "tx", "col"], "row"))
+    edge = p.agg(F.min("ty").alias("y0"), F.max("ty").alias("y1"), F.min("tx").alias("x0"), F.max("tx").alias("x1"))  # one row
+    # Tables of what lies before a tile: rows of the tiles to its left, columns of the tiles above, tiles up and left.
+    grid = edge.select(F.explode(F.sequence("y0", "y1")).alias("ty"), "x0", "x1").select("ty", F.explode(F.sequence("x0", "x1")).alias("tx"))
+    lines = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    rows = lines.select("ty", "tx", (F.col("ty") * size + F.col("k")).alias("row")).join(total(p, ["ty", "tx", "row"]).hint("merge"), ["ty", "tx", "row"], "left")
+    cols = lines.select("ty", "tx", (F.col("tx") * size + F.col("k")).alias("col")).join(total(p, ["ty", "tx", "col"]).hint("merge"), ["ty", "tx", "col"], "left")
+    left = sums(sums(rows, upto(["ty", "tx"], "row")), before(["row"], "tx"))
+    above = sums(sums(cols, upto(["ty", "tx"], "col")), before(["col"], "ty"))
+    whole = sums(sums(grid.join(total(p, ["ty", "tx"]).hint("merge"), ["ty", "tx"], "left"), before(["ty"], "tx")), before(["tx"], "ty"))
+    inner, left, above, whole = (stage(df.select(*keys, *[zero(F.col(c)).alias(f"{c}_{n}") for c in layers]), "areas") for n, df, keys in (("i", inner, ["row", "col"]), ("l", left, ["tx", "row"]), ("a", above, ["ty", "col"]), ("w", whole, ["ty", "tx"])))
+    # Corners outside the raster are moved to its last row and column; before the first there is nothing.
+    low, high = (F.struct((F.col(c) - reach - 1).alias("v"), F.lit(-1).alias("sign")) for c in ("row", "col")), (F.struct((F.col(c) + reach).alias("v"), F.lit(1).alias("sign")) for c in ("row", "col"))
+    (r0, c0), (r1, c1) = low, high
+    asked = points.select("pid", F.explode(F.array(r0, r1)).alias("r"), "col").select("pid", "r", F.explode(F.array(c0, c1)).alias("c"))
+    at = asked.join(F.broadcast(edge), F.lit(True)).select("pid", (F.col("r.sign") * F.col("c.sign")).alias("sign"), F.least("r.v", (F.col("y1") + 1) * size - 1).alias("row"), F.least("c.v", (F.col("x1") + 1) * size - 1).alias("col"), (F.col("x0") * size).alias("left_"), (F.col("y0") * size).alias("top_"))
+    at = at.where("row >= top_ and col >= left_").select("pid", "sign", "row", "col").withColumns({"ty": tile("row"), "tx": tile("col")})
+    for other, keys in ((inner, ["row", "col"]), (left, ["tx", "row"]), (above, ["ty", "col"]), (whole, ["ty", "tx"])):
+        at = at.join(other.hint("merge"), keys, "left")
+    area = {c: sum((zero(F.col(f"{c}_{n}")) for n in "ilaw"), F.lit(0)) for c in layers}
+    got = at.groupBy("pid").agg(*[(F.sum(F.col("sign") * a) / float((2 * reach + 1) ** 2)).alias(c) for c, a in area.items()])
+    return points.select("pid").join(got.hint("merge"), "pid", "left").select("pid", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in layers])
+
+
 def sample(points: DataFrame, df: DataFrame, value: str, size: float) -> DataFrame:
     """points (tile, x, y) with the value of the pixel of ``size`` they lie in; null outside."""
     at = points.withColumns({"row": F.floor(F.col("y") / size), "col": F.floor(F.col("x") / size)})
-    return at.join(df.select("tile", "row", "col", value).hint("shuffle_hash"), ["tile", "row", "col"], "left")
+    return at.join(df.select("tile", "row", "col", value).hint("merge"), ["tile", "row", "col"], "left")
 
 
 def tiles_of_box(west: Column, south: Column, east: Column, north: Column, step: int = 3) -> Column:

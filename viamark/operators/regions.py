@@ -78,11 +78,11 @@ def polygon_flags(points: DataFrame, rings: DataFrame, flags: dict[str, Column],
     return out
 
 
-def near_polygons(points: DataFrame, rings: DataFrame, d: float, cell: float) -> DataFrame:
+def near_polygons(points: DataFrame, rings: DataFrame, d: float, cell: float, vertices: int | None = None) -> DataFrame:
     """pid: points inside a polygon or within ``d`` of its outline. Outlines are cut to cells segment by segment, so a
-    polygon of many vertices is never tested whole against a point that is only near it."""
+    polygon of more than ``vertices`` is never tested whole."""
     close = least_distance(points, outlines(rings, "id"), "id", d).select("pid")
-    return close.unionByName(containing(points, rings, "id", cell).select("pid")).distinct()
+    return close.unionByName(containing(points, rings, "id", cell, vertices).select("pid")).distinct()
 
 
 def box_pairs(a: DataFrame, b: DataFrame, pad: float, cell: float) -> DataFrame:

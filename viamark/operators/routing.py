@@ -12,52 +12,64 @@ from pyspark.sql import functions as F
 from viamark.functions.geometry import folded, to_segment
 from viamark.operators.components import components
 from viamark.operators.spatial import CELL, cells_of_box
-from viamark.plans.tables import stage
+from viamark.plans.tables import Appended, Bucketed, stage
 
 # Loops, splices, snapping, private roads, unpaved penalty of old tables.
 PENALTY, TOLERANCE, MIN_SECTOR, MIN_LEG_KM, PICKS = 3.0, 0.10, 5, 0.5, 5
 FIRST_GAIN_KM, SLACK_M, HEADING_DEG = 0.805, 20.0, 40.0
+SWITCH_POINTS, SWITCH_STEP_KM = 40, 0.3
 PRIVATE_PER_KM, PRIVATE_ENTRY, LEGACY_UNPAVED = 10.0, 10_000.0, -0.25
 
 
-def fields(arcs: DataFrame, starts: DataFrame, within: DataFrame, cost: str, carry: tuple[str, ...] = (), penalties: DataFrame | None = None) -> DataFrame:
+def fields(arcs: DataFrame, starts: DataFrame, within: DataFrame | None, cost: str, carry: tuple[str, ...] = (), penalties: DataFrame | None = None, graph: str | None = None, limit: float | None = None) -> DataFrame:
     """trip, node, cost, pred and sums of ``carry`` along the cheapest path from each trip's start.
 
     arcs: tail, head, cost, carry; starts: trip, node; within: trip, node (what each trip may
-    use); penalties: trip, tail, head, factor (its own price of an arc). Only nodes that have
-    become cheaper are relaxed again; costs fall each round and are bounded below, so rounds end.
+    use); penalties: trip, tail, head, factor (its own price of an arc); graph: a column of
+    arcs and starts that keeps networks apart; limit: the greatest cost. Only nodes that have become cheaper are
+    relaxed again; costs fall each round and are bounded below, so rounds end. A round writes
+    what has become cheaper and reads the buckets of the trips that are still under way.
     """
-    hops = arcs.select(F.col("tail").alias("node"), F.col("head").alias("next"), F.col(cost).alias("w_"), *[F.col(c).alias(f"{c}_") for c in carry])
+    own = [graph] if graph else []
+    hops = arcs.select(*own, F.col("tail").alias("node"), F.col("head").alias("next"), F.col(cost).alias("w_"), *[F.col(c).alias(f"{c}_") for c in carry])
     zero = [F.lit(0.0).alias(c) for c in carry]
-    state = stage(starts.select("trip", "node", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("pred"), *zero), "state")
-    front = state
-    while True:
-        step = front.join(hops.hint("merge"), "node")
+    key = [*own, "trip", "node"]
+    best = lambda rows: rows.groupBy(*key).agg(F.min(F.struct("cost", "pred", *carry)).alias("m")).select(*key, "m.*")
+    state = Bucketed(arcs.sparkSession, "state", ["trip"], best)
+    front = state.append(starts.select(*key, F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("pred"), *zero))
+    while front is not None:
+        step = front.join(hops.hint("merge"), [*own, "node"])
         if penalties is not None:
             step = step.join(penalties.select("trip", F.col("tail").alias("node"), F.col("head").alias("next"), "factor").hint("merge"), ["trip", "node", "next"], "left").withColumn("w_", F.col("w_") * F.coalesce("factor", F.lit(1.0)))
-        step = step.select("trip", F.col("next").alias("node"), F.struct((F.col("cost") + F.col("w_")).alias("cost"), F.col("node").alias("pred"), *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in carry]).alias("m"))
-        step = step.join(within.select("trip", "node").hint("merge"), ["trip", "node"], "left_semi").groupBy("trip", "node").agg(F.min("m").alias("m")).select("trip", "node", "m.*")
-        was = state.select("trip", "node", F.col("cost").alias("was"))
-        front = stage(step.join(was.hint("merge"), ["trip", "node"], "left").where(F.col("was").isNull() | (F.col("cost") < F.col("was") - 1e-9)).drop("was"), "front")
-        if front.isEmpty():
-            return state
-        kept = state.join(front.select("trip", "node").hint("merge"), ["trip", "node"], "left_anti")
-        state = stage(kept.unionByName(front), "state")
+        if limit is not None:
+            step = step.where(F.col("cost") + F.col("w_") <= limit)
+        step = step.select(*own, "trip", F.col("next").alias("node"), F.struct((F.col("cost") + F.col("w_")).alias("cost"), F.col("node").alias("pred"), *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in carry]).alias("m"))
+        if within is not None:
+            step = step.join(within.select("trip", "node").hint("merge"), ["trip", "node"], "left_semi")
+        step = step.groupBy(*key).agg(F.min("m").alias("m")).select(*key, "m.*")
+        was = state.read(state.touched).groupBy(*key).agg(F.min("cost").alias("was"))
+        front = state.append(step.join(was.hint("merge"), key, "left").where(F.col("was").isNull() | (F.col("cost") < F.col("was") - 1e-9)).drop("was"))
+    return stage(best(state.read()), "field")
 
 
 def path(tree: DataFrame, ends: DataFrame) -> DataFrame:
     """trip, back, tail, head: the arcs from each trip's end (trip, node) back to its start.
 
-    A tree has no circles, so the walk ends at the latest after its deepest node.
+    By pointer doubling: after k rounds the nodes within 2^k steps of an end are known, so a
+    path of 2,000 arcs takes 11 rounds. A tree has no circles, so rounds end.
     """
     hops = tree.where("pred is not null").select("trip", "node", "pred")
-    at, out, back = ends.select("trip", "node"), None, 0
+    jump, far = hops.select("trip", "node", F.col("pred").alias("to")), 1
+    known = Appended(ends.select("trip", "node", F.lit(0).alias("back")), "back")
     while True:
-        step = stage(at.join(hops.hint("merge"), ["trip", "node"]).select("trip", F.lit(back).alias("back"), F.col("pred").alias("tail"), F.col("node").alias("head")), "back")
-        if step.isEmpty():
-            return step if out is None else out
-        out = step if out is None else out.unionByName(step)
-        at, back = step.select("trip", F.col("tail").alias("node")), back + 1
+        # The nodes known so far lie less than ``far`` steps back; a jump goes ``far`` steps.
+        known.append(known.all().join(jump.hint("merge"), ["trip", "node"]).select("trip", F.col("to").alias("node"), (F.col("back") + far).alias("back")))
+        if known.last.isEmpty():
+            break
+        ahead = jump.select("trip", F.col("node").alias("to"), F.col("to").alias("next"))
+        jump = stage(jump.join(ahead.hint("merge"), ["trip", "to"]).select("trip", "node", F.col("next").alias("to")), "jump")
+        far *= 2
+    return stage(known.all().join(hops.hint("merge"), ["trip", "node"]).select("trip", "back", F.col("pred").alias("tail"), F.col("node").alias("head")), "path")
 
 
 def reversed_arcs(arcs: DataFrame) -> DataFrame:
@@ -74,20 +86,39 @@ def disc(starts: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     return at.join(cut.hint("merge"), ["cx", "cy"]).select("trip", "node", d.alias("d")).where(F.col("d") <= radius)
 
 
+def cell_counts(nodes: DataFrame, cell: float = CELL) -> DataFrame:
+    """cx, cy, n: nodes in each cell of a grid."""
+    return nodes.groupBy(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def longest_loop(starts: DataFrame, counts: DataFrame, most_nodes: int, reach: float, cell: float = CELL) -> DataFrame:
+    """trip, radius: the distance of the first cell with which the disc around a start holds more than ``most_nodes``; ``reach`` where none has.
+
+    starts: trip, x, y; counts: cx, cy, n. A cell counts whole, at the distance of its
+    middle, so a start costs as many rows as there are cells within ``reach`` and no node.
+    """
+    box = cells_of_box(F.col("x") - reach - cell, F.col("y") - reach - cell, F.col("x") + reach + cell, F.col("y") + reach + cell, cell)
+    near = starts.select("trip", "x", "y", F.explode(box).alias("c")).select("trip", "x", "y", "c.cx", "c.cy").join(counts.hint("merge"), ["cx", "cy"])
+    middle = lambda c: (F.col(c) + 0.5) * cell
+    d = F.sqrt((middle("cx") - F.col("x")) ** 2 + (middle("cy") - F.col("y")) ** 2)
+    at = near.withColumn("d", F.round(d, 6)).withColumn("held", F.sum("n").over(Window.partitionBy("trip").orderBy("d", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)))
+    full = at.where((F.col("held") > most_nodes) & (F.col("d") <= reach)).groupBy("trip").agg(F.min("d").alias("radius"))
+    return starts.select("trip").join(full.hint("merge"), "trip", "left").withColumn("radius", F.coalesce("radius", F.lit(float(reach))))
+
+
 def nearest_source(edges: DataFrame, sources: DataFrame, cost: str) -> DataFrame:
     """node, source, cost: the source that is nearest over the undirected edges, for every node a source reaches."""
     ways = edges.select(F.col("u").alias("node"), F.col("v").alias("next"), F.col(cost).alias("w_"))
     ways = ways.unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("next"), F.col(cost).alias("w_")))
     ways = stage(ways.groupBy("node", "next").agg(F.min("w_").alias("w_")), "ways")
-    state = stage(sources.select("node", F.lit(0.0).alias("cost"), F.col("node").alias("source")), "state")
-    front = state
-    while True:
-        step = front.join(ways.hint("merge"), "node").groupBy(F.col("next").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("w_")).alias("cost"), "source")).alias("m")).select("node", "m.*")
-        was = state.select("node", F.col("cost").alias("was"))
-        front = stage(step.join(was.hint("merge"), "node", "left").where(F.col("was").isNull() | (F.col("cost") < F.col("was") - 1e-9)).select("node", "cost", "source"), "front")
-        if front.isEmpty():
-            return state.select("node", "source", "cost")
-        state = stage(state.join(front.select("node").hint("merge"), "node", "left_anti").unionByName(front), "state")
+    best = lambda rows: rows.groupBy("node").agg(F.min(F.struct("cost", "source")).alias("m")).select("node", "m.*")
+    state = Bucketed(edges.sparkSession, "state", ["node"], best)
+    front = state.append(sources.select("node", F.lit(0.0).alias("cost"), F.col("node").alias("source")))
+    while front is not None:
+        step = best(front.join(ways.hint("merge"), "node").select(F.col("next").alias("node"), (F.col("cost") + F.col("w_")).alias("cost"), "source"))
+        was = state.read().groupBy("node").agg(F.min("cost").alias("was"))
+        front = state.append(step.join(was.hint("merge"), "node", "left").where(F.col("was").isNull() | (F.col("cost") < F.col("was") - 1e-9)).select("node", "cost", "source"))
+    return stage(best(state.read()).select("node", "source", "cost"), "nearest")
 
 
 def dirt_fraction(edges: DataFrame, dirt: DataFrame, class_adjust: Column) -> DataFrame:
@@ -229,6 +260,35 @@ def rotary_exits(route: DataFrame, leaves: DataFrame) -> DataFrame:
     return r.groupBy("trip", "island").agg(F.sum(F.coalesce("leaves", F.lit(0))).alias("exits"))
 
 
+def switch_points(line: DataFrame, points: int = SWITCH_POINTS, step_km: float = SWITCH_STEP_KM) -> DataFrame:
+    """Rows of ``line`` (trip, pos, km along it, ...) where a splice may leave or come back.
+
+    Along each path the next point is the first one a step further on than the last point,
+    where a step is the path's length over ``points``, or ``step_km`` if that is more; the
+    last node is one besides. So a path has ``points`` + 2 of them at most.
+    """
+    whole = line.groupBy("trip").agg(F.max("km").alias("whole"), F.max("pos").alias("last"))
+    on = line.join(whole.hint("merge"), "trip").withColumn("step", F.greatest(F.lit(step_km), F.col("whole") / points))
+    ahead = on.select("trip", "pos", "km", "step")
+    # The first row a step on from each row: one sort of rows and their marks together.
+    both = ahead.select("trip", F.col("km").alias("at"), F.lit(1).alias("row"), "pos").unionByName(ahead.select("trip", (F.col("km") + F.col("step") - 1e-9).alias("at"), F.lit(0).alias("row"), "pos"))
+    nxt = F.first(F.when(F.col("row") == 1, F.col("pos")), ignorenulls=True).over(Window.partitionBy("trip").orderBy("at", "row", "pos").rowsBetween(1, Window.unboundedFollowing))
+    links = both.withColumn("next", nxt).where("row = 0").select("trip", F.col("pos").alias("node"), F.col("next").alias("pred"))
+    first = ahead.groupBy("trip").agg(F.min("pos").alias("node"))
+    hit = path(stage(links, "links"), first)
+    chosen = hit.select("trip", F.col("tail").alias("pos")).unionByName(first.select("trip", F.col("node").alias("pos"))).unionByName(whole.select("trip", F.col("last").alias("pos"))).distinct()
+    return line.join(chosen.hint("merge"), ["trip", "pos"], "left_semi")
+
+
+def frontier_of(options: DataFrame) -> DataFrame:
+    """Options (trip, i, j, extra, gain) that no other betters: more gain than every option of less extra time.
+
+    One sweep by extra time along each trip.
+    """
+    w = Window.partitionBy("trip").orderBy("extra", F.desc("gain"), "i", "j").rowsBetween(Window.unboundedPreceding, -1)
+    return options.withColumn("most", F.max("gain").over(w)).where(F.col("most").isNull() | (F.col("gain") > F.col("most"))).drop("most")
+
+
 def splices(scenic: DataFrame, ahead: DataFrame, behind: DataFrame, fast: DataFrame) -> DataFrame:
     """trip, i, j, extra, gain: fastest to node i of the scenic path, along it to node j, fastest on.
 

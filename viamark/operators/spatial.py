@@ -79,24 +79,42 @@ def nearest(points: DataFrame, segs: DataFrame, key: str, d: float) -> DataFrame
     return best.select("pid", f"m.{key}", "m.dist")
 
 
-def nearest_any(points: DataFrame, segs: DataFrame, key: str, d: float, rounds: int = 12) -> DataFrame:
+def nearest_any(points: DataFrame, segs: DataFrame, key: str, d: float) -> DataFrame:
     """The nearest feature at any distance: the radius doubles for points without one.
 
-    A find within the radius is the nearest, so no later round can better it.
+    A find within the radius is the nearest, so no later round can better it. Rounds end
+    when every point has found one; without any feature there is nothing to find.
     """
     left, found = stage(points.select("pid", "x", "y"), "points"), None
-    for _ in range(rounds):
+    if segs.isEmpty():
+        return nearest(left, segs, key, d)
+    while True:
         now = stage(nearest(left, segs, key, d), "nearest")
         found = now if found is None else found.unionByName(now)
         left = stage(left.join(now.hint("merge"), "pid", "left_anti"), "points")
         if left.isEmpty():
             return found
         d *= 2
-    raise RuntimeError(f"points without a feature are left after {rounds} rounds")
 
 
-def containing(points: DataFrame, rings: DataFrame, key: str, size: float) -> DataFrame:
-    """pid, key: polygons (key, geom) around each point, by cells of ``size``."""
+def containing(points: DataFrame, rings: DataFrame, key: str, size: float, vertices: int | None = None) -> DataFrame:
+    """pid, key: polygons (key, geom) around each point.
+
+    Rings of up to ``vertices`` vertices are copied to the cells of ``size`` they touch; of
+    larger ones only segments and flags of cells are.
+    """
+    from viamark.operators import polygons
+
+    most = polygons.VERTICES if vertices is None else vertices
+    small = _containing_whole(points, rings.where(F.size("geom") <= most), key, size)
+    large = rings.where(F.size("geom") > most)
+    if large.isEmpty():
+        return small
+    width = min(size * 2, polygons.CELL)
+    return small.unionByName(polygons.containing_cut(points, *polygons.cut(large, key, width), key, width))
+
+
+def _containing_whole(points: DataFrame, rings: DataFrame, key: str, size: float) -> DataFrame:
     from viamark.functions.geometry import inside, point
 
     low = lambda c: F.array_min(F.transform("geom", lambda p: p[c]))
@@ -117,6 +135,20 @@ def interval_join(points: DataFrame, spans: DataFrame, on: list[str], t: str, st
     return at.join(cut.hint("merge"), [*on, "bucket_"]).where((F.col(t) >= F.col(start)) & (F.col(t) <= F.col(stop))).drop("bucket_")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], slack: float, width: float) -> DataFrame:
+    """Pairs of rows whose spans overlap, or lie within ``slack`` of each other.
+
+    Both sides are copied to the buckets of ``width`` they touch (the left side widened by
+    the slack); a pair is kept in the first bucket that both touch, so it comes once.
+    """
+    (a, b), (c, d) = left_span, right_span
+    bucket = lambda x: F.floor(x / width)
+    own = left.withColumn("bucket_", F.explode(F.sequence(bucket(F.col(a) - slack), bucket(F.col(b) + slack))))
+    other = right.withColumn("bucket_", F.explode(F.sequence(bucket(F.col(c)), bucket(F.col(d)))))
+    met = own.join(other.hint("merge"), [*on, "bucket_"]).where((F.col(a) - slack <= F.col(d)) & (F.col(c) <= F.col(b) + slack))
+    return met.where(F.col("bucket_") == F.greatest(bucket(F.col(a) - slack), bucket(F.col(c)))).drop("bucket_")
+
+
 def time_near(left: DataFrame, right: DataFrame, on: list[str], t: str, u: str, d: float) -> DataFrame:
     """Pairs of rows whose times lie within ``d``: buckets of ``d``, the right side in three."""
     near = F.explode(F.array(*[F.floor(F.col(u) / d) + k for k in (-1, 0, 1)]))

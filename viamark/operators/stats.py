@@ -126,7 +126,7 @@ def quantile_map(df: DataFrame, value: str, key: str, by: str, grid: int = 20) -
     # One row for each group, and one row for all.
     both = own.join(F.broadcast(every), F.lit(True))
     i = F.expr(f"greatest(1, least({grid}, size(filter(own, q -> q <= {value}))))")
-    out = df.join(both.hint("shuffle_hash"), by).withColumn("i", i)
+    out = df.join(both.hint("merge"), by).withColumn("i", i)
     low, high = F.element_at("own", F.col("i")), F.element_at("own", F.col("i") + 1)
     t = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0)
     a, b = F.element_at("all", F.col("i")), F.element_at("all", F.col("i") + 1)

@@ -355,12 +355,35 @@ def v24_edge_features(spark, sf_dir):
     return out.join(mid.hint("merge"), "way_id").select("way_id", F.round("relief", 6).alias("relief"), "cover", "pieces")
 
 
-@query()
-def v25_trip_samples(spark, sf_dir):
-    """Seeded trip ends drawn by length of edge (a sampling operator); tests hold the shares and offsets."""
+_SEEDED = "SELECT c_custkey AS draw, ((c_custkey * 7919 + 17) % 1000003) / 1000003.0::DOUBLE AS u, ((c_custkey * 104729 + 5) % 1000003) / 1000003.0::DOUBLE AS v, ((c_custkey * 15485863 + 11) % 1000003) / 1000003.0::DOUBLE AS w FROM customer"
+
+
+def _draws_sql(keep: str) -> str:
+    return f"""
+WITH e AS (SELECT edge, CAST(round(length_m * 1000) AS BIGINT) AS mm, mx, my FROM ({EDGES}) q WHERE {keep}), c AS MATERIALIZED (SELECT *, CAST(sum(mm) OVER (ORDER BY edge ROWS UNBOUNDED PRECEDING) - mm AS BIGINT) AS start FROM e WHERE mm > 0),
+d AS (SELECT *, CAST(floor(u * (SELECT sum(mm) FROM e)) AS BIGINT) AS place FROM ({_SEEDED}) z)
+SELECT d.draw, CAST(c.edge AS BIGINT) AS edge, d.place - c.start AS "offset", round(c.mx + (20000 + 130000 * v) * sin(radians(360 * w)), 3) AS tx, round(c.my + (20000 + 130000 * v) * cos(radians(360 * w)), 3) AS ty FROM d ASOF JOIN c ON d.place >= c.start"""
+
+
+def _drawn(spark, sf_dir, keep: str):
     n = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("draw"))
-    u = F.pmod(F.xxhash64("draw", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
-    return ev.interval_draws(derive(spark, sf_dir, EDGES).select("edge", "length_m"), n.withColumn("u", u)).select("draw", "edge", F.round("offset", 4).alias("offset"))
+    seed = lambda a, b: (F.col("draw") * a + b) % 1_000_003 / 1_000_003.0
+    n = n.withColumns({"u": seed(7919, 17), "v": seed(104729, 5), "w": seed(15485863, 11)})
+    e = derive(spark, sf_dir, EDGES).where(keep).select("edge", F.round(F.col("length_m") * 1000).cast("long").alias("mm"), "mx", "my")
+    hit = ev.interval_draws(e.select("edge", "mm"), n.select("draw", "u"), 10_000).join(n.hint("merge"), "draw").join(e.select("edge", "mx", "my").hint("merge"), "edge")
+    return ev.offset_ends(hit, "mx", "my", 20_000.0, 150_000.0).select("draw", "edge", "offset", F.round("tx", 3).alias("tx"), F.round("ty", 3).alias("ty"))
+
+
+@query(_draws_sql("TRUE"))
+def v25_trip_samples(spark, sf_dir):
+    """Seeded trips (a sampling operator): an edge drawn by length, the place on it in mm, and an end 20 to 150 km away."""
+    return _drawn(spark, sf_dir, "true")
+
+
+@query(_draws_sql("edge % 6 = 0"))
+def v25_seasonal_samples(spark, sf_dir):
+    """The same around seasonal edges."""
+    return _drawn(spark, sf_dir, "edge % 6 = 0")
 
 
 @query(f"""

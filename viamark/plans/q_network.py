@@ -23,7 +23,7 @@ _ARCS = f"SELECT edge, u AS tail, v AS head, minutes, length_m, score FROM ({_RO
 
 def _edges(spark, sf_dir):
     e = network.edges(derive(spark, sf_dir, REFS))
-    e = e.join(derive(spark, sf_dir, WAYS).select("way_id", "highway", "oneway").hint("shuffle_hash"), "way_id")
+    e = e.join(derive(spark, sf_dir, WAYS).select("way_id", "highway", "oneway").hint("merge"), "way_id")
     kmh = F.create_map(*[F.lit(x) for k, v in SPEED_KMH.items() for x in (k, float(v))])[F.col("highway")]
     e = e.withColumns({"edge": F.col("way_id") * 10000 + F.col("seq"), "minutes": network.minutes("length_m", kmh, "highway"), "score": ((F.col("way_id") * 37 + F.col("seq")) % 100).cast("double") / 10})
     return e.select("edge", "u", "v", "length_m", "highway", "oneway", "minutes", "score")

@@ -43,13 +43,28 @@ WITH g AS ({GRID}), e AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0,
 s AS (SELECT a.row, a.col, sum(b.n) AS n FROM g a JOIN g b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY ALL)
 SELECT s.row, s.col, round(n / ((least(s.row + 2, r1) - greatest(s.row - 2, r0) + 1) * (least(s.col + 2, c1) - greatest(s.col - 2, c0) + 1)), 8) AS share FROM s, e""")
 def r9_box_shares(spark, sf_dir):
-    """Shares in a box of five cells by four corners of the summed area; the grid is filled first."""
+    """Shares in a box of five cells by four corners of the summed area; the grid is filled first."""
     g = derive(spark, sf_dir, GRID).select("tile", "row", "col", "n")
     full = raster.filled(g).withColumn("n", F.coalesce("n", F.lit(0.0))).drop("here_")
-    out = raster.box_shares(full, "n", 2).join(g.select("row", "col").hint("shuffle_hash"), ["row", "col"], "left_semi")
+    out = raster.box_shares(full, "n", 2).join(g.select("row", "col").hint("merge"), ["row", "col"], "left_semi")
     return out.select("row", "col", F.round("share", 8).alias("share"))
 
 
+_AT = "SELECT p_partkey AS id, CAST(floor((p_partkey * 99991 % 37750) / 500) AS BIGINT) AS row, CAST(floor((p_partkey * 6007 % 37250) / 500) AS BIGINT) AS col FROM part"
+
+
+@query(f"""
+WITH g AS ({GRID}) SELECT w.id, round(count(CASE WHEN cls = 0 THEN 1 END) / 25.0, 6)::DOUBLE AS desert, round(count(CASE WHEN cls = 0 AND z <= 600 THEN 1 END) / 25.0, 6)::DOUBLE AS desert_gated, round(count(CASE WHEN z <= 600 THEN 1 END) / 25.0, 6)::DOUBLE AS range
+FROM ({_AT}) w LEFT JOIN g ON g.row BETWEEN w.row - 2 AND w.row + 2 AND g.col BETWEEN w.col - 2 AND w.col + 2 GROUP BY w.id""")
+def r11_gated_shares(spark, sf_dir):
+    """Shares of a class around places, gated by a second raster, over tiles of 16 cells: summed areas inside and over tiles."""
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    cells = derive(spark, sf_dir, GRID).select("row", "col", flag(F.col("cls") == 0).alias("desert"), flag((F.col("cls") == 0) & (F.col("z") <= 600)).alias("desert_gated"), flag(F.col("z") <= 600).alias("range"))
+    at = derive(spark, sf_dir, _AT).withColumnRenamed("id", "pid")
+    out = raster.gated_box_shares(at, cells, ["desert", "desert_gated", "range"], 2, 16)
+    return out.select(F.col("pid").alias("id"), *[F.round(c, 6).alias(c) for c in ("desert", "desert_gated", "range")])
+
+
 @query(f"SELECT w.id, g.z FROM (SELECT p_partkey AS id, CAST(floor((p_partkey * 99991 % 37750) / 500) AS BIGINT) AS row, CAST(floor((p_partkey * 6007 % 37250) / 500) AS BIGINT) AS col FROM part) w LEFT JOIN ({GRID}) g USING (row, col)")
 def r8_sample(spark, sf_dir):
     """The cell under each place; null where there is none."""
@@ -168,4 +183,4 @@ def s2_set_operations(spark, sf_dir):
     """Union of parts made distinct, less another set."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     pick = lambda c: li.where(c).select(F.col("l_orderkey").alias("way_id"), F.col("l_partkey").alias("part"))
-    return pick("l_quantity > 49").unionByName(pick("l_discount > 0.09")).dropDuplicates(["way_id", "part"]).join(pick("l_returnflag = 'R'").distinct().hint("shuffle_hash"), ["way_id", "part"], "left_anti")
+    return pick("l_quantity > 49").unionByName(pick("l_discount > 0.09")).dropDuplicates(["way_id", "part"]).join(pick("l_returnflag = 'R'").distinct().hint("merge"), ["way_id", "part"], "left_anti")

@@ -156,12 +156,31 @@ def v22_designations(spark, sf_dir):
     return f.where("any_near").select("pid", "landmark", "landmark_near", "protected", "protected_near")
 
 
-@query(f"SELECT DISTINCT pid FROM ({_POINTS}) p JOIN ({PARKS}) q0 ON TRUE, LATERAL (SELECT q0.x AS x, q0.y AS y, q0.side * 20 AS side) q WHERE {_RECT.replace('p.x', 'p.x')} <= 80 AND {_BOXD} <= 80")
+#: Shores of 96 vertices around parks, 20 times as wide.
+_SHORES = f"SELECT id, x + side * 10 * (1 + 0.3 * sin(7 * a)) * cos(a) AS x, y + side * 10 * (1 + 0.3 * sin(7 * a)) * sin(a) AS y, k FROM (SELECT q.*, k, k * 0.06544984694978735 AS a FROM ({PARKS}) q, LATERAL (SELECT unnest(range(0, 96)) AS k) z) w"
+_CROSS = f"SELECT id, x AS ax, y AS ay, lead(x, 1, x0) OVER w AS nx, lead(y, 1, y0) OVER w AS ny FROM (SELECT *, first_value(x) OVER (PARTITION BY id ORDER BY k) AS x0, first_value(y) OVER (PARTITION BY id ORDER BY k) AS y0 FROM ({_SHORES}) s) t WINDOW w AS (PARTITION BY id ORDER BY k)"
+_IN_SHORE = f"SELECT pid, id FROM (SELECT p.pid, s.id, count(*) AS n FROM ({_POINTS}) p JOIN sh s ON (ay > p.y) <> (ny > p.y) WHERE p.x < (nx - ax) * (p.y - ay) / (ny - ay) + ax GROUP BY 1, 2) z WHERE n % 2 = 1"
+
+
+def _shores(spark, sf_dir):
+    a = F.col("k") * 0.06544984694978735
+    r = F.col("side") * 10 * (1 + 0.3 * F.sin(7 * a))
+    p = derive(spark, sf_dir, PARKS).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(95)))).select("id", "k", (F.col("x") + r * F.cos(a)).alias("x"), (F.col("y") + r * F.sin(a)).alias("y"))
+    return p.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("geom"))
+
+
+@query(f"WITH sh AS MATERIALIZED ({_CROSS}) {_IN_SHORE}")
+def d13_in_cut_polygons(spark, sf_dir):
+    """Places and the polygons around them; polygons over 64 vertices are cut into cells of segments and flags."""
+    return spatial.containing(derive(spark, sf_dir, _POINTS), _shores(spark, sf_dir), "id", 1000.0, 64)
+
+
+@query(f"""
+WITH sh AS MATERIALIZED ({_CROSS}), d AS (SELECT DISTINCT pid FROM (SELECT p.pid, sqrt(pow(p.x - ax - t * (nx - ax), 2) + pow(p.y - ay - t * (ny - ay), 2)) AS dist FROM (SELECT p.*, s.*, greatest(0.0, least(1.0, ((p.x - ax) * (nx - ax) + (p.y - ay) * (ny - ay)) / (pow(nx - ax, 2) + pow(ny - ay, 2)))) AS t FROM ({_POINTS}) p JOIN sh s ON least(ax, nx) - 80 <= p.x AND greatest(ax, nx) + 80 >= p.x AND least(ay, ny) - 80 <= p.y AND greatest(ay, ny) + 80 >= p.y) p) z WHERE dist <= 80)
+SELECT pid FROM d UNION SELECT pid FROM ({_IN_SHORE}) i""")
 def d13_near_large_polygons(spark, sf_dir):
-    """Places in or within 80 m of polygons 20 times as large, tested by their segments in cells."""
-    p = derive(spark, sf_dir, PARKS)
-    rings = p.select("id", g.square(F.col("x"), F.col("y"), F.col("side") * 20).alias("geom"))
-    return regions.near_polygons(derive(spark, sf_dir, _POINTS), rings, 80.0, 2000.0)
+    """Places in or within 80 m of large polygons, by segments in cells and flags of cells."""
+    return regions.near_polygons(derive(spark, sf_dir, _POINTS), _shores(spark, sf_dir), 80.0, 1000.0, 64)
 
 
 _WAYBOX = f"SELECT way_id AS id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM ({REFS}) r GROUP BY way_id"

@@ -110,7 +110,7 @@ SELECT id, way_id, round(min(sqrt(pow(px - x - t * (x2 - x), 2) + pow(py - y - t
 def d10_project(spark, sf_dir):
     """Distance of every road to its customer's point, and the place along it."""
     p = derive(spark, sf_dir, WATER)
-    m = roads(spark, sf_dir).join(p.withColumn("custkey", F.col("id")).hint("shuffle_hash"), "custkey").withColumn("m", g.project(g.point(F.col("x"), F.col("y")), "geom"))
+    m = roads(spark, sf_dir).join(p.withColumn("custkey", F.col("id")).hint("merge"), "custkey").withColumn("m", g.project(g.point(F.col("x"), F.col("y")), "geom"))
     return m.select("id", "way_id", F.round("m.dist", 3).alias("dist"), F.round("m.along", 3).alias("along"))
 
 

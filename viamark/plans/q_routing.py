@@ -179,7 +179,7 @@ def g17_through_barriers(spark, sf_dir):
     return routing.split_junctions(arcs, routing.through_bans(derive(spark, sf_dir, _GATES), arcs))
 
 
-TARGET, RADIUS = 2.4, 1400.0
+TARGET, RADIUS, _MOST = 2.4, 1400.0, 400
 _DISC = f"dsc AS MATERIALIZED (SELECT trip, n.node_id AS node FROM starts JOIN nodes n ON x BETWEEN ox - {RADIUS} AND ox + {RADIUS} AND y BETWEEN oy - {RADIUS} AND oy + {RADIUS} WHERE sqrt(pow(x - ox, 2) + pow(y - oy, 2)) <= {RADIUS})"
 _LOOPS = f"""
 WITH RECURSIVE {_BASE}, {_DISC}, {_tree('o', 'km', ('beauty',), within='dsc', rounds=40)}, {_tree('b', 'km', ('beauty',), within='dsc', back=True, rounds=40)},
@@ -245,47 +245,62 @@ def g21_way_home(spark, sf_dir):
 @query(f"""
 WITH RECURSIVE {_BASE}, {_DISC}, {_tree('o', 'km', ('beauty',), within='dsc', rounds=40)}, {_tree('b', 'km', ('beauty',), within='dsc', back=True, rounds=40)},
 k AS (SELECT o.trip, CAST(round((o.cost + b.cost) / 0.25) AS BIGINT) AS bin FROM o JOIN b ON b.trip = o.trip AND b.node = o.node WHERE o.cost >= 0.5), w AS (SELECT trip, bin, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 5),
-r AS (SELECT trip, ring, sum(n) OVER (PARTITION BY trip ORDER BY ring) AS total FROM (SELECT d.trip, CAST(floor(sqrt(pow(n.x - s.ox, 2) + pow(n.y - s.oy, 2)) / 250) AS BIGINT) AS ring, count(*) AS n FROM dsc d JOIN starts s ON s.trip = d.trip JOIN nodes n ON n.node_id = d.node GROUP BY 1, 2) z)
-SELECT s.trip, (SELECT arg_min(bin, (abs(bin * 0.25 - {TARGET}), bin)) * 0.25 FROM w WHERE w.trip = s.trip)::DOUBLE AS workable_km, (SELECT min(ring) FROM r WHERE r.trip = s.trip AND total > 60) AS full_ring FROM starts s""")
+cc AS MATERIALIZED (SELECT CAST(floor(x / 500) AS BIGINT) AS cx, CAST(floor(y / 500) AS BIGINT) AS cy, count(*) AS n FROM nodes GROUP BY 1, 2),
+r AS (SELECT trip, d, sum(n) OVER (PARTITION BY trip ORDER BY d, cx, cy ROWS UNBOUNDED PRECEDING) AS held FROM (SELECT s.trip, cx, cy, n, round(sqrt(pow((cx + 0.5) * 500 - ox, 2) + pow((cy + 0.5) * 500 - oy, 2)), 6) AS d FROM starts s JOIN cc ON (cx + 1) * 500 >= ox - 9500 AND cx * 500 <= ox + 9500 AND (cy + 1) * 500 >= oy - 9500 AND cy * 500 <= oy + 9500) z),
+m AS (SELECT trip, min(d) AS radius FROM r WHERE held > {_MOST} AND d <= 9000 GROUP BY trip)
+SELECT s.trip, (SELECT arg_min(bin, (abs(bin * 0.25 - {TARGET}), bin)) * 0.25 FROM w WHERE w.trip = s.trip)::DOUBLE AS workable_km, round(greatest(1.0, floor(coalesce(m.radius, 9000.0) / 1000 / (1.1 * 1.1) * 10) / 10), 1)::DOUBLE AS longest_km FROM starts s LEFT JOIN m ON m.trip = s.trip""")
 def g22_workable_length(spark, sf_dir):
-    """The workable loop length nearest to 2.4 km, and the ring of distance at which a disc holds more than 60 nodes."""
+    """The workable loop length nearest to 2.4 km, and the longest loop whose disc holds few enough nodes, counted by cells."""
     _, starts, near, out, back = _loop_fields(spark, sf_dir)
     both = out.where(F.col("cost") >= routing.MIN_LEG_KM).join(back.select("trip", "node", F.col("cost").alias("home")).hint("merge"), ["trip", "node"])
     bins = both.groupBy("trip", F.round((F.col("cost") + F.col("home")) / 0.25).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
     work = bins.groupBy("trip").agg((F.min(F.struct(F.abs(F.col("bin") * 0.25 - TARGET).alias("off"), "bin"))["bin"] * 0.25).alias("workable_km"))
-    from pyspark.sql import Window
-
-    at = derive(spark, sf_dir, NODES).select(F.col("node_id").alias("node"), "x", "y")
-    d = near.select("trip", "node", "d")
-    rings = d.groupBy("trip", F.floor(F.col("d") / 250).alias("ring")).agg(F.count(F.lit(1)).alias("n"))
-    rings = rings.withColumn("total", F.sum("n").over(Window.partitionBy("trip").orderBy("ring"))).where("total > 60").groupBy("trip").agg(F.min("ring").alias("full_ring"))
-    return starts.select("trip").join(work.hint("merge"), "trip", "left").join(rings.hint("merge"), "trip", "left")
+    at = starts.select("trip", F.col("ox").alias("x"), F.col("oy").alias("y"))
+    disc = routing.longest_loop(at, _staged(routing.cell_counts(derive(spark, sf_dir, NODES)))[0], _MOST, 9000.0)
+    # A loop's disc is as wide as the loop may be long, and a tenth more.
+    longest = F.greatest(F.lit(1.0), F.floor(F.col("radius") / 1000 / ((1 + routing.TOLERANCE) * 1.1) * 10) / 10)
+    return disc.select("trip", F.round(longest, 1).alias("longest_km")).join(work.hint("merge"), "trip", "left")
 
 
 _SPLICE = f"""
-WITH RECURSIVE {_BASE}, {_tree('s', 'scenic_cost', ('minutes', 'beauty'))}, {_tree('f', 'minutes', ('beauty',))}, {_tree('r', 'minutes', ('beauty',), start='dest', back=True)}, {_path('p', 's')},
-sp AS MATERIALIZED (SELECT p.trip, p.node, row_number() OVER (PARTITION BY p.trip ORDER BY back DESC) AS pos, s.minutes, s.beauty FROM p JOIN s ON s.trip = p.trip AND s.node = p.node),
+WITH RECURSIVE {_BASE}, {_tree('s', 'scenic_cost', ('minutes', 'beauty', 'km'))}, {_tree('f', 'minutes', ('beauty',))}, {_tree('r', 'minutes', ('beauty',), start='dest', back=True)}, {_path('p', 's')},
+sp AS MATERIALIZED (SELECT p.trip, p.node, row_number() OVER (PARTITION BY p.trip ORDER BY back DESC) AS pos, s.minutes, s.beauty, s.km FROM p JOIN s ON s.trip = p.trip AND s.node = p.node),
 fast AS (SELECT f.trip, f.cost AS minutes, f.beauty FROM f JOIN starts t ON t.trip = f.trip AND t.dest = f.node),
 opt AS MATERIALIZED (SELECT a.trip, a.pos AS i, b.pos AS j, round(x.cost - a.minutes + b.minutes + y.cost - fast.minutes, 6) AS extra, round(x.beauty - a.beauty + b.beauty + y.beauty - fast.beauty, 6) AS gain
   FROM sp a JOIN sp b ON b.trip = a.trip AND a.pos < b.pos JOIN f x ON x.trip = a.trip AND x.node = a.node JOIN r y ON y.trip = b.trip AND y.node = b.node JOIN fast ON fast.trip = a.trip)"""
 
 
-@query(_SPLICE + "SELECT trip, count(*) AS options, max(gain) AS best_gain, min(extra) AS least_extra FROM opt WHERE extra > 0 AND gain > 1e-9 GROUP BY trip")
-def g23_spliced_options(spark, sf_dir):
-    """Fastest, scenic, fastest for every pair of switch points on the scenic path."""
+#: Switch points: the first node a step on from the last one, and the last node.
+_POINTS = 4
+_SWITCHES = f"""
+, kp AS MATERIALIZED (SELECT sp.*, greatest(0.3, max(km) OVER (PARTITION BY trip) / {_POINTS}) AS step, max(pos) OVER (PARTITION BY trip) AS last FROM sp),
+sw(trip, pos, km, step) AS (SELECT trip, pos, km, step FROM kp WHERE pos = 1 UNION ALL SELECT trip, pos, km, step FROM (SELECT k.trip, k.pos, k.km, k.step, row_number() OVER (PARTITION BY k.trip ORDER BY k.pos) AS nth FROM sw JOIN kp k ON k.trip = sw.trip AND k.pos > sw.pos AND k.km >= sw.km + sw.step - 1e-9) z WHERE nth = 1),
+pts AS MATERIALIZED (SELECT trip, pos FROM sw UNION SELECT trip, last FROM kp),
+few AS MATERIALIZED (SELECT o.* FROM opt o JOIN pts a ON a.trip = o.trip AND a.pos = o.i JOIN pts b ON b.trip = o.trip AND b.pos = o.j WHERE extra > 0 AND gain > 1e-9),
+front AS (SELECT *, max(gain) OVER (PARTITION BY trip ORDER BY extra, gain DESC, i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM few)"""
+
+
+def _spliced(spark, sf_dir):
+    """Scenic paths with sums along them, the fast trees from both ends, and the fastest routes."""
     from pyspark.sql import Window
 
     arcs, starts, cor = _staged(*_net(spark, sf_dir))
-    s = routing.fields(arcs, starts, cor, "scenic_cost", ("minutes", "beauty"))
+    s = routing.fields(arcs, starts, cor, "scenic_cost", ("minutes", "beauty", "km"))
     ahead = routing.fields(arcs, starts, cor, "minutes", ("beauty",))
     behind = routing.fields(routing.reversed_arcs(arcs), _ends(starts), cor, "minutes", ("beauty",))
     p = routing.path(s, _ends(starts))
     nodes = p.select("trip", "back", F.col("head").alias("node")).unionByName(p.groupBy("trip").agg((F.max("back") + 1).alias("back"), F.max_by("tail", "back").alias("node")))
-    w = Window.partitionBy("trip").orderBy(F.desc("back"))
-    on = nodes.withColumn("pos", F.row_number().over(w)).join(s.hint("merge"), ["trip", "node"])
+    on = nodes.withColumn("pos", F.row_number().over(Window.partitionBy("trip").orderBy(F.desc("back")))).join(s.hint("merge"), ["trip", "node"])
     fast = ahead.join(_ends(starts).hint("merge"), ["trip", "node"]).select("trip", F.col("cost").alias("minutes"), "beauty")
-    o = routing.splices(on, ahead, behind, fast)
-    return o.groupBy("trip").agg(F.count(F.lit(1)).alias("options"), F.max("gain").alias("best_gain"), F.min("extra").alias("least_extra"))
+    return _staged(on)[0], ahead, behind, fast
+
+
+@query(_SPLICE + _SWITCHES + "SELECT trip, i, j, extra, gain FROM front WHERE most IS NULL OR gain > most")
+def g23_spliced_options(spark, sf_dir):
+    """Fastest, scenic, fastest between the switch points of the scenic path, and of these options the frontier of extra time and gain."""
+    on, ahead, behind, fast = _spliced(spark, sf_dir)
+    options = routing.splices(routing.switch_points(on, _POINTS), ahead, behind, fast)
+    return routing.frontier_of(options).select("trip", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "extra", "gain")
 
 
 _ARMS = "SELECT o_custkey AS pair, CASE o_orderkey % 2 WHEN 0 THEN 'fast' ELSE 'scenic' END AS arm, max(CAST(o_orderkey % 97 AS DOUBLE) / 10) AS score, max(CAST(o_orderkey % 53 AS DOUBLE) / 20) AS beautiful_km FROM orders GROUP BY 1, 2"
@@ -321,11 +336,64 @@ def g25_waypoint_paths(spark, sf_dir):
     return t.join(last.hint("merge"), ["trip", "node"]).select("trip", F.round("cost", 4).alias("length_m"))
 
 
+_LEG, _LOW, _TOP, _SWITCH = 0.6, 0.3, 1.2, 0.4
+_NUMBERED = "^(AUTOMOBILE|BUILDING|MACHINERY) [0-9]+$"
+#: Edges with their route numbers; every seventh way has a second one.
+_REFD = f"SELECT edge, u, v, km, minutes, oneway, CASE WHEN way_id % 7 = 0 THEN concat(name, '; AUTOMOBILE ', CAST(way_id % 40 AS STRING)) ELSE name END AS ref FROM (SELECT p.*, CAST(floor(edge / 10000) AS BIGINT) AS way_id FROM ({_PRICED}) p) q"
+
+
+def _own_tree(name: str, starts: str, arcs: str, rounds: int, carry: str = "", limit: float | None = None) -> str:
+    """Least km inside each number's own arcs, from (ref, s) of ``starts``."""
+    zero, col, plus, best = (f", 0.0::DOUBLE", f", {carry}", f", l.{carry} + a.{carry}", f", arg_min({carry}, (cost, pred))") if carry else ("", "", "", "")
+    cut = f"WHERE l.cost + a.km <= {limit}" if limit else ""
+    return f"""
+{name}_l(ref, s, node, cost, pred{col}, i) AS (SELECT ref, s, s, 0.0::DOUBLE, CAST(NULL AS BIGINT){zero}, 0 FROM {starts} UNION ALL
+  SELECT ref, s, node, min(cost), arg_min(pred, (cost, pred)){best}, i + 1 FROM (SELECT * FROM {name}_l UNION ALL SELECT l.ref, l.s, a.head, l.cost + a.km, l.node{plus}, l.i FROM {name}_l l JOIN {arcs} a ON a.ref = l.ref AND a.tail = l.node {cut}) q GROUP BY ref, s, node, i HAVING i < {rounds}),
+{name} AS MATERIALIZED (SELECT ref, s, node, cost{col} FROM {name}_l WHERE i = {rounds})"""
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT trim(ref) AS ref, edge, u, v, km, minutes, oneway FROM (SELECT * REPLACE (unnest(string_split(ref, ';')) AS ref) FROM ({_REFD}) r) z WHERE regexp_matches(trim(ref), '{_NUMBERED}') AND u <> v),
+und AS MATERIALIZED (SELECT ref, tail, head, min(km) AS km, arg_min(minutes, (km, edge)) AS minutes FROM (SELECT ref, u AS tail, v AS head, km, minutes, edge FROM e UNION ALL SELECT ref, v, u, km, minutes, edge FROM e) z GROUP BY ALL),
+drv AS MATERIALIZED (SELECT ref, tail, head, min(km) AS km, arg_min(minutes, (km, edge)) AS minutes FROM (SELECT ref, u AS tail, v AS head, km, minutes, edge FROM e WHERE oneway <> '-1' UNION ALL SELECT ref, v, u, km, minutes, edge FROM e WHERE oneway <> 'yes') z GROUP BY ALL),
+lab_l(ref, node, root, i) AS (SELECT DISTINCT ref, tail, tail, 0 FROM und UNION ALL SELECT ref, node, min(root), i + 1 FROM (SELECT * FROM lab_l UNION ALL SELECT u.ref, u.head, l.root, l.i FROM lab_l l JOIN und u ON u.ref = l.ref AND u.tail = l.node) q GROUP BY ref, node, i HAVING i < 60),
+lab AS MATERIALIZED (SELECT ref, node, root FROM lab_l WHERE i = 60),
+ons AS MATERIALIZED (SELECT lab.* FROM lab JOIN (SELECT l.ref, l.root FROM e JOIN lab l ON l.ref = e.ref AND l.node = e.u GROUP BY l.ref, l.root HAVING sum(km) >= {_LOW}) z ON z.ref = lab.ref AND z.root = lab.root),
+s0 AS MATERIALIZED (SELECT DISTINCT ref, root AS s FROM ons), {_own_tree('d0', 's0', 'und', 40)},
+sa AS MATERIALIZED (SELECT ref, arg_max(node, (round(cost, 9), -node)) AS s, s AS root FROM d0 GROUP BY ref, s), {_own_tree('fa', 'sa', 'und', 40)},
+sb AS MATERIALIZED (SELECT f.ref, arg_max(node, (round(cost, 9), -node)) AS s, root FROM fa f JOIN sa ON sa.ref = f.ref AND sa.s = f.s GROUP BY f.ref, root), {_own_tree('fb', 'sb', 'und', 40)},
+ends AS MATERIALIZED (SELECT ref, root, 1 AS direction, s FROM sa UNION ALL SELECT ref, root, 2, s FROM sb),
+fe AS MATERIALIZED (SELECT sa.ref, root, 1 AS direction, node, cost FROM fa JOIN sa ON sa.ref = fa.ref AND sa.s = fa.s UNION ALL SELECT sb.ref, root, 2, node, cost FROM fb JOIN sb ON sb.ref = fb.ref AND sb.s = fb.s),
+every AS MATERIALIZED (SELECT ref, node AS s FROM ons), {_own_tree('dd', 'every', 'drv', 12, 'minutes', _TOP)}, {_own_tree('du', 'every', 'und', 12, 'minutes', _TOP)},
+pl AS MATERIALIZED (SELECT o.ref, o.root, o.node, n.x, n.y FROM ons o JOIN ({NODES}) n ON n.node_id = o.node),
+near AS MATERIALIZED (SELECT ref, cur, start, rank FROM (SELECT a.ref, a.node AS cur, b.node AS start, row_number() OVER (PARTITION BY a.ref, a.node ORDER BY round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6), b.node) AS rank FROM pl a JOIN pl b ON a.ref = b.ref AND a.root = b.root AND a.node <> b.node AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) <= {_SWITCH * 1000}) z WHERE rank <= 8 UNION ALL SELECT ref, node, node, 0 FROM ons),
+opt AS (SELECT n.ref, n.cur, n.start, n.rank, d.node AS nxt, d.cost AS km, d.minutes FROM near n JOIN dd d ON d.ref = n.ref AND d.s = n.start WHERE d.cost >= {_LOW} UNION ALL SELECT ref, s, s, 99, node, cost, minutes FROM du WHERE cost >= {_LOW}),
+best AS MATERIALIZED (SELECT o.ref, f.root, f.direction, o.cur, arg_min(struct_pack(start := start, nxt := nxt, km := km, minutes := minutes, rank := rank), (rank, round(abs(km - {_LEG}), 9), nxt)) AS b FROM opt o JOIN fe f ON f.ref = o.ref AND f.node = o.cur JOIN fe g ON g.ref = f.ref AND g.root = f.root AND g.direction = f.direction AND g.node = o.nxt WHERE g.cost > f.cost + 0.75 * {_LOW} GROUP BY ALL),
+walk(ref, root, direction, cur, step) AS (SELECT ref, root, direction, s, 0 FROM ends UNION ALL SELECT w.ref, w.root, w.direction, b.b.nxt, step + 1 FROM walk w JOIN best b ON b.ref = w.ref AND b.root = w.root AND b.direction = w.direction AND b.cur = w.cur),
+legs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w.ref, w.root, w.direction, step) AS trip, w.ref, w.root, w.direction, step, w.cur, b.b.start AS node, b.b.nxt AS dest, b.b.km AS km, b.b.minutes AS minutes, b.b.rank = 99 AS gap FROM walk w JOIN best b ON b.ref = w.ref AND b.root = w.root AND b.direction = w.direction AND b.cur = w.cur),
+arcs AS MATERIALIZED ({ARCS}), nodes AS MATERIALIZED ({NODES}), starts AS MATERIALIZED (SELECT l.*, a.x AS ox, a.y AS oy, b.x AS dx, b.y AS dy FROM legs l JOIN nodes a ON a.node_id = l.node JOIN nodes b ON b.node_id = l.dest WHERE NOT gap),
+cor AS MATERIALIZED (SELECT trip, n.node_id AS node FROM starts JOIN nodes n ON x BETWEEN least(ox, dx) - 2000 AND greatest(ox, dx) + 2000 AND y BETWEEN least(oy, dy) - 2000 AND greatest(oy, dy) + 2000 WHERE sqrt(pow(x - ox, 2) + pow(y - oy, 2)) + sqrt(pow(x - dx, 2) + pow(y - dy, 2)) <= sqrt(pow(ox - dx, 2) + pow(oy - dy, 2)) + 600),
+pen AS MATERIALIZED (SELECT s.trip, a.tail, a.head, 1 - 1e-6::DOUBLE AS factor FROM starts s JOIN e ON e.ref = s.ref JOIN arcs a ON a.edge = e.edge JOIN cor c ON c.trip = s.trip AND c.node = a.tail),
+{_tree('t', 'minutes', ('minutes',), rounds=25, pen='pen')}, {_path('p', 't')},
+used AS (SELECT p.trip, sum(a.km) AS route_km, sum(CASE WHEN e.edge IS NOT NULL THEN a.km ELSE 0.0 END) / sum(a.km) AS on_ref FROM p JOIN arcs a ON a.tail = p.pred AND a.head = p.node JOIN starts s ON s.trip = p.trip LEFT JOIN e ON e.ref = s.ref AND e.edge = a.edge GROUP BY p.trip)
+SELECT s.ref, s.root AS piece, s.direction, s.step, s.node AS start_node, s.dest AS to_node, round(s.km, 6) AS km, round(route_km, 6) AS route_km, round(coalesce(on_ref, 0), 6) AS on_ref, coalesce(round(on_ref, 9) >= 0.9 OR route_km <= 1.2 * s.km + 1e-9 OR t.minutes <= s.minutes + 1e-6, false) AS passed
+FROM starts s LEFT JOIN used USING (trip) LEFT JOIN t ON t.trip = s.trip AND t.node = s.dest""")
+def g26_route_continuity(spark, sf_dir):
+    """Legs along every number's own edges, both ways, and whether the quickest route between their ends follows the number."""
+    from viamark.operators import continuity
+
+    own = _staged(continuity.own_edges(derive(spark, sf_dir, _REFD), _NUMBERED))[0]
+    nodes, arcs = _staged(derive(spark, sf_dir, NODES), derive(spark, sf_dir, ARCS))
+    found = continuity.legs(own, nodes.select(F.col("node_id").alias("node"), "x", "y"), _LEG, _LOW, _TOP, _SWITCH)
+    out = continuity.followed(found, arcs, own, nodes, 600.0)
+    return out.select("ref", "piece", "direction", "step", "start_node", "to_node", F.round("km", 6).alias("km"), F.round("route_km", 6).alias("route_km"), F.round("on_ref", 6).alias("on_ref"), "passed")
+
+
 @query(f"""
 WITH RECURSIVE e AS MATERIALIZED (SELECT name, u AS a, v AS b FROM ({ROADS}) r WHERE u <> v UNION SELECT name, v, u FROM ({ROADS}) r WHERE u <> v),
 l(name, node, root, i) AS (SELECT DISTINCT name, a, a, 0 FROM e UNION ALL SELECT name, node, min(root), i + 1 FROM (SELECT * FROM l UNION ALL SELECT e.name, e.b, l.root, l.i FROM l JOIN e ON e.name = l.name AND e.a = l.node) q GROUP BY name, node, i HAVING i < 60)
 SELECT name, count(DISTINCT root) AS parts, count(*) AS nodes FROM l WHERE i = 60 GROUP BY name""")
-def g26_route_continuity(spark, sf_dir):
+def g26_route_parts(spark, sf_dir):
     """The parts that each named route falls into along its own edges."""
     e = derive(spark, sf_dir, ROADS).where("u <> v").select("name", "u", "v")
     key = lambda c: F.xxhash64("name", c)

@@ -126,7 +126,7 @@ def j16_aligned_check(spark, sf_dir):
     """Two tables of the same keys joined and the columns that must be equal counted."""
     e = derive(spark, sf_dir, LENGTHS).select("way_id", "region", "highway")
     o = e.select("way_id", F.when(F.col("way_id") % 17 == 0, "other").otherwise(F.col("highway")).alias("other"))
-    return e.join(o.hint("shuffle_hash"), "way_id").groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("highway") != F.col("other")).cast("int")).alias("differ"))
+    return e.join(o.hint("merge"), "way_id").groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("highway") != F.col("other")).cast("int")).alias("differ"))
 
 
 @query("SELECT l_orderkey AS way_id, l_partkey AS part FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from viamark.operators import spatial, stats, traces
@@ -145,12 +146,32 @@ def a22_leave_one_out(spark, sf_dir):
 SELECT s.drive, s.island, count(*) AS inside, max(f.speed) AS fastest FROM ({_STOPS}) s JOIN ({FIXES}) f ON f.drive = s.drive AND epoch_us(f.ts) / 1e6 BETWEEN epoch_us(s.begin_) / 1e6 AND epoch_us(s.begin_) / 1e6 + s.seconds
 WHERE s.seconds >= {3 * H} GROUP BY 1, 2""")
 def j27_interval_join(spark, sf_dir):
-    """Fixes inside the span of a stop, by buckets of six hours."""
+    """Fixes inside the span of a stop, by buckets of six hours."""
     spans = _stops(spark, sf_dir).select("drive", "island", (traces.micros("begin") / 1e6).alias("a"), (traces.micros("begin") / 1e6 + F.col("seconds")).alias("b"))
     at = _fixes(spark, sf_dir).select("drive", "speed", (traces.micros("ts") / 1e6).alias("t"))
     return spatial.interval_join(at, spans, ["drive"], "t", "a", "b", 6 * H).groupBy("drive", "island").agg(F.count(F.lit(1)).alias("inside"), F.max("speed").alias("fastest"))
 
 
+#: Spans between two fixes of a drive that lie hours apart, and spans after a kind of fix until the next fix but one.
+_HOLES = f"SELECT drive, fix, a, b FROM (SELECT drive, fix, epoch_us(ts) / 1e6 AS a, lead(epoch_us(ts)) OVER (PARTITION BY drive ORDER BY ts, fix) / 1e6 AS b FROM ({FIXES}) f) g WHERE b - a > {12 * H}"
+_PHASES = f"SELECT drive, fix AS phase, c, d FROM (SELECT drive, fix, kind, epoch_us(ts) / 1e6 + 3600 AS c, lead(epoch_us(ts), 2) OVER (PARTITION BY drive ORDER BY ts, fix) / 1e6 - 3600 AS d FROM ({FIXES}) f) g WHERE kind IN ('error', 'click') AND d >= c"
+
+
+@query(f"""
+SELECT h.drive, h.fix, count(p.phase) AS phases, round(coalesce(sum(CASE WHEN phase IS NOT NULL THEN greatest(0, least(b, d) - greatest(a, c)) END), 0), 3)::DOUBLE AS seconds FROM ({_HOLES}) h LEFT JOIN ({_PHASES}) p ON p.drive = h.drive AND a - 5 <= d AND c <= b + 5 GROUP BY 1, 2""")
+def j30_background_gaps(spark, sf_dir):
+    """Gaps between fixes and the background phases that overlap them, with 5 s of slack; each pair once."""
+    w = Window.partitionBy("drive").orderBy("ts", "fix")
+    f = _fixes(spark, sf_dir).withColumn("at", traces.micros("ts") / 1e6)
+    holes = f.select("drive", "fix", F.col("at").alias("a"), F.lead("at").over(w).alias("b")).where(F.col("b") - F.col("a") > 12 * H)
+    phases = f.select("drive", F.col("fix").alias("phase"), "kind", (F.col("at") + H).alias("c"), (F.lead("at", 2).over(w) - H).alias("d")).where("kind in ('error', 'click') and d >= c").drop("kind")
+    met = spatial.overlap_join(holes, phases, ["drive"], ("a", "b"), ("c", "d"), 5.0, 24 * H)
+    shared = F.greatest(F.lit(0.0), F.least("b", "d") - F.greatest("a", "c"))
+    found = met.groupBy("drive", "fix").agg(F.count(F.lit(1)).alias("phases"), F.sum(shared).alias("seconds"))
+    out = holes.select("drive", "fix").join(found.hint("merge"), ["drive", "fix"], "left")
+    return out.select("drive", "fix", F.coalesce("phases", F.lit(0)).alias("phases"), F.round(F.coalesce("seconds", F.lit(0.0)), 3).alias("seconds"))
+
+
 @query(f"""
 SELECT a.fix, count(*) AS near, arg_min(b.fix, (abs(epoch_us(a.ts) - epoch_us(b.ts)), b.fix)) AS closest FROM ({FIXES}) a JOIN ({FIXES}) b ON a.drive = b.drive AND a.kind = 'purchase' AND b.kind = 'view' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 7200000000 GROUP BY a.fix""")
 def j28_time_near(spark, sf_dir):

@@ -11,6 +11,7 @@ from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Paths staged inside the innermost :func:`collecting` of this thread.
 _scope: ContextVar[list[str] | None] = ContextVar("staged", default=None)
@@ -71,6 +72,51 @@ class Appended:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
 
 
+class Bucketed:
+    """A keyed table of iterative jobs: rounds append rows, and only the buckets they touch are read and compacted.
+
+    Rows fall into ``buckets`` by the hash of ``by``. A bucket that has grown to ``COMPACT``
+    parts is rewritten with ``best`` (a function of its rows); others are left alone, so what a
+    round writes is its own rows.
+    """
+
+    COMPACT = 16
+
+    def __init__(self, spark: SparkSession, name: str, by: list[str], best, buckets: int | None = None):
+        self.spark, self.by, self.best, self.path = spark, by, best, new_path(spark, name)
+        self.n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.at: dict[int, list[str]] = {}
+        self.parts, self.schema = 0, None
+
+    def _write(self, rows: DataFrame) -> dict[int, str]:
+        self.schema = self.schema or rows.schema
+        to = f"{self.path}/part={self.parts}"
+        self.parts += 1
+        marked = rows.select(*self.schema.names).withColumn("bucket_", F.pmod(F.xxhash64(*self.by), F.lit(self.n)))
+        marked.repartition("bucket_").write.partitionBy("bucket_").parquet(to)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(to)
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)
+        names = [f.getPath().getName() for f in found if f.isDirectory()]
+        return {int(n.partition("=")[2]): f"{to}/{n}" for n in names if n.startswith("bucket_=")}
+
+    def append(self, rows: DataFrame) -> DataFrame | None:
+        """Adds rows and gives them back as a table; None where there were none."""
+        new = self._write(rows)
+        for b, path in new.items():
+            self.at.setdefault(b, []).append(path)
+        full = [b for b in new if len(self.at[b]) > self.COMPACT]
+        if full:
+            again = self._write(self.best(self.read(full)))
+            self.at.update({b: [again[b]] for b in full})
+        self.touched = sorted(new)
+        return self.spark.read.schema(self.schema).parquet(*new.values()) if new else None
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All rows of some buckets, as they were appended."""
+        paths = [p for b in (sorted(self.at) if buckets is None else buckets) for p in self.at.get(b, [])]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+
 @contextmanager
 def collecting() -> Iterator[list[str]]:
     """The paths of the tables that are staged inside the block."""
