@@ -173,17 +173,20 @@ def square(x: Column, y: Column, side: Column) -> Column:
 CHORD, CAP, SHORTEST = 60.0, 25.0, 300.0
 
 
-def curvature(parts: Column | str, own: Column, road: Column) -> Column:
-    """Degrees per km: capped turns between chords of 60 m; a clamped tail is not counted.
+def curvature(parts: Column | str, own: Column, road: Column, start: Column | None = None) -> Column:
+    """Degrees per km of a piece: capped turns between chords of 60 m, the last one to the piece's end.
 
-    parts: stored ``located`` segments; own: length of this piece; road: of its whole road.
+    parts: stored ``located`` segments of the road; start: where the piece begins on it; own:
+    length of the piece; road: of the whole road. Only a short road's length is raised to the
+    shortest counted, so a piece of a long one is measured over the length it has.
     """
-    n = F.floor(own / CHORD).cast("int")
-    at = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: point_on(parts, k * CHORD))
+    begin = F.lit(0.0) if start is None else start
+    n = F.ceil(own / CHORD - 1e-9).cast("int")
+    at = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: point_on(parts, begin + F.least(k * CHORD, own) - 1e-9))
     neighbours = lambda a, f: F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), f)
     turns = let(at, lambda a: let(neighbours(a, bearing), lambda h: neighbours(h, lambda x, y: F.least(F.abs(turn(x, y)), F.lit(CAP)))))
     total = F.aggregate(turns, F.lit(0.0), lambda t, v: t + v)
-    floor = F.when(road < SHORTEST, F.lit(SHORTEST)).otherwise(own)
+    floor = F.when(road < SHORTEST, F.greatest(own, F.lit(SHORTEST))).otherwise(own)
     return F.when(n >= 2, total / (floor / 1000)).otherwise(0.0)
 
 

@@ -7,11 +7,13 @@ and can be split. Cells are as large as the distance.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viamark.functions.geometry import segments, to_segment
-from viamark.plans.tables import stage
+from viamark.plans.tables import stage, stored_bytes
 
 
 def cells_of_box(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
@@ -59,18 +61,31 @@ def least_distance(points: DataFrame, segs: DataFrame, key: str, d: float, cell:
     return _candidates(points, segs, key, d, cell).groupBy("pid").agg(F.min("dist").alias("dist"))
 
 
+#: Stored size up to which the features of all layers, copied to their cells, are broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
 def distances(points: DataFrame, layers: dict[str, tuple[DataFrame, float]], rings: dict[str, DataFrame], key: str, cell: float) -> DataFrame:
     """pid and ``d_<layer>``: the distance to the nearest feature of each layer within its reach, else null.
 
-    layers: segments and reach; rings: polygons of layers, inside which the distance is 0. All
-    layers share one aggregation, partial in each task.
+    layers: segments and reach; rings: polygons of layers, inside which the distance is 0.
+    Features of all layers lie in one table by cells, each copied as far as its own reach, so
+    the points are joined once, whatever the number of layers, and not shuffled at all where
+    the features are few. All layers share one aggregation, partial in each task.
     """
-    parts = [_candidates(points, segs, key, d, None).select("pid", F.lit(name).alias("layer"), "dist") for name, (segs, d) in layers.items()]
-    parts += [containing(points, r, key, cell).select("pid", F.lit(name).alias("layer"), F.lit(0.0).alias("dist")) for name, r in rings.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    return every.groupBy("pid").agg(*[F.min(F.when(F.col("layer") == name, F.col("dist"))).alias(f"d_{name}") for name in layers])
+    tagged = [segs.select("ax", "ay", "bx", "by", F.lit(name).alias("layer"), F.lit(float(d)).alias("reach")) for name, (segs, d) in layers.items()]
+    every = reduce(DataFrame.unionAll, tagged)
+    d = F.col("reach")
+    touched = cells_of_box(F.least("ax", "bx") - d, F.least("ay", "by") - d, F.greatest("ax", "bx") + d, F.greatest("ay", "by") + d, cell)
+    cut = stage(every.withColumn("cell_", F.explode(touched)).select("*", F.col("cell_.cx").alias("cx"), F.col("cell_.cy").alias("cy")).drop("cell_"), "layers")
+    at = points.select("pid", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    dist, _ = to_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    hint = "broadcast" if stored_bytes(cut) <= BROADCAST_BYTES else "merge"
+    found = at.join(cut.hint(hint), ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= F.col("reach")).select("pid", "layer", "dist")
+    if rings:
+        areas = stage(reduce(DataFrame.unionAll, [r.select(F.struct(F.lit(name).alias("layer"), F.col(key)).alias("area_"), "geom") for name, r in rings.items()]), "areas")
+        found = found.unionAll(containing(points, areas, "area_", cell, staged=True).select("pid", "area_.layer", F.lit(0.0)))
+    return found.groupBy("pid").agg(*[F.min(F.when(F.col("layer") == name, F.col("dist"))).alias(f"d_{name}") for name in layers])
 
 
 def nearest(points: DataFrame, segs: DataFrame, key: str, d: float) -> DataFrame:
@@ -97,16 +112,17 @@ def nearest_any(points: DataFrame, segs: DataFrame, key: str, d: float) -> DataF
         d *= 2
 
 
-def containing(points: DataFrame, rings: DataFrame, key: str, size: float, vertices: int | None = None) -> DataFrame:
+def containing(points: DataFrame, rings: DataFrame, key: str, size: float, vertices: int | None = None, staged: bool = False) -> DataFrame:
     """pid, key: polygons (key, geom) around each point.
 
     Rings of up to ``vertices`` vertices are copied to the cells of ``size`` they touch; of
-    larger ones only segments and flags of cells are.
+    larger ones only segments and flags of cells are. staged: the copies are written first, and
+    broadcast when their stored size is small.
     """
     from viamark.operators import polygons
 
     most = polygons.VERTICES if vertices is None else vertices
-    small = _containing_whole(points, rings.where(F.size("geom") <= most), key, size)
+    small = _containing_whole(points, rings.where(F.size("geom") <= most), key, size, staged)
     large = rings.where(F.size("geom") > most)
     if large.isEmpty():
         return small
@@ -114,14 +130,18 @@ def containing(points: DataFrame, rings: DataFrame, key: str, size: float, verti
     return small.unionByName(polygons.containing_cut(points, *polygons.cut(large, key, width), key, width))
 
 
-def _containing_whole(points: DataFrame, rings: DataFrame, key: str, size: float) -> DataFrame:
+def _containing_whole(points: DataFrame, rings: DataFrame, key: str, size: float, staged: bool) -> DataFrame:
     from viamark.functions.geometry import inside, point
 
     low = lambda c: F.array_min(F.transform("geom", lambda p: p[c]))
     high = lambda c: F.array_max(F.transform("geom", lambda p: p[c]))
     cut = rings.withColumn("cell", F.explode(cells_of_box(low("x"), low("y"), high("x"), high("y"), size))).select(key, "geom", "cell.cx", "cell.cy")
     at = points.select("pid", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    return at.join(cut.hint("merge"), ["cx", "cy"]).where(inside(point(F.col("x"), F.col("y")), "geom")).select("pid", key)
+    hint = "merge"
+    if staged:
+        cut = stage(cut, "ring-copies")
+        hint = "broadcast" if stored_bytes(cut) <= BROADCAST_BYTES else "merge"
+    return at.join(cut.hint(hint), ["cx", "cy"]).where(inside(point(F.col("x"), F.col("y")), "geom")).select("pid", key)
 
 
 def interval_join(points: DataFrame, spans: DataFrame, on: list[str], t: str, start: str, stop: str, width: float) -> DataFrame:

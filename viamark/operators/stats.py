@@ -5,17 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viamark.plans.tables import stage, stored_bytes
 
-def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, shares: tuple[float, ...]) -> DataFrame:
-    """Quantiles by interpolating the midpoints of the cumulative weight.
+#: Stored size up to which a table with one row a group is broadcast.
+BROADCAST_BYTES = 8 << 20
 
-    Equal values are added up first, so the running window holds one row a value.
-    """
+
+def _ranked(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """by, value, at_ (share of the weight below the middle of a value's own), at2_ and v2_ (of the next value), first_."""
     rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("w_"))
     w = Window.partitionBy(*by).orderBy(value)
     rows = rows.withColumns({"total_": F.sum("w_").over(Window.partitionBy(*by)), "run_": F.sum("w_").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     rows = rows.withColumn("at_", (F.col("run_") - F.col("w_") / 2) / F.col("total_"))
-    rows = rows.withColumns({"at2_": F.lead("at_").over(w), "v2_": F.lead(value).over(w), "first_": F.row_number().over(w) == 1})
+    return rows.withColumns({"at2_": F.lead("at_").over(w), "v2_": F.lead(value).over(w), "first_": F.row_number().over(w) == 1})
+
+
+def equal_share_caps(df: DataFrame, by: str, value: str, weight: str, home: str, full: float) -> DataFrame:
+    """by, cap: for each group the value above which the same share of its weight lies as lies at ``full`` or above in ``home``.
+
+    The share is looked up backwards in every group's own distribution; home keeps ``full``.
+    """
+    at_home = df.where(F.col(by) == home)
+    share = at_home.agg((1 - F.sum(F.when(F.col(value) >= full, F.col(weight)).otherwise(0)) / F.sum(weight)).alias("q_"))  # one row
+    rows = _ranked(df.where(F.col(by) != home), [by], value, weight).join(F.broadcast(share), F.lit(True))
+    inner = (F.col("at_") <= F.col("q_")) & (F.col("at2_") > F.col("q_"))
+    v = F.col(value) + (F.col("v2_") - F.col(value)) * (F.col("q_") - F.col("at_")) / (F.col("at2_") - F.col("at_"))
+    ends = F.col("first_") & (F.col("at_") > F.col("q_")) | F.col("at2_").isNull() & (F.col("at_") <= F.col("q_"))
+    caps = rows.groupBy(by).agg(F.max(F.when(inner, v).when(ends, F.col(value))).cast("double").alias("cap"))
+    return caps.unionByName(at_home.select(by).distinct().withColumn("cap", F.lit(float(full))))
+
+
+def _grid_quantiles(df: DataFrame, by: list[str], value: str, weight: str, grid: int) -> DataFrame:
+    """by, q: an array of grid + 1 weighted quantiles; each stretch between two values gives the ones that lie in it."""
+    rows = _ranked(df, by, value, weight)
+    low = F.when(F.col("first_"), 0).otherwise(F.ceil(F.col("at_") * grid)).cast("int")
+    high = F.when(F.col("at2_").isNull(), grid).otherwise(F.ceil(F.col("at2_") * grid) - 1).cast("int")
+    rows = rows.withColumns({"low_": low, "high_": high}).where("low_ <= high_").withColumn("i", F.explode(F.sequence("low_", "high_")))
+    q = F.col("i") / grid
+    inside = F.col("at2_").isNotNull() & (q >= F.col("at_"))
+    v = F.when(inside, F.col(value) + (F.col("v2_") - F.col(value)) * (q - F.col("at_")) / (F.col("at2_") - F.col("at_"))).otherwise(F.col(value))
+    return rows.select(*by, F.struct("i", v.cast("double").alias("v")).alias("s_")).groupBy(*by).agg(F.array_sort(F.collect_list("s_")).alias("s_")).select(*by, F.transform("s_", lambda s: s["v"]).alias("q"))
+
+
+def recalibrated(df: DataFrame, by: str, value: str, weight: str, home: str, least: float, grid: int = 200) -> DataFrame:
+    """``df`` with ``mapped``: the value at the same place of the distribution in ``home``; groups of less weight than ``least`` keep theirs.
+
+    Where several quantiles of a group are equal, the first of them counts.
+    """
+    own = _grid_quantiles(df, [by], value, weight, grid).withColumnRenamed("q", "own_")
+    ref = _grid_quantiles(df.where(F.col(by) == home), [by], value, weight, grid).select(F.col("q").alias("ref_"))  # one row
+    size = df.groupBy(by).agg(F.sum(weight).alias("size_"))
+    pairs = F.filter(F.arrays_zip("own_", "ref_"), lambda z, i: (i == 0) | (z["own_"] > F.get(F.col("own_"), i - 1)))
+    maps = stage(own.join(F.broadcast(ref), F.lit(True)).join(size.hint("merge"), by).select(by, pairs.alias("map_"), (F.col("size_") >= least).alias("mapped_")), "maps")
+    # A row of grid + 1 pairs for each group.
+    hint = "broadcast" if stored_bytes(maps) <= BROADCAST_BYTES else "merge"
+    out = df.join(maps.hint(hint), by, "left").withColumn("i_", F.size(F.filter("map_", lambda z: z["own_"] <= F.col(value))))
+    at = lambda k, c: F.get(F.col("map_"), F.greatest(F.lit(0), F.least(k, F.size("map_") - 1))).getField(c)
+    a, b = F.col("i_") - 1, F.col("i_")
+    t = F.when(at(b, "own_") > at(a, "own_"), (F.col(value) - at(a, "own_")) / (at(b, "own_") - at(a, "own_"))).otherwise(0.0)
+    there = at(a, "ref_") + F.greatest(F.lit(0.0), t) * (at(b, "ref_") - at(a, "ref_"))
+    return out.withColumn("mapped", F.when(F.col("mapped_"), there).otherwise(F.col(value))).drop("map_", "mapped_", "i_")
+
+
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, shares: tuple[float, ...]) -> DataFrame:
+    """Quantiles by interpolating the midpoints of the cumulative weight.
+
+    Equal values are added up first, so the running window holds one row a value.
+    """
+    rows = _ranked(df, by, value, weight)
     out = []
     for q in shares:
         inner = (F.col("at_") <= q) & (F.col("at2_") > q)
@@ -124,9 +181,9 @@ def quantile_map(df: DataFrame, value: str, key: str, by: str, grid: int = 20) -
     own = df.groupBy(by).agg(p(value).alias("own"))
     every = quantiles(df, value, tuple(shares)).withColumnRenamed("q", "all")
     # One row for each group, and one row for all.
-    both = own.join(F.broadcast(every), F.lit(True))
+    both = stage(own.join(F.broadcast(every), F.lit(True)), "grids")
     i = F.expr(f"greatest(1, least({grid}, size(filter(own, q -> q <= {value}))))")
-    out = df.join(both.hint("merge"), by).withColumn("i", i)
+    out = df.join(both.hint("broadcast" if stored_bytes(both) <= BROADCAST_BYTES else "merge"), by).withColumn("i", i)
     low, high = F.element_at("own", F.col("i")), F.element_at("own", F.col("i") + 1)
     t = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0)
     a, b = F.element_at("all", F.col("i")), F.element_at("all", F.col("i") + 1)

@@ -24,15 +24,15 @@ GROUP BY ALL"""
 
 
 def _chunks(spark, sf_dir, curves: bool = False):
-    """way_id, k, length_m, x, y (middle) and the way's tags: pieces of at most 400 m; with the road's curvature if asked for."""
+    """way_id, k, length_m, x, y (middle) and the way's tags: pieces of at most 400 m; with their curvature if asked for."""
     r = roads(spark, sf_dir).withColumn("parts", g.located("geom")).withColumn("total", F.aggregate("parts", F.lit(0.0), lambda t, s: t + s["len"]))
     more = ["curvature"] if curves else []
-    if curves:
-        r = r.withColumn("curvature", g.curvature("parts", F.col("total"), F.col("total")))
     r = r.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("total") / 400)).cast("int"))
     r = r.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     mid = g.point_on("parts", (F.col("k") + 0.5) * F.col("total") / F.col("n") - 1e-9)
     r = r.withColumn("mid", mid)
+    if curves:
+        r = r.withColumn("curvature", g.curvature("parts", F.col("total") / F.col("n"), F.col("total"), F.col("k") * F.col("total") / F.col("n")))
     return r.select("way_id", F.col("k").cast("long").alias("k"), (F.col("total") / F.col("n")).alias("length_m"), F.col("mid.x").alias("x"), F.col("mid.y").alias("y"), "highway", "oneway", "name", "surface", "scenic", "region", *more)
 
 
@@ -166,13 +166,13 @@ def j23_nearest_edge_capped(spark, sf_dir):
     return spatial.nearest(places, segs, "way_id", 30.0).select("pid", "way_id", F.round("dist", 3).alias("dist"))
 
 
-#: Curvature of whole roads: points each 60 m, capped turns between chords.
+#: Curvature of pieces: points each 60 m and at the end, capped turns between chords.
 CURVES = f"""
-SELECT way_id, CASE WHEN any_value(n) >= 2 THEN coalesce(sum(CASE WHEN turn IS NOT NULL THEN least(25.0, turn) END), 0) / (CASE WHEN any_value(total) < 300 THEN 300 ELSE any_value(total) END / 1000) ELSE 0.0 END AS curvature FROM (
-  SELECT *, abs((lead(h) OVER (PARTITION BY way_id ORDER BY k) - h + 540) % 360 - 180) AS turn FROM (
-    SELECT *, (degrees(atan2(lead(x) OVER (PARTITION BY way_id ORDER BY k) - x, lead(y) OVER (PARTITION BY way_id ORDER BY k) - y)) + 360) % 360 AS h FROM (
-      SELECT c.way_id, c.k, c.n, c.total, arg_min(s.x + t * (s.x2 - s.x), s.n) AS x, arg_min(s.y + t * (s.y2 - s.y), s.n) AS y FROM (SELECT way_id, total, n, unnest(range(0, n + 1)) AS k FROM (SELECT way_id, sum(len) AS total, CAST(floor(sum(len) / 60) AS BIGINT) AS n FROM ({SEGMENTS}) s GROUP BY way_id) a) c
-        JOIN ({_RUNNING}) s ON s.way_id = c.way_id AND s.pos + s.len >= c.k * 60, LATERAL (SELECT CASE WHEN s.len > 0 THEN greatest(0.0, least(1.0, (c.k * 60 - s.pos) / s.len)) ELSE 0.0 END AS t) z GROUP BY ALL) p) q) r GROUP BY way_id"""
+SELECT way_id, k, coalesce(sum(CASE WHEN turn IS NOT NULL THEN least(25.0, turn) END), 0) / (CASE WHEN any_value(total) < 300 THEN greatest(any_value(length_m), 300.0) ELSE any_value(length_m) END / 1000) AS curvature FROM (
+  SELECT *, abs((lead(h) OVER (PARTITION BY way_id, k ORDER BY j) - h + 540) % 360 - 180) AS turn FROM (
+    SELECT *, (degrees(atan2(lead(x) OVER (PARTITION BY way_id, k ORDER BY j) - x, lead(y) OVER (PARTITION BY way_id, k ORDER BY j) - y)) + 360) % 360 AS h FROM (
+      SELECT c.way_id, c.k, c.j, c.total, c.length_m, arg_min(s.x + t * (s.x2 - s.x), s.n) AS x, arg_min(s.y + t * (s.y2 - s.y), s.n) AS y FROM (SELECT *, d0 + least(j * 60.0, length_m) - 1e-9 AS d FROM (SELECT *, unnest(range(0, CAST(ceil(length_m / 60 - 1e-9) AS BIGINT) + 1)) AS j FROM ({_CHUNKS}) a) b) c
+        JOIN ({_RUNNING}) s ON s.way_id = c.way_id AND s.pos + s.len >= c.d, LATERAL (SELECT CASE WHEN s.len > 0 THEN greatest(0.0, least(1.0, (c.d - s.pos) / s.len)) ELSE 0.0 END AS t) z GROUP BY ALL) p) q) r GROUP BY way_id, k"""
 
 
 def _scored(spark, sf_dir):
@@ -208,7 +208,7 @@ _PT = "(SELECT pid, min(sqrt(pow(c.x - w.x, 2) + pow(c.y - w.y, 2))) AS d FROM c
 _SQ = "(SELECT DISTINCT pid FROM c JOIN ({t}) p ON {w} AND sqrt(pow(greatest(abs(c.x - p.x) - p.side / 2, 0), 2) + pow(greatest(abs(c.y - p.y) - p.side / 2, 0), 2)) <= 80)"
 _GRIDSQL = f"SELECT CAST(floor(y / 500) AS BIGINT) AS row, CAST(floor(x / 500) AS BIGINT) AS col, CAST(sum(node_id * 7 + n * 131) % 900 AS DOUBLE) AS z, min(node_id) % 5 AS cls FROM ({REFS}) v GROUP BY 1, 2"
 _SCORED = f"""
-WITH m AS MATERIALIZED ({_MIDS}), cv AS MATERIALIZED ({CURVES}), c AS MATERIALIZED (SELECT m.way_id * 10000 + k AS pid, m.x, m.y, length_m, w.* EXCLUDE (way_id), m.way_id, cv.curvature FROM m JOIN ({WAYS}) w ON w.way_id = m.way_id JOIN cv ON cv.way_id = m.way_id),
+WITH m AS MATERIALIZED ({_MIDS}), cv AS MATERIALIZED ({CURVES}), c AS MATERIALIZED (SELECT m.way_id * 10000 + m.k AS pid, m.x, m.y, length_m, w.* EXCLUDE (way_id), m.way_id, cv.curvature FROM m JOIN ({WAYS}) w ON w.way_id = m.way_id JOIN cv ON cv.way_id = m.way_id AND cv.k = m.k),
 gr0 AS MATERIALIZED ({_GRIDSQL}), gf AS MATERIALIZED (SELECT a.row, a.col, a.cls, max(b.z) - min(b.z) AS relief, max(b.z) - a.z AS prominence FROM gr0 a JOIN gr0 b ON abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY a.row, a.col, a.cls, a.z),
 wa AS {_PT.format(t=WATER, w='TRUE', r=350)}, co AS {_PT.format(t=WATER, w='kind < 5', r=800)}, pl AS {_PT.format(t=PLACES, w='TRUE', r=900)}, vi AS {_PT.format(t=PLACES, w='size >= 45', r=400)},
 gr AS {_SQ.format(t=PARKS, w='p.side * p.side >= 30000')}, fa AS {_SQ.format(t=PARKS, w='p.id % 3 = 0 AND p.side * p.side >= 20000')}, la AS {_SQ.format(t=PARKS, w='p.id % 4 = 0')},

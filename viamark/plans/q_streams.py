@@ -1,4 +1,4 @@
-"""Queries: live forms of trace operators, run over the events that are there."""
+"""Queries: live forms of trace operators. The events that are there arrive as a stream, which is stopped half-way and started again."""
 
 from __future__ import annotations
 
@@ -22,12 +22,13 @@ def _fixes(spark, sf_dir):
 
 @query(_SESSIONS)
 def x1_live_stops(spark, sf_dir):
-    """Sessions of slow fixes a day apart at most; the same function runs on a stream (tests)."""
-    out = live.live_stops(_fixes(spark, sf_dir), "24 hours", "48 hours", 30.0, 3600.0, 86400.0)
+    """Sessions of slow fixes a day apart at most, from a stream that goes on from its checkpoint."""
+    out, _ = live.replayed(_fixes(spark, sf_dir), lambda s: live.live_stops(s, "24 hours", "48 hours", 30.0, 3600.0, 86400.0))
     return out.select("drive", F.col("begin").cast("timestamp_ntz").alias("begin"), F.round("seconds", 3).alias("seconds"), "fixes", "parked")
 
 
 @query(_WINDOWS)
 def x2_live_counters(spark, sf_dir):
-    out = live.live_counters(_fixes(spark, sf_dir), "1 day", "2 days")
+    """Fixes and fixes off the line by drive and day, from a stream that goes on from its checkpoint."""
+    out, _ = live.replayed(_fixes(spark, sf_dir), lambda s: live.live_counters(s, "1 day", "2 days"))
     return out.select("drive", F.col("minute").cast("timestamp_ntz").alias("minute"), "fixes", "off_route")

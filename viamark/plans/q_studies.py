@@ -213,12 +213,9 @@ def a6_controls(spark, sf_dir):
     return network.controls(refs.select("way_id", "n", "node_id"), signs, network.junctions(refs), ways).drop("seq")
 
 
-@query(f"SELECT way_id, round(curvature, 4) AS curvature FROM ({CURVES}) c WHERE way_id IN (SELECT way_id FROM ({WAYS}) w)")
+@query(f"SELECT way_id, k, round(curvature, 4) AS curvature FROM ({CURVES}) c WHERE way_id IN (SELECT way_id FROM ({WAYS}) w)")
 def d4_curvature(spark, sf_dir):
-    """Degrees of turn per km of every road, between chords of 60 m."""
-    from viamark.functions import geometry as g
-    from viamark.plans.derived import roads
+    """Degrees of turn per km of every piece of a road, between chords of 60 m."""
+    from viamark.plans.q_roads import _chunks
 
-    r = roads(spark, sf_dir).select("way_id", g.located("geom").alias("parts"))
-    r = r.withColumn("total", F.aggregate("parts", F.lit(0.0), lambda t, s: t + s["len"]))
-    return r.select("way_id", F.round(g.curvature("parts", F.col("total"), F.col("total")), 4).alias("curvature"))
+    return _chunks(spark, sf_dir, curves=True).select("way_id", "k", F.round("curvature", 4).alias("curvature"))

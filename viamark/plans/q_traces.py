@@ -278,6 +278,34 @@ def a34_quantile_map(spark, sf_dir):
     return stats.quantile_map(m, "score", "id", "stratum").withColumn("mapped", F.round("mapped", 6))
 
 
+_LEAST, _FULL = 160.0, 4000.0
+
+
+def _grid_sql(name: str, rows: str) -> str:
+    """Weighted quantiles at 0, 1/200, ... 1 of each group of ``rows`` (stratum, v, w)."""
+    return f"""
+{name}_r AS (SELECT *, lead(p) OVER o AS p2, lead(v) OVER o AS v2, row_number() OVER o = 1 AS f FROM (SELECT stratum, v, (sum(w) OVER (PARTITION BY stratum ORDER BY v ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY stratum) AS p FROM (SELECT stratum, v, sum(w) AS w FROM {rows} GROUP BY 1, 2) z) y WINDOW o AS (PARTITION BY stratum ORDER BY v)),
+{name} AS MATERIALIZED (SELECT stratum, i, max(CASE WHEN p <= i / 200.0::DOUBLE AND p2 > i / 200.0::DOUBLE THEN v + (v2 - v) * (i / 200.0::DOUBLE - p) / (p2 - p) WHEN (f AND p > i / 200.0::DOUBLE) OR (p2 IS NULL AND p <= i / 200.0::DOUBLE) THEN v END) AS q FROM {name}_r, range(0, 201) g(i) GROUP BY 1, 2)"""
+
+
+@query(f"""
+WITH m AS MATERIALIZED (SELECT id, stratum, CAST(score AS DOUBLE) AS score, CAST(1 + id % 5 AS DOUBLE) AS w FROM ({_MARKS}) q), sh AS (SELECT 1 - sum(CASE WHEN score >= {_FULL} THEN w ELSE 0 END) / sum(w) AS q FROM m WHERE stratum = 'en'),
+r AS (SELECT *, lead(p) OVER o AS p2, lead(score) OVER o AS v2, row_number() OVER o = 1 AS f FROM (SELECT stratum, score, (sum(w) OVER (PARTITION BY stratum ORDER BY score ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY stratum) AS p FROM (SELECT stratum, score, sum(w) AS w FROM m GROUP BY 1, 2) z) y WINDOW o AS (PARTITION BY stratum ORDER BY score)),
+cap AS (SELECT stratum, CASE WHEN stratum = 'en' THEN {_FULL} ELSE max(CASE WHEN p <= sh.q AND p2 > sh.q THEN score + (v2 - score) * (sh.q - p) / (p2 - p) WHEN (f AND p > sh.q) OR (p2 IS NULL AND p <= sh.q) THEN score END) END AS cap FROM r, sh GROUP BY stratum),
+c AS MATERIALIZED (SELECT m.*, cap, round(least(1.0, score / cap), 9) AS v FROM m JOIN cap USING (stratum)), {_grid_sql('o', 'c')},
+z AS MATERIALIZED (SELECT o.stratum, o.q AS own, min(e.i) AS i, arg_min(e.q, e.i) AS ref FROM o JOIN o e ON e.stratum = 'en' AND e.i = o.i GROUP BY 1, 2), n AS (SELECT *, lead(own) OVER p AS own2, lead(ref) OVER p AS ref2, row_number() OVER p = 1 AS f FROM z WINDOW p AS (PARTITION BY stratum ORDER BY own)),
+s AS (SELECT stratum, sum(w) AS size FROM c GROUP BY 1)
+SELECT c.id, c.stratum, round(cap, 6) AS cap, round(CASE WHEN size < {_LEAST} THEN v WHEN v < own THEN ref WHEN own2 > own THEN ref + (v - own) / (own2 - own) * (ref2 - ref) ELSE ref END, 6) AS mapped
+FROM c JOIN s USING (stratum) JOIN n ON n.stratum = c.stratum AND (n.own <= v OR f) AND (own2 > v OR own2 IS NULL)""")
+def a34_recalibrated(spark, sf_dir):
+    """A cap in each group at the share that home has at its own, values mapped to home's distribution, groups under a minimum left as they are."""
+    m = _marks(spark, sf_dir).select("id", "stratum", F.col("score").cast("double").alias("score"), (1 + F.col("id") % 5).cast("double").alias("w"))
+    caps = stats.equal_share_caps(m, "stratum", "score", "w", "en", _FULL)
+    c = m.join(caps.hint("merge"), "stratum").withColumn("v", F.round(F.least(F.lit(1.0), F.col("score") / F.col("cap")), 9))
+    out = stats.recalibrated(c, "stratum", "v", "w", "en", _LEAST)
+    return out.select("id", "stratum", F.round("cap", 6).alias("cap"), F.round("mapped", 6).alias("mapped"))
+
+
 @query(f"""
 WITH q AS (SELECT quantile_cont(v, 0.5) AS a, quantile_cont(v, 0.99) AS b FROM (SELECT (fix * 7919 % 1000) / 2000.0 AS v FROM ({FIXES}) f) z),
 g AS (SELECT x / 100.0 AS base, y / 10.0 AS stretch, a, b FROM q, range(5, 25) p(x), range(8, 20) r(y)),

@@ -1,10 +1,14 @@
-"""Live drives with Structured Streaming: stops and counters per minute, late fixes bounded."""
+"""Live drives with Structured Streaming: stops and counters per minute, late fixes bounded, restarts from a checkpoint."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viamark.plans.tables import new_path
+
 
 def live_stops(fixes: DataFrame, gap: str = "20 seconds", late: str = "2 minutes", speed: float = 1.0, least: float = 3.0, parked: float = 300.0) -> DataFrame:
     """Stops of each drive: sessions of slow fixes, closed by a gap; needs drive, ts, speed.
@@ -27,6 +31,38 @@ def live_counters(fixes: DataFrame, width: str = "1 minute", late: str = "2 minu
     return out.select("drive", F.col("w.start").alias("minute"), "fixes", "off_route", "no_position")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write everything that is there now to Parquet, then stop."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Write everything that is there now to Parquet, then stop; gives the number of rows that came too late."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p["stateOperators"])
+
+
+def replayed(fixes: DataFrame, work: Callable[[DataFrame], DataFrame], stops: int = 2) -> tuple[DataFrame, int]:
+    """What ``work`` gives over ``fixes`` (a column ts) as a stream that is stopped and started again; and the rows that came too late.
+
+    The fixes arrive in ``stops`` parts by time. Each part is a query of its own that goes on
+    from the checkpoint the one before has left in the shared folder, so state, watermark
+    and output outlive it. A last row, years ahead, closes what is still open; it is in no result.
+    """
+    spark, folder = fixes.sparkSession, new_path(fixes.sparkSession, "stream")
+    cuts = fixes.agg(F.percentile_approx(F.unix_micros("ts"), F.array(*[F.lit(k / stops) for k in range(1, stops)]), 10_000).alias("c"), F.max("ts").alias("last")).first()
+    bounds = [None, *(cuts.c or []), None]
+    late = 0
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        part = fixes
+        if low is not None:
+            part = part.where(F.unix_micros("ts") > low)
+        if high is not None:
+            part = part.where(F.unix_micros("ts") <= high)
+        late += _arrive(part, work, folder)
+    if cuts.last is not None:
+        end = fixes.limit(1).select(*[(F.lit(cuts.last) + F.expr("interval 10 years")).cast(t).alias(c) if c == "ts" else F.col(c) for c, t in fixes.dtypes])
+        _arrive(end, work, folder)
+    return spark.read.parquet(f"{folder}/out"), late
+
+
+def _arrive(part: DataFrame, work: Callable[[DataFrame], DataFrame], folder: str) -> int:
+    part.write.mode("append").parquet(f"{folder}/in")
+    stream = part.sparkSession.readStream.schema(part.schema).parquet(f"{folder}/in")
+    return run_available(work(stream), f"{folder}/out", f"{folder}/checkpoint")
