@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viamark.operators import stats
+from viamark.operators.scenery import composite
 from viamark.plans.tables import stage
 
 
@@ -63,6 +64,36 @@ def candidates(df: DataFrame, specs: dict[str, Column], positive: str, high: flo
     return a.join(s.hint("merge"), "candidate").withColumn("passes", (F.col("auc") >= least_auc) & (F.col("high_share") <= most_high))
 
 
+def cap_sweep(df: DataFrame, feature: str, caps: list[float], other: str, weight: float, by: str, label: str, high: float) -> DataFrame:
+    """cap, by, auc, share_high: what one cap of a feature for everyone does to scores, group by group.
+
+    df: length_m, score_adj, the raw sum of all ``other`` terms, the feature and a label (0 or 1). At a cap the
+    feature counts as its share of the cap, at most 1; auc is the label's, by length.
+    """
+    each = df.withColumn("cap", F.explode(F.array(*map(F.lit, caps))))
+    raw = F.col(other) + weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(feature) / F.col("cap")))
+    each = each.withColumn("at_", F.round(composite(raw, F.col("score_adj")), 9))
+    a = stats.auc(each, ["cap", by], "at_", label, F.col("length_m")).select("cap", by, "auc")
+    part = F.sum(F.when(F.col("at_") >= high, F.col("length_m")).otherwise(0.0)) / F.sum("length_m")
+    return a.join(each.groupBy("cap", by).agg(part.alias("share_high")).hint("merge"), ["cap", by])
+
+
+def slot_sources(df: DataFrame, sources: dict[str, Column], other: str, weight: float, by: str, label: str, moved: float = 0.25) -> DataFrame:
+    """source, by, covered, auc, moved_km, mean: several sources tried in one slot of the score, against the first of them.
+
+    covered: share of length where a source says a half or more; auc: of the label, by
+    length; moved_km: km whose score lies more than ``moved`` from that with the first source.
+    """
+    (first, base), *_ = sources.items()
+    score = lambda c: F.round(composite(F.col(other) + weight * F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), F.col("score_adj")), 9)
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("source"), c.alias("share"), score(c).alias("score")) for k, c in sources.items()]))
+    each = df.withColumn("was_", score(base)).withColumn("s_", kinds).select("*", "s_.source", "s_.share", F.col("s_.score").alias("now_"))
+    m = F.col("length_m")
+    part = lambda c: F.sum(F.when(c, m).otherwise(0.0))
+    sums = each.groupBy("source", by).agg((part(F.col("share") >= 0.5) / F.sum(m)).alias("covered"), (part(F.abs(F.col("now_") - F.col("was_")) > moved) / 1000).alias("moved_km"), (F.sum(F.col("now_") * m) / F.sum(m)).alias("mean"))
+    return stats.auc(each, ["source", by], "now_", label, m).select("source", by, "auc").join(sums.hint("merge"), ["source", by])
+
+
 def exposure(route: DataFrame) -> DataFrame:
     """trip, closed_m, inner_private_m, unpaved_m: metres on closed, on private between the first and last public edge, on unpaved.
 

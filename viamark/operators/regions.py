@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viamark.operators.components import components
 from viamark.operators.spatial import cells_of_box, containing, least_distance, outlines
+from viamark.plans.tables import stage
 
 # Fixed values, in metres.
 RING_M, NEAR_OWNER_M, NAME_M, LANDMARK_M = 15_000.0, 2_000.0, 40.0, 80.0
@@ -51,6 +54,33 @@ def access_components(edges: DataFrame, nodes: DataFrame, cores: DataFrame, near
     return at.select("region", F.row_number().over(Window.partitionBy("region").orderBy("pid")).alias("component"), "nodes")
 
 
+def access_layer(edges: DataFrame, drivable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Access roads (edge, component) and the entries (component, node) where a drivable road touches them.
+
+    edges: edge, u, v of access roads; drivable: node. A component is named by its smallest node.
+    """
+    comp = stage(components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))), "access")
+    ways = edges.join(comp.select(F.col("node").alias("u"), F.col("root").alias("component")).hint("merge"), "u").select("edge", "component")
+    entries = comp.join(drivable.select("node").distinct().hint("merge"), "node", "left_semi").select(F.col("root").alias("component"), "node")
+    return ways, entries
+
+
+def rebuilt(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """layer, rows, changed: all layers of a set of which only some were built again; the others are taken over as they lie.
+
+    Layers are told apart by digests that do not depend on the order of rows or files.
+    """
+    from viamark.operators.checks import digest
+
+    out = []
+    for name in sorted(old):
+        now = digest(new.get(name, old[name]))
+        was = digest(old[name]).select(*[F.col(c).alias(f"{c}_") for c in now.columns])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in now.columns])
+        out.append(now.join(F.broadcast(was), F.lit(True)).select(F.lit(name).alias("layer"), "rows", (~same).alias("changed")))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
 def remapped(side: DataFrame, part_edges: DataFrame, national: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a region's side table (region, edge and columns) with national edge numbers; only owned rows, each once.
 

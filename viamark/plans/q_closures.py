@@ -128,10 +128,28 @@ d AS (SELECT DISTINCT edge FROM f WHERE source IN ('osm_dated', 'table', 'agency
 h AS (SELECT f.*, source = 'osm_default' AS def, edge IN (SELECT edge FROM d) AS dated FROM f), g AS (SELECT DISTINCT node_id FROM h WHERE def AND dated AND rule = 'through')
 SELECT source, rule, (def AND dated AND rule = 'edge') OR (def AND rule = 'through' AND node_id IN (SELECT node_id FROM g)) AS gives_way, count(*) AS rows FROM h GROUP BY ALL""")
 def c9_default_gives_way(spark, sf_dir):
-    """Rows by source, and the undated defaults that give way to a dated winter."""
+    """Rows by source, and the undated defaults that give way to a dated winter."""
     return c.default_gives_way(_seasonal(spark, sf_dir)).groupBy("source", "rule", "gives_way").agg(F.count(F.lit(1)).alias("rows"))
 
 
+#: Tags of the map, of forests, parks and hand tables, one for each way.
+_TAGS_OF = f"""
+SELECT way_id, CASE way_id % 6 WHEN 0 THEN concat('motor_vehicle:conditional=no @ (Nov ', CAST(way_id % 28 + 1 AS STRING), '-Apr 15)') WHEN 1 THEN concat('mvum passengervehicle=open ', CAST(way_id % 12 + 1 AS STRING), '/01-11/15')
+  WHEN 2 THEN concat('nps YOSE: closed in winter, ', name) WHEN 3 THEN concat('table pass ', CAST(way_id % 4 AS STRING), ': by hand') WHEN 4 THEN 'seasonal=yes' ELSE 'access:conditional = no @ snow' END AS tag,
+  CASE way_id % 6 WHEN 1 THEN 'mvum' WHEN 2 THEN 'nps' WHEN 3 THEN 'table' ELSE 'osm' END AS kind, CASE WHEN way_id % 5 = 0 THEN way_id ELSE -1 END AS node_id FROM ({WAYS}) w"""
+
+
+@query(f"""
+SELECT CASE kind WHEN 'mvum' THEN concat('mvum ', string_split(regexp_extract(tag, '^[^ ]* (.*)$', 1), '=')[1]) WHEN 'nps' THEN string_split(tag, ':')[1] WHEN 'table' THEN string_split(tag, ':')[1] ELSE regexp_replace(tag, ':conditional *=.*$', ':conditional') END AS family,
+  CASE WHEN string_split(tag, ' ')[1] IN ('mvum', 'nps', 'table') THEN string_split(tag, ' ')[1] WHEN node_id >= 0 THEN 'osm gate' ELSE 'osm way' END AS source, count(*) AS rows FROM ({_TAGS_OF}) t GROUP BY ALL""")
+def b20_provenance(spark, sf_dir):
+    """Seasonal rows by the family of their tag and by who closes them."""
+    from viamark.functions.tags import family, seasonal_source
+
+    t = derive(spark, sf_dir, _TAGS_OF)
+    return t.groupBy(family(F.col("tag"), F.col("kind")).alias("family"), seasonal_source(F.col("tag"), F.col("node_id")).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 #: A day for each kind of event: that of its last one.
 _DAYS = "SELECT kind AS day_id, CAST(month(max(ts)) AS INT) AS month, CAST(day(max(ts)) AS INT) AS day FROM (SELECT event_type AS kind, CAST(ts AS TIMESTAMP) AS ts FROM events) e GROUP BY kind"
 

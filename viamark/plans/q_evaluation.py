@@ -98,7 +98,7 @@ _CANDS = {"base": "score", "half": "score / 2", "capped": "least(score, 2000)",
 WITH c AS ({' UNION ALL '.join(f"SELECT '{k}' AS candidate, CAST({e} AS DOUBLE) AS score, nice FROM ({_MARKS}) m" for k, e in _CANDS.items())}), a AS ({_auc_sql('SELECT * FROM c', 'candidate')}), s AS (SELECT candidate, round(avg(CASE WHEN score >= 1000 THEN 1.0 ELSE 0.0 END), 8)::DOUBLE AS h FROM c GROUP BY candidate)
 SELECT a.candidate, auc, s.h AS high_share, auc >= 0.5 AND s.h <= 0.3 AS passes FROM a JOIN s USING (candidate)""")
 def a33_candidates(spark, sf_dir):
-    """Candidate scores on the same marks with their bars."""
+    """Candidate scores on the same marks with their bars."""
     out = ev.candidates(_marks(spark, sf_dir), {k: F.expr(f"cast({e} as double)") for k, e in _CANDS.items()}, "nice", 1000.0, 0.5, 0.3)
     return out.select("candidate", F.round("auc", 8).alias("auc"), F.round("high_share", 8).alias("high_share"), "passes")
 
@@ -212,12 +212,42 @@ _SWEEP = [(b, c) for b in (0.0, 0.5, 1.0) for c in (1000.0, 4000.0)]
 
 @query("SELECT bonus, cap, n1, n0, auc FROM (" + _auc_sql("SELECT bonus || '/' || cap AS k, bonus, cap, least(score, cap) + bonus * 1000 * coalesce(toxic, 0) AS score, nice FROM (" + _MARKS + ") m, (VALUES " + ", ".join(f"({b}::DOUBLE, {c}::DOUBLE)" for b, c in _SWEEP) + ") v(bonus, cap)", "bonus, cap") + ") a")
 def a50_sensitivity(spark, sf_dir):
-    """AUC of marks over a sweep of hand-set constants, among them the cap of a feature."""
+    """AUC of marks over a sweep of hand-set constants, among them the cap of a feature."""
     m = _marks(spark, sf_dir).withColumn("c", F.explode(F.array(*[F.struct(F.lit(b).alias("bonus"), F.lit(c).alias("cap")) for b, c in _SWEEP])))
     m = m.withColumns({"bonus": F.col("c.bonus"), "cap": F.col("c.cap"), "score": F.least(F.col("score").cast("double"), F.col("c.cap")) + F.col("c.bonus") * 1000 * F.coalesce("toxic", F.lit(0))})
     return stats.auc(m, ["bonus", "cap"], "score", "nice").select("bonus", "cap", "n1", "n0", F.round("auc", 8).alias("auc"))
 
 
+#: Roads with a relief in metres, two sources of bare land, the other terms' sum, and whether they are designated.
+_BARE = f"SELECT edge, length_m, CASE WHEN region < 12 THEN 'west' ELSE 'east' END AS side, CASE WHEN scenic THEN 1 ELSE 0 END AS label, CAST((edge * 7919) % 400 AS DOUBLE) AS relief, CAST((edge * 104729) % 101 AS DOUBLE) / 100 AS cover_a, CAST((edge * 15485863) % 97 AS DOUBLE) / 96 AS cover_b, CAST((edge * 31 + region) % 50 AS DOUBLE) / 100 AS other, CASE WHEN highway = 'motorway' THEN -0.2 ELSE 0.0 END AS adj FROM ({ROADS}) r"
+_COMP = "round(10 * greatest(0.0, least(1.0, ({raw} + 0.143::DOUBLE) * 1.2::DOUBLE + adj)), 9)::DOUBLE"
+
+
+def _weighted_auc(rows: str, by: str) -> str:
+    return f"""SELECT {by}, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY {by} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+  SELECT {by}, s, sum(CASE WHEN label = 1 THEN length_m ELSE 0 END) AS p, sum(CASE WHEN label = 0 THEN length_m ELSE 0 END) AS n FROM {rows} GROUP BY {by}, s) q) w GROUP BY {by}"""
+
+
+@query(f"""
+WITH r AS MATERIALIZED (SELECT q.*, cap, {_COMP.format(raw='other + 0.16::DOUBLE * greatest(0.0, least(1.0, relief / cap))')} AS s FROM ({_BARE}) q, (VALUES (100.0::DOUBLE), (150.0::DOUBLE), (175.0::DOUBLE), (250.0::DOUBLE)) c(cap)), a AS ({_weighted_auc('r', 'cap, side')})
+SELECT a.cap, a.side, round(auc, 6) AS auc, round(h, 6) AS share_high FROM a JOIN (SELECT cap, side, sum(CASE WHEN s >= 7 THEN length_m ELSE 0 END) / sum(length_m) AS h FROM r GROUP BY 1, 2) b ON a.cap = b.cap AND a.side = b.side""")
+def v18_relief_caps(spark, sf_dir):
+    """One cap of relief for everyone, swept: separation of designated roads and share of high scores on either side."""
+    e = derive(spark, sf_dir, _BARE).withColumn("score_adj", F.col("adj").cast("double"))
+    out = ev.cap_sweep(e, "relief", [100.0, 150.0, 175.0, 250.0], "other", 0.16, "side", "label", 7.0)
+    return out.select("cap", "side", *_r(6, "auc", "share_high"))
+
+
+@query(f"""
+WITH r AS MATERIALIZED (SELECT q.*, source, share, {_COMP.format(raw='other + 0.3::DOUBLE * share')} AS s, {_COMP.format(raw='other + 0.3::DOUBLE * cover_a')} AS was FROM (SELECT *, unnest(['a', 'b', 'both']) AS source, unnest([cover_a, cover_b, least(cover_a, cover_b)]) AS share FROM ({_BARE}) z) q), a AS ({_weighted_auc('r', 'source, side')})
+SELECT a.source, a.side, round(auc, 6) AS auc, round(covered, 6) AS covered, round(moved_km, 6) AS moved_km, round(mean, 6) AS mean FROM a JOIN (SELECT source, side, sum(CASE WHEN share >= 0.5 THEN length_m ELSE 0 END) / sum(length_m) AS covered, sum(CASE WHEN abs(s - was) > 0.25 THEN length_m ELSE 0.0 END) / 1000 AS moved_km, sum(s * length_m) / sum(length_m) AS mean FROM r GROUP BY 1, 2) b ON a.source = b.source AND a.side = b.side""")
+def v19_cover_sources(spark, sf_dir):
+    """Two sources of land cover, and where both agree, in one slot of the score: coverage, separation, movement, mean."""
+    e = derive(spark, sf_dir, _BARE).withColumn("score_adj", F.col("adj").cast("double"))
+    out = ev.slot_sources(e, {"a": F.col("cover_a"), "b": F.col("cover_b"), "both": F.least("cover_a", "cover_b")}, "other", 0.3, "side", "label")
+    return out.select("source", "side", *_r(6, "auc", "covered", "moved_km", "mean"))
+
+
 _OLD = "SELECT o_custkey AS request, min(o_orderstatus) AS status, min(o_orderkey % 50) AS minutes, min(o_orderkey % 9) AS road FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1"
 _NEW = "SELECT o_custkey AS request, min(CASE WHEN o_custkey % 13 = 0 THEN 'X' ELSE o_orderstatus END) AS status, min(o_orderkey % 50 + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END) AS minutes, min(o_orderkey % 9 + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) AS road FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1"
 

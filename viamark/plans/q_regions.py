@@ -64,12 +64,30 @@ WITH RECURSIVE e AS MATERIALIZED (SELECT u, v FROM ({ROADS}) r WHERE highway = '
 r AS (SELECT root AS pid, min((x, y)) AS m, count(*) AS nodes FROM comp JOIN ({NODES}) n ON n.node_id = comp.node GROUP BY root), q AS MATERIALIZED (SELECT pid, m[1] AS x, m[2] AS y, nodes FROM r), o AS ({_owners_sql("SELECT pid, x, y FROM q")})
 SELECT region, row_number() OVER (PARTITION BY region ORDER BY o.pid) AS component, nodes FROM o JOIN q ON q.pid = o.pid WHERE region IS NOT NULL""")
 def n5_access_components(spark, sf_dir):
-    """Components of residential roads, each whole in one region and numbered there."""
+    """Components of residential roads, each whole in one region and numbered there."""
     e = derive(spark, sf_dir, ROADS).where("highway = 'residential' and u <> v")
     nodes = derive(spark, sf_dir, NODES).select(F.col("node_id").alias("node"), "x", "y")
     return regions.access_components(e, nodes, derive(spark, sf_dir, CORES), 600.0)
 
 
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT edge, u, v FROM ({ROADS}) r WHERE highway = 'residential' AND u <> v), p AS MATERIALIZED (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e), {_LABELS.format(n=100)},
+d AS (SELECT u AS node FROM ({ROADS}) r WHERE highway <> 'residential' AND edge % 10 < 9 UNION SELECT v FROM ({ROADS}) r WHERE highway <> 'residential' AND edge % 10 < 9), o AS (SELECT u AS node FROM ({ROADS}) r WHERE highway <> 'residential' UNION SELECT v FROM ({ROADS}) r WHERE highway <> 'residential'),
+n AS (SELECT count(*) AS new_, (SELECT count(*) FROM comp WHERE node IN (SELECT node FROM o)) AS old_ FROM comp WHERE node IN (SELECT node FROM d))
+SELECT 'access_entries' AS layer, new_ AS rows, new_ <> old_ AS changed FROM n UNION ALL SELECT 'access_ways', count(*), false FROM e UNION ALL SELECT 'roads', count(*), false FROM ({ROADS}) r UNION ALL SELECT 'parks', count(*), false FROM ({PARKS}) k""")
+def v17_access_rebuild(spark, sf_dir):
+    """The access layer built again after some roads were closed to cars, the other layers left as they lie."""
+    from viamark.plans.tables import stage
+
+    r = stage(derive(spark, sf_dir, ROADS), "roads")
+    own = r.where("highway = 'residential' and u <> v").select("edge", "u", "v")
+    ends = lambda keep: r.where(f"highway <> 'residential' and {keep}").select(F.explode(F.array("u", "v")).alias("node"))
+    ways, entries = (stage(t, "access") for t in regions.access_layer(own, ends("true")))
+    again = dict(zip(("access_ways", "access_entries"), regions.access_layer(own, ends("edge % 10 < 9"))))
+    old = {"access_ways": ways, "access_entries": entries, "roads": r.select("edge", "u", "v", "highway"), "parks": derive(spark, sf_dir, PARKS)}
+    return regions.rebuilt(old, {k: stage(t, "access") for k, t in again.items()})
+
+
 _NATIONAL = f"SELECT edge AS national_edge, way_id, seq, region FROM ({ROADS}) r"
 _PART = f"SELECT way_id % 3 AS region, way_id * 7 + seq AS edge, way_id, seq FROM ({EDGES}) e"
 _SIDE = f"SELECT way_id % 3 AS region, way_id * 7 + seq AS edge, CASE WHEN length_m > 500 THEN 'long' ELSE 'short' END AS tag FROM ({EDGES}) e UNION ALL SELECT way_id % 3, way_id * 7 + seq, 'short' FROM ({EDGES}) e"
