@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viamark.functions import calendar as cal
-from viamark.operators import closures, driven, evaluation, network, polygons, raster, regions, routing, spatial
+from viamark.operators import closures, driven, evaluation, network, polygons, raster, regions, routing, spatial, stats
 
 
 def graph(n, m, seed):
@@ -256,6 +256,81 @@ def test_switch_points_and_frontier(spark):
     assert {(r.extra, r.gain) for r in best} == want and len(best) == len(want)
 
 
+def test_banded_pairs_are_seeded_and_within_quota(spark):
+    from viamark.operators import studies
+
+    rng = np.random.default_rng(2)
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 1000, (400, 2)))]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    bands = [50.0, 200.0, 500.0, 900.0]
+    take = lambda d: sorted(tuple(r) for r in studies.banded_pairs(d, bands, 30, 4).collect())
+    got, at = take(df.repartition(3)), {k: (x, y) for k, x, y in points}
+    assert got == take(df.repartition(7)) and len({(a, b) for _, a, b, _ in got}) == len(got)
+    for band, a, b, d in got:
+        assert a != b and abs(d - np.hypot(at[a][0] - at[b][0], at[a][1] - at[b][1])) < 1e-9 and bands[band] <= d < bands[band + 1]
+    assert [sum(1 for g in got if g[0] == k) for k in range(3)] == [30, 30, 30]
+
+
+def test_balanced_logistic_against_newton(spark):
+    """Held-out accuracy equals that of the same model fitted by Newton steps in NumPy."""
+    from viamark.operators import studies
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for region in ("a", "b", "c"):
+        for _ in range(150):
+            y = float(rng.random() < 0.2)
+            rows.append((region, float(rng.normal(1.5 * y, 1)), float(rng.normal(-y, 2)), y))
+    got = {r.region: (r.n, r.accuracy) for r in studies.balanced_logistic(spark.createDataFrame(rows, "region string, u double, v double, label double"), ["u", "v"], "label", "region").collect()}
+    x, y, part = np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows]), np.array([r[0] for r in rows])
+    w = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum())
+    for r in "abc":
+        own = part == r
+        m, s = x[~own].mean(0), x[~own].std(0, ddof=1)
+        a, b, t, q = np.c_[np.ones((~own).sum()), (x[~own] - m) / s], np.zeros(3), y[~own], w[~own] / w[~own].sum()
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-a @ b))
+            grad = a.T @ (q * (p - t)) + 0.01 * np.r_[0, b[1:]]
+            b -= np.linalg.solve((a * (q * p * (1 - p))[:, None]).T @ a + 0.01 * np.diag([0, 1, 1]), grad)
+        z = np.c_[np.ones(own.sum()), (x[own] - m) / s] @ b
+        assert got[r][0] == own.sum() and abs(got[r][1] - ((z > 0) == (y[own] == 1)).mean()) < 0.02
+
+
+def test_digest_knows_rows_and_not_their_order(spark):
+    from viamark.operators import checks
+
+    df = spark.createDataFrame([(k, float(k % 7), f"t{k % 5}") for k in range(200)], "a long, b double, c string")
+    one = lambda d: tuple(checks.digest(d).first())
+    base = one(df.repartition(2))
+    assert base == one(df.orderBy(F.desc("a")).repartition(5)) and base[0] == 200
+    assert len({base, one(df.union(df.limit(1))), one(df.where("a <> 3")), one(df.withColumn("b", F.when(F.col("a") == 3, 9.0).otherwise(F.col("b"))))}) == 4
+    assert one(df.limit(0))[0] == 0
+
+
+def test_caps_and_recalibration(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, g, float(rng.integers(0, top)), float(rng.integers(1, 5))) for g, n, top in (("home", 300, 60), ("far", 200, 400), ("tiny", 5, 90)) for k in range(n)]
+    df = spark.createDataFrame(rows, "id long, g string, v double, w double")
+
+    def ranked(g):
+        v, w = np.array([r[2] for r in rows if r[1] == g]), np.array([r[3] for r in rows if r[1] == g])
+        u = np.unique(v)
+        m = np.array([w[v == x].sum() for x in u])
+        return u, (np.cumsum(m) - m / 2) / m.sum()
+
+    share = 1 - sum(r[3] for r in rows if r[1] == "home" and r[2] >= 45) / sum(r[3] for r in rows if r[1] == "home")
+    caps = {r.g: r.cap for r in stats.equal_share_caps(df, "g", "v", "w", "home", 45.0).collect()}
+    assert caps["home"] == 45.0 and all(abs(caps[g] - np.interp(share, *ranked(g)[::-1])) < 1e-9 for g in ("far", "tiny"))
+    grid = np.linspace(0, 1, 201)
+    ref = np.interp(grid, *ranked("home")[::-1])
+    for r in stats.recalibrated(df, "g", "v", "w", "home", 100.0).collect():
+        if r.g == "tiny":
+            assert r.mapped == r.v
+            continue
+        own, keep = np.unique(np.interp(grid, *ranked(r.g)[::-1]), return_index=True)
+        assert abs(r.mapped - np.interp(r.v, own, ref[keep])) < 1e-6
+
+
 def test_turned_back_clips_to_the_strip(spark):
     segs = [("a", 100.0, 0.0, 100.0, 0.0, -900.0, 0.0, 0.0, 0.0), ("b", 100.0, 90.0, 50.0, 90.0, -900.0, 0.0, 0.0, 0.0), ("c", 0.0, 0.0, -300.0, 0.0, -100.0, 0.0, 0.0, 0.0), ("d", 10.0, 60.0, -200.0, -60.0, -320.0, 0.0, 0.0, 0.0)]
     df = spark.createDataFrame(segs, "route string, start double, ax double, ay double, bx double, by double, px double, py double, heading double")

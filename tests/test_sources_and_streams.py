@@ -55,6 +55,24 @@ def test_streams_equal_batch(spark, tmp_path):
         assert batch.count() > 0 and got.exceptAll(batch).isEmpty()  # what the watermark has closed
 
 
+def test_a_stream_that_is_started_again_gives_what_a_batch_gives(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"d{k % 4}", f"2026-02-{1 + k // 40:02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}:{rng.randrange(60):02d}", rng.random() * 1.5, rng.random() * 120, k if k % 9 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "drive string, t string, speed double, off double, x int").withColumn("ts", F.to_timestamp("t")).drop("t")
+    for work in (lambda s: live.live_stops(s, "3 hours", "6 hours", 1.0, 60.0, 3600.0), lambda s: live.live_counters(s, "1 hour", "3 hours")):
+        got, late = live.replayed(df, work, stops=3)
+        batch = work(df)
+        assert late == 0 and got.count() == batch.count() > 20 and got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    part = lambda day: spark.createDataFrame([("a", f"2026-03-{day:02d} 00:00:{s:02d}", 0.2, 10.0, 1) for s in range(0, 30, 5)], "drive string, t string, speed double, off double, x int").withColumn("ts", F.to_timestamp("t")).drop("t")
+    late = [live._arrive(part(day), live.live_counters, str(tmp_path)) for day in (10, 12, 1)]
+    assert late[:2] == [0, 0] and late[2] > 0
+
+
 def test_menu_against_brute_force(spark):
     import random
 

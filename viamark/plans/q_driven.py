@@ -210,7 +210,16 @@ def j26_marked_stretches(spark, sf_dir):
 _TRIES = ((200.0, 1.0), (400.0, 1.5), (800.0, 2.5))
 
 
-@query(" UNION ALL ".join(f"SELECT fix, way_id, {w}::DOUBLE AS back_m, {r}::DOUBLE AS reaction_s, count(DISTINCT edge) AS edges, count(*) AS samples FROM ({_HITS.format(samples=_samples_sql(w, r))}) h GROUP BY fix, way_id" for w, r in _TRIES))
+_SPAN = "range(CAST(floor((least({a}, {b}) - 30) / 300) AS BIGINT), CAST(floor((greatest({a}, {b}) + 30) / 300) AS BIGINT) + 1)"
+
+
+@query(f"""
+WITH sg AS MATERIALIZED (SELECT way_id, x, y, x2, y2, len, cx, unnest({_SPAN.format(a='y', b='y2')}) AS cy FROM (SELECT *, unnest({_SPAN.format(a='x', b='x2')}) AS cx FROM ({SEGMENTS}) s) q),
+sm AS MATERIALIZED ({" UNION ALL ".join(f"SELECT *, {w}::DOUBLE AS back_m, {r}::DOUBLE AS reaction_s FROM ({_samples_sql(w, r)}) q" for w, r in _TRIES)}),
+d AS (SELECT p.fix, p.way_id, p.at AS spot, back_m, reaction_s, s.way_id AS edge, sqrt(pow(p.x - s.x - t * (s.x2 - s.x), 2) + pow(p.y - s.y - t * (s.y2 - s.y), 2)) AS dist FROM sm p JOIN sg s ON s.cx = CAST(floor(p.x / 300) AS BIGINT) AND s.cy = CAST(floor(p.y / 300) AS BIGINT),
+  LATERAL (SELECT CASE WHEN s.len > 0 THEN greatest(0.0, least(1.0, ((p.x - s.x) * (s.x2 - s.x) + (p.y - s.y) * (s.y2 - s.y)) / (s.len * s.len))) ELSE 0.0 END AS t) z),
+h AS (SELECT fix, way_id, spot, back_m, reaction_s, arg_min(edge, (round(dist, 6), edge)) AS edge FROM d WHERE dist <= 30 GROUP BY ALL)
+SELECT fix, way_id, back_m, reaction_s, count(DISTINCT edge) AS edges, count(*) AS samples FROM h GROUP BY ALL""")
 def v14_mark_windows(spark, sf_dir):
     """The edges under each mark for several windows and reaction times."""
     out = None

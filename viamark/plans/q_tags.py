@@ -29,7 +29,7 @@ _KEYS = {
     "maxspeed": ("p_partkey * 23", [None, "55 mph", "50", "none", "0", "35 mph", "", "80"]),
     "oneway": ("p_partkey * 29", [None, "yes", "-1", "no", "", "reverse", "true"]),
     "junction": ("p_partkey", [None] * 5 + ["roundabout", "circular"]),
-    "name": ("p_partkey", ["Telos Checkpoint", None, "Main Street", None]),
+    "name": ("p_partkey", ["Bald Hill Checkpoint", None, "Main Street", None]),
     "tiger:cfcc": ("p_partkey * 31", [None, "A51", "A41", "A51;A53", "A51;A41", " A52 "]),
 }
 TAGGED = "SELECT p_partkey AS id, " + ", ".join(_pick(f'"{k}"', *v) for k, v in _KEYS.items()) + " FROM part"
@@ -63,7 +63,7 @@ def b1_access(spark, sf_dir):
 @query(f"""
 WITH v AS (SELECT *, {_P('barrier')} AS b, {_ACC} AS says, {_VAL} AS val FROM ({TAGGED}) t)
 SELECT id, CASE WHEN ford = 'yes' AND NOT (highway IN {_in(t.MAJOR)} AND lower(coalesce(surface, '')) NOT IN {_in(UNPAVED)}) THEN 'ford=yes' WHEN b = '' THEN NULL
-  WHEN b = 'toll_booth' AND name = 'Telos Checkpoint' THEN 'barrier=toll_booth, logging checkpoint'
+  WHEN b = 'toll_booth' AND name = 'Bald Hill Checkpoint' THEN 'barrier=toll_booth, logging checkpoint'
   WHEN b IN {_in(t.PASSABLE)} AND val IN {_in(t.CLOSING)} THEN 'barrier=' || b || ', ' || says WHEN b IN {_in(t.PASSABLE)} AND locked = 'yes' THEN 'barrier=' || b || ', locked=yes'
   WHEN b IN {_in(t.PASSABLE)} THEN NULL WHEN val IS NOT NULL AND val NOT IN {_in(t.CLOSING)} THEN NULL WHEN val IS NOT NULL THEN 'barrier=' || b || ', ' || says ELSE 'barrier=' || b END AS why FROM v""")
 def b6_barriers(spark, sf_dir):
@@ -153,7 +153,7 @@ def c5_widened_windows(spark, sf_dir):
     return w.select("k", days.cast("long").alias("closed"), F.size("r").cast("long").alias("runs"), cal.day_of(F.col("r")[0]["m1"], F.col("r")[0]["d1"]).cast("long").alias("first"))
 
 
-_TEXTS = ["no @ (Nov-Apr)", "no @ (Nov 15-Apr 1; 22:00-06:00)", "yes @ (May 20-Oct 29, sunrise-sunset)", "no @ (weight>5)", "no @ winter", "destination @ (Nov-Apr)", "no @ May-Sep Su 09:00-16:00", "no @ (8 Dec - 1 May); yes @ (Jun-Aug)", "no @ (2022 Apr 04-2022 Oct 28)"]
+_TEXTS = ["no @ (Dec-Mar)", "no @ (Oct 20-Apr 30; 20:00-07:00)", "yes @ (Jun 3-Sep 12, sunrise-sunset)", "no @ (axleload>8)", "no @ wet", "destination @ (Oct-May)", "no @ Apr-Aug Mo 10:00-18:00", "no @ (3 Nov - 14 Apr); yes @ (May-Jul)", "no @ (2024 Mar 02-2024 Nov 11)"]
 
 
 @query()
