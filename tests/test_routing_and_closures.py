@@ -256,6 +256,15 @@ def test_switch_points_and_frontier(spark):
     assert {(r.extra, r.gain) for r in best} == want and len(best) == len(want)
 
 
+def test_nearest_of_a_group_at_any_distance(spark):
+    rng = np.random.default_rng(5)
+    at = lambda n, far: [(k, f"g{k % 4}", float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, far, (n, 2)))]
+    points, others = at(80, 900), [o for o in at(30, 3000) if o[1] != "g3"]
+    got = spatial.nearest_of(spark.createDataFrame(points, "pid long, g string, x double, y double"), spark.createDataFrame(others, "key long, g string, x double, y double"), "g", "key", 20.0).collect()
+    want = {(p, g, min((np.hypot(x - u, y - v), k) for k, h, u, v in others if h == g)[1]) for p, g, x, y in points if g != "g3"}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_banded_pairs_are_seeded_and_within_quota(spark):
     from viamark.operators import studies
 

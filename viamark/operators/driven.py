@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viamark.functions.geometry import bearing, point, to_segment
-from viamark.operators.spatial import nearest
+from viamark.operators.spatial import interval_join, nearest
 from viamark.operators.traces import in_drive, islands, micros
 
 # Metres, degrees, seconds and fixes.
@@ -80,12 +80,17 @@ def silences(fixes: DataFrame, replies: DataFrame, off: Column, least: float = S
     f = fixes.withColumns({"off_": off, "reached": F.coalesce(F.max((~off).cast("int")).over(w), F.lit(0))})
     runs = islands(f, F.col("off_"))
     span = runs.groupBy("drive", "island").agg(F.min("ts").alias("begin"), F.max("ts").alias("end"), F.min_by("reached", F.struct("ts", "fix")).alias("reached")).where("reached = 1").drop("reached")
-    cuts = span.join(replies.select("drive", F.col("ts").alias("cut")).hint("merge"), "drive").where("cut > begin and cut <= end").select("drive", "island", "cut")
+    # Replies and fixes meet spans in buckets of time, not all those of a drive.
+    seconds = lambda c: micros(c) / 1e6
+    width = 8 * least
+    spans = span.select("drive", "island", "begin", seconds("begin").alias("a_"), seconds("end").alias("b_"))
+    cuts = interval_join(replies.select("drive", F.col("ts").alias("cut"), seconds("ts").alias("t_")), spans, ["drive"], "t_", "a_", "b_", width).where("cut > begin").select("drive", "island", "cut")
     ends = span.select("drive", "island", F.col("begin").alias("cut")).unionByName(cuts).unionByName(span.select("drive", "island", F.col("end").alias("cut")))
     order = Window.partitionBy("drive", "island").orderBy("cut")
     pieces = ends.withColumns({"piece": F.row_number().over(order), "next": F.lead("cut").over(order)}).where("next is not null")
     pieces = pieces.withColumn("seconds", (micros("next") - micros("cut")) / 1e6).where(F.col("seconds") >= least)
-    inside = pieces.join(runs.select("drive", "island", "ts", "speed", "step").hint("merge"), ["drive", "island"]).where("ts between cut and next")
+    timed = pieces.withColumns({"a_": seconds("cut"), "b_": seconds("next")})
+    inside = interval_join(runs.select("drive", "island", "speed", "step", seconds("ts").alias("t_")), timed, ["drive", "island"], "t_", "a_", "b_", width)
     out = inside.groupBy("drive", "island", "piece", "seconds").agg(F.avg((F.col("speed") >= moving).cast("double")).alias("share"), F.sum("step").alias("metres"))
     return out.where("share >= 0.5").drop("share")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from viamark.functions.geometry import folded, to_segment
 from viamark.operators.components import components
-from viamark.operators.spatial import CELL, cells_of_box
+from viamark.operators.spatial import CELL, cells_of_box, nearest_of
 from viamark.plans.tables import Appended, Bucketed, stage
 
 # Loops, splices, snapping, private roads, unpaved penalty of old tables.
@@ -228,9 +228,7 @@ def entrances(points: DataFrame, access: DataFrame, roads: DataFrame, entries: D
     """
     near = access.join(roads.select("pid", F.col("dist").alias("to_road")).hint("merge"), "pid").where("dist < to_road")
     at = near.select("pid", "component").join(points.hint("merge"), "pid")
-    e = entries.select("component", "node", F.col("x").alias("ex"), F.col("y").alias("ey"))
-    d = (F.col("x") - F.col("ex")) ** 2 + (F.col("y") - F.col("ey")) ** 2
-    return at.join(e.hint("merge"), "component").groupBy("pid").agg(F.min(F.struct(d.alias("d"), "node", "component")).alias("m")).select("pid", "m.component", "m.node")
+    return nearest_of(at.select("pid", "component", "x", "y"), entries, "component", "node", CELL).select("pid", "component", "node")
 
 
 def traversed(route: DataFrame, edges: DataFrame) -> DataFrame:

@@ -61,6 +61,27 @@ def least_distance(points: DataFrame, segs: DataFrame, key: str, d: float, cell:
     return _candidates(points, segs, key, d, cell).groupBy("pid").agg(F.min("dist").alias("dist"))
 
 
+def nearest_of(points: DataFrame, others: DataFrame, on: str, key: str, d: float) -> DataFrame:
+    """pid, on, key: of the ``others`` (on, key, x, y) of a point's own group the nearest, at any distance; ties take the smallest key.
+
+    points: pid, on, x, y. Cells as wide as a radius that doubles for points without one;
+    points whose group has none are left out first, so rounds end.
+    """
+    left, found = stage(points.join(others.select(on).distinct().hint("merge"), on, "left_semi"), "points"), []
+    while not left.isEmpty():
+        cells = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(i, j))))"))
+        cell = lambda c: F.floor(F.col(c) / d)  # noqa: B023, E731
+        asked = left.withColumns({"cx": cell("x"), "cy": cell("y")}).withColumn("c_", cells).select("pid", on, "x", "y", (F.col("cx") + F.col("c_.i")).alias("cx"), (F.col("cy") + F.col("c_.j")).alias("cy"))
+        held = others.select(on, key, F.col("x").alias("x_"), F.col("y").alias("y_"), cell("x").alias("cx"), cell("y").alias("cy"))
+        far = (F.col("x") - F.col("x_")) ** 2 + (F.col("y") - F.col("y_")) ** 2
+        near = asked.join(held.hint("merge"), [on, "cx", "cy"]).withColumn("far", far).where(F.col("far") <= d * d)
+        now = stage(near.groupBy("pid", on).agg(F.min(F.struct("far", key)).alias("m")).select("pid", on, f"m.{key}"), "nearest")
+        found.append(now)
+        left = stage(left.join(now.select("pid", on).hint("merge"), ["pid", on], "left_anti"), "points")
+        d *= 2
+    return reduce(DataFrame.unionByName, found) if found else points.join(others.select(on, key), on).select("pid", on, key).limit(0)
+
+
 #: Stored size up to which the features of all layers, copied to their cells, are broadcast.
 BROADCAST_BYTES = 16 << 20
 
