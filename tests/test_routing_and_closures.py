@@ -316,6 +316,16 @@ def test_digest_knows_rows_and_not_their_order(spark):
     assert one(df.limit(0))[0] == 0
 
 
+def test_group_percentiles(spark):
+    rng = np.random.default_rng(14)
+    rows = [(g, float(v)) for g, n in (("a", 40), ("b", 1), ("c", 7), (None, 9)) for v in rng.integers(0, 12, n)] + [("c", None)]
+    got = {r.g: list(r.p) for r in stats.group_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", (0.0, 0.1, 0.5, 0.77, 1.0)).collect()}
+    for g in ("a", "b", "c", None):
+        assert np.allclose(got[g], np.percentile([v for k, v in rows if k == g and v is not None], [0, 10, 50, 77, 100]))
+    both = stats.with_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", (0.5,), F.count("v").alias("n")).collect()
+    assert {r.g: r.n for r in both} == {"a": 40, "b": 1, "c": 7, None: 9} and all(r.p is not None for r in both)
+
+
 def test_caps_and_recalibration(spark):
     rng = np.random.default_rng(12)
     rows = [(k, g, float(rng.integers(0, top)), float(rng.integers(1, 5))) for g, n, top in (("home", 300, 60), ("far", 200, 400), ("tiny", 5, 90)) for k in range(n)]

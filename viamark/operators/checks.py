@@ -36,7 +36,7 @@ def reconcile(old: DataFrame, new: DataFrame, key: list[str], values: list[str])
     nth = lambda df: df.select(*key, *values, F.row_number().over(Window.partitionBy(*key).orderBy(*values)).alias("nth"))
     a, b = nth(old).withColumn("in_a", F.lit(True)), nth(new).withColumn("in_b", F.lit(True))
     b = b.withColumnsRenamed({v: f"new_{v}" for v in values})
-    out = a.join(b, [*key, "nth"], "full_outer")
+    out = a.join(b.hint("merge"), [*key, "nth"], "full_outer")
     side = F.when(F.col("in_a") & F.col("in_b"), "both").when(F.col("in_a"), "old").otherwise("new")
     return out.select(*key, "nth", side.alias("side"), *[(side == "both") .__and__(~F.col(v).eqNullSafe(F.col(f"new_{v}"))).alias(f"{v}_differs") for v in values])
 

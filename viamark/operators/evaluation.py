@@ -136,13 +136,13 @@ def choose_policy(results: DataFrame, bar: float, samples: int, n: int = 5) -> D
 def arm_statistics(pairs: DataFrame, by: str) -> DataFrame:
     """by, pairs, same, no_gain, small_gain, long: how the scenic arm differs from the fast one. pairs: extra_km, gain_km, km."""
     gain = F.col("gain_km") / 1.609344
-    return pairs.groupBy(by).agg(F.count(F.lit(1)).alias("pairs"), share(F.col("extra_km") == 0).alias("same"), share(F.col("gain_km") <= 0).alias("no_gain"), share(gain < 0.5).alias("small_gain"), share(F.col("extra_km") > 0.25 * F.col("km")).alias("long"), F.percentile("extra_km", F.array(F.lit(0.5), F.lit(0.9))).alias("p"))
+    return stats.with_percentiles(pairs, [by], "extra_km", (0.5, 0.9), F.count(F.lit(1)).alias("pairs"), share(F.col("extra_km") == 0).alias("same"), share(F.col("gain_km") <= 0).alias("no_gain"), share(gain < 0.5).alias("small_gain"), share(F.col("extra_km") > 0.25 * F.col("km")).alias("long"))
 
 
 def drive_summary(runs: DataFrame) -> DataFrame:
     """persona, category, staged, runs, p50, p90: recorded values by persona and category, what was not staged apart."""
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9)))
-    return runs.groupBy("persona", "category", "staged").agg(F.count(F.lit(1)).alias("runs"), p.alias("p")).select("persona", "category", "staged", "runs", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"))
+    out = stats.with_percentiles(runs, ["persona", "category", "staged"], "value", (0.5, 0.9), F.count(F.lit(1)).alias("runs"))
+    return out.select("persona", "category", "staged", "runs", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"))
 
 
 def excess(points: DataFrame, bands: list[float]) -> DataFrame:
@@ -152,8 +152,8 @@ def excess(points: DataFrame, bands: list[float]) -> DataFrame:
     """
     t = points.groupBy("trip").agg((F.max(F.col("d1") + F.col("d2")) - F.max("d")).alias("excess"), F.max("d").alias("d"))
     band = sum((F.when(F.col("d") >= b, 1).otherwise(0) for b in bands), F.lit(0))
-    p = F.percentile("excess", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return t.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("trips"), p.alias("p")).select("band", "trips", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"))
+    out = stats.with_percentiles(t.withColumn("band", band), ["band"], "excess", (0.5, 0.9, 0.99), F.count(F.lit(1)).alias("trips"))
+    return out.select("band", "trips", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"))
 
 
 def strengths(routes: DataFrame, settings: list[float]) -> DataFrame:

@@ -126,9 +126,33 @@ def sign_test(wins: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(normal_tail(z))
 
 
+def group_percentiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """by, p: exact interpolated percentiles of each group, as :func:`percentile` gives them, by a sort that may spill.
+
+    Equal values are counted first, in each task; no buffer holds a group's values.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("w_"))
+    w = Window.partitionBy(*by)
+    rows = rows.withColumns({"n_": F.sum("w_").over(w), "to_": F.sum("w_").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
+    rows = rows.withColumn("from_", F.col("to_") - F.col("w_"))
+    at = {i: F.lit(float(s)) * (F.col("n_") - 1) for i, s in enumerate(shares)}
+    holds = lambda rank: (F.col("from_") <= rank) & (rank < F.col("to_"))
+    ends = [F.max(F.when(holds(f(at[i])), F.col(value))).alias(f"{n}{i}_") for i in at for n, f in (("a", F.floor), ("b", F.ceil))]
+    out = rows.groupBy(*by).agg(F.max("n_").alias("n_"), *ends)
+    p = [F.col(f"a{i}_") + (F.col(f"b{i}_") - F.col(f"a{i}_")) * (at[i] - F.floor(at[i])) for i in at]
+    return out.select(*by, F.array(*[x.cast("double") for x in p]).alias("p"))
+
+
+def with_percentiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...], *sums: Column) -> DataFrame:
+    """by, the aggregates ``sums`` and the percentiles ``p`` of each group."""
+    p = group_percentiles(df, by, value, shares).select(*[F.col(b).alias(f"{b}_p_") for b in by], "p")
+    out = df.groupBy(*by).agg(*sums)
+    same = [out[b].eqNullSafe(p[f"{b}_p_"]) for b in by]
+    return out.join(p.hint("merge"), same, "left").drop(*[f"{b}_p_" for b in by])
+
+
 def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("low"), p.alias("p"), F.max(value).alias("high"), F.avg(value).alias("mean"))
+    out = with_percentiles(df, by, value, (0.25, 0.5, 0.75), F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"))
     return out.select(*by, "n", "low", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"), "high", "mean")
 
 
@@ -177,8 +201,7 @@ def bootstrap_means(df: DataFrame, cluster: str, value: str, other: str, replica
 def quantile_map(df: DataFrame, value: str, key: str, by: str, grid: int = 20) -> DataFrame:
     """Scores of each group mapped to the quantiles of all: an interval join on ``grid`` steps."""
     shares = [i / grid for i in range(grid + 1)]
-    p = lambda c: F.percentile(c, F.array(*[F.lit(s) for s in shares]))
-    own = df.groupBy(by).agg(p(value).alias("own"))
+    own = group_percentiles(df, [by], value, tuple(shares)).withColumnRenamed("p", "own")
     every = quantiles(df, value, tuple(shares)).withColumnRenamed("q", "all")
     # One row for each group, and one row for all.
     both = stage(own.join(F.broadcast(every), F.lit(True)), "grids")
@@ -205,10 +228,10 @@ def affine_fit(df: DataFrame, raw: str, bases: list[float], stretches: list[floa
 
 def map_points(df: DataFrame, value: str, by: str, points: list[float], grid: int = 20) -> DataFrame:
     """by, value, mapped: what fixed values of each group become on the quantiles of all groups together."""
-    p = F.percentile(value, F.array(*[F.lit(i / grid) for i in range(grid + 1)]))
+    own = group_percentiles(df, [by], value, tuple(i / grid for i in range(grid + 1))).withColumnRenamed("p", "own")
     # One row for each group, and one row for all.
     every = quantiles(df, value, tuple(i / grid for i in range(grid + 1))).withColumnRenamed("q", "all")
-    both = df.groupBy(by).agg(p.alias("own")).join(F.broadcast(every), F.lit(True)).withColumn(value, F.explode(F.array(*map(F.lit, points))))
+    both = own.join(F.broadcast(every), F.lit(True)).withColumn(value, F.explode(F.array(*map(F.lit, points))))
     out = both.withColumn("i", F.expr(f"greatest(1, least({grid}, size(filter(own, q -> q <= {value}))))"))
     low, high = F.element_at("own", F.col("i")), F.element_at("own", F.col("i") + 1)
     t = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0)

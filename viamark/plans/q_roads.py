@@ -70,7 +70,7 @@ def d7_haversine(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (40 + (F.col("c_custkey") * 7919 % 5000) / 1000.0).alias("lat"), (-75 + (F.col("c_custkey") * 104729 % 6000) / 1000.0).alias("lon"))
     a = c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = c.select(F.col("c_custkey").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return a.join(b, "b").select("a", "b", F.round(g.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 6).alias("km"))
+    return a.join(b.hint("merge"), "b").select("a", "b", F.round(g.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 6).alias("km"))
 
 
 @query("""

@@ -136,7 +136,7 @@ def c1_in_window(spark, sf_dir):
     """Whether an order's day falls in its customer's window."""
     w = derive(spark, sf_dir, _WINDOWS).withColumn("w", F.struct("m1", "d1", "m2", "d2")).select(F.col("id").alias("o_custkey"), "w")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.join(w, "o_custkey").select(F.col("o_orderkey").alias("id"), cal.in_window(F.col("w"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")).alias("closed"))
+    return o.join(w.hint("merge"), "o_custkey").select(F.col("o_orderkey").alias("id"), cal.in_window(F.col("w"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")).alias("closed"))
 
 
 @query(f"""

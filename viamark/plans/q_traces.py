@@ -44,7 +44,7 @@ def _stops(spark, sf_dir):
 def _marks(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("quality", "nice")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("n_chars").alias("score"), F.col("lang").alias("stratum"), F.col("source").alias("road"))
-    return labels.join(docs, "doc_id").withColumnRenamed("doc_id", "id")
+    return labels.join(docs.hint("merge"), "doc_id").withColumnRenamed("doc_id", "id")
 
 
 @query(f"SELECT coalesce(reason, 'kept') AS reason, count(*) AS steps, round(sum(dist) / 1000, 3) AS km FROM ({_STEPS}) s GROUP BY 1")
@@ -129,7 +129,7 @@ def a21_stop_causes(spark, sf_dir):
     from pyspark.sql import Window
 
     s = _stops(spark, sf_dir).where("not parked").select("drive", F.col("begin").alias("ts"), "seconds")
-    out = s.join(_fixes(spark, sf_dir).select("drive", "ts", F.col("kind").alias("cause")), ["drive", "ts"]).groupBy("cause").agg(F.count(F.lit(1)).alias("stops"), F.sum("seconds").alias("seconds"))
+    out = s.join(_fixes(spark, sf_dir).select("drive", "ts", F.col("kind").alias("cause")).hint("merge"), ["drive", "ts"]).groupBy("cause").agg(F.count(F.lit(1)).alias("stops"), F.sum("seconds").alias("seconds"))
     every = Window.partitionBy(F.lit(0))  # as many rows as causes
     return out.select("cause", "stops", F.round("seconds", 3).alias("seconds"), F.round(F.col("seconds") / F.sum("seconds").over(every), 8).alias("share"))
 
