@@ -337,7 +337,7 @@ def g25_waypoint_paths(spark, sf_dir):
 
 
 _LEG, _LOW, _TOP, _SWITCH = 0.6, 0.3, 1.2, 0.4
-_NUMBERED = "^(AUTOMOBILE|BUILDING|MACHINERY) [0-9]+$"
+_NUMBERED = "^AUTOMOBILE [0-9]{1,3}$"
 #: Edges with their route numbers; every seventh way has a second one.
 _REFD = f"SELECT edge, u, v, km, minutes, oneway, CASE WHEN way_id % 7 = 0 THEN concat(name, '; AUTOMOBILE ', CAST(way_id % 40 AS STRING)) ELSE name END AS ref FROM (SELECT p.*, CAST(floor(edge / 10000) AS BIGINT) AS way_id FROM ({_PRICED}) p) q"
 

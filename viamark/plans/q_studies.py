@@ -8,7 +8,7 @@ from viamark.functions.tags import SPEED_KMH
 from viamark.operators import checks, studies
 from viamark.operators.scenery import unpaved
 from viamark.plans.catalog import query
-from viamark.plans.derived import REFS, SEGMENTS, WAYS, derive
+from viamark.plans.derived import PLACES, REFS, SEGMENTS, WAYS, derive
 from viamark.plans.q_rasters import ROUTE
 from viamark.plans.q_roads import _RUNNING, CURVES
 from viamark.plans.q_traces import _MARKS, _marks
@@ -154,12 +154,18 @@ def a47_balanced_logistic(spark, sf_dir):
     return studies.balanced_logistic(m.where("nice is not null and toxic is not null"), ["log_chars", "toxic_"], "label", "stratum")
 
 
-@query()
+_BANDS = [1000.0, 5000.0, 10000.0, 20000.0, 60000.0]
+_MIX = "({x}) % 1000003 * 48271 % 2147483647"
+
+
+@query(f"""
+WITH p AS MATERIALIZED (SELECT id, x, y FROM ({PLACES}) q), n AS (SELECT count(*) AS n FROM p), a AS (SELECT id, x, y, {_MIX.format(x="id * 7919 + (1700 + j) * 104729 + 1")} % n AS slot FROM p, n, range(1, 9) r(j)), b AS (SELECT id AS dest, x AS x2, y AS y2, {_MIX.format(x="id * 7919 + 1700 * 104729 + 1")} % n AS slot FROM p, n),
+d AS (SELECT DISTINCT id, dest, sqrt(pow(x - x2, 2) + pow(y - y2, 2)) AS d FROM a JOIN b USING (slot) WHERE id <> dest),
+c AS (SELECT *, CAST({" + ".join(f"(d >= {e})::INT" for e in _BANDS[1:])} AS INT) AS band FROM d WHERE d >= {_BANDS[0]} AND d < {_BANDS[-1]})
+SELECT band, id, dest AS "to", round(d, 6) AS d FROM c QUALIFY row_number() OVER (PARTITION BY band ORDER BY {_MIX.format(x="id * 7919 + dest * 104729 + 17")}, id, dest) <= 500""")
 def j37_banded_pairs(spark, sf_dir):
     """A seeded sample of ordered pairs of places in bands of distance (a sampling operator)."""
-    from viamark.plans.derived import PLACES
-
-    return studies.banded_pairs(derive(spark, sf_dir, PLACES), [1000.0, 5000.0, 10000.0, 20000.0, 60000.0], 500, 8)
+    return studies.banded_pairs(derive(spark, sf_dir, PLACES), _BANDS, 500, 8).select("band", "id", "to", F.round("d", 6).alias("d"))
 
 
 @query(f"""
