@@ -155,9 +155,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE,
     good = stage(good_ids(labels), "good")
     hint = "broadcast" if stored_bytes(good) <= BROADCAST_BYTES else "merge"
     held = docs.select("doc_id", "text", "lang").join(good.hint(hint), "doc_id", "left_semi")
-    measured = measure(held.withColumn("digest_", digest())).drop("text").withColumns(shares).where(~F.col("base_failed"))
+    # A filter that needs the row number is not moved below it: the optimizer would copy the measures into it.
+    measured = with_row_id(measure(held.withColumn("digest_", digest()))).drop("text").withColumns(shares).where((F.col("row_id") >= 0) & ~F.col("base_failed"))
     chosen = stage(choose_levels(each_once(measured), max_false, alpha), "levels").collect()  # at most one row for each stratum
-    # The row number keeps the optimizer from copying the measures into the filter.
     found = with_row_id(measure(docs.select(F.struct("*").alias("doc_"), "text", "lang"))).withColumns(shares)
     failed = [(F.col("stratum") == c.stratum) & (F.greatest(*RULES) > c.cutoff) for c in chosen]
     return found.where((F.col("row_id") >= 0) & ~reduce(lambda a, b: a | b, failed, F.col("base_failed"))).select("doc_.*")
