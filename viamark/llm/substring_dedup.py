@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from viamark.llm.common import ship_package, stage, stored_bytes, with_row_id
 from viamark.llm.textbytes import BLANK_TABLE, blocks, mixed, powers, words
 
-REACH = 3
+REACH = 2
 MIN_WORDS = 16
 #: Stored size up to which the spans to remove are broadcast; above it they are shuffled.
 BROADCAST_BYTES = 8 << 20
