@@ -7,9 +7,9 @@ words. Blocks are cut down to words of notices, words are ordered by how many bl
 them (rarest first), and only blocks that share a word of both prefixes, pass the length
 filter and the positional filter are compared. The filters lose no match.
 
-A notice may name words that make it out. A block that meets the threshold without them
-is a match as well, but its label is ``unnamed``: a short notice has the same sentence as
-that of another licence.
+A notice may name words that make it out, as a short notice has the same sentence as that
+of another licence. A block that meets the threshold without them is a match as well, but
+names no label; a text all of whose matches are such has the label ``unnamed``.
 
 Whole phrases are found by position besides. Notices are parameters and are worked on in
 batches of ``MAX_WORDS`` words, which bounds everything that is broadcast or collected.
@@ -154,7 +154,9 @@ def scan(docs: DataFrame, notices=NOTICES, phrases: dict[str, str] = PHRASES, th
     none = F.expr("cast(array() as array<string>)")
     out = slim.drop("blocks")
     if pairs:
-        found = union_all(*pairs).groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"), F.countDistinct("at", "notice_no").alias("n_matches"))
+        found = union_all(*pairs).groupBy("row_id").agg(F.collect_set("label").alias("all_"), F.max("share").alias("share"), F.countDistinct("at", "notice_no").alias("n_matches"))
+        named = F.array_remove("all_", UNNAMED)
+        found = found.withColumn("found", F.when(F.size(named) > 0, named).otherwise(F.col("all_"))).drop("all_")
         out = out.join(found.hint("merge"), "row_id", "left")
     else:
         out = out.withColumns({"found": none, "share": F.lit(0.0), "n_matches": F.lit(0).cast("long")})

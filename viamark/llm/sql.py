@@ -44,7 +44,7 @@ WITH t AS (
 ), hit AS (
   SELECT r, CASE WHEN list_has_all(b, must) THEN label ELSE 'unnamed' END AS label, len(list_intersect(b, words)) AS c, len(words) AS size
   FROM block JOIN notice USING (span) WHERE len(list_intersect(b, words)) >= least
-), found AS (SELECT r, list(DISTINCT label) AS labels, max(c / size) AS share FROM hit GROUP BY r)
+), found AS (SELECT r, CASE WHEN count(*) FILTER (label <> 'unnamed') > 0 THEN list(DISTINCT label) FILTER (label <> 'unnamed') ELSE ['unnamed'] END AS labels, max(c / size) AS share FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
