@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from viamark.llm.common import ship_package, stage, stored_bytes, with_row_id
 
 #: Rows of a tile and of a leaf, children of a node.
-TILE, LEAF, FAN = 2_048, 64, 8
+TILE, LEAF, FAN = 2_048, 512, 8
 NO_ID = 2**63 - 1
 #: Stored size up to which boxes and cuts of tiles are broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -131,9 +131,12 @@ class View:
                 good = good & (s <= high).astype(bool)
             if len(found) == k:
                 good = good & (s >= -found[-1][0]).astype(bool)
-            for i in np.flatnonzero(good):
-                found.append((-s[i], int(t.ids[at + i]), int(t.rows[at + i])))
-            found = sorted(found)[:k]
+            rows = np.flatnonzero(good)
+            if len(rows) > k:
+                # All that reach the k-th score of this leaf, ties included.
+                rows = rows[s[rows] >= np.sort(s[rows])[-k]]
+            if len(rows):
+                found = sorted(found + [(-s[i], int(t.ids[at + i]), int(t.rows[at + i])) for i in rows])[:k]
         return found
 
 
