@@ -367,3 +367,42 @@ def test_quantiles_are_exact_over_bins(spark):
         assert np.allclose(stats.quantiles(df, "v", shares, bins=16).first().q, np.quantile(values, shares), atol=1e-9)
         repeated = np.repeat(values, [k % 3 + 1 for k in range(len(values))])
         assert np.allclose(stats.quantiles(df, "v", shares, F.col("n"), bins=16).first().q, np.quantile(repeated, shares), atol=1e-9)
+
+
+def test_edges_that_lie_alike_are_matched_once_and_all_named(spark):
+    rng = np.random.default_rng(5)
+    at = {n: (float(n * 100), float(n % 3 * 10)) for n in range(6)}
+    paths = {w: sorted(rng.choice(6, int(rng.integers(2, 6)), replace=False).tolist()) for w in range(20)}
+    steps = [(w, a, b) for w, p in paths.items() for a, b in zip(p[:-1], p[1:])]
+    edges = [(k, a, b, (at[a][0] + at[b][0]) / 2, (at[a][1] + at[b][1]) / 2) for k, (_, a, b) in enumerate(steps)]
+    nodes = spark.createDataFrame([(w, n) for w, p in paths.items() for n in p], "way_id long, node long")
+    segs = spark.createDataFrame([(w, *at[a], *at[b]) for w, a, b in steps], "way_id long, ax double, ay double, bx double, by double")
+    e = spark.createDataFrame(edges, "edge long, u long, v long, mx double, my double")
+    found = closures.way_shapes(nodes, segs, e)
+
+    def on(w, x, y):
+        for a, b in zip(paths[w][:-1], paths[w][1:]):
+            (ax, ay), (bx, by) = at[a], at[b]
+            t = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            if np.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)) <= 1:
+                return True
+        return False
+
+    expect = {(w, k) for w, p in paths.items() for k, u, v, x, y in edges if u in p and v in p and on(w, x, y)}
+    assert {(r.way_id, r.edge) for r in closures.way_edges(nodes, segs, e).collect()} == expect
+    assert found.count() == len({(w, *edges[k][1:]) for w, k in expect}) < len(expect)
+
+
+def test_closed_counts_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    windows = [(11, 1, 5, 15), (6, 1, 8, 31), (11, 15, 4, 30)]
+    rows = [(int(rng.integers(8)), ["edge", "through"][k % 2], int(rng.integers(4)) if k % 2 else -1, *windows[int(rng.integers(3))]) for k in range(40)]
+    days = [("a", 1, 20), ("b", 7, 1), ("c", 5, 10), ("d", 9, 15)]
+    t = spark.createDataFrame(rows, "edge long, rule string, node_id long, m1 int, d1 int, m2 int, d2 int")
+    got = closures.closed_counts(t, spark.createDataFrame(days, "day_id string, month int, day int"))
+    held = lambda w, m, d: w[0] * 100 + w[1] <= m * 100 + d <= w[2] * 100 + w[3] if w[:2] <= w[2:] else not w[2] * 100 + w[3] < m * 100 + d < w[0] * 100 + w[1]
+    expect = set()
+    for i, m, d in days:
+        if on := [r for r in rows if held(r[3:], m, d)]:
+            expect.add((i, len({r[0] for r in on}), len({r[2] for r in on if r[1] == "through"}), len({r[3:] for r in on})))
+    assert {tuple(r) for r in got.collect()} == expect
