@@ -406,3 +406,18 @@ def test_closed_counts_against_brute_force(spark):
         if on := [r for r in rows if held(r[3:], m, d)]:
             expect.add((i, len({r[0] for r in on}), len({r[2] for r in on if r[1] == "through"}), len({r[3:] for r in on})))
     assert {tuple(r) for r in got.collect()} == expect
+
+
+def test_triples_of_classes_are_those_of_all_their_ways(spark):
+    rng = np.random.default_rng(7)
+    refs = [(w, n + 1, int(v)) for w in range(60) for n, v in enumerate(rng.choice(7, 4, replace=False))]
+    r = spark.createDataFrame(refs, "way_id long, n long, node_id long")
+    rule = lambda a, b: (a * 3 + b) % 5 == 0
+    pairs = [("only" if (a + b) % 2 else "no", a, v, b) for a, _, v in refs for b, _, u in refs if u == v and a != b and rule(a, b)]
+    expect = evaluation.turn_triples(r, spark.createDataFrame(pairs, "kind string, from_way long, via long, to_way long")).collect()
+    a, b = F.col("from_class"), F.col("to_class")
+    got = evaluation.class_triples(r, F.col("way_id") % 10, rule(a, b), F.when((a + b) % 2 == 1, "only").otherwise("no")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expect)) and len(got) > 100
+    # A way that is alone in its class does not restrict itself.
+    alone = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3)], "way_id long, n long, node_id long")
+    assert evaluation.class_triples(alone, F.col("way_id") % 10, rule(a, b), F.lit("no")).count() == 0

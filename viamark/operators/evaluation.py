@@ -213,18 +213,39 @@ def first_difference(before: DataFrame, after: DataFrame, key: str, order: list[
     return a.join(b.hint("merge"), key, "full").select(key, kind.otherwise("same").alias("difference"))
 
 
+def nodes_beside(refs: DataFrame) -> DataFrame:
+    """way_id, via, beside: the nodes before and after every node of a way. refs: way_id, n, node_id."""
+    w = Window.partitionBy("way_id").orderBy("n")
+    r = refs.withColumns({"prev": F.lag("node_id").over(w), "next": F.lead("node_id").over(w)})
+    return r.select("way_id", F.col("node_id").alias("via"), F.explode(F.array_compact(F.array("prev", "next"))).alias("beside"))
+
+
 def turn_triples(refs: DataFrame, restrictions: DataFrame) -> DataFrame:
     """kind, before, via, after: restrictions between ways as triples of nodes, on either side of the shared node.
 
     refs: way_id, n, node_id; restrictions: kind, from_way, via, to_way.
     """
-    w = Window.partitionBy("way_id").orderBy("n")
-    r = refs.withColumns({"prev": F.lag("node_id").over(w), "next": F.lead("node_id").over(w)})
-    beside = r.select("way_id", F.col("node_id").alias("via"), F.explode(F.array_compact(F.array("prev", "next"))).alias("beside"))
+    beside = nodes_beside(refs)
     a = restrictions.join(beside.select(F.col("way_id").alias("from_way"), "via", F.col("beside").alias("before")).hint("merge"), ["from_way", "via"])
     return a.join(beside.select(F.col("way_id").alias("to_way"), "via", F.col("beside").alias("after")).hint("merge"), ["to_way", "via"]).select("kind", "before", "via", "after").distinct()
 
 
+def class_triples(refs: DataFrame, classes: Column, restricted: Column, kind: Column) -> DataFrame:
+    """What :func:`turn_triples` gives where a rule on the classes of two ways says whether they restrict each other.
+
+    classes: a way's class, from way_id; restricted and kind: from from_class and to_class. All
+    ways of a class that leave a node on the same side are one row with their first and last
+    way, so a node costs the pairs of its classes and sides, however many ways cross there.
+    No way restricts itself.
+    """
+    sides = nodes_beside(refs).groupBy("via", "beside", classes.alias("class")).agg(F.min("way_id").alias("low"), F.max("way_id").alias("high"))
+    sides = stage(sides, "sides")
+    a = sides.select("via", F.col("beside").alias("before"), F.col("class").alias("from_class"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    b = sides.select("via", F.col("beside").alias("after"), F.col("class").alias("to_class"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    others = (F.col("a_low") != F.col("b_high")) | (F.col("a_high") != F.col("b_low"))
+    return a.join(b.hint("merge"), "via").where(restricted & others).select(kind.alias("kind"), "before", "via", "after").distinct()
+
+
 def illegal_turns(route: DataFrame, triples: DataFrame) -> DataFrame:
     """trip, via, why: turns of a route that a triple forbids, or an only-movement that was not taken. route: trip, seq, node."""
     w = Window.partitionBy("trip").orderBy("seq")
