@@ -421,3 +421,30 @@ def test_triples_of_classes_are_those_of_all_their_ways(spark):
     # A way that is alone in its class does not restrict itself.
     alone = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3)], "way_id long, n long, node_id long")
     assert evaluation.class_triples(alone, F.col("way_id") % 10, rule(a, b), F.lit("no")).count() == 0
+
+
+def test_boxes_meet_once_and_copies_of_a_place_are_covered_alike(spark):
+    rng = np.random.default_rng(8)
+    box = lambda k: (k, *map(float, c := rng.integers(0, 40, 2)), *map(float, c + rng.integers(0, 15, 2)))
+    a, b = [box(k) for k in range(60)], [box(k) for k in range(30)]
+    a += [(60 + k, *row[1:]) for k, row in enumerate(a)]
+    names = "id long, x0 double, y0 double, x1 double, y1 double"
+    one, two = spark.createDataFrame(a, names), spark.createDataFrame(b, names)
+    expect = [(p[0], q[0]) for p in a for q in b if p[1] <= q[3] + 2 and p[3] >= q[1] - 2 and p[2] <= q[4] + 2 and p[4] >= q[2] - 2]
+    pairs = regions.box_pairs(one, two, 2.0, 5.0)
+    assert sorted(map(tuple, pairs.collect())) == sorted(expect)
+    classes = regions.box_classes(one)
+    few = regions.box_pairs(classes, two, 2.0, 5.0)
+    assert few.count() <= len(expect) / 2
+    sized = few.join(classes.withColumnRenamed("id", "a_id"), "a_id").groupBy("b_id").agg(F.sum("n").alias("n")).collect()
+    assert {r.b_id: r.n for r in sized} == {i: sum(q == i for _, q in expect) for i in {q for _, q in expect}}
+    rings = [(k, [(x, y), (x + 9.0, y), (x + 9.0, y + 9.0), (x, y + 9.0)], k % 2, k % 4) for k, (x, y) in enumerate(rng.uniform(0, 30, (12, 2)).tolist())]
+    r = spark.createDataFrame(rings, "id long, geom array<struct<x: double, y: double>>, carrier int, env int")
+    at = [(k, *p) for k, p in enumerate(rng.uniform(0, 35, (20, 2)).tolist() * 5)]
+    got = {(c.pid, c.carrier): c.env for c in regions.best_cover(spark.createDataFrame(at, "pid long, x double, y double"), r, 10.0).collect()}
+    held = {}
+    for pid, x, y in at:
+        for _, g, carrier, env in rings:
+            if g[0][0] <= x < g[2][0] and g[0][1] <= y < g[2][1]:
+                held[pid, carrier] = max(env, held.get((pid, carrier), 0))
+    assert got == held and len(held) > 20

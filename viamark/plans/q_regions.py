@@ -208,7 +208,10 @@ _PARKBOX = f"SELECT id, x - side / 2 AS x0, y - side / 2 AS y0, x + side / 2 AS
 @query(f"SELECT b.id AS park, count(*) AS ways FROM ({_WAYBOX}) a JOIN ({_PARKBOX}) b ON a.x0 <= b.x1 + 100 AND a.x1 >= b.x0 - 100 AND a.y0 <= b.y1 + 100 AND a.y1 >= b.y0 - 100 GROUP BY b.id")
 def d14_boxes(spark, sf_dir):
     """Ways whose box meets a park's box padded by 100 m."""
-    return regions.box_pairs(derive(spark, sf_dir, _WAYBOX), derive(spark, sf_dir, _PARKBOX), 100.0, 1000.0).groupBy(F.col("b_id").alias("park")).agg(F.count(F.lit(1)).alias("ways"))
+    # Ways with equal boxes are one class, which counts as many times as it has ways.
+    classes = regions.box_classes(derive(spark, sf_dir, _WAYBOX))
+    pairs = regions.box_pairs(classes, derive(spark, sf_dir, _PARKBOX), 100.0, 1000.0)
+    return pairs.join(classes.select(F.col("id").alias("a_id"), "n").hint("merge"), "a_id").groupBy(F.col("b_id").alias("park")).agg(F.sum("n").alias("ways"))
 
 
 _HEX = f"SELECT id, x, y, side * 6 AS side, id % 3 AS carrier, CAST(id % 4 AS INT) AS env FROM ({PARKS}) k"
