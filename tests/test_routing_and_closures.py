@@ -448,3 +448,24 @@ def test_boxes_meet_once_and_copies_of_a_place_are_covered_alike(spark):
             if g[0][0] <= x < g[2][0] and g[0][1] <= y < g[2][1]:
                 held[pid, carrier] = max(env, held.get((pid, carrier), 0))
     assert got == held and len(held) > 20
+
+
+def test_spliced_options_count_every_pair_of_nodes(spark, monkeypatch):
+    from viamark.plans import q_routing
+
+    n, rng = 12, np.random.default_rng(9)
+    minutes, beauty = (np.cumsum(rng.uniform(0.1, 1, n)).tolist() for _ in range(2))
+    names = "trip int, node long, cost double, beauty double"
+    m1, m2 = ([(1, k, float(a), float(b)) for k, (a, b) in enumerate(rng.uniform(0, 3, (n, 2)))] for _ in range(2))
+    on = spark.createDataFrame([(1, k + 1, k, minutes[k], beauty[k], minutes[k]) for k in range(n)], "trip int, pos int, node long, minutes double, beauty double, km double")
+    fast = spark.createDataFrame([(1, 1.0, 0.5)], "trip int, minutes double, beauty double")
+    monkeypatch.setattr(q_routing, "_spliced", lambda *_: (on, spark.createDataFrame(m1, names), spark.createDataFrame(m2, names), fast))
+    options = []
+    for i, j in itertools.combinations(range(n), 2):
+        extra = m1[i][2] - minutes[i] + minutes[j] + m2[j][2] - 1.0
+        gain = m1[i][3] - beauty[i] + beauty[j] + m2[j][3] - 0.5
+        if round(extra, 6) > 0 and round(gain, 6) > 1e-9:
+            options.append((extra, gain))
+    row = q_routing.g23_spliced_options(spark, "").first()
+    assert row.options == len(options) > 30
+    assert row.best_gain == pytest.approx(max(g for _, g in options), abs=1e-6) and row.least_extra == pytest.approx(min(e for e, _ in options), abs=1e-6)
