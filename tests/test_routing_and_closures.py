@@ -469,3 +469,19 @@ def test_spliced_options_count_every_pair_of_nodes(spark, monkeypatch):
     row = q_routing.g23_spliced_options(spark, "").first()
     assert row.options == len(options) > 30
     assert row.best_gain == pytest.approx(max(g for _, g in options), abs=1e-6) and row.least_extra == pytest.approx(min(e for e, _ in options), abs=1e-6)
+
+
+def test_pairs_of_points_and_cut_polygons_are_not_shuffled(spark):
+    rng = np.random.default_rng(21)
+    star = lambda cx, cy: [(cx + r * np.cos(a), cy + r * np.sin(a)) for a, r in zip(np.linspace(0, 2 * np.pi, 30, False), rng.uniform(2, 12, 30))]
+    rings = [(k, [(float(x), float(y)) for x, y in star(*rng.uniform(0, 40, 2))]) for k in range(12)]
+    r = spark.createDataFrame(rings, "id long, geom array<struct<x: double, y: double>>")
+    at = spark.createDataFrame([(k, *p) for k, p in enumerate(rng.uniform(-5, 45, (300, 2)).tolist())], "pid long, x double, y double")
+    whole = {tuple(p) for p in spatial.containing(at, r, "id", 10.0).collect()}
+    cut = spatial.containing(at, r, "id", 10.0, 8)
+    assert {tuple(p) for p in cut.collect()} == whole and len(whole) > 100
+    assert "hashpartitioning(pid" not in cut._jdf.queryExecution().executedPlan().toString()
+    found = [p.pid for p in spatial.inside_any(at, r, "id", 10.0, 8).collect()]
+    assert sorted(found) == sorted({p for p, _ in whole})
+    near = [p.pid for p in regions.near_polygons(at, r, 1.0, 10.0, 8).collect()]
+    assert len(near) == len(set(near)) and set(found) < set(near)
