@@ -1,10 +1,11 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from viamark.operators import network, routing
+from viamark.operators import network, routing, spatial
 from viamark.operators.components import components
 
 
@@ -103,3 +104,58 @@ def test_searches_go_on_until_all_is_found(spark):
     segs = spark.createDataFrame([(7, 100.0, 0.0, 110.0, 0.0)], "id long, ax double, ay double, bx double, by double")
     assert spatial.nearest_any(points, segs, "id", 0.5).count() == 2
     assert spatial.nearest_any(points, segs.limit(0), "id", 20.0).count() == 0
+
+
+def test_many_features_are_narrowed_cell_by_cell(spark):
+    rng = np.random.default_rng(5)
+    at = [(k, *p) for k, p in enumerate(rng.uniform(-20, 220, (150, 2)).tolist())]
+    lines = [(k % 500, *a, *(np.array(a) + d).tolist()) for k, (a, d) in enumerate(zip(rng.uniform(0, 200, (900, 2)).tolist(), rng.normal(0, 6, (900, 2)) * (rng.random((900, 1)) < 0.5)))]
+    lines += [(k + 500, *row[1:]) for k, row in enumerate(lines[:100])]
+    points = spark.createDataFrame(at, "pid long, x double, y double")
+    segs = spark.createDataFrame(lines, "id long, ax double, ay double, bx double, by double")
+
+    def away(x, y, ax, ay, bx, by):
+        dx, dy = bx - ax, by - ay
+        t = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return np.hypot(x - ax - t * dx, y - ay - t * dy)
+
+    def best(d, rows):
+        found = {p: min((away(x, y, *row[1:]), row[0]) for row in rows) for p, x, y in at}
+        return {p: m for p, m in found.items() if m[0] <= d}
+
+    want = best(15.0, lines)
+    assert spatial._halvings(segs, 40.0, 1) >= 2
+    cut, size = spatial._fine(segs.withColumn("reach", F.lit(15.0)), 15.0, 40.0, [])
+    held = cut.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n")).first()[0]
+    copied = spatial._boxed(segs.withColumn("reach", F.lit(15.0)), size).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n")).first()[0]
+    assert size <= 10 and held < copied * 2 / 3
+    got = {r.pid: r.dist for r in spatial.least_distance(points, segs, "id", 15.0, 40.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p][0]) < 1e-9 for p in got)
+    near = {r.pid: r.id for r in spatial.nearest_any(points, segs, "id", 40.0).collect()}
+    assert near == {p: m[1] for p, m in best(1e9, lines).items()}
+    rings = [(k, [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]) for k, ((x, y), w) in enumerate(zip(rng.uniform(0, 180, (20, 2)).tolist(), rng.uniform(3, 60, 20).tolist()))]
+    areas = spark.createDataFrame(rings, "id long, geom array<struct<x: double, y: double>>")
+    layers = {"line": (segs.where("id % 9 > 0"), 15.0), "few": (segs.where("id % 9 = 0"), 30.0), "area": (spatial.outlines(areas, "id"), 5.0)}
+    out = {r.pid: r for r in spatial.distances(points, layers, {"area": areas}, "id", 40.0).collect()}
+    line, few = best(15.0, [x for x in lines if x[0] % 9]), best(30.0, [x for x in lines if x[0] % 9 == 0])
+    for p, x, y in at:
+        row = out.get(p)
+        box = min(np.hypot(max(g[0][0] - x, x - g[2][0], 0), max(g[0][1] - y, y - g[2][1], 0)) for _, g in rings)
+        for name, d in (("line", line.get(p, (None,))[0]), ("few", few.get(p, (None,))[0]), ("area", box if box <= 5 else None)):
+            have = row and row[f"d_{name}"]
+            assert have is None if d is None else abs(have - d) < 1e-9, (p, name)
+
+
+def test_edges_and_lines_that_lie_alike_are_joined_once(spark):
+    from viamark.operators import studies
+
+    lines = [(k * 10 + i, i % 4, i % 4 + 1, float(x), 0.0, float(x + 50), float(y), float(30 * i)) for i, (x, y) in enumerate([(0, 5), (40, 0), (60, 9)]) for k in range(20, 0, -1)]
+    segs = spark.createDataFrame(lines, "edge long, u long, v long, ax double, ay double, bx double, by double, bearing double")
+    assert spatial.alike(segs.select("edge", "ax", "ay", "bx", "by"), "edge").count() == 3
+    at = spark.createDataFrame([(1, 20.0, 3.0, 10.0), (2, 70.0, 2.0, 40.0)], "pid long, x double, y double, heading double")
+    once = segs.where("edge < 20")
+    got = routing.snap_heading(at, segs, 100.0)
+    assert sorted(got.collect()) == sorted(routing.snap_heading(at, once, 100.0).collect()) and {r.edge for r in got.collect()} <= {10, 11, 12}
+    samples = at.withColumnRenamed("heading", "bearing")
+    same = lambda t: sorted(studies.same_way(samples, t.drop("u", "v"), "edge", 30.0, 40.0).collect())
+    assert same(segs) == same(once) and len(same(once)) == 2
