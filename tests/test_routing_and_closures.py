@@ -185,6 +185,14 @@ def test_draws_fall_on_edges_by_length(spark, rows):
     assert {r.draw: (r.edge, r.offset) for r in got} == want
 
 
+def test_draws_are_not_held_against_all_ranges(spark):
+    edges = spark.range(40).selectExpr("id AS edge", "if(id % 4 = 0, 0, id) AS mm")
+    out = evaluation.interval_draws(edges, spark.createDataFrame([(1, 0.0), (2, 0.5), (3, 1.0)], "draw long, u double"), 2)
+    plan = out._jdf.queryExecution().toString()
+    assert "lambda" not in plan and "collect_list" not in plan
+    assert {(r.draw, r.edge, r.offset) for r in out.collect()} == {(1, 1, 0), (2, 29, 6), (3, 39, 39)}
+
+
 def ring(rng, n, x, y, size):
     """A ring that winds in and out, with vertices on round numbers."""
     a = np.sort(rng.random(n)) * 2 * np.pi

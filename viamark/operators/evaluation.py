@@ -179,17 +179,20 @@ def interval_draws(edges: DataFrame, draws: DataFrame, rows: int = 100_000) -> D
 
     edges: edge, mm (whole millimetres, so sums are exact); draws: draw, u (0 to 1). Edges are in the order
     of their ids and cut into ranges of about ``rows``: a range's sum tells where it begins,
-    and inside it running sums and places are merged in one sort, without pairs.
+    and inside it running sums and places are merged in one sort, without pairs. Draws find
+    their range by slices of the total length, so neither edges nor draws are held against all ranges.
     """
     n = max(1, -(-edges.count() // rows))
-    shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else None
-    cuts = edges.agg((F.percentile_approx("edge", shares, F.lit(10_000)) if n > 1 else F.expr("cast(array() as array<bigint>)")).alias("cuts"))  # one row
-    e = stage(edges.join(F.broadcast(cuts), F.lit(True)).select("edge", "mm", F.size(F.filter("cuts", lambda c: c < F.col("edge"))).alias("range")), "ranges")
+    e = stage(edges.repartitionByRange(n, "edge").select("edge", "mm", F.spark_partition_id().alias("range")), "ranges")
     sums = e.groupBy("range").agg(F.sum("mm").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # as many rows as ranges
-    sums = stage(sums, "sums")
-    begins = sums.agg(F.sum("m").alias("total"), F.array_sort(F.collect_list(F.struct("before", "range"))).alias("at"))  # one row
-    d = draws.join(F.broadcast(begins), F.lit(True)).withColumn("place", F.floor(F.col("u") * F.col("total")))
-    d = d.withColumn("hit", F.element_at(F.filter("at", lambda a: a["before"] <= F.col("place")), -1)).select("draw", F.col("hit.range").alias("range"), (F.col("place") - F.col("hit.before")).alias("place"))
+    sums = stage(sums.where("m > 0"), "sums")
+    whole = sums.agg(F.sum("m").alias("total")).withColumn("wide", F.greatest(F.lit(1), F.ceil(F.col("total") / n)).cast("long"))  # one row
+    # A place at the very end is the last edge's.
+    stop = F.col("before") + F.col("m") + (F.col("before") + F.col("m") == F.col("total")).cast("long")
+    at = sums.join(F.broadcast(whole), F.lit(True)).withColumn("stop", stop)
+    at = at.withColumn("slice", F.explode(F.sequence(F.expr("before div wide"), F.expr("(stop - 1) div wide")))).select("slice", "range", "before", "stop")
+    d = draws.join(F.broadcast(whole), F.lit(True)).withColumn("place", F.floor(F.col("u") * F.col("total"))).withColumn("slice", F.expr("place div wide"))
+    d = d.join(at.hint("merge"), "slice").where("place >= before and place < stop").select("draw", "range", (F.col("place") - F.col("before")).alias("place"))
     own = Window.partitionBy("range").orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)
     starts = e.withColumn("place", F.sum("mm").over(own) - F.col("mm")).where("mm > 0")
     both = starts.select("range", "place", F.struct("edge", "place").alias("e"), F.lit(None).cast("long").alias("draw")).unionByName(d.select("range", "place", F.lit(None).cast("struct<edge:bigint,place:bigint>").alias("e"), F.col("draw").cast("long").alias("draw")))
