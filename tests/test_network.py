@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from viamark.operators import network, routing, spatial
 from viamark.operators.components import components
+from viamark.plans.tables import stage
 
 
 def graph(seed, n=40, m=70):
@@ -80,6 +81,18 @@ def test_path_sums(spark):
         assert got[i] == (0, total)
 
 
+def test_path_sums_leave_what_has_reached_its_root(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(network, "stage", lambda df, name: (lambda out: written.append(out.count()) or out)(stage(df, name)))
+    rows = [(i, i // 2, 1.0) for i in range(1, 256)] + [(0, 0, 1.0), (900, 999, 1.0), (901, 900, 1.0)]
+    got = {r.node: (r.root, r.total) for r in network.path_sums(spark.createDataFrame(rows, "node long, parent long, v double"), "v").collect()}
+    assert got == {i: (0, float(i.bit_length())) for i in range(256)} | {900: (999, 1.0), 901: (999, 2.0)}
+    assert written[0] == len(rows) and all(b < a for a, b in zip(written, written[1:]))
+    circle = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "node long, parent long, v double")
+    with pytest.raises(RuntimeError):
+        network.path_sums(circle, "v", 3)
+
+
 def test_turn_bans(spark):
     edges = spark.createDataFrame([(1, 10, 100, 200), (2, 20, 200, 300), (3, 30, 200, 400), (4, 40, 200, 500), (5, 50, 600, 200), (6, 50, 200, 700)], "edge long, way_id long, u long, v long")
     rules = spark.createDataFrame([(1, "no_left_turn", 10, 200, 20), (2, "only_straight_on", 20, 200, 30), (3, "no_u_turn", 50, 200, 10)], "id long, kind string, from_way long, via long, to_way long")
