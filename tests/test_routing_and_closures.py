@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from viamark.functions import calendar as cal
 from viamark.operators import closures, driven, evaluation, network, polygons, raster, regions, routing, spatial, stats
+from viamark.plans import q_terrain
 
 
 def graph(n, m, seed):
@@ -171,6 +172,20 @@ def test_owners_prefer_the_region_around_them(spark):
     assert {r.pid: r.region for r in regions.owners(points, cores, 5.0).collect()} == {1: 1, 2: 1, 3: 2, 4: None}
 
 
+def test_features_of_one_place_are_worked_out_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, k % 7, k % 5) for k in range(40)], "c_custkey long, c_nationkey int, p_size int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(40).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    grid = spark.createDataFrame([(0, r, c, float(r * 7 + c * 3), c % 3) for r in range(4) for c in range(8)], "tile int, row long, col long, z double, cls long")
+    monkeypatch.setattr(q_terrain, "_grid", lambda spark, sf_dir: grid)
+    asked = []
+    least = spatial.least_distance
+    monkeypatch.setattr(spatial, "least_distance", lambda points, *a: asked.append(points.count()) or least(points, *a))
+    points = spark.createDataFrame([(k, 1000.0 * (k % 3) + 20, 700.0) for k in range(60)], "pid long, x double, y double")
+    got = q_terrain._features(spark, str(tmp_path), points).collect()
+    assert asked == [3, 3] and sorted(r.pid for r in got) == list(range(60))
+    assert len({tuple(r)[1:] for r in got if r.pid % 3 == 0}) == 1
+
+
 @pytest.mark.parametrize("rows", [100_000, 7])
 def test_draws_fall_on_edges_by_length(spark, rows):
     edges = [(e * 3, (e * 37) % 900) for e in range(300)]

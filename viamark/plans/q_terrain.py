@@ -10,6 +10,7 @@ from viamark.plans.catalog import query
 from viamark.plans.derived import EDGES, PARKS, PLACES, ROADS, WATER, derive
 from viamark.plans.q_closures import _WINTERS, _closed_days
 from viamark.plans.q_rasters import GRID
+from viamark.plans.tables import stage
 
 
 
@@ -187,20 +188,22 @@ SELECT p.pid, f.hi3 - f.lo3 AS relief, g.cls, least(800.0, coalesce(c.d, 800.0))
 
 
 def _features(spark, sf_dir, points):
-    """pid, relief, cls, coast, park of points (pid, x, y)."""
+    """pid, relief, cls, coast, park of points (pid, x, y); points at the same place are worked on once."""
+    every, points = points, stage(points.select("x", "y").distinct().select(F.struct("x", "y").alias("pid"), "x", "y"), "places")
     grid = raster.focal(_grid(spark, sf_dir), "z", 7).withColumn("relief", F.col("high") - F.col("low"))
     at = raster.sample(raster.sample(points.withColumn("tile", F.lit(0)), grid, "relief", 500.0).drop("row", "col"), grid, "cls", 500.0).select("pid", "relief", "cls")
     seg = lambda d: d.select("id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
     coast = spatial.least_distance(points, seg(derive(spark, sf_dir, WATER).where("kind < 5")), "id", 800.0).withColumnRenamed("dist", "coast")
     park = spatial.least_distance(points, seg(derive(spark, sf_dir, PARKS)), "id", 500.0).withColumnRenamed("dist", "park")
     out = at.join(coast.hint("merge"), "pid", "left").join(park.hint("merge"), "pid", "left")
-    return out.select("pid", "relief", "cls", F.least(F.lit(800.0), F.coalesce("coast", F.lit(800.0))).alias("coast"), F.least(F.lit(500.0), F.coalesce("park", F.lit(500.0))).alias("park"))
+    out = out.select("pid.x", "pid.y", "relief", "cls", F.least(F.lit(800.0), F.coalesce("coast", F.lit(800.0))).alias("coast"), F.least(F.lit(500.0), F.coalesce("park", F.lit(500.0))).alias("park"))
+    return every.join(stage(out, "features").hint("merge"), ["x", "y"]).drop("x", "y")
 
 
 @query(f"SELECT pid AS edge, relief, cls, round(coast, 3) AS coast, round(park, 3) AS park FROM ({_features_sql(f'SELECT edge AS pid, x, y FROM ({_PINS}) q')}) f")
 def v11_pinned_features(spark, sf_dir):
     """Features of pinned roads' pieces: relief, class, capped distances to the coast and to parks."""
-    pins = derive(spark, sf_dir, _PINS).select(F.col("edge").alias("pid"), "x", "y")
+    pins = stage(derive(spark, sf_dir, _PINS).select(F.col("edge").alias("pid"), "x", "y"), "pins")
     return _features(spark, sf_dir, pins).select(F.col("pid").alias("edge"), "relief", "cls", F.round("coast", 3).alias("coast"), F.round("park", 3).alias("park"))
 
 
@@ -210,7 +213,7 @@ SELECT r.region, count(*) AS edges, round(avg(relief), 6) AS relief, round(avg(c
 def v27_region_features(spark, sf_dir):
     """Feature tables of every region: terrain, classes, coast, labels."""
     e = derive(spark, sf_dir, ROADS).select(F.col("edge").alias("pid"), F.col("mx").alias("x"), F.col("my").alias("y"), "region", "scenic")
-    f = _features(spark, sf_dir, e.select("pid", "x", "y")).join(e.select("pid", "region", "scenic").hint("merge"), "pid")
+    f = _features(spark, sf_dir, stage(e, "edges"))
     return f.groupBy("region").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg("relief"), 6).alias("relief"), F.round(F.avg("coast"), 4).alias("coast"), F.sum((F.col("cls") == 2).cast("int")).alias("desert"), F.sum(F.col("scenic").cast("int")).alias("labels"))
 
 
