@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from viamark.operators import network, routing, spatial
 from viamark.operators.components import components
+from viamark.plans import catalog, tables
 from viamark.plans.tables import stage
 
 
@@ -93,6 +94,25 @@ def test_path_sums_leave_what_has_reached_its_root(spark, monkeypatch):
         network.path_sums(circle, "v", 3)
 
 
+def test_shuffles_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k, None) for k in keys]
+    spark.range(5000).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(20).write.parquet(f"{tmp_path}/part.parquet")
+    orders_ = catalog.query()(lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("id").count())
+    catalog.QUERIES.pop("<lambda>")
+    try:
+        assert orders_(spark, str(tmp_path)).count() == 5000 and [spark.conf.get(k, None) for k in keys] == before
+        monkeypatch.setattr(tables, "PER_PARTITION", 1000)
+        assert orders_(spark, str(tmp_path)).count() == 5000 and int(spark.conf.get(keys[0])) > 20
+        spark.conf.set(keys[0], "900")
+        orders_(spark, str(tmp_path))
+        assert spark.conf.get(keys[0]) == "900"
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_turn_bans(spark):
     edges = spark.createDataFrame([(1, 10, 100, 200), (2, 20, 200, 300), (3, 30, 200, 400), (4, 40, 200, 500), (5, 50, 600, 200), (6, 50, 200, 700)], "edge long, way_id long, u long, v long")
     rules = spark.createDataFrame([(1, "no_left_turn", 10, 200, 20), (2, "only_straight_on", 20, 200, 30), (3, "no_u_turn", 50, 200, 10)], "id long, kind string, from_way long, via long, to_way long")
