@@ -120,6 +120,31 @@ def test_turn_bans(spark):
     assert got == {(200, 1, 2), (200, 2, 1), (200, 2, 4), (200, 2, 5), (200, 2, 6)}  # way 50 comes in by two edges: refused
 
 
+def test_turn_bans_by_rule(spark):
+    """The same as from a table of all restrictions, also where ways share an id or pass a node twice; and no ban is shuffled."""
+    import random
+
+    rng = random.Random(5)
+    edges, refs = [], []
+    for way in range(160):
+        nodes = [rng.randrange(9) for _ in range(rng.randrange(2, 5))]
+        refs += [(way, n) for n in nodes]
+        edges += [(way * 10 + k, way, u, v) for k, (u, v) in enumerate(zip(nodes, nodes[1:]))]
+    edges, refs = spark.createDataFrame(edges, "edge long, way_id long, u long, v long"), spark.createDataFrame(refs, "way_id long, node_id long")
+    for ids in (1000, 56, 12):
+        other = refs.selectExpr("way_id AS b", "node_id")
+        pairs = refs.join(other, "node_id").where("way_id <> b AND (way_id * 31 + b * 17) % 7 = 0")
+        kind = "CASE (way_id + b) % 4 WHEN 0 THEN 'only_straight_on' WHEN 1 THEN 'no_left_turn' ELSE 'no_u_turn' END AS kind"
+        rules = pairs.selectExpr(f"struct(way_id * 1000 + b % {ids} AS id, node_id AS via) AS id", kind, "way_id AS from_way", "node_id AS via", "b AS to_way")
+        expect = sorted(tuple(r) for r in network.turn_bans(rules, edges).collect())
+        got = network.turn_bans_by_rule(refs, edges, 7, 4, ids)
+        assert sorted(tuple(r) for r in got.collect()) == expect and expect
+    from viamark.plans import q_routing
+
+    plan = q_routing.j14_turn_bans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("Exchange")
+
+
 def test_controls(spark):
     refs = spark.createDataFrame([(1, n, n * 10) for n in range(1, 6)], "way_id long, n long, node_id long")
     signs = spark.createDataFrame([(10, "signal", ""), (30, "stop", "forward"), (40, "giveway", "backward"), (50, "signal", "forward")], "node_id long, kind string, direction string")
