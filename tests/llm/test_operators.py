@@ -411,6 +411,38 @@ def test_lm_trains_on_every_id_of_every_text(spark):
     assert abs(filled[0] - bare[0]) < 1e-5 and np.allclose(filled[1], bare[1], atol=1e-6)
 
 
+def test_lm_words_learnt_together():
+    """Words encoded in one call have the ids they have alone; white space of another kind in a word is left to the slow path."""
+    get = lm_score.ids()
+    lists = [lm_score.words_of(t) for t in ("plain words, 12 o'clock it's", "na\u00efve \u4f60\u597d \U0001f600 x\x1cy", "\ud800 lone 'tis")]
+    alone = {w: np.array(get.encode(" " + w.decode("utf-8", "replace")), "<u2").tobytes() for ws in lists for w in ws}
+    get.known.clear()
+    get.learn([lists[0]])
+    assert set(get.known) == set(lists[0])
+    get.learn(lists[1:])
+    odd = lm_score.words_of("\u00a0 \u00a0x y\u3000")
+    get.learn([odd])
+    assert not set(odd) & set(get.known)
+    for ws in (*lists, odd):
+        one = [alone.get(w, np.array(get.encode(" " + w.decode("utf-8", "replace")), "<u2").tobytes()) for w in ws]
+        assert get.each(ws).tobytes() == b"".join(one) + lm_score.END
+
+
+def test_lm_gradient_with_large_exponents():
+    """Where exponents may pass the limit, the other way of taking them gives the same gradient."""
+    rng = np.random.default_rng(3)
+    w = lm_score.first_weights().astype(np.float64)
+    x, y = rng.integers(0, 50, (3, 12)), rng.integers(0, lm_score.CLASSES, (3, 12))
+    limit = lm_score.LARGEST
+    try:
+        lm_score.LARGEST = np.float32(0)
+        slow = lm_score.gradient(w, x, y)
+    finally:
+        lm_score.LARGEST = limit
+    fast = lm_score.gradient(w, x, y)
+    assert abs(slow[0] - fast[0]) < 1e-9 and np.allclose(slow[1], fast[1], atol=1e-7)
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
