@@ -508,3 +508,28 @@ def test_pairs_of_points_and_cut_polygons_are_not_shuffled(spark):
     assert sorted(found) == sorted({p for p, _ in whole})
     near = [p.pid for p in regions.near_polygons(at, r, 1.0, 10.0, 8).collect()]
     assert len(near) == len(set(near)) and set(found) < set(near)
+
+
+def test_closed_days_are_worked_out_once_for_each_set_of_windows(spark):
+    rng = np.random.default_rng(11)
+    windows = [("osm_default", 11, 1, 5, 15), ("table", 10, 20, 5, 20), ("osm_dated", 6, 1, 8, 31), ("agency_dated", 11, 16, 4, 30)]
+    shapes = [(a, a + 1, a + 0.5, 0.0) for a in range(12)]
+    on = {s: [w for w in windows if rng.random() < 0.4] for s in shapes[:9]}
+    edges = [(k, 100 + k, *shapes[int(rng.integers(0, 12))]) for k in range(300)]
+    gates = sorted({(int(k), int(n), *windows[0]) for k, n in zip(rng.integers(0, 300, 40), rng.integers(0, 3, 40))})
+    w = "source string, m1 int, d1 int, m2 int, d2 int"
+    ways = spark.createDataFrame([(*s, *x) for s, xs in on.items() for x in xs], f"u int, v int, mx double, my double, {w}")
+    e = spark.createDataFrame(edges, "edge int, way_id int, u int, v int, mx double, my double")
+    by_set, sets = closures.edges_by_windows(ways, spark.createDataFrame(gates, f"edge int, node_id int, {w}").drop("node_id"), e)
+    expect = {k: {*on.get(tuple(s), []), *[g[2:] for g in gates if g[0] == k]} for k, _, *s in edges}
+    named = {}
+    for r in sets.collect():
+        named.setdefault(r["set"], set()).add(tuple(r)[1:])
+    got = by_set.collect()
+    assert {r.edge: named[r["set"]] for r in got} == {k: x for k, x in expect.items() if x} and all(r.way_id == 100 + r.edge for r in got)
+    assert len(got) == len({r.edge for r in got}) and len(named) == len({frozenset(x) for x in named.values()}) < 20
+    no = F.lit(3)
+    plain = spark.createDataFrame([(k, *x) for k, xs in expect.items() for x in xs], f"edge int, {w}")
+    each = sorted(map(tuple, closures.longest_closed(closures.closed_days(plain, no, no)).collect()))
+    once = closures.longest_closed(closures.closed_days(sets, no, no, "set"), "set")
+    assert sorted(map(tuple, by_set.join(once, "set").select("edge", "first_day", "closed", "reopens", "source").collect())) == each

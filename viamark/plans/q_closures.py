@@ -42,7 +42,7 @@ def _shapes(spark, sf_dir, ways):
     edges, ids = derive(spark, sf_dir, EDGES), ways.select("way_id").distinct()
     nodes = derive(spark, sf_dir, REFS).select("way_id", F.col("node_id").alias("node")).join(ids.hint("merge"), "way_id", "left_semi")
     segs = derive(spark, sf_dir, SEGMENTS).select("way_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by")).join(ids.hint("merge"), "way_id", "left_semi")
-    edges = stage(edges.select("edge", *c.SHAPE), "shapes")
+    edges = stage(edges.select("edge", "way_id", *c.SHAPE, "length_m"), "shapes")
     return c.way_shapes(nodes, segs, edges), edges
 
 
@@ -73,12 +73,14 @@ placed AS (SELECT node, 'edge' AS place, edge, at_m FROM hits
 """
 
 
-def _placed(spark, sf_dir):
+def _placed(spark, sf_dir, edges=None):
+    """Where barriers stand; ``edges``: those of EDGES where they have been staged."""
+    edges = derive(spark, sf_dir, EDGES) if edges is None else edges
     barriers, refs = derive(spark, sf_dir, BARRIERS), derive(spark, sf_dir, REFS)
     on = refs.join(barriers.select("node").hint("merge"), F.col("node_id") == F.col("node")).select("node", "way_id")
     owner = on.join(refs.select("way_id", F.col("node_id").alias("way_node")).hint("merge"), "way_id").select("node", "way_node")
     segs = derive(spark, sf_dir, EDGE_STEPS).select((F.col("way_id") * 10000 + F.col("seq")).alias("edge"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"), (F.col("z") - F.col("len")).alias("start"))
-    return c.place_barriers(barriers.select("node", "x", "y"), owner, derive(spark, sf_dir, EDGES), segs)
+    return c.place_barriers(barriers.select("node", "x", "y"), owner, edges, segs)
 
 
 @query(_PLACED + "SELECT node, place, edge, round(at_m, 3) AS at_m FROM placed")
@@ -94,18 +96,23 @@ SELECT edge, rule, node_id, {_W}, min(tag) AS tag FROM (
 GROUP BY ALL"""
 
 
-def _seasonal(spark, sf_dir):
-    """Way rows and gate rows with their source."""
+def _seasonal_parts(spark, sf_dir):
+    """Way rows by SHAPE and gate rows by edge, each closure once and with its source; and all edges with their shape."""
     tagged = derive(spark, sf_dir, TAGGED)
     shapes, edges = _shapes(spark, sf_dir, tagged)
     ways = shapes.join(tagged.hint("merge"), "way_id")
     ways = ways.select(*c.SHAPE, "way_id", "tag", *[F.col(x).cast("int").alias(x) for x in c.WINDOW], F.lit("edge").alias("rule"), F.lit(-1).cast("long").alias("node_id"), F.lit(None).cast("double").alias("at_m"))
-    gates = _placed(spark, sf_dir).where("edge is not null and node % 4 >= 2")
+    gates = _placed(spark, sf_dir, edges).where("edge is not null and node % 4 >= 2")
     gates = gates.select("edge", F.lit(None).cast("long").alias("way_id"), F.lit("barrier=gate, winter").alias("tag"), *[F.lit(v).alias(x) for x, v in zip(c.WINDOW, calendar.WINTER, strict=True)], F.col("place").alias("rule"), F.col("node").alias("node_id"), "at_m")
-    is_winter = F.struct(*c.WINDOW) == calendar.window(*calendar.WINTER)
+    source = row_source(F.col("tag"), F.struct(*c.WINDOW) == calendar.window(*calendar.WINTER))
     # Rows of ways and of gates differ in node_id, so each kind is made single apart, ways before their edges are named.
-    table = c.of_shape(c.seasonal_table(ways, key=c.SHAPE), edges).unionByName(c.seasonal_table(gates))
-    return table.withColumn("source", row_source(F.col("tag"), is_winter))
+    return c.seasonal_table(ways, key=c.SHAPE).withColumn("source", source), c.seasonal_table(gates).withColumn("source", source), edges
+
+
+def _seasonal(spark, sf_dir):
+    """Way rows and gate rows with their source."""
+    ways, gates, edges = _seasonal_parts(spark, sf_dir)
+    return c.of_shape(ways, edges).unionByName(gates)
 
 
 @query(f"SELECT edge, rule, node_id, CAST(m1 AS INT) AS m1, CAST(d1 AS INT) AS d1, CAST(m2 AS INT) AS m2, CAST(d2 AS INT) AS d2, tag FROM ({_SEASONAL}) t")
@@ -188,14 +195,25 @@ SELECT edge, day, min(source) AS source FROM (SELECT edge, source, (x % 366 + 36
 
 
 def _closed_days(spark, sf_dir):
+    """edge, way_id and the set of its windows; and the days on which each set is closed (set, day, source)."""
     margin = lambda i: F.coalesce(F.create_map(*[F.lit(x) for k, v in MARGINS.items() for x in (k, v[i])])[F.col("source")], F.lit(0))
-    return c.closed_days(_seasonal(spark, sf_dir), margin(0), margin(1))
+    ways, gates, edges = _seasonal_parts(spark, sf_dir)
+    by_set, sets = c.edges_by_windows(ways, gates, edges.drop("length_m"))
+    return by_set, c.closed_days(sets, margin(0), margin(1), "set")
+
+
+def _longest_closed(spark, sf_dir):
+    """edge, way_id and the longest closed run of its windows, found once for each set of them."""
+    by_set, days = _closed_days(spark, sf_dir)
+    return c.by_size(by_set, stage(c.longest_closed(days, "set"), "longest"), "set").drop("set")
 
 
 @query(f"SELECT edge, count(*) AS days, count(DISTINCT source) AS sources FROM ({_CLOSED}) d GROUP BY edge")
 def c12_policy_days(spark, sf_dir):
     """Days on which each edge is closed under margins by source."""
-    return _closed_days(spark, sf_dir).groupBy("edge").agg(F.count(F.lit(1)).alias("days"), F.countDistinct("source").alias("sources"))
+    by_set, days = _closed_days(spark, sf_dir)
+    n = days.groupBy("set").agg(F.count(F.lit(1)).alias("days"), F.countDistinct("source").alias("sources"))
+    return c.by_size(by_set, stage(n, "days"), "set").select("edge", "days", "sources")
 
 
 _WINTERS = f"""
@@ -209,7 +227,7 @@ winters AS (SELECT edge, m[1] % 366 AS first_day, least(m[2], 366) AS closed, CA
 @query(_WINTERS + "SELECT edge, first_day, closed, reopens, source FROM winters")
 def c13_longest_closed(spark, sf_dir):
     """Each edge's longest closed run, its first open day and who binds it."""
-    w = c.longest_closed(_closed_days(spark, sf_dir))
+    w = _longest_closed(spark, sf_dir)
     return w.select("edge", F.col("first_day").cast("long").alias("first_day"), F.col("closed").cast("long").alias("closed"), F.col("reopens").cast("long").alias("reopens"), "source")
 
 
@@ -218,9 +236,9 @@ SELECT source, count(*) AS edges, round(avg(CASE WHEN miss > 0 THEN 1.0 ELSE 0.0
 FROM (SELECT w.source, reopens - (100 + r.region * 3) AS miss FROM winters w JOIN ({ROADS}) r ON r.edge = w.edge WHERE reopens IS NOT NULL) z GROUP BY source""")
 def c14_season_miss(spark, sf_dir):
     """C14: first open days against published ones (a date for each region), by the source that binds."""
-    w = c.longest_closed(_closed_days(spark, sf_dir)).where("reopens is not null")
-    r = derive(spark, sf_dir, ROADS).select("edge", (100 + F.col("region") * 3).alias("published"))
-    m = w.join(r.hint("merge"), "edge").withColumn("miss", F.col("reopens").cast("long") - F.col("published"))
+    w = _longest_closed(spark, sf_dir).where("reopens is not null")
+    r = derive(spark, sf_dir, WAYS).select("way_id", (100 + F.col("region") * 3).alias("published"))
+    m = w.join(r.hint("merge"), "way_id").withColumn("miss", F.col("reopens").cast("long") - F.col("published"))
     return m.groupBy("source").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg(F.when(F.col("miss") > 0, 1.0).otherwise(0.0)), 8).alias("late"), F.round(F.avg(F.abs("miss")), 6).alias("mean_miss"), F.max("miss").alias("worst"))
 
 

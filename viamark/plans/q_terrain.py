@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from viamark.operators import evaluation as ev
 from viamark.operators import raster, scenery, spatial, studies
 from viamark.plans.catalog import query
-from viamark.plans.derived import EDGES, PARKS, PLACES, ROADS, WATER, derive
-from viamark.plans.q_closures import _WINTERS, _closed_days
+from viamark.plans.derived import EDGES, PARKS, PLACES, ROADS, WATER, WAYS, derive
+from viamark.plans.q_closures import _WINTERS, _longest_closed
 from viamark.plans.q_rasters import GRID
 from viamark.plans.tables import stage
 
@@ -167,10 +167,8 @@ def v6_corrupt_effect(spark, sf_dir):
 SELECT name, edges, first_open, last_open, CAST(110 + length(name) AS BIGINT) AS official, last_open - (110 + length(name)) AS late_days FROM p""")
 def v9_season_table(spark, sf_dir):
     """V9: official opening days beside what tags say, for every named road."""
-    from viamark.operators import closures
-
-    w = closures.longest_closed(_closed_days(spark, sf_dir)).where("reopens is not null")
-    r = w.join(derive(spark, sf_dir, ROADS).select("edge", "name").hint("merge"), "edge").groupBy("name").agg(F.count(F.lit(1)).alias("edges"), F.min("reopens").cast("long").alias("first_open"), F.max("reopens").cast("long").alias("last_open"))
+    w = _longest_closed(spark, sf_dir).where("reopens is not null")
+    r = w.join(derive(spark, sf_dir, WAYS).select("way_id", "name").hint("merge"), "way_id").groupBy("name").agg(F.count(F.lit(1)).alias("edges"), F.min("reopens").cast("long").alias("first_open"), F.max("reopens").cast("long").alias("last_open"))
     official = (110 + F.length("name")).cast("long")
     return r.select("name", "edges", "first_open", "last_open", official.alias("official"), (F.col("last_open") - official).alias("late_days"))
 
