@@ -533,3 +533,30 @@ def test_closed_days_are_worked_out_once_for_each_set_of_windows(spark):
     each = sorted(map(tuple, closures.longest_closed(closures.closed_days(plain, no, no)).collect()))
     once = closures.longest_closed(closures.closed_days(sets, no, no, "set"), "set")
     assert sorted(map(tuple, by_set.join(once, "set").select("edge", "first_day", "closed", "reopens", "source").collect())) == each
+
+
+def test_nearest_in_cells_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    lines = [(k, *(float(x) for x in rng.integers(0, 40, 4) * 25)) for k in range(400)]
+    # Lines that lie alike, and the same the other way round, where the smaller key wins.
+    lines += [(1000 + k, *lines[k][1:]) for k in range(40)] + [(2000 - k, *lines[k][3:], *lines[k][1:3]) for k in range(40, 80)] + [(-1, *lines[90][3:], *lines[90][1:3])]
+    points = [(k, k % 7, float(x), float(y)) for k, (x, y) in enumerate(rng.random((300, 2)) * 1000)]
+    points += [(300 + k, 0, (s[1] + s[3]) / 2, (s[2] + s[4]) / 2) for k, s in enumerate(lines[:100])]
+
+    def best(px, py):
+        found = []
+        for k, ax, ay, bx, by in lines:
+            square = (bx - ax) ** 2 + (by - ay) ** 2
+            t = min(1.0, max(0.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / square)) if square else 0.0
+            found.append((round(float(np.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))), 6), k))
+        return min(found)
+
+    expect = {(p, c): k for p, c, x, y in points for far, k in [best(x, y)] if far <= 30}
+    segs = spark.createDataFrame(lines, "edge long, ax double, ay double, bx double, by double")
+    df = spark.createDataFrame(points, "pid long, kind long, x double, y double")
+    for most in (spatial.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(spatial, "BROADCAST_BYTES", most)
+        cells, size = spatial.nearest_cells(segs, "edge", 30.0)
+        assert cells.where("edge between 1000 and 1039").isEmpty()
+        got = spatial.nearest_in(df, cells, size, ["pid", "kind"], "edge", 30.0, 6).collect()
+        assert {(r.pid, r.kind): r.edge for r in got} == expect and len(got) == len(expect)
