@@ -217,3 +217,26 @@ def test_edges_and_lines_that_lie_alike_are_joined_once(spark):
     samples = at.withColumnRenamed("heading", "bearing")
     same = lambda t: sorted(studies.same_way(samples, t.drop("u", "v"), "edge", 30.0, 40.0).collect())
     assert same(segs) == same(once) and len(same(once)) == 2
+
+
+def test_polygon_flags_over_many_layers_of_polygons(spark, monkeypatch):
+    """Polygons that lie over one another give flags, not a row for each pair of a point and a polygon."""
+    from viamark.functions import geometry as g
+    from viamark.operators import regions
+
+    rng = np.random.default_rng(14)
+    rings = [(k, *(float(v) for v in rng.integers(0, 30, 2) * 20), float(rng.integers(1, 12) * 10), k % 3) for k in range(80)]
+    pts = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.random((200, 2)) * 700)]
+    pts += [(200 + k, *pts[k][1:]) for k in range(50)] + [(300 + k, r[1], r[2]) for k, r in enumerate(rings[:20])]
+    df = spark.createDataFrame(pts, "pid long, x double, y double")
+    big = spark.createDataFrame(rings, "id long, x double, y double, side double, class int")
+    big = big.withColumn("geom", g.square(F.col("x"), F.col("y"), F.col("side")))
+    monkeypatch.setattr(regions, "containing", None)  # pairs of points and polygons
+    got = {r.pid: tuple(r)[1:] for r in regions.polygon_flags(df, big, {"a": F.col("class") == 0, "none": F.col("class") > 5, "b": F.col("class") >= 1}, 15.0, 100.0).collect()}
+
+    def flags(x, y, chosen):
+        inside = [abs(x - qx) <= s / 2 and abs(y - qy) <= s / 2 and x < qx + s / 2 and y < qy + s / 2 for _, qx, qy, s, c in rings if c in chosen]
+        near = [np.hypot(max(abs(x - qx) - s / 2, 0), max(abs(y - qy) - s / 2, 0)) <= 15 for _, qx, qy, s, c in rings if c in chosen]
+        return any(inside), any(near)
+
+    assert got == {p: (*flags(x, y, {0}), False, False, *flags(x, y, {1, 2})) for p, x, y in pts} and len(got) == len(pts)

@@ -9,6 +9,7 @@ from viamark.operators import raster, regions, scenery, spatial
 from viamark.plans.catalog import query
 from viamark.plans.derived import EDGE_STEPS, EDGES, NODES, PARKS, PLACES, REFS, ROADS, SEGMENTS, WATER, WAYS, derive, roads
 from viamark.plans.q_rasters import GRID
+from viamark.plans.tables import stage
 
 #: Regions of 6.5 km, with gaps of 1 km between them.
 CORES = "SELECT n_nationkey AS region, CAST((n_nationkey % 5) * 7500 AS DOUBLE) AS x0, CAST(floor(n_nationkey / 5) * 7500 AS DOUBLE) AS y0, CAST((n_nationkey % 5) * 7500 + 6500 AS DOUBLE) AS x1, CAST(floor(n_nationkey / 5) * 7500 + 6500 AS DOUBLE) AS y1 FROM nation"
@@ -77,8 +78,6 @@ n AS (SELECT count(*) AS new_, (SELECT count(*) FROM comp WHERE node IN (SELECT
 SELECT 'access_entries' AS layer, new_ AS rows, new_ <> old_ AS changed FROM n UNION ALL SELECT 'access_ways', count(*), false FROM e UNION ALL SELECT 'roads', count(*), false FROM ({ROADS}) r UNION ALL SELECT 'parks', count(*), false FROM ({PARKS}) k""")
 def v17_access_rebuild(spark, sf_dir):
     """The access layer built again after some roads were closed to cars, the other layers left as they lie."""
-    from viamark.plans.tables import stage
-
     r = stage(derive(spark, sf_dir, ROADS), "roads")
     own = r.where("highway = 'residential' and u <> v").select("edge", "u", "v")
     ends = lambda keep: r.where(f"highway <> 'residential' and {keep}").select(F.explode(F.array("u", "v")).alias("node"))
@@ -162,15 +161,16 @@ _FLAG = "max(CASE WHEN {c} AND p.x < q.x + q.side / 2 AND p.x >= q.x - q.side /
 @query(f"SELECT pid, {_FLAG.format(c='class < 2 AND designation > 0', n='landmark', d=80)} FROM ({_MIDS}) p JOIN ({_BIG}) q ON {_BOXD} <= 80 GROUP BY pid")
 def j22_landmarks(spark, sf_dir):
     """Edges with their middle in a landmark polygon, and within 80 m of one."""
-    f = regions.polygon_flags(derive(spark, sf_dir, _MIDS), _big(spark, sf_dir), {"landmark": (F.col("class") < 2) & (F.col("designation") > 0)}, 80.0, 1000.0)
-    touched = regions.polygon_flags(derive(spark, sf_dir, _MIDS), _big(spark, sf_dir), {"any": F.lit(True)}, 80.0, 1000.0).where("any_near").select("pid")
+    mids = stage(derive(spark, sf_dir, _MIDS), "middles")
+    f = regions.polygon_flags(mids, _big(spark, sf_dir), {"landmark": (F.col("class") < 2) & (F.col("designation") > 0)}, 80.0, 1000.0)
+    touched = regions.polygon_flags(mids, _big(spark, sf_dir), {"any": F.lit(True)}, 80.0, 1000.0).where("any_near").select("pid")
     return f.join(touched.hint("merge"), "pid", "left_semi").select("pid", "landmark", "landmark_near")
 
 
 @query(f"SELECT pid, {_FLAG.format(c='class = 0', n='landmark', d=500)}, {_FLAG.format(c='designation <= 1', n='protected', d=500)} FROM ({_MIDS}) p JOIN ({_BIG}) q ON {_BOXD} <= 500 GROUP BY pid")
 def v22_designations(spark, sf_dir):
     """Several designations at the middle of edges, inside and within 500 m."""
-    f = regions.polygon_flags(derive(spark, sf_dir, _MIDS), _big(spark, sf_dir), {"landmark": F.col("class") == 0, "protected": F.col("designation") <= 1, "any": F.lit(True)}, 500.0, 1000.0)
+    f = regions.polygon_flags(stage(derive(spark, sf_dir, _MIDS), "middles"), _big(spark, sf_dir), {"landmark": F.col("class") == 0, "protected": F.col("designation") <= 1, "any": F.lit(True)}, 500.0, 1000.0)
     return f.where("any_near").select("pid", "landmark", "landmark_near", "protected", "protected_near")
 
 
