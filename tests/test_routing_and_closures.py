@@ -560,3 +560,29 @@ def test_nearest_in_cells_against_brute_force(spark, monkeypatch):
         assert cells.where("edge between 1000 and 1039").isEmpty()
         got = spatial.nearest_in(df, cells, size, ["pid", "kind"], "edge", 30.0, 6).collect()
         assert {(r.pid, r.kind): r.edge for r in got} == expect and len(got) == len(expect)
+
+
+def test_controls_on_lines_against_brute_force(spark):
+    rng = np.random.default_rng(13)
+    draw = lambda n, k: (rng.random((n, k)) * 3000).round(1).tolist()
+    lines = [(k % 6, *p) for k, p in enumerate(draw(30, 4))] + [(2, 500.0, 500.0, 500.0, 500.0), (7, 0.0, -2000.0, 3000.0, -2000.0), (7, 0.0, -2000.0, 3000.0, -2000.0)]
+    controls = [(k, *p) for k, p in enumerate(draw(250, 2))] + [(300, 1000.0, -1950.0), (299, 1200.0, -1950.0)]
+    stops = [(k, k % 8, *p) for k, p in enumerate(draw(120, 2))] + [(500, 2, 1100.0, 700.0), (501, 7, 1100.0, -2000.0)]
+
+    def off(x, y, ax, ay, bx, by):
+        square = (bx - ax) ** 2 + (by - ay) ** 2
+        t = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / square)) if square else 0.0
+        return np.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    expect = {}
+    for p, drive, x, y in stops:
+        on = [(float(np.hypot(x - cx, y - cy)), c) for c, cx, cy in controls if any(d == drive and off(cx, cy, *z) <= 100 for d, *z in lines)]
+        if found := [m for m in on if m[0] <= 600]:
+            expect[p] = min(found)
+    assert expect[501] == (float(np.hypot(100, 50)), 299) and 0 < len(expect) < len(stops)
+    s = spark.createDataFrame(stops, "pid long, drive long, x double, y double")
+    e = spark.createDataFrame(lines, "drive long, ax double, ay double, bx double, by double")
+    q = spark.createDataFrame(controls, "id long, x double, y double")
+    got = {r.pid: (r.dist, r.control) for r in driven.controls_on_lines(s, e, q, 600.0, 100.0, 200.0).collect()}
+    assert {p: c for p, (_, c) in got.items()} == {p: c for p, (_, c) in expect.items()} and all(abs(got[p][0] - expect[p][0]) < 1e-9 for p in got)
+    assert driven.controls_on_lines(s.where("pid < 0"), e, q, 600.0, 100.0).count() == 0
